@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, media, mixing, packing
+from quillon.llm import exact_dedup, html_text, langid, media, mixing, packing, pii, secret_scan, simhash
 from quillon.llm.common import documents
 
 
@@ -16,23 +16,76 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(documents(spark, sf_dir))
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.scan(documents(spark, sf_dir))[0])
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(documents(spark, sf_dir))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf_dir))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op5_media_columns, op8_source_mixing)}
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_exact_dedup, op3_pii_surrogates, op4_secret_scans, op5_media_columns, op7_simhash_near_dedup, op8_source_mixing, op9_html_extraction, op10_language_id)
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _spans_sql(rule: secret_scan.Rule) -> str:
+    """(start, end, own) of each match: lengths of the gaps and matches before it summed up."""
+    p = rule.pattern.replace("'", "''")
+    own = f"length(regexp_extract(hits[i], '{p}', {rule.group}))"
+    return f"""list_filter(list_transform(range(1, len(hits) + 1), lambda i: struct_pack(
+        s := CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT),
+        n := CAST(length(hits[i]) AS BIGINT), own := {own})), lambda x: x.own >= {rule.least})"""
+
+
+def _secrets_sql() -> str:
+    rules = secret_scan.RULES
+    each = " UNION ALL ".join(
+        f"""SELECT doc_id, {k} AS k, unnest({_spans_sql(r)}) AS x FROM (
+            SELECT doc_id, regexp_extract_all(t, '{(p := r.pattern.replace("'", "''"))}') AS hits, string_split_regex(t, '{p}') AS gaps FROM texts)"""
+        for k, r in enumerate(rules)
+    )
+    names = "[" + ", ".join(f"'{r.kind}'" for r in rules) + "]"
+    counts = ", ".join(f"count(*) FILTER (WHERE k = {k}) AS n_{r.kind}" for k, r in enumerate(secret_scan.BASE))
+    one = f"{names}[k + 1] || ':' || x.s || ':' || (x.s + x.n)"
+    return f"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({each}),
+        sums AS (SELECT doc_id, {counts}, string_agg({one}, ',' ORDER BY x.s, k) AS spans,
+                 string_agg({one}, ',' ORDER BY x.s, k) FILTER (WHERE k < {len(secret_scan.BASE)}) AS base FROM found GROUP BY doc_id)
+        SELECT t.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secret_scan.BASE)},
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts t LEFT JOIN sums USING (doc_id)"""
+
+
 ORACLES = {
     "op2_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, {_LOWER} AS t FROM documents) WINDOW same AS (PARTITION BY t)""",
+    "op4_secret_scans": _secrets_sql(),
     "op8_source_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS mark,
