@@ -213,7 +213,9 @@ class Renderer:
             for line in self.tables.pop().lines():
                 if line:
                     flow.verbatim(line)
-                flow.block(1)
+                    flow.block(1)
+                else:
+                    flow.gap += 1
             flow.block(2)
             return
         if "pre" in state:
