@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, html_text, langid, media, mixing, packing, pii, secret_scan, simhash
+from quillon.llm import exact_dedup, html_text, langid, media, mixing, packing, pii, secret_scan, simhash, suffix_dedup
 from quillon.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(documents(spark, sf_dir))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
@@ -46,7 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_exact_dedup, op3_pii_surrogates, op4_secret_scans, op5_media_columns, op7_simhash_near_dedup, op8_source_mixing, op9_html_extraction, op10_language_id)
+    for f in (op1_best_fit_packing, op2_exact_dedup, op3_pii_surrogates, op4_secret_scans, op5_media_columns, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_source_mixing, op9_html_extraction, op10_language_id)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
