@@ -52,6 +52,11 @@ def pick(values: Column, index: int, strict: bool = True) -> Column:
     return values[index] if strict else F.get(values, F.lit(index))
 
 
+def tensor(*values: Column) -> Column:
+    """A rank-1 float32 tensor."""
+    return F.array(*[v.cast("float") for v in values])
+
+
 def render(values: Column) -> Column:
     return values.cast("string")
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillon import functions as Q
 
@@ -103,6 +104,23 @@ def batch_inference(df: DataFrame, make_predict: Callable, value: str = "embeddi
     return df.withColumn(out, udf(F.col(value)))
 
 
+def pick_output(df: DataFrame, position: int) -> DataFrame:
+    """The column at a position; IndexError if there is none."""
+    return df.select(F.col(f"`{df.columns[position]}`"))
+
+
+def typed(df: DataFrame, schema: str) -> DataFrame:
+    """The frame under an explicit schema; a column that cannot be read as its type raises."""
+    return df.to(StructType.fromDDL(schema))
+
+
+def compiled(df: DataFrame) -> float:
+    """Milliseconds to analyse, optimize and plan, without running."""
+    began = time.perf_counter_ns()
+    df._jdf.queryExecution().executedPlan()
+    return (time.perf_counter_ns() - began) / 1_000_000.0
+
+
 def timed(df: DataFrame) -> float:
     """Milliseconds to run the whole plan into a sink that keeps nothing."""
     began = time.perf_counter_ns()

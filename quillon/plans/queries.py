@@ -102,6 +102,58 @@ def batch_inference(spark: SparkSession, d: str) -> DataFrame:
     return y.select("vec_id", F.posexplode("y").alias("i", "y"))
 
 
+def elementwise_error(spark: SparkSession, d: str) -> DataFrame:
+    e = _qdq(spark, d).withColumn("e", Q.errors(F.col("dq"), F.col("embedding")))
+    return e.select("vec_id", F.posexplode("e").alias("i", "error"))
+
+
+# Outputs and expectations fed to the error step: bounds, NaN, infinity, lengths.
+EDGES = [
+    ([1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.0]), ([1.5, 2.0], [1.0, 2.0]), ([0.0625, 2.0], [0.0, 2.0]), ([float("nan"), 2.0], [1.0, 2.0]),
+    ([float("inf"), 2.0], [1.0, 2.0]), ([1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0]), ([1.0, 2.0, 9.0], [1.0, 2.0]), ([], []),
+]
+
+
+def edge_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Both NaN policies; an output that is too short fails, one that is too long passes."""
+    df = S.cases(spark, [(i, a, b) for i, (a, b) in enumerate(EDGES)])
+    strict = O.tolerance_check(df, "input", "expected").select("case_id", F.col("pass").alias("pass_strict"))
+    lenient = O.tolerance_check(df, "input", "expected", nan_policy="ignore").select("case_id", F.col("pass").alias("pass_ignoring_nan"))
+    return strict.join(lenient, "case_id")
+
+
+def lenient_pick(spark: SparkSession, d: str) -> DataFrame:
+    """An element that is not there: NULL instead of an error."""
+    return S.vectors(spark, d).select("vec_id", Q.pick(F.col("embedding"), 64, strict=False).alias("beyond"), Q.pick(F.col("embedding"), 63, strict=False).alias("last_value"))
+
+
+def durations(spark: SparkSession, d: str) -> DataFrame:
+    """Nanoseconds to milliseconds; event ids stand in for clock differences."""
+    return S.table(spark, d, "events").select("event_id", Q.nanos_to_millis(F.col("event_id") * 1000).alias("ms"))
+
+
+def rendered(spark: SparkSession, d: str) -> DataFrame:
+    """Paths, fixed-point text of values that halve evenly, a map's entry, the first rule that holds."""
+    k = F.col("n_nationkey")
+    return S.table(spark, d, "nation").select(
+        "n_nationkey",
+        Q.join_path(F.lit("lib"), F.col("n_name")).alias("path"),
+        Q.fixed3(k / 8).alias("text"),
+        Q.option_map({"backend_type": "spark"})["backend_type"].alias("backend"),
+        Q.first_match((k > 20, F.lit("dynamic")), (k > 10, F.lit("dark")), default=F.lit("light")).alias("choice"),
+    )
+
+
+def signature(spark: SparkSession, d: str) -> DataFrame:
+    return S.signature(S.vectors(spark, d)).select("position", "name")
+
+
+def output_pick(spark: SparkSession, d: str) -> DataFrame:
+    """The first output by position, packed into a tensor and typed."""
+    y = S.vectors(spark, d).select(Q.tensor(F.col("vec_id"), F.col("label")).alias("t"))
+    return O.pick_output(y, 0).select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Scan, identity matmul, error against the input, reduction, predicate."""
     eye = [[float(i == j) for j in range(WIDTH)] for i in range(WIDTH)]
@@ -111,7 +163,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (tensor_scan, row_pick, provider_filter, matmul_identity, matmul_dense, qdq_roundtrip, qdq_max_error, tolerance_check, max_abs_fold, error_by_label, array_render, status_report, self_check, batch_inference, flagship)
+    for f in (tensor_scan, row_pick, provider_filter, matmul_identity, matmul_dense, qdq_roundtrip, qdq_max_error, tolerance_check, max_abs_fold, error_by_label, array_render, status_report, self_check, batch_inference, elementwise_error, edge_cases, lenient_pick, durations, rendered, signature, output_pick, flagship)
 }
 
 _ELEMENTS = "SELECT vec_id, label, CAST(unnest(range(64)) AS INTEGER) AS i, unnest(embedding) AS v FROM embeddings"
@@ -134,5 +186,12 @@ ORACLES: dict[str, str] = {
     "status_report": f"SELECT count(*) AS n, count(*) FILTER (WHERE NOT (max_error > {Q.TOLERANCE})) AS n_pass, coalesce(max(max_error), 0) AS max_error, CASE WHEN count(*) = count(*) FILTER (WHERE NOT (max_error > {Q.TOLERANCE})) THEN 'PASS' ELSE 'FAILED' END AS status FROM ({_ERR})",
     "self_check": "SELECT CAST(0 AS BIGINT) AS case_id, [1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, 4.0::DOUBLE] AS y, 0.0::DOUBLE AS max_error, true AS pass",
     "batch_inference": f"SELECT vec_id, i, v AS y FROM ({_ELEMENTS})",
+    "elementwise_error": f"SELECT vec_id, i, abs(dq - CAST(v AS DOUBLE)) AS error FROM ({_DQ})",
+    "edge_cases": "SELECT * FROM (VALUES (0::BIGINT, true, true), (1, false, false), (2, true, true), (3, false, true), (4, false, false), (5, false, false), (6, true, true), (7, true, true)) AS t(case_id, pass_strict, pass_ignoring_nan)",
+    "lenient_pick": "SELECT vec_id, embedding[65] AS beyond, embedding[64] AS last_value FROM embeddings",
+    "durations": "SELECT event_id, (event_id * 1000) / 1000000.0::DOUBLE AS ms FROM events",
+    "rendered": "SELECT n_nationkey, 'lib/' || n_name AS path, printf('%.3f', n_nationkey / 8.0::DOUBLE) AS text, 'spark' AS backend, CASE WHEN n_nationkey > 20 THEN 'dynamic' WHEN n_nationkey > 10 THEN 'dark' ELSE 'light' END AS choice FROM nation",
+    "signature": "SELECT * FROM (VALUES (0, 'vec_id'), (1, 'embedding'), (2, 'label')) AS t(position, name)",
+    "output_pick": "SELECT CAST(vec_id AS FLOAT) AS a, CAST(label AS FLOAT) AS b FROM embeddings",
     "flagship": "SELECT vec_id, 0.0::DOUBLE AS max_error, true AS pass FROM embeddings",
 }

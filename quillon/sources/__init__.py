@@ -50,6 +50,10 @@ def runtime(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.lit(spark.version).alias("engine_version"), F.version().alias("build"))
 
 
+def setting(spark: SparkSession, key: str, default: str | None = None) -> str | None:
+    return spark.conf.get(key, default)
+
+
 def signature(df: DataFrame) -> DataFrame:
     """Column names and types by position."""
     rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
