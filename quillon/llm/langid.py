@@ -78,17 +78,16 @@ class Model:
     words: dict[str, int]
     grams: dict[int, dict[str, int]]
     logs: dict[int, np.ndarray]  # by kind: a row for each item, a column for each language
-    memo: dict[str, np.ndarray | None] = field(default_factory=dict)
+    memo: dict[str, tuple[int, list[int]]] = field(default_factory=dict)
 
-    def unseen(self, word: str) -> np.ndarray | None:
-        if word in self.memo:
-            return self.memo[word]
-        found = None
+    def unseen(self, word: str) -> tuple[int, list[int]]:
+        """The longest length of which n-grams of the word are known, and their rows; (0, []) if none is."""
+        found = 0, []
         for n in LENGTHS:
             table = self.grams[n]
-            at = [i for g in grams(word, n) if (i := table.get(g)) is not None]
+            at = [table[g] for g in grams(word, n) if g in table]
             if at:
-                found = self.logs[n][at].mean(axis=0)
+                found = n, at
                 break
         if len(self.memo) >= MEMO:
             self.memo.clear()
@@ -97,24 +96,27 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(words_of(text or ""))
-        if not counts or not self.langs:
+        if not self.langs or not any(c.isalpha() for w in counts for c in w):
             return UNKNOWN, 0.0
-        total, weight = np.zeros(len(self.langs)), 0
-        at, times = [], []
+        rows: dict[int, list[int]] = {k: [] for k in self.logs}
+        shares: dict[int, list[float]] = {k: [] for k in self.logs}
+        weight, words, memo = 0, self.words, self.memo
+        known, times = rows[0], shares[0]
         for w, n in counts.items():
-            i = self.words.get(w)
+            i = words.get(w)
             if i is not None:
-                at.append(i)
+                known.append(i)
                 times.append(n)
-            elif (x := self.unseen(w)) is not None:
-                total += n * x
                 weight += n
-        if at:
-            n = np.array(times, dtype=float)
-            total += n @ self.logs[0][at]
-            weight += int(n.sum())
+                continue
+            size, at = memo.get(w) or self.unseen(w)
+            if at:
+                rows[size] += at
+                shares[size] += [n / len(at)] * len(at)
+                weight += n
         if not weight:
             return self.langs[0], 1 / len(self.langs)
+        total = sum(np.array(shares[k]) @ self.logs[k][rows[k]] for k in rows if rows[k])
         mean = total / weight * min(weight, LONG)
         p = np.exp(mean - mean.max())
         best = int(np.argmax(p))
