@@ -27,6 +27,11 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def has_repeats(docs: DataFrame) -> bool:
+    """Whether an id occurs twice; reads ids only."""
+    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -40,22 +45,29 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Least and most bits of a bitmap, as powers of 2: the largest has 16 MB.
+BITS = (17, 27)
+
+
 def _slot(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << bits))
 
 
-def bitmap(keys: DataFrame, column: str, bits: int) -> DataFrame:
-    """Membership bits of a key column, at most 2^(bits-15) rows of 4 KB, however many keys there are."""
+def bitmap(keys: DataFrame, column: str, bits: int | None = None) -> tuple[DataFrame, int]:
+    """Membership bits of a saved table's keys, at most 2^(bits-15) rows of 4 KB, and `bits`.
+
+    Unless given, there are about eight bits a key, within BITS, however many keys there are.
+    """
+    if bits is None:
+        bits = min(max((8 * keys.count()).bit_length(), BITS[0]), BITS[1])
     slot = _slot(F.col(column), bits)
-    return (
-        keys.select(F.shiftright(slot, 15).alias("_chunk"), slot.bitwiseAND(F.lit(32767)).alias("_bit"))
-        .groupBy("_chunk")
-        .agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    )
+    marks = keys.select(F.shiftright(slot, 15).alias("_chunk"), slot.bitwiseAND(F.lit(32767)).alias("_bit"))
+    return saved(marks.groupBy("_chunk").agg(F.bitmap_construct_agg("_bit").alias("_bits"))), bits
 
 
-def with_maybe(df: DataFrame, marks: DataFrame, column: str, bits: int, out: str) -> DataFrame:
+def with_maybe(df: DataFrame, marked: tuple[DataFrame, int], column: str, out: str) -> DataFrame:
     """Adds a flag: false where the key is certainly not among those of the bitmap. Nothing is shuffled."""
+    marks, bits = marked
     slot = _slot(F.col(column), bits)
     at = df.withColumn("_slot", slot).withColumn("_own", F.shiftright("_slot", 15))
     joined = at.join(F.broadcast(marks), F.col("_own") == F.col("_chunk"), "left")
@@ -63,3 +75,20 @@ def with_maybe(df: DataFrame, marks: DataFrame, column: str, bits: int, out: str
     byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     on = F.expr("shiftright({b}, cast(_slot & 7 AS INT)) & 1".format(b="_byte"))
     return joined.withColumn("_byte", byte).withColumn(out, F.coalesce(on == 1, F.lit(False))).drop("_slot", "_own", "_chunk", "_bits", "_byte")
+
+
+def without(docs: DataFrame, gone: DataFrame, mark: Column) -> DataFrame:
+    """The rows of docs that are not in gone(doc_id, mark). Ids decide; where they are null, a mark of the text does.
+
+    Rows that a bitmap clears stay where they are; only the others are shuffled.
+    """
+    def keyed(df: DataFrame, m: Column, *more: Column) -> DataFrame:
+        rows = df.select(*more, F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNull(), m).alias("mark"))
+        return rows.withColumn("both", F.xxhash64("id", "mark"))
+
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    left_out = saved(keyed(gone, F.col("mark")))
+    own = with_maybe(keyed(docs, mark, F.struct(*names).alias("row")), bitmap(left_out, "both"), "both", "maybe")
+    a, b = own.where("maybe").alias("a"), left_out.alias("b")
+    same = F.col("a.id").eqNullSafe(F.col("b.id")) & F.col("a.mark").eqNullSafe(F.col("b.mark"))
+    return own.where("NOT maybe").select("row.*").unionByName(a.join(b, same, "left_anti").select("row.*"))

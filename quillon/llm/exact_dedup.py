@@ -16,14 +16,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ascii_lower, bitmap, saved, text_of, with_maybe
+from quillon.llm.common import ascii_lower, bitmap, has_repeats, saved, text_of, with_maybe, without
 
 
 def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def exact_groups(docs: DataFrame, bits: int = 24, hash_of: Callable[[Column], Column] = content_hash, stable: Callable = F.max) -> DataFrame:
+def exact_groups(docs: DataFrame, bits: int | None = None, hash_of: Callable[[Column], Column] = content_hash, stable: Callable = F.max) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs(doc_id, text).
 
     stable picks the id that stays of equal texts: F.max or F.min.
@@ -32,8 +32,7 @@ def exact_groups(docs: DataFrame, bits: int = 24, hash_of: Callable[[Column], Co
     rows = saved(whole.select("doc_id", "h", F.unhex(F.sha2("t", 256)).alias("sha")))
     groups = saved(rows.groupBy("h").agg(stable("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"))
 
-    marks = saved(bitmap(groups, "h", bits))
-    doubtful = with_maybe(whole, marks, "h", bits, "maybe").where("maybe").drop("maybe")
+    doubtful = with_maybe(whole, bitmap(groups, "h", bits), "h", "maybe").where("maybe").drop("maybe")
     extremes = doubtful.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     mixed = saved(extremes.where("lo <> hi").select("h"))
 
@@ -53,11 +52,9 @@ def exact_groups(docs: DataFrame, bits: int = 24, hash_of: Callable[[Column], Co
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, with all their columns; a row repeated as a whole stays once."""
-    dropped = exact_groups(docs, **options).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    left = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"]) if has_repeats(docs) else left
-
-
-def has_repeats(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    """The rows of docs that stay, with all their columns; of rows that repeat an id and a text, or a text without id, one stays."""
+    gone = exact_groups(docs, **options).where("NOT kept").select("doc_id", F.col("text_sha256").alias("mark"))
+    left = without(docs, gone, F.sha2(ascii_lower(text_of()), 256))
+    if has_repeats(docs):
+        left = left.withColumn("_same_text", F.md5(ascii_lower(text_of()))).dropDuplicates(["doc_id", "_same_text"]).drop("_same_text")
+    return left

@@ -127,5 +127,5 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, s
     one = run.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.struct("copies", "start", "source_size", "quota", "place")).alias("_m")).select("_id", "_m.*")
     each = one.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
     at = each.select("_id", "_copy", _position(F.col("start") + F.col("_copy") * F.col("source_size"), schedules, len(weights)).alias("_position"))
-    out = docs.join(at, F.col("doc_id").eqNullSafe(F.col("_id"))).orderBy("_position", "_id", "_copy")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    both = docs.alias("_own").join(at.alias("_at"), F.col("_own.doc_id").eqNullSafe(F.col("_at._id")))
+    return both.orderBy("_at._position", "_at._id", "_at._copy").select("_own.*")

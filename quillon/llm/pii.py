@@ -181,7 +181,7 @@ def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise ValueError("more entities of a format than it has surrogates")
 
 
-def replace(docs: DataFrame, key: str = KEY, bits: int = 24) -> DataFrame:
+def replace(docs: DataFrame, key: str = KEY, bits: int | None = None) -> DataFrame:
     """doc_id, text (rewritten), n_entities and a count for each type, of docs(doc_id, text)."""
     hit = F.rlike("t", F.lit(HINT)) & F.rlike("t", F.lit(ANY))
     none = F.array().cast("array<string>")
@@ -201,7 +201,7 @@ def replace(docs: DataFrame, key: str = KEY, bits: int = 24) -> DataFrame:
         entry = F.struct(F.concat_ws(":", "kind", "canon").alias("k"), F.col("attempt").alias("v"))
         held = saved(held.groupBy("doc_id", "mark").agg(F.map_from_entries(F.collect_set(entry)).alias("later")))
         rows = rows.withColumn("mark", F.xxhash64("t"))
-        marked = with_maybe(rows, saved(bitmap(held, "mark", bits)), "mark", bits, "maybe")
+        marked = with_maybe(rows, bitmap(held, "mark", bits), "mark", "maybe")
         some = marked.where("maybe").alias("r").join(held.alias("h"), F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("r.mark") == F.col("h.mark")), "left")
         ready = marked.where("NOT maybe").select("doc_id", "t", "found").withColumn("later", no_later)
         ready = ready.unionByName(some.select("r.doc_id", "r.t", "r.found", "h.later"))

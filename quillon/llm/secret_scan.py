@@ -82,7 +82,7 @@ def blobs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().alias("t")).withColumn("blob", F.unhex(F.sha2("t", 256)))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(paths, entries): doc_id, blob, spans for every row; and the ledger's new rows (blob, rule, spans).
 
     ledger: earlier entries. Pairs of blob and rule version in it are not scanned again.
@@ -90,13 +90,13 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     whole = blobs(docs)
     paths = saved(whole.select("doc_id", "blob"))
     copies = saved(paths.groupBy("blob").count().where("count > 1").select("blob"))
-    marked = with_maybe(whole.select("blob", "t"), saved(bitmap(copies, "blob", bits)), "blob", bits, "maybe")
+    marked = with_maybe(whole.select("blob", "t"), bitmap(copies, "blob", bits), "blob", "maybe")
     once = marked.where("NOT maybe").select("blob", "t")
     again = marked.where("maybe").groupBy("blob").agg(F.max("t").alias("t"))
     unseen = once.unionByName(again).withColumn("known", F.array().cast("array<string>"))
     if ledger is not None:
         had = saved(ledger.groupBy("blob").agg(F.collect_set("rule").alias("had")))
-        marks = with_maybe(unseen, saved(bitmap(had, "blob", bits)), "blob", bits, "old")
+        marks = with_maybe(unseen, bitmap(had, "blob", bits), "blob", "old")
         old = marks.where("old").join(had, "blob", "left").withColumn("known", F.coalesce("had", "known"))
         unseen = marks.where("NOT old").select("blob", "t", "known").unionByName(old.select("blob", "t", "known"))
     none = F.array().cast(f"array<{SPAN}>")

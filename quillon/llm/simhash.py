@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import saved, text_of
+from quillon.llm.common import has_repeats, saved, text_of, without
 
 WIDTH, RADIUS, SEED = 4, 4, 42
 #: Rows of a bucket compared in one piece; of a larger one, rows of a tile.
@@ -70,14 +70,15 @@ def _fingerprints(width):
     def run(batches):
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.int64())], names=["doc_id", "mark", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of docs(doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_fingerprints(width), "doc_id long, fp long")
+    """doc_id, mark (a hash of the text), fp (the 64 bits as a signed long) of docs(doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("mark", F.xxhash64("text"))
+    return rows.mapInArrow(_fingerprints(width), "doc_id long, mark long, fp long")
 
 
 # --- comparison -----------------------------------------------------------------------
@@ -306,22 +307,28 @@ def components(edges: DataFrame) -> DataFrame:
 # --- the operator ---------------------------------------------------------------------
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fingerprint, component_id for each row of docs(doc_id, text)."""
+def _grouped(docs: DataFrame, radius: int, width: int, bucket: int) -> DataFrame:
+    """Rows with their component's lowest member: an id before none, then by fingerprint and text hash."""
     rows = saved(fingerprints(docs, width))
-    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("mark").alias("least")))
     stars = saved(components(near_links(distinct.select("fp"), radius, bucket)))
-    rooted = distinct.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = saved(rooted.join(lowest, "root").select("fp", "component_id"))
-    out = rows.join(named, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = distinct.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "first", "least", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp", "least")).alias("low"))
+    named = saved(rooted.select("fp", "root").join(lowest, "root").select("fp", "low"))
+    return rows.join(named, "fp")
+
+
+def near_groups(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, fingerprint, component_id for each row of docs(doc_id, text)."""
+    rows = _grouped(docs, radius, width, bucket)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("low.first").alias("component_id"))
 
 
-def near_deduplicated(docs: DataFrame, **options) -> DataFrame:
+def near_deduplicated(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns."""
-    groups = near_groups(docs, **options)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    rows = _grouped(docs, radius, width, bucket)
+    stays = F.when(F.col("low.none"), (F.col("fp") == F.col("low.fp")) & (F.col("mark") == F.col("low.least"))).otherwise(F.col("doc_id").eqNullSafe(F.col("low.first")))
+    left = without(docs, rows.where(~stays), F.xxhash64(text_of()))
+    if has_repeats(docs):
+        left = left.withColumn("_same_text", F.md5(text_of())).dropDuplicates(["doc_id", "_same_text"]).drop("_same_text")
+    return left

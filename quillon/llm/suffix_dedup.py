@@ -496,7 +496,7 @@ def remove_repeats(docs: DataFrame, bits: int = BITS, split: int = SPLIT) -> Dat
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     whole = whole.withColumn("key", F.coalesce("doc_id", F.lit(LAST))).withColumn("mark", F.xxhash64("text"))
     found = saved(repeats(whole, bits, split))
-    marked = with_maybe(whole, saved(bitmap(found, "mark", bits - 1)), "mark", bits - 1, "maybe")
+    marked = with_maybe(whole, bitmap(found, "mark"), "mark", "maybe")
     size = F.octet_length("text").cast("long")
     zero = F.lit(0).cast("long")
     clean = marked.where("NOT maybe").select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))

@@ -37,7 +37,7 @@ def test_query_matches_sql(spark, sf, name):
 @pytest.mark.parametrize("bits,weak", [(24, False), (16, True)])
 def test_exact_groups(odd, bits, weak):
     hash_of = (lambda t: F.unhex(F.substring(F.md5(t), 1, 2)) if not weak else F.lit(b"x")) if weak else exact_dedup.content_hash
-    got = sorted(map(tuple, exact_dedup.exact_groups(odd, bits=bits, hash_of=hash_of).collect()), key=repr)
+    got = sorted(map(tuple, exact_dedup.exact_groups(odd, bits=bits if weak else None, hash_of=hash_of).collect()), key=repr)
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     groups = defaultdict(list)
     for i, t, *_ in ODD:
@@ -51,6 +51,14 @@ def test_exact_groups(odd, bits, weak):
     assert exact_dedup.deduplicated(odd).count() == len(groups)
 
 
+def test_exact_dedup_without_ids(spark):
+    rows = [(None, "A b"), (None, "a B"), (None, "c"), (4, "c"), (4, "c"), (4, "d"), (None, None)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _id int, _own int")
+    out = exact_dedup.deduplicated(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, (r.text or "").lower()) for r in out.collect()), key=repr) == sorted([(None, "a b"), (4, "c"), (4, "d"), (None, "")], key=repr)
+
+
 def test_empty_tables(none):
     assert exact_dedup.exact_groups(none).count() == exact_dedup.deduplicated(none).count() == 0
     assert media.stored_texts(none).count() == packing.pack(none).count() == 0

@@ -7,9 +7,11 @@ import sys
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from quillon.llm import mixing
 from tests.conftest import ROOT
-from tests.llm.test_first import check_packing
+from tests.llm.test_first import ODD, SCHEMA, check_packing
 from tests.llm.test_second import brute_components, brute_print
 
 
@@ -40,6 +42,17 @@ def test_stages(spark, sf):
     assert all(abs(taken[s] - t) < max(0.25 * t, 5000) for s, (t, _) in target.items())
 
 
+def test_stages_on_odd_rows(spark):
+    odd = spark.createDataFrame(ODD, SCHEMA).withColumn("_id", F.lit(1)).withColumn("_own", F.lit("x")).withColumn("lang_pred", F.lit(1)).withColumn("_copy", F.lit(1))
+    for docs in (odd, spark.createDataFrame([], SCHEMA), odd.where("text IS NULL"), odd.withColumn("source", F.lit(None).cast("string"))):
+        own = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            own = stage(spark, own, "").cache()
+            assert own.columns == docs.columns, name
+            own.count()
+        corpus_pipeline.STAGES[-1][1](spark, own, "").collect()
+
+
 def test_run(spark):
     sf = "/root/testdata/sf0.001"
     out = corpus_pipeline.run(spark, sf).collect()

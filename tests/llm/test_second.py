@@ -153,6 +153,14 @@ def test_near_groups_odd(spark, odd):
     assert simhash.near_deduplicated(odd).count() == len({r.component_id for r in simhash.near_groups(odd).collect()})
 
 
+def test_near_dedup_without_ids(spark):
+    rows = [(None, "a b c d"), (None, "a b c d"), (None, "q w e r t"), (7, "q w e r t"), (8, "z"), (8, "z"), (None, None), (None, " ")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _id int, fp int")
+    out = simhash.near_deduplicated(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, (r.text or "").strip()) for r in out.collect()), key=repr) == sorted([(None, "a b c d"), (7, "q w e r t"), (8, "z"), (None, "")], key=repr)
+
+
 def test_hot_buckets(spark):
     rng = random.Random(3)
     base = [rng.choice("abcdefghij") * 3 for _ in range(300)]
