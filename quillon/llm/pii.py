@@ -54,8 +54,8 @@ PATTERNS = {
 }
 TYPES = tuple(PATTERNS)
 ANY = "|".join(PATTERNS.values())
-#: A text without any of these has no entity; far cheaper to look for than ANY.
-HINT = rf"@|\d\.\d|\d[ -]?\d\d|{_TITLE}"
+#: An entity has one of these characters or a title; both are far cheaper to look for than ANY.
+HINT = "[0-9@]"
 
 
 def type_of(entity: Column) -> Column:
@@ -139,9 +139,8 @@ def _made_name(canon: Column, stream: Column) -> Column:
     return out
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
-    """Canonical form of the replacement."""
-    stream = _stream(key, kind, canon, attempt)
+def surrogate(kind: Column, canon: Column, stream: Column) -> Column:
+    """Canonical form of the replacement that a stream of digits gives."""
     top = F.length(canon) - F.length(F.substring_index(canon, ".", -1)) - 1
     octet = [(_byte(stream, F.lit(i)) % (223 if i == 0 else 254) + 1).cast("string") for i in range(4)]
     card = _with_check_digit(F.concat(F.substring(canon, 1, 1), F.substring(_scrambled(canon, stream), 2, 15)))
@@ -166,8 +165,12 @@ def formatted(entity: Column, kind: Column, made: Column) -> Column:
 
 def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
     """kind, canon, attempt of distinct entities(kind, canon) whose first surrogate clashes."""
-    state = entities.withColumn("attempt", F.lit(0)).withColumn("made", surrogate(F.col("kind"), F.col("canon"), F.lit(0), key))
-    state = saved(state)
+
+    def made(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("stream", _stream(key, F.col("kind"), F.col("canon"), F.col("attempt")))
+        return saved(rows.select("kind", "canon", "attempt", surrogate(F.col("kind"), F.col("canon"), F.col("stream")).alias("made")))
+
+    state = made(entities.withColumn("attempt", F.lit(0)))
     for _ in range(ATTEMPTS):
         shared = state.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).where("n > 1")
         real = state.select("kind", F.col("canon").alias("made")).join(state.select("kind", "made").distinct(), ["kind", "made"], "left_semi")
@@ -177,20 +180,22 @@ def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
             return state.where("attempt > 0").select("kind", "canon", "attempt")
         again = (F.col("all") | (F.col("canon") != F.col("stays")))
         moved = state.join(bad, ["kind", "made"], "left").withColumn("attempt", F.col("attempt") + F.coalesce(again, F.lit(False)).cast("int"))
-        state = saved(moved.select("kind", "canon", "attempt", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key).alias("made")))
+        state = made(moved.select("kind", "canon", "attempt"))
     raise ValueError("more entities of a format than it has surrogates")
 
 
 def replace(docs: DataFrame, key: str = KEY, bits: int | None = None) -> DataFrame:
     """doc_id, text (rewritten), n_entities and a count for each type, of docs(doc_id, text)."""
-    hit = F.rlike("t", F.lit(HINT)) & F.rlike("t", F.lit(ANY))
+    hint = F.rlike("t", F.lit(HINT))
+    for own in TITLES.values():
+        for title in own:
+            hint = hint | F.contains("t", F.lit(title))
     none = F.array().cast("array<string>")
     rows = docs.select("doc_id", F.col("text").alias("t"))
-    rows = rows.withColumn("found", F.coalesce(F.when(hit, F.regexp_extract_all("t", F.lit(ANY), F.lit(0))), none))
-    typed = F.transform("found", lambda e: F.struct(e.alias("entity"), type_of(e).alias("kind")))
-    rows = rows.withColumn("found", typed)
-    mentions = rows.where(F.size("found") > 0).select("doc_id", F.xxhash64("t").alias("mark"), F.explode("found").alias("e"))
-    mentions = mentions.select("doc_id", "mark", F.col("e.kind").alias("kind"), canonical(F.col("e.entity"), F.col("e.kind")).alias("canon"))
+    rows = rows.withColumn("found", F.coalesce(F.when(hint, F.regexp_extract_all("t", F.lit(ANY), F.lit(0))), none))
+    rows = rows.withColumn("found", F.transform("found", lambda e: F.struct(e.alias("entity"), type_of(e).alias("kind"))))
+    rows = rows.withColumn("found", F.transform("found", lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), canonical(e["entity"], e["kind"]).alias("canon"))))
+    mentions = rows.select("doc_id", F.xxhash64("t").alias("mark"), F.explode("found").alias("e")).select("doc_id", "mark", "e.kind", "e.canon")
     later = saved(attempts(mentions.select("kind", "canon").distinct(), key))
 
     no_later = F.lit(None).cast("map<string,int>")
@@ -206,13 +211,19 @@ def replace(docs: DataFrame, key: str = KEY, bits: int | None = None) -> DataFra
         ready = marked.where("NOT maybe").select("doc_id", "t", "found").withColumn("later", no_later)
         ready = ready.unionByName(some.select("r.doc_id", "r.t", "r.found", "h.later"))
 
-    def new(e: Column) -> Column:
-        canon = canonical(e["entity"], e["kind"])
-        attempt = F.coalesce(F.get(F.array(F.try_element_at(F.col("later"), F.concat_ws(":", e["kind"], canon))), F.lit(0)), F.lit(0))
-        return formatted(e["entity"], e["kind"], surrogate(e["kind"], canon, attempt, key))
+    def attempt(e: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.col("later"), F.concat_ws(":", e["kind"], e["canon"])), F.lit(0))
 
-    gaps = F.split("t", ANY, -1)
-    woven = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("found")), F.transform("found", new), lambda g, s: F.concat(g, s)), ""), F.element_at(gaps, -1))
+    steps = (  # one after the other, so that none is computed twice
+        lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), e["canon"].alias("canon"), _stream(key, e["kind"], e["canon"], attempt(e)).alias("stream")),
+        lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), surrogate(e["kind"], e["canon"], e["stream"]).alias("made")),
+        lambda e: formatted(e["entity"], e["kind"], e["made"]),
+    )
+    ready = ready.withColumn("new", F.col("found"))
+    for step in steps:
+        ready = ready.withColumn("new", F.transform("new", step))
+    ready = ready.withColumn("gaps", F.when(F.size("found") > 0, F.split("t", ANY, -1)))
+    woven = F.array_join(F.zip_with("gaps", F.col("new"), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     text = F.when(F.size("found") > 0, woven).otherwise(F.col("t"))
 
     def count(k: str) -> Column:
