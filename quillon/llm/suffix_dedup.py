@@ -18,7 +18,7 @@ regions agree, and so which windows of the later one are repeats. A gram with ve
 different regions is split by its windows' own hashes instead.
 
 Defined results: null text counts as empty; a null doc_id comes after all others; of
-rows with the same doc_id, the smaller text hash comes first, and rows that repeat both
+rows with the same doc_id, the smaller 31-bit text hash comes first, and rows that repeat both
 are one document; texts of under MIN bytes lose nothing; an empty table gives no rows;
 further columns are ignored.
 """
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ SEGMENT = 1 << 21
 #: Bits of each bitmap, and buckets for each shuffle partition.
 BITS, BUCKETS = 25, 8
 #: Bytes compared by quicksort before tries take over; regions of a gram beyond which it is split.
-SHALLOW, SPLIT = 32, 256
+SHALLOW, SPLIT = 32, 1024
 WIDE = 104  # regions reach at most MIN bytes from the anchor, padded to whole words
 _PLACE = np.uint64((1 << 24) - 1)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -65,6 +66,13 @@ def gram_hashes(data: bytes) -> np.ndarray:
     return h
 
 
+def spread(hashes: np.ndarray) -> np.ndarray:
+    """One to one. Anchors have small hashes; after this their leading bits are even again."""
+    h = (hashes ^ (hashes >> np.uint64(31))) * _MIX[2]
+    h = (h ^ (h >> np.uint64(29))) * _MIX[1]
+    return h ^ (h >> np.uint64(32))
+
+
 def anchor_runs(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, first window, windows, anchor) of each run; and the gram hash of each run's anchor."""
     span = MIN - GRAM + 1
@@ -90,7 +98,7 @@ def anchor_runs(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     first, count = first[on], count[on]
     at = anchor[first]
     doc = np.searchsorted(starts, first, "right") - 1
-    return doc, first, count, at, hashes[at]
+    return doc, first, count, at, spread(hashes[at])
 
 
 class Chunk:
@@ -104,8 +112,8 @@ class Chunk:
         doc, self.first, self.count, self.anchor, self.gram = anchor_runs(self.data, starts, ends)
         view, reach = self.data, self.first + self.count + MIN - 1
         self.region = np.array([xxhash.xxh64_intdigest(view[a:b]) for a, b in zip(self.first.tolist(), reach.tolist(), strict=True)], dtype=np.uint64)
-        self.key, self.mark = np.array(keys, np.int64)[doc], np.array(marks, np.int64)[doc]
-        self.shift = (np.array(bases, np.int64) - starts)[doc]  # to places in the document
+        self.key, self.offset = np.array(keys, np.int64)[doc], self.anchor - self.first
+        self.place = np.array(marks, np.int64)[doc] << 32 | self.first + (np.array(bases, np.int64) - starts)[doc]
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Chunk]]:
@@ -134,6 +142,14 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _blobs(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
     """Rows sorted by bucket, as one blob a bucket: the columns one after the other."""
     cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -227,66 +243,75 @@ def merged(key: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray
     return key[at], mark[at], start[at], np.maximum.reduceat(reach, at)
 
 
-def _firsts(*by: np.ndarray, key: np.ndarray, mark: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _firsts(gram: np.ndarray, region: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by the hashes and then place; which rows are first of their hashes; which repeat an earlier place."""
-    order = np.lexsort((start, mark, key, *by))
+    order = np.lexsort((place, key, region, gram))
     lead = np.zeros(len(order), bool)
     lead[:1] = True
-    for x in by:
+    for x in (gram, region):
         lead[1:] |= x[order][1:] != x[order][:-1]
     at = np.flatnonzero(lead)
     head = np.repeat(order[at], np.diff(np.append(at, len(order))))
-    itself = (key[order] == key[head]) & (mark[order] == mark[head]) & (start[order] == start[head])
-    return order, lead, ~itself
+    return order, lead, (key[order] != key[head]) | (place[order] != place[head])
+
+
+def _spans(key: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    start = place & 0xFFFFFFFF
+    return key, place >> 32, start, start + size
+
+
+def _windows(c: Chunk, part: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each window of some runs by itself, under its own hashes."""
+    count = c.count[part]
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    part = np.repeat(part, count)
+    whole = [c.data[a : a + MIN] for a in (c.first[part] + step).tolist()]
+    hashes = (np.array([xxhash.xxh64_intdigest(w, seed) for w in whole], dtype=np.uint64) for seed in (1, 2))
+    return *hashes, c.key[part], c.place[part] + step
 
 
 def _dealer(buckets: int, bits: int, shared):
-    """Rows (bucket, kind, blob, bytes): kind 0 repeats for certain, 1 runs, 2 single windows."""
+    """Rows (bucket, kind, blob, bytes): kind 0 repeats for certain, 1 runs, 2 single windows.
+
+    Of runs with equal regions in a batch, only the first goes on.
+    """
 
     def run(batches):
         dup, multi, hot = shared.value
-        turn = 0
-        for own in chunks(batches):
-            rows: list[tuple[int, int, bytes, bytes | None]] = []
-            gone: list[tuple[np.ndarray, ...]] = []
-            for c in own:
+        for turn, own in enumerate(chunks(batches)):
+            runs, windows, rows, gone = [], [], [], []
+            for k, c in enumerate(own):
                 slot = (c.gram >> np.uint64(64 - bits)).astype(np.int64)
                 on = np.flatnonzero(_has(dup, slot))
                 split = _has(hot, slot[on])
-                for part, single in ((on[~split], False), (on[split], True)):
-                    if not len(part):
-                        continue
-                    if single:  # each window by itself, under its own hash
-                        count = c.count[part]
-                        at = np.repeat(c.first[part], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                        part = np.repeat(part, count)
-                        gram = np.array([xxhash.xxh64_intdigest(c.data[a : a + MIN], 1) for a in at.tolist()], dtype=np.uint64)
-                        region, count = np.array([xxhash.xxh64_intdigest(c.data[a : a + MIN], 2) for a in at.tolist()], dtype=np.uint64), np.ones(len(at), np.int64)
-                    else:
-                        at, gram, region, count = c.first[part], c.gram[part], c.region[part], c.count[part]
-                    key, mark, start = c.key[part], c.mark[part], at + c.shift[part]
-                    order, lead, repeat = _firsts(region, gram, key=key, mark=mark, start=start)
-                    gone.append((key[order][repeat], mark[order][repeat], start[order][repeat], (start + count + MIN - 1)[order][repeat]))
-                    keep = order[lead]
-                    bucket = bucket_of(gram[keep], buckets)
-                    columns = [gram[keep], region[keep], key[keep], mark[keep], start[keep]]
-                    if single:
-                        rows += [(b, 2, blob, None) for b, blob in _blobs(bucket, columns)]
-                        continue
-                    needs = _has(multi, (gram[keep] >> np.uint64(64 - bits)).astype(np.int64))
-                    size = np.where(needs, count[keep] + MIN - 1, 0)
-                    packed = count[keep] << 32 | (c.anchor[part] - at)[keep] << 16 | needs
-                    whole = [c.data[a : a + n] for a, n in zip(at[keep].tolist(), size.tolist(), strict=True)]
-                    cuts = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket)).tolist()
-                    a = 0
-                    for (b, blob), stop in zip(_blobs(bucket, [*columns, packed]), cuts, strict=True):
-                        rows.append((b, 1, blob, b"".join(whole[a:stop])))
-                        a = stop
-            if gone:
-                spans = merged(*(np.concatenate(x) for x in zip(*gone, strict=True)))
-                if len(spans[0]):
-                    turn += 1
-                    rows.append(((int(spans[0][0]) * 31 + turn) % buckets, 0, b"".join(x.tobytes() for x in spans), None))
+                p = on[~split]
+                runs.append((c.gram[p], c.region[p], c.key[p], c.place[p], c.count[p], c.offset[p], c.first[p], np.full(len(p), k)))
+                if split.any():
+                    windows.append(_windows(c, on[split]))
+            if windows:
+                gram, region, key, place = (np.concatenate(x) for x in zip(*windows, strict=True))
+                order, lead, repeat = _firsts(gram, region, key, place)
+                gone.append(_spans(key[order[repeat]], place[order[repeat]], MIN))
+                keep = order[lead]
+                rows += [(b, 2, packed(blob), None) for b, blob in _blobs(bucket_of(gram[keep], buckets), [x[keep] for x in (gram, region, key, place)])]
+            gram, region, key, place, count, offset, first, chunk = (np.concatenate(x) for x in zip(*runs, strict=True))
+            order, lead, repeat = _firsts(gram, region, key, place)
+            o = order[repeat]
+            gone.append(_spans(key[o], place[o], count[o] + MIN - 1))
+            keep = order[lead]
+            bucket = bucket_of(gram[keep], buckets)
+            needs = _has(multi, (gram[keep] >> np.uint64(64 - bits)).astype(np.int64))
+            about = count[keep] << 32 | offset[keep] << 16 | needs
+            size = np.where(needs, count[keep] + MIN - 1, 0)
+            text = [own[k].data[a : a + n] if n else b"" for k, a, n in zip(chunk[keep].tolist(), first[keep].tolist(), size.tolist(), strict=True)]
+            a = 0
+            for b, blob in _blobs(bucket, [*(x[keep] for x in (gram, region, key, place)), about]):
+                stop = a + len(blob) // 40
+                rows.append((b, 1, packed(blob), packed(b"".join(text[a:stop]))))
+                a = stop
+            spans = merged(*(np.concatenate(x) for x in zip(*gone, strict=True)))
+            if len(spans[0]):
+                rows.append(((int(spans[0][0]) * 31 + turn) % buckets, 0, packed(b"".join(x.tobytes() for x in spans)), None))
             types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
             columns = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["bucket", "kind", "blob", "bytes"])
@@ -424,36 +449,38 @@ def repeated_windows(group: np.ndarray, regions: list[bytes], offset: np.ndarray
 def _judge(table: pa.Table) -> pa.Table:
     """Repeats in a bucket: key, mark and the interval as start << 32 | end."""
     kind = table["kind"].to_numpy()
-    blobs, extra = table["blob"].to_pylist(), table["bytes"].to_pylist()
-    gone = [tuple(_columns([blobs[i] for i in np.flatnonzero(kind == 0)], "iiii"))]
-    gram, region, key, mark, start = _columns([blobs[i] for i in np.flatnonzero(kind == 2)], "uuiii")
+    blobs, extra = table["blob"], table["bytes"]
+
+    def columns(which: int, kinds: str) -> list[np.ndarray]:
+        return _columns([unpacked(blobs[int(i)].as_py()) for i in np.flatnonzero(kind == which)], kinds)
+
+    gone = [tuple(columns(0, "iiii"))]
+    gram, region, key, place = columns(2, "uuii")
     if len(gram):
-        order, _, repeat = _firsts(region, gram, key=key, mark=mark, start=start)
-        o = order[repeat]
-        gone.append((key[o], mark[o], start[o], start[o] + MIN))
-    own = np.flatnonzero(kind == 1)
-    gram, region, key, mark, start, packed = _columns([blobs[i] for i in own], "uuiiii")
+        order, _, repeat = _firsts(gram, region, key, place)
+        gone.append(_spans(key[order[repeat]], place[order[repeat]], MIN))
+    gram, region, key, place, about = columns(1, "uuiii")
     if len(gram):
-        count, offset, needs = packed >> 32, packed >> 16 & 0xFFFF, packed & 1
-        order, lead, repeat = _firsts(region, gram, key=key, mark=mark, start=start)
+        count, offset, needs = about >> 32, about >> 16 & 0xFFFF, about & 1
+        order, lead, repeat = _firsts(gram, region, key, place)
         o = order[repeat]
-        gone.append((key[o], mark[o], start[o], start[o] + count[o] + MIN - 1))
+        gone.append(_spans(key[o], place[o], count[o] + MIN - 1))
         first = order[lead]
-        size = np.where(needs == 1, count + MIN - 1, 0)
-        end = np.cumsum(size)
-        data = b"".join(extra[i] for i in own)
         first = first[needs[first] == 1]
-        first = first[np.lexsort((start[first], mark[first], key[first], gram[first]))]
+        first = first[np.lexsort((place[first], key[first], gram[first]))]
         g = gram[first]
         same = np.zeros(len(g) + 1, bool)
         same[1:-1] = g[1:] == g[:-1]
         first = first[same[:-1] | same[1:]]
         if len(first):
+            size = np.where(needs == 1, count + MIN - 1, 0)
+            end = np.cumsum(size)
+            data = b"".join(unpacked(extra[int(i)].as_py()) for i in np.flatnonzero(kind == 1))
             group = np.cumsum(np.append(True, gram[first][1:] != gram[first][:-1]))
             regions = [data[e - n : e] for e, n in zip(end[first].tolist(), size[first].tolist(), strict=True)]
             row, a, b = repeated_windows(group, regions, offset[first], count[first])
             o = first[row]
-            gone.append((key[o], mark[o], start[o] + a, start[o] + b + MIN))
+            gone.append(_spans(key[o], place[o] + a, b - a + MIN))
     key, mark, a, b = merged(*(np.concatenate(x) for x in zip(*gone, strict=True)))
     return pa.table({"key": key, "mark": mark, "span": a << 32 | b})
 
@@ -494,7 +521,7 @@ def repeats(docs: DataFrame, bits: int = BITS, split: int = SPLIT) -> DataFrame:
 def remove_repeats(docs: DataFrame, bits: int = BITS, split: int = SPLIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text)."""
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    whole = whole.withColumn("key", F.coalesce("doc_id", F.lit(LAST))).withColumn("mark", F.xxhash64("text"))
+    whole = whole.withColumn("key", F.coalesce("doc_id", F.lit(LAST))).withColumn("mark", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)))
     found = saved(repeats(whole, bits, split))
     marked = with_maybe(whole, bitmap(found, "mark"), "mark", "maybe")
     size = F.octet_length("text").cast("long")
