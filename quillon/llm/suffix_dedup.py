@@ -14,8 +14,12 @@ fall to the first of them, already in the map task. Where the regions of a gram
 the suffixes from the anchors on are sorted, multikey quicksort over 8-byte characters to
 a shallow depth, and blind tries order the groups that still agree; the reversed prefixes
 before the anchors likewise. Common prefixes of sorted neighbours tell how far any two
-regions agree, and so which windows of the later one are repeats. A gram with very many
-different regions is split by its windows' own hashes instead.
+regions agree, and so which windows of the later one are repeats. For a gram with many
+different regions, windows are looked up by their own hashes instead; for one with very
+many, they are also dealt by these, so that no bucket holds all of a gram.
+
+A full bitmap costs speed, not results: with more repeated grams than bits, pass 2 deals
+all runs, with their regions, rather than those that may be repeats.
 
 Defined results: null text counts as empty; a null doc_id comes after all others; of
 rows with the same doc_id, the smaller 31-bit text hash comes first, and rows that repeat both
@@ -40,10 +44,12 @@ from quillon.llm.common import bitmap, saved, text_of, with_maybe
 MIN, GRAM = 100, 24
 #: Windows handled at once; bytes of a longer document are handled in overlapping segments.
 SEGMENT = 1 << 21
-#: Bits of each bitmap, and buckets for each shuffle partition.
-BITS, BUCKETS = 25, 8
-#: Bytes compared by quicksort before tries take over; regions of a gram beyond which it is split.
-SHALLOW, SPLIT = 32, 1024
+#: Least and most bits of a bitmap, as powers of 2 (the largest has 32 MB), and buckets for each shuffle partition.
+BITS, BUCKETS = (20, 28), 8
+#: Bytes compared by quicksort before tries take over.
+SHALLOW = 32
+#: Regions of a gram up to which any two are compared; and beyond which its windows are dealt one by one.
+PAIRS, SPLIT = 1024, 32768
 WIDE = 104  # regions reach at most MIN bytes from the anchor, padded to whole words
 _PLACE = np.uint64((1 << 24) - 1)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -419,6 +425,18 @@ def _agreement(order: np.ndarray, lcp: np.ndarray, a: int, m: int, base: int) ->
     return out
 
 
+def _looked_up(regions: list[bytes], count: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As repeated_windows, for one group: every window whose hashes an earlier region has."""
+    row = np.repeat(np.arange(len(regions)), count)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    both = [np.fromiter((xxhash.xxh64_intdigest(r[k : k + MIN], seed) for r, n in zip(regions, count.tolist(), strict=True) for k in range(n)), np.uint64, len(row)) for seed in (1, 2)]
+    order = np.lexsort((row, *both))
+    same = np.zeros(len(order), bool)
+    same[1:] = (both[0][order][1:] == both[0][order][:-1]) & (both[1][order][1:] == both[1][order][:-1])
+    o = order[same]
+    return row[o] + base, step[o], step[o]
+
+
 def repeated_windows(group: np.ndarray, regions: list[bytes], offset: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first window, last window) that an earlier row of the group also has; rows sorted by group and then place."""
     n = len(group)
@@ -429,7 +447,7 @@ def repeated_windows(group: np.ndarray, regions: list[bytes], offset: np.ndarray
     longest = np.array([len(r) for r in regions], np.int64) - offset
     at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     size = np.diff(np.append(at, n))
-    out: list[tuple[np.ndarray, ...]] = []
+    out: list[tuple[np.ndarray, ...]] = [(at[:0], at[:0], at[:0])]
 
     def judge(later, earlier, r, lf):
         r = np.minimum(r, np.minimum(longest[later], longest[earlier]))
@@ -441,6 +459,9 @@ def repeated_windows(group: np.ndarray, regions: list[bytes], offset: np.ndarray
     two = at[size == 2]
     judge(two + 1, two, far[two + 1], near[two + 1])
     for a, m in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        if m > PAIRS:
+            out.append(_looked_up(regions[a : a + m], count[a : a + m], a))
+            continue
         later, earlier = np.tril_indices(m, -1)
         judge(later + a, earlier + a, _agreement(ahead, far, a, m, a)[later, earlier], _agreement(back, near, a, m, a)[later, earlier])
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -507,10 +528,11 @@ def _cut_out(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeats(docs: DataFrame, bits: int = BITS, split: int = SPLIT) -> DataFrame:
+def repeats(docs: DataFrame, bits: int | None = None, split: int = SPLIT) -> DataFrame:
     """key, mark, spans (array of start << 32 | end in bytes) of each document that has repeats."""
     spark = docs.sparkSession
     buckets = max(64, BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bits = min(max((buckets << 16).bit_length(), BITS[0]), BITS[1]) if bits is None else bits
     rows = docs.select("key", "mark", "text")
     shared = spark.sparkContext.broadcast(marked_grams(rows, buckets, bits, split))
     dealt = rows.mapInArrow(_dealer(buckets, bits, shared), "bucket long, kind int, blob binary, bytes binary")
@@ -518,7 +540,7 @@ def repeats(docs: DataFrame, bits: int = BITS, split: int = SPLIT) -> DataFrame:
     return found.groupBy("key", "mark").agg(F.collect_list("span").alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, bits: int = BITS, split: int = SPLIT) -> DataFrame:
+def remove_repeats(docs: DataFrame, bits: int | None = None, split: int = SPLIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text)."""
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     whole = whole.withColumn("key", F.coalesce("doc_id", F.lit(LAST))).withColumn("mark", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)))

@@ -102,8 +102,9 @@ def corpus(seed, n=120):
 
 
 @pytest.mark.parametrize("seed", range(6))
-@pytest.mark.parametrize("split", [256, 3])
-def test_tasks_match_brute_force(seed, split):
+@pytest.mark.parametrize("split,pairs", [(256, 256), (3, 256), (256, 3)])
+def test_tasks_match_brute_force(seed, split, pairs, monkeypatch):
+    monkeypatch.setattr(sd, "PAIRS", pairs)
     docs = corpus(seed)
     assert local(docs, split=split) == brute(docs)
 
