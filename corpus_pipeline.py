@@ -41,14 +41,26 @@ STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near),
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table. What is between them lies in the folder of spark.checkpoint.dir."""
+    """All stages over the whole table. What is between them lies in the folder of spark.checkpoint.dir.
+
+    A stage's table goes when the next one is written; the last before packing, the training corpus, stays.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quillon-")
-    docs = documents(spark, sf_dir)
+    root = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, last = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
+            path = f"{root}/{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if last:
+                _remove(spark, last)
+            last = path
     return docs
