@@ -42,10 +42,12 @@ from pyspark.sql import functions as F
 from quillon.llm.common import bitmap, saved, text_of, with_maybe
 
 MIN, GRAM = 100, 24
-#: Windows handled at once; bytes of a longer document are handled in overlapping segments.
-SEGMENT = 1 << 21
-#: Least and most bits of a bitmap, as powers of 2 (the largest has 32 MB), and buckets for each shuffle partition.
+#: Windows handled at once, of a longer document in overlapping segments; and about so many bytes dealt together.
+SEGMENT, TOGETHER = 1 << 20, 1 << 24
+#: Least and most bits of the largest bitmap, as powers of 2 (32 MB), and buckets for each shuffle partition.
 BITS, BUCKETS = (20, 28), 8
+#: Grams with several regions are fewer, and those with very many are few: their bitmaps have fewer bits by these powers.
+FEWER = (0, 2, 5)
 #: Bytes compared by quicksort before tries take over.
 SHALLOW = 32
 #: Regions of a gram up to which any two are compared; and beyond which its windows are dealt one by one.
@@ -123,25 +125,33 @@ class Chunk:
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Chunk]]:
-    """Chunks of each batch; documents too short for a window are left out, long ones segmented."""
+    """Chunks, some together; documents too short for a window are left out, long ones segmented."""
+    out, texts, bases, keys, marks, size = [], [], [], [], [], 0
+
+    def close() -> None:
+        nonlocal texts, bases, keys, marks, size
+        out.append(Chunk(texts, bases, keys, marks))
+        texts, bases, keys, marks, size = [], [], [], [], 0
+
     for batch in batches:
-        out, texts, bases, keys, marks, size = [], [], [], [], [], 0
         for key, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             data = text.as_buffer().to_pybytes()
             for base in range(0, max(len(data) - MIN + 1, 0), SEGMENT):
                 part = data[base : base + SEGMENT + MIN - 1]
                 if texts and size + len(part) > SEGMENT + MIN:
-                    out.append(Chunk(texts, bases, keys, marks))
-                    texts, bases, keys, marks, size = [], [], [], [], 0
+                    close()
+                    if len(out) * SEGMENT >= TOGETHER:
+                        yield out
+                        out = []
                 texts.append(part)
                 bases.append(base)
                 keys.append(key)
                 marks.append(mark)
                 size += len(part)
-        if texts:
-            out.append(Chunk(texts, bases, keys, marks))
-        if out:
-            yield out
+    if texts:
+        close()
+    if out:
+        yield out
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -200,33 +210,33 @@ def _marker(bits: int, split: int):
         other = np.append(True, (region[1:] != region[:-1]) | new[1:])
         at = np.flatnonzero(new)
         runs, kinds = np.diff(np.append(at, len(gram))), np.add.reduceat(other.astype(np.int64), at)
-        slot = (gram[at] >> np.uint64(64 - bits)).astype(np.int64)
-        base = int(slot[0]) & ~7
         out = []
-        for on in (runs > 1, kinds > 1, kinds > split):
+        for less, on in zip(FEWER, (runs > 1, kinds > 1, kinds > split), strict=True):
+            slot = (gram[at] >> np.uint64(64 - bits + less)).astype(np.int64)
+            base = int(slot[0]) & ~7
             flags = np.zeros((int(slot[-1]) - base) // 8 * 8 + 8, bool)
             flags[slot[on] - base] = True
-            out.append(np.packbits(flags, bitorder="little").tobytes())
-        return pa.table({"base": pa.array([base // 8], pa.int64()), **{n: pa.array([b], pa.binary()) for n, b in zip(("dup", "multi", "hot"), out, strict=True)}})
+            out.append((base // 8, np.packbits(flags, bitorder="little").tobytes()))
+        return pa.table({"which": pa.array(range(len(out)), pa.int32()), "base": pa.array([b for b, _ in out], pa.int64()), "bits": pa.array([x for _, x in out], pa.binary())})
 
     return run
 
 
-def marked_grams(rows: DataFrame, buckets: int, bits: int, split: int) -> np.ndarray:
+def marked_grams(rows: DataFrame, buckets: int, bits: int, split: int) -> list[np.ndarray]:
     """Three bitmaps over the grams' leading bits: several runs, several regions, more than `split` regions.
 
     Their size is fixed by `bits`; each bucket gives its own stretch of them.
     """
-    found = rows.mapInArrow(_pairs(buckets), "bucket long, blob binary").groupBy("bucket").applyInArrow(_marker(bits, split), "base long, dup binary, multi binary, hot binary")
-    out = np.zeros((3, (1 << bits) // 8), np.uint8)
+    found = rows.mapInArrow(_pairs(buckets), "bucket long, blob binary").groupBy("bucket").applyInArrow(_marker(bits, split), "which int, base long, bits binary")
+    out = [np.zeros((1 << bits - less) // 8, np.uint8) for less in FEWER]
     for r in found.collect():
-        for k, name in enumerate(("dup", "multi", "hot")):
-            piece = np.frombuffer(r[name], np.uint8)
-            out[k, r["base"] : r["base"] + len(piece)] |= piece
+        piece = np.frombuffer(r["bits"], np.uint8)
+        out[r["which"]][r["base"] : r["base"] + len(piece)] |= piece
     return out
 
 
-def _has(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+def _has(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    slot = (gram >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)).astype(np.int64)
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -276,7 +286,7 @@ def _windows(c: Chunk, part: np.ndarray) -> tuple[np.ndarray, ...]:
     return *hashes, c.key[part], c.place[part] + step
 
 
-def _dealer(buckets: int, bits: int, shared):
+def _dealer(buckets: int, shared):
     """Rows (bucket, kind, blob, bytes): kind 0 repeats for certain, 1 runs, 2 single windows.
 
     Of runs with equal regions in a batch, only the first goes on.
@@ -287,9 +297,8 @@ def _dealer(buckets: int, bits: int, shared):
         for turn, own in enumerate(chunks(batches)):
             runs, windows, rows, gone = [], [], [], []
             for k, c in enumerate(own):
-                slot = (c.gram >> np.uint64(64 - bits)).astype(np.int64)
-                on = np.flatnonzero(_has(dup, slot))
-                split = _has(hot, slot[on])
+                on = np.flatnonzero(_has(dup, c.gram))
+                split = _has(hot, c.gram[on])
                 p = on[~split]
                 runs.append((c.gram[p], c.region[p], c.key[p], c.place[p], c.count[p], c.offset[p], c.first[p], np.full(len(p), k)))
                 if split.any():
@@ -306,14 +315,14 @@ def _dealer(buckets: int, bits: int, shared):
             gone.append(_spans(key[o], place[o], count[o] + MIN - 1))
             keep = order[lead]
             bucket = bucket_of(gram[keep], buckets)
-            needs = _has(multi, (gram[keep] >> np.uint64(64 - bits)).astype(np.int64))
+            needs = _has(multi, gram[keep])
             about = count[keep] << 32 | offset[keep] << 16 | needs
             size = np.where(needs, count[keep] + MIN - 1, 0)
-            text = [own[k].data[a : a + n] if n else b"" for k, a, n in zip(chunk[keep].tolist(), first[keep].tolist(), size.tolist(), strict=True)]
-            a = 0
+            chunk, first, a = chunk[keep], first[keep], 0
             for b, blob in _blobs(bucket, [*(x[keep] for x in (gram, region, key, place)), about]):
                 stop = a + len(blob) // 40
-                rows.append((b, 1, packed(blob), packed(b"".join(text[a:stop]))))
+                text = b"".join(own[k].data[i : i + n] for k, i, n in zip(chunk[a:stop].tolist(), first[a:stop].tolist(), size[a:stop].tolist(), strict=True))
+                rows.append((b, 1, packed(blob), packed(text)))
                 a = stop
             spans = merged(*(np.concatenate(x) for x in zip(*gone, strict=True)))
             if len(spans[0]):
@@ -532,10 +541,10 @@ def repeats(docs: DataFrame, bits: int | None = None, split: int = SPLIT) -> Dat
     """key, mark, spans (array of start << 32 | end in bytes) of each document that has repeats."""
     spark = docs.sparkSession
     buckets = max(64, BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bits = min(max((buckets << 16).bit_length(), BITS[0]), BITS[1]) if bits is None else bits
+    bits = min(max((buckets << 15).bit_length(), BITS[0]), BITS[1]) if bits is None else bits
     rows = docs.select("key", "mark", "text")
     shared = spark.sparkContext.broadcast(marked_grams(rows, buckets, bits, split))
-    dealt = rows.mapInArrow(_dealer(buckets, bits, shared), "bucket long, kind int, blob binary, bytes binary")
+    dealt = rows.mapInArrow(_dealer(buckets, shared), "bucket long, kind int, blob binary, bytes binary")
     found = dealt.groupBy("bucket").applyInArrow(_judge, "key long, mark long, span long")
     return found.groupBy("key", "mark").agg(F.collect_list("span").alias("spans"))
 

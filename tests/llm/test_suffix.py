@@ -42,24 +42,23 @@ def local(docs, bits=16, split=256, buckets=8, batch=50):
         data = (t or "").encode()
         rows.append((sd.LAST if i is None else i, xxhash.xxh64_intdigest(data, 42) & 0x7FFFFFFF, t or ""))
     batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + batch]), (pa.int64(), pa.int64(), pa.string()))], names=["key", "mark", "text"]) for k in range(0, len(rows), batch)]
-    marks = np.zeros((3, (1 << bits) // 8), np.uint8)
+    marks = [np.zeros((1 << bits - less) // 8, np.uint8) for less in sd.FEWER]
     tables = defaultdict(list)
     for b in batches:
         for r in sd._pairs(buckets)(iter([b])):
             for x in r.to_pylist():
                 tables[x["bucket"]].append(x)
     for own in tables.values():
-        r = sd._marker(bits, split)(pa.Table.from_pylist(own)).to_pylist()[0]
-        for k, n in enumerate(("dup", "multi", "hot")):
-            piece = np.frombuffer(r[n], np.uint8)
-            marks[k, r["base"] : r["base"] + len(piece)] |= piece
+        for r in sd._marker(bits, split)(pa.Table.from_pylist(own)).to_pylist():
+            piece = np.frombuffer(r["bits"], np.uint8)
+            marks[r["which"]][r["base"] : r["base"] + len(piece)] |= piece
 
     class Shared:
         value = marks
 
     tables = defaultdict(list)
     for b in batches:
-        for r in sd._dealer(buckets, bits, Shared)(iter([b])):
+        for r in sd._dealer(buckets, Shared)(iter([b])):
             for x in r.to_pylist():
                 tables[x["bucket"]].append(x)
     spans = defaultdict(list)
@@ -111,6 +110,7 @@ def test_tasks_match_brute_force(seed, split, pairs, monkeypatch):
 
 def test_long_documents(monkeypatch):
     monkeypatch.setattr(sd, "SEGMENT", 700)
+    monkeypatch.setattr(sd, "TOGETHER", 3000)
     docs = corpus(9, 40) + [(2000 + i, " ".join(t for _, t in corpus(i, 25))) for i in range(3)]
     assert local(docs) == brute(docs)
 
