@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,10 @@ from quillon.llm.common import saved
 #: Bounds of the model, see above; languages below one in LANGS of the sample are not learned.
 TRAIN_DOCS, WORDS, GRAMS, LANGS = 20_000, 50_000, 20_000, 1000
 LENGTHS = (5, 4, 3, 2, 1)
-#: Words after which the score takes a text to be long, and words kept at hand by a worker.
-LONG, MEMO = 20, 200_000
+#: Words after which the score takes a text to be long.
+LONG = 20
+#: Unseen words that a worker keeps at hand, cells of their table, and unseen words looked up at once.
+MEMO, MEMO_CELLS, BATCH = 200_000, 4_000_000, 20_000
 LETTERS = re.compile(r"[^\W\d_]+")
 HELD_OUT, FOLDS = 2, 4
 UNKNOWN = "und"
@@ -72,59 +74,88 @@ def _counted(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "kind", "item", "n"])
 
 
-@dataclass
 class Model:
-    langs: list[str]
-    words: dict[str, int]
-    grams: dict[int, dict[str, int]]
-    logs: dict[int, np.ndarray]  # by kind: a row for each item, a column for each language
-    memo: dict[str, tuple[int, list[int]]] = field(default_factory=dict)
-
-    def unseen(self, word: str) -> tuple[int, list[int]]:
-        """The longest length of which n-grams of the word are known, and their rows; (0, []) if none is."""
-        found = 0, []
+    """Log frequencies of items in each language, and the texts' languages by them."""
+
+    def __init__(self, langs: list[str], words: dict[str, int], gram_rows: dict[int, dict[str, int]], logs: dict[int, np.ndarray]):
+        """words and gram_rows give rows of logs, which has a table for words (0) and each length."""
+        self.langs, self.words, self.grams, self.logs = langs, words, gram_rows, logs
+        self.ready = False
+
+    def __getstate__(self):
+        return {k: self.__dict__[k] for k in ("langs", "words", "grams", "logs")} | {"ready": False}
+
+    def prepare(self) -> None:
+        """One table of all words: those learned, then unseen ones as they come up, as far as there is room."""
+        self.known = len(self.words)
+        room = min(MEMO, max(1000, MEMO_CELLS // max(1, len(self.langs))))
+        self.table = np.zeros((self.known + room, len(self.langs)))
+        self.table[: self.known] = self.logs[0]
+        self.at, self.used = dict(self.words), self.known
+        base, offset, parts = 0, {}, []
         for n in LENGTHS:
-            table = self.grams[n]
-            at = [table[g] for g in grams(word, n) if g in table]
-            if at:
-                found = n, at
-                break
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[word] = found
-        return found
+            offset[n], base = base, base + len(self.logs[n])
+            parts.append(self.logs[n])
+        self.gram_table = np.concatenate([*parts, np.zeros((1, len(self.langs)))])
+        self.gram_at = [(n, {g: offset[n] + i for g, i in self.grams[n].items()}) for n in LENGTHS]
+        self.nothing, self.ready = base, True
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """A row for each word: the mean of its known n-grams of the longest length that has any, or NaN."""
+        flat, sizes = [], []
+        for w in words:
+            rows = [self.nothing]
+            for n, at in self.gram_at:
+                if found := [at[g] for g in grams(w, n) if g in at]:
+                    rows = found
+                    break
+            flat += rows
+            sizes.append(len(rows))
+        flat, sizes = np.array(flat), np.array(sizes)
+        starts = np.cumsum(sizes) - sizes
+        out = np.add.reduceat(self.gram_table[flat], starts, axis=0) / sizes[:, None]
+        out[flat[starts] == self.nothing] = np.nan
+        if self.used + len(words) > len(self.table):  # no room: forget the unseen words of before
+            self.at, self.used = dict(self.words), self.known
+        keep = words[: len(self.table) - self.used]
+        self.table[self.used : self.used + len(keep)] = out[: len(keep)]
+        self.at.update(zip(keep, range(self.used, self.used + len(keep)), strict=True))
+        self.used += len(keep)
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        if not self.ready:
+            self.prepare()
         counts = Counter(words_of(text or ""))
         if not self.langs or not any(c.isalpha() for w in counts for c in w):
             return UNKNOWN, 0.0
-        rows: dict[int, list[int]] = {k: [] for k in self.logs}
-        shares: dict[int, list[float]] = {k: [] for k in self.logs}
-        weight, words, memo = 0, self.words, self.memo
-        known, times = rows[0], shares[0]
-        for w, n in counts.items():
-            i = words.get(w)
-            if i is not None:
-                known.append(i)
-                times.append(n)
-                weight += n
-                continue
-            size, at = memo.get(w) or self.unseen(w)
-            if at:
-                rows[size] += at
-                shares[size] += [n / len(at)] * len(at)
-                weight += n
+        n = len(counts)
+        rows = np.fromiter(map(self.at.get, counts, repeat(-1)), np.int64, n)
+        times = np.fromiter(counts.values(), np.float64, n)
+        weight, total = 0.0, np.zeros(len(self.langs))
+
+        def add(vectors: np.ndarray, times: np.ndarray) -> None:
+            nonlocal weight, total
+            on = ~np.isnan(vectors[:, 0])
+            weight += times[on].sum()
+            total = total + times[on] @ vectors[on]
+
+        new = np.flatnonzero(rows < 0)
+        if len(new) < n:
+            old = rows >= 0
+            add(self.table[rows[old]], times[old])
+        if len(new):
+            words = list(counts)
+            for k in range(0, len(new), BATCH):
+                some = new[k : k + BATCH]
+                add(self.unseen([words[i] for i in some.tolist()]), times[some])
         if not weight:
             return self.langs[0], 1 / len(self.langs)
-        total = sum(np.array(shares[k]) @ self.logs[k][rows[k]] for k in rows if rows[k])
         mean = total / weight * min(weight, LONG)
         p = np.exp(mean - mean.max())
         best = int(np.argmax(p))
         return self.langs[best], float(p[best] / p.sum())
 
-    def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
-
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most_docs: int = TRAIN_DOCS, most_words: int = WORDS, most_grams: int = GRAMS) -> Model:
     """Fit on the labelled rows of docs. What reaches the driver is bounded by most_words and most_grams."""
