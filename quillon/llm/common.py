@@ -56,10 +56,10 @@ def _slot(key: Column, bits: int) -> Column:
 def bitmap(keys: DataFrame, column: str, bits: int | None = None) -> tuple[DataFrame, int]:
     """Membership bits of a saved table's keys, at most 2^(bits-15) rows of 4 KB, and `bits`.
 
-    Unless given, there are about eight bits a key, within BITS, however many keys there are.
+    Unless given, there are about 32 bits a key, within BITS, however many keys there are.
     """
     if bits is None:
-        bits = min(max((8 * keys.count()).bit_length(), BITS[0]), BITS[1])
+        bits = min(max((32 * keys.count()).bit_length(), BITS[0]), BITS[1])
     slot = _slot(F.col(column), bits)
     marks = keys.select(F.shiftright(slot, 15).alias("_chunk"), slot.bitwiseAND(F.lit(32767)).alias("_bit"))
     return saved(marks.groupBy("_chunk").agg(F.bitmap_construct_agg("_bit").alias("_bits"))), bits
