@@ -147,6 +147,7 @@ class Renderer:
         self.tables: list[Table] = []
         self.lists: list[list] = []
         self.unseen = self.pre = 0
+        self.folded: list[int] = []
 
     def opened(self, name: str, attrs: dict[str, str]) -> dict:
         """State that closed() needs."""
@@ -154,6 +155,15 @@ class Renderer:
         if name in UNSEEN or "hidden" in attrs or HIDING.search(attrs.get("style", "")):
             self.unseen += 1
             state["unseen"] = True
+        elif name == "details" and "open" not in attrs:  # folded: only its summary shows
+            if not self.unseen:
+                self.flows[-1].block(1)
+            self.unseen += 1
+            self.folded.append(self.unseen)
+            state["unseen"] = state["folded"] = True
+        elif name == "summary" and self.folded and self.unseen == self.folded[-1]:
+            self.unseen -= 1
+            state["summary"] = True
         if self.unseen:
             return state
         flow = self.flows[-1]
@@ -200,8 +210,11 @@ class Renderer:
         name = state["name"]
         if "unseen" in state:
             self.unseen -= 1
+            if "folded" in state:
+                self.folded.pop()
             return
         if self.unseen:
+            self.unseen += "summary" in state
             return
         if "span" in state:
             cell = self.flows.pop().get().split("\n")
@@ -229,6 +242,8 @@ class Renderer:
                 flow.block(2)
         if name in BLOCKS:
             flow.block(2 if name in SPACED else 1)
+        if "summary" in state:
+            self.unseen += 1
 
     def text(self, s: str) -> None:
         if not self.unseen:

@@ -218,6 +218,7 @@ PAGES = [
     ("<h1>H</h2>t<blockquote>q<br>r</blockquote>u", "H\n\nt\n\n  q\n  r\n\nu"),
     ("<table><tr><td>a<table><tr><td>in<td>ner</table>b<td colspan=2>c<tr><td>d<td>e<td>f</table>", "a        c\n\nin  ner\n\nb\nd        e  f"),
     ("<td>loose</td></table></p>x<dl><dt>t<dd>d</dl>", "loose\n\nx\n\nt\n  d"),
+    ("a<details><summary>S</summary>no<details><summary>T</summary>no</details></details>b<details open><summary>U</summary>yes</details>c", "a\nS\nb\nU\nyes\nc"),
     ("", ""), ("<p", ""), ("a<", "a<"), (None, None), ("<p>café&nbsp;x</P >y", "café\xa0x\n\ny"),
 ]
 
