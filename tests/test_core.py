@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,31 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.case_id: r["pass"] for r in spark.table("checked").collect()} == {0: True, 1: False}
+
+
+def test_properties(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(0, 0.5, 16).astype(np.float32).tolist(), rng.normal(0, 0.5, 16).astype(np.float32).tolist()) for i in range(300)]
+    df = S.cases(spark, rows)
+    scale, zero_point, lo, hi = 1 / 64, 5, -40, 50
+    for r in O.qdq(df, scale, zero_point, lo, hi, "input").collect():
+        for x, q, dq in zip(r.input, r.q, r.dq):
+            low, high = (lo - zero_point) * scale, (hi - zero_point) * scale
+            assert lo <= q <= hi
+            assert abs(dq - x) <= scale / 2 + 1e-12 if low <= x <= high else abs(abs(dq - x) - max(low - x, x - high)) <= scale / 2 + 1e-12
+    eye = [[float(i == j) for j in range(16)] for i in range(16)]
+    assert all(r.y == r.input for r in O.matmul(df, eye, "input").collect())
+    same = O.tolerance_check(df, "input", "input").select("max_error", "pass").distinct().collect()
+    assert [tuple(r) for r in same] == [(0.0, True)]
+    differ = O.tolerance_check(df, "input", "expected").collect()
+    assert all(math.isclose(r.max_error, max(abs(a - b) for a, b in zip(r.input, r.expected)), rel_tol=1e-6) and r.max_error > 0 for r in differ)
+
+
+def test_vectors_of_other_lengths(spark):
+    df = S.cases(spark, [(0, [1.0, 2.0], None), (1, [1.0], None), (2, None, None), (3, [], None)])
+    got = {r.case_id: r.y for r in O.matmul(df, [[1.0, 0.5], [0.0, 2.0]], "input").collect()}
+    assert got == {0: [1.0, 4.5], 1: None, 2: None, 3: None}
+    with pytest.raises(ValueError):
+        O.matmul(df, [[0.0] * 300] * 300, "input")
+    assert O.pick_output(df, 1).columns == ["input"] and O.typed(df.select("case_id"), "case_id long").count() == 4
+    assert O.compiled(df) >= 0 and S.setting(spark, "spark.master").startswith("local") and S.setting(spark, "no.such", "x") == "x"
