@@ -15,9 +15,11 @@ further columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,25 +42,33 @@ class Ids:
 
     def __init__(self, name: str):
         import public_tokenizers as P
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(P.path(name))
-        self.fast, self.special = None, re.compile("|".join(re.escape(t.content) for t in self.slow.get_added_tokens_decoder().values()) or r"(?!)")
+        self.path, self.fast = P.path(name), None
+        with open(self.path, encoding="utf-8") as f:
+            added = [t["content"] for t in json.load(f).get("added_tokens") or []]
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         try:
             import tiktoken
 
-            lines = open(P.path(name.replace(".json", ".tiktoken")), "rb")  # noqa: SIM115
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            with open(P.path(name.replace(".json", ".tiktoken")), "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
         except (ImportError, OSError, KeyError):
             pass
 
+    @cached_property
+    def slow(self):
+        """The tokenizer itself, loaded when it is needed."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> list[int]:
         if self.fast and not self.special.search(text):
             try:
                 return self.fast.encode_ordinary(text)
-            except (ValueError, RuntimeError, BaseException) as e:  # the pattern's own limits on extreme texts
-                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+            except BaseException as e:  # extreme texts pass the pattern's limits, which some versions tell by a panic
+                if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError)):
                     raise
         return self.slow.encode(text, add_special_tokens=False).ids
 
