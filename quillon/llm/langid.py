@@ -5,9 +5,13 @@ to its character n-grams (with word ends marked), the longest length first; the
 length of which some n-gram is known decides, with the mean log frequency of those.
 
 The model is fitted on about TRAIN_DOCS labelled documents, taken by a hash of the id,
-and whole texts of those. A word or n-gram is kept if its share of its language's tokens
-is at least one in WORDS (n-grams: GRAMS, for each length), so the model's size has a
-bound that does not grow with the data; prediction reads every whole text.
+and whole texts of those. The sample is bounded for each language: the rarest give all
+their documents, the others equally many, LEAST_DOCS at least, so every label is learned.
+A word or n-gram is kept if its share of its language's tokens is at least one in WORDS
+(n-grams: GRAMS, for each length); where languages are so many that a table would have
+more than CELLS cells, only those of the largest shares are. So the model's size has a
+bound that does not grow with the data; prediction reads every whole text. What a language
+was not seen to have gets the same share in all of them, however small their samples are.
 
 Defined results: null texts and texts without a letter are 'und' with score 0; texts of
 which nothing is known get the first language by name with score 1 / languages; without
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import saved
 
-#: Bounds of the model, see above; languages below one in LANGS of the sample are not learned.
-TRAIN_DOCS, WORDS, GRAMS, LANGS = 20_000, 50_000, 20_000, 1000
+#: Bounds of the model, see above.
+TRAIN_DOCS, LEAST_DOCS, WORDS, GRAMS, CELLS = 20_000, 100, 50_000, 20_000, 2_000_000
 LENGTHS = (5, 4, 3, 2, 1)
 #: Words after which the score takes a text to be long.
 LONG = 20
@@ -157,22 +161,37 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most_docs: int = TRAIN_DOCS, most_words: int = WORDS, most_grams: int = GRAMS) -> Model:
-    """Fit on the labelled rows of docs. What reaches the driver is bounded by most_words and most_grams."""
+def quota(sizes: list[int], most: int, least: int = LEAST_DOCS) -> int:
+    """The most documents of a language, so that about `most` are taken of all, or `least` of each."""
+    left, own = most, 0
+    for k, n in enumerate(sorted(sizes)):
+        own = left // (len(sizes) - k)
+        if n > own:
+            return max(own, least)
+        left -= n
+    return max([own, least, *sizes])
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most_docs: int = TRAIN_DOCS, most_words: int = WORDS, most_grams: int = GRAMS, most_cells: int = CELLS) -> Model:
+    """Fit on the labelled rows of docs. What reaches the driver is bounded by most_words, most_grams and most_cells."""
     labelled = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
-    n = labelled.count()
-    if n > most_docs:
-        labelled = labelled.where(F.pmod(F.xxhash64("i"), F.lit(1 << 40)) < F.lit(int((1 << 40) * most_docs / n)))
-    counts = labelled.select("t", "l").mapInArrow(_counted, "lang string, kind int, item string, n long")
+    place = F.pmod(F.xxhash64("i"), F.lit(1 << 40))
+    sizes = saved(labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")))
+    most = quota([r["n"] for r in sizes.select("n").collect()], most_docs)
+    share = sizes.select("l", F.when(F.col("n") > most, F.greatest(F.col("first") + 1, F.floor(F.lit(float(1 << 40)) * most / F.col("n")))).alias("end"))
+    sample = labelled.join(F.broadcast(share), "l").where(F.col("end").isNull() | (place < F.col("end")))
+    counts = sample.select("t", "l").mapInArrow(_counted, "lang string, kind int, item string, n long")
     counts = saved(counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
     sums = counts.groupBy("lang", "kind").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("different"))
-    seen = counts.where("kind = -1").agg(F.sum("n")).first()[0] or 0
-    learned = sums.where((F.col("kind") == -1) & (F.col("all") * LANGS >= seen)).select("lang")
-    totals = {(r["lang"], r["kind"]): (r["all"], r["different"]) for r in sums.join(F.broadcast(learned), "lang").collect()}
+    totals = {(r["lang"], r["kind"]): (r["all"], r["different"]) for r in sums.collect()}
     langs = sorted({k[0] for k in totals})
     bound = F.when(F.col("kind") == 0, F.lit(most_words)).otherwise(F.lit(most_grams))
-    kept = counts.where("kind >= 0").join(F.broadcast(sums.join(learned, "lang")), ["lang", "kind"]).where(F.col("n") * bound >= F.col("all"))
-    names = kept.select("kind", "item").distinct()
+    kept = counts.where("kind >= 0").join(F.broadcast(sums), ["lang", "kind"]).where(F.col("n") * bound >= F.col("all"))
+    names = saved(kept.groupBy("kind", "item").agg(F.max(F.col("n") / F.col("all")).alias("share")))
+    most_items = max(1, most_cells // max(1, len(langs)))
+    for r in names.groupBy("kind").count().where(F.col("count") > most_items).collect():
+        some = names.where(F.col("kind") == r["kind"]).orderBy(F.desc("share"), "item").limit(most_items)
+        names = names.where(F.col("kind") != r["kind"]).unionByName(some)
     rows = counts.join(names, ["kind", "item"]).select("lang", "kind", "item", "n").toArrow().to_pydict() if langs else {"lang": [], "kind": [], "item": [], "n": []}
     index: dict[int, dict[str, int]] = {k: {} for k in (0, *LENGTHS)}
     for k, item in sorted(set(zip(rows["kind"], rows["item"], strict=True))):
@@ -180,12 +199,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     column = {name: i for i, name in enumerate(langs)}
     tables = {k: np.zeros((len(index[k]), len(langs))) for k in index}
     for name, k, item, c in zip(rows["lang"], rows["kind"], rows["item"], rows["n"], strict=True):
-        if name in column:
-            tables[k][index[k][item], column[name]] = c
+        tables[k][index[k][item], column[name]] = c
     for k, t in tables.items():
         whole = np.array([totals.get((name, k), (0, 0))[0] for name in langs], dtype=float)
         kinds = max([1, *(totals.get((name, k), (0, 0))[1] for name in langs)])
-        tables[k] = np.log((t + 0.5) / (whole + 0.5 * kinds)) if len(langs) else t
+        least = 0.5 / max([1.0, *whole])  # a share, so that small samples do not favour what they lack
+        tables[k] = np.log((t / np.maximum(whole, 1) + least) / (1 + least * kinds))
     return Model(langs, index.pop(0), index, tables)
 
 

@@ -273,3 +273,21 @@ def test_backoff(spark):
     assert model.predict("жук") == ("de", 0.5) and model.predict("42")[0] == "und"
     small = langid.train(docs, most_words=2, most_grams=3)
     assert len(small.words) <= 4 and all(len(g) <= 6 for g in small.grams.values())
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the cat sat on the mat with a dog" if i % 2 else "der hund sitzt auf der matte", "en" if i % 2 else "de") for i in range(6000)]
+    rare = [(9000 + i, "kissa istui matolla koiran kanssa", "fi") for i in range(3)]
+    docs = spark.createDataFrame(rows + rare, "doc_id long, text string, lang string")
+    for most in (20_000, 500):
+        model = langid.train(docs, most_docs=most)
+        assert model.langs == ["de", "en", "fi"]
+        got = [model.predict(t)[0] for t in ("koiran kissa", "the dog sat", "der hund", "matte", "mat")]
+        assert got == ["fi", "en", "de", "de", "en"]
+    small = langid.train(docs, most_cells=12)
+    assert small.langs == ["de", "en", "fi"] and len(small.words) == 4 and all(len(g) <= 4 for g in small.grams.values())
+
+
+def test_quota():
+    assert langid.quota([], 10) >= 0 and langid.quota([3, 4], 100, 1) >= 4
+    assert langid.quota([2, 50, 60], 30, 1) == 14 and langid.quota([2, 50, 60], 30, 20) == 20
