@@ -8,7 +8,10 @@ and a valid check digit, IP addresses stay addresses, and names are built of syl
 their script, with an ending of the gender that the title tells.
 
 Surrogates are checked over all distinct entities: where two share one, or one equals an
-entity of the data, the later takes its next attempt, until all differ. Equal entities
+entity of the data, the later takes its next attempt, until all differ. After GROW
+attempts the format is taken to be crowded and grows with each attempt: names by syllables,
+e-mail addresses by letters, phone and id numbers by digits, and IP addresses become those
+of version 6; cards do not, as they have 10^14 surrogates for each issuer digit. Equal entities
 thus have equal surrogates everywhere (coreference), different ones different surrogates.
 Documents are rewritten where they are; only those that hold an entity with a later
 attempt are joined with it.
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import bitmap, saved, with_maybe
 
 KEY = "quillon-surrogates-1"
-#: Attempts after which the data are taken to have more entities of a format than it has surrogates.
-ATTEMPTS = 64
+#: Attempts after which a surrogate grows.
+GROW = 8
 
 # Titles by gender (m, f, or none told) and script; patterns in order of precedence.
 TITLES = {
@@ -119,7 +122,18 @@ def _with_check_digit(digits: Column) -> Column:
     return F.concat(F.substring(digits, 1, 15), ((F.lit(10) - total % 10) % 10).cast("string"))
 
 
-def _made_name(canon: Column, stream: Column) -> Column:
+def _more(stream: Column) -> Column:
+    """128 further hex digits of a stream."""
+    return F.sha2(F.concat(F.lit("more"), stream), 512)
+
+
+def _grown(out: Column, stream: Column, more: Column, digits: str, before: bool = False) -> Column:
+    """With `more` (128 at most) characters added; digits has 16."""
+    extra = F.translate(F.substring(_more(stream), F.lit(1), more), "0123456789abcdef", digits)
+    return F.when(more > 0, F.concat(extra, out) if before else F.concat(out, extra)).otherwise(out)
+
+
+def _made_name(canon: Column, stream: Column, more: Column) -> Column:
     out = F.lit(None).cast("string")
     bare = F.substring_index(canon, ":", -1)
     breaks = F.regexp_extract_all(bare, F.lit("[ -]"), F.lit(0))
@@ -128,7 +142,8 @@ def _made_name(canon: Column, stream: Column) -> Column:
     def word(script: str, at: Column) -> Column:
         own = F.array(*[F.lit(s) for s in SYLLABLES[script]])
         part = [F.get(own, _byte(stream, at * 4 + k) % len(SYLLABLES[script])) for k in range(3)]
-        return F.concat(*part)
+        extra = F.transform(F.sequence(F.lit(1), more), lambda k: F.get(own, _byte(_more(stream), k) % len(SYLLABLES[script])))
+        return F.concat(*part, F.when((more > 0) & (at == 0), F.array_join(extra, "")).otherwise(""))
 
     def whole(script: str, end: str) -> Column:  # the given name, which comes first, has the ending
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.initcap(F.when(i == 0, F.concat(word(script, i), F.lit(end))).otherwise(word(script, i))))
@@ -139,26 +154,31 @@ def _made_name(canon: Column, stream: Column) -> Column:
     return out
 
 
-def surrogate(kind: Column, canon: Column, stream: Column) -> Column:
+def surrogate(kind: Column, canon: Column, stream: Column, attempt: Column) -> Column:
     """Canonical form of the replacement that a stream of digits gives."""
+    more = F.least(F.greatest(attempt - GROW, F.lit(0)), F.lit(64))
+    six = F.concat(F.lit("2001:db8"), F.regexp_replace(F.substring(_more(stream), 1, 24), "(.{4})", ":$1"))
     top = F.length(canon) - F.length(F.substring_index(canon, ".", -1)) - 1
     octet = [(_byte(stream, F.lit(i)) % (223 if i == 0 else 254) + 1).cast("string") for i in range(4)]
     card = _with_check_digit(F.concat(F.substring(canon, 1, 1), F.substring(_scrambled(canon, stream), 2, 15)))
     return (
-        F.when(kind == "email", _scrambled(canon, stream, top))
-        .when(kind == "ip", F.concat_ws(".", *octet))
-        .when(kind == "name", _made_name(canon, stream))
+        F.when(kind == "email", _grown(_scrambled(canon, stream, top), stream, more, "abcdefghijklmnop", before=True))
+        .when(kind == "ip", F.when(more > 0, six).otherwise(F.concat_ws(".", *octet)))
+        .when(kind == "name", _made_name(canon, stream, more))
         .when(kind == "card", card)
-        .otherwise(_scrambled(canon, stream))
+        .otherwise(_grown(_scrambled(canon, stream), stream, more, "0123456789012345"))
     )
 
 
 def formatted(entity: Column, kind: Column, made: Column) -> Column:
-    """The surrogate in the layout of the entity it replaces."""
+    """The surrogate in the layout of the entity it replaces; what it has grown by comes first or last."""
     chars = F.split(entity, "", -1)
     digit_at = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), (i + 1).cast("int")), r"[^0-9]", ""))
     filled = F.array_join(F.transform(chars, lambda c, i: F.when(F.rlike(c, F.lit("^[0-9]$")), F.substring(made, digit_at(i), F.lit(1))).otherwise(c)), "")
-    cased = F.array_join(F.transform(chars, lambda c, i: F.when(c != F.lower(c), F.upper(F.substring(made, (i + 1).cast("int"), F.lit(1)))).otherwise(F.substring(made, (i + 1).cast("int"), F.lit(1)))), "")
+    filled = F.concat(filled, F.substring(made, digit_at(F.length(entity)) + 1, F.length(made)))
+    more = F.length(made) - F.length(entity)
+    at = lambda i: F.substring(made, (i + 1 + more).cast("int"), F.lit(1))
+    cased = F.concat(F.substring(made, F.lit(1), more), F.array_join(F.transform(chars, lambda c, i: F.when(c != F.lower(c), F.upper(at(i))).otherwise(at(i))), ""))
     title = F.regexp_extract(entity, rf"^(?:{_TITLE})\.? ", 0)
     return F.when(kind == "email", cased).when(kind == "ip", made).when(kind == "name", F.concat(title, F.substring_index(made, ":", -1))).otherwise(filled)
 
@@ -168,10 +188,10 @@ def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
 
     def made(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("stream", _stream(key, F.col("kind"), F.col("canon"), F.col("attempt")))
-        return saved(rows.select("kind", "canon", "attempt", surrogate(F.col("kind"), F.col("canon"), F.col("stream")).alias("made")))
+        return saved(rows.select("kind", "canon", "attempt", surrogate(F.col("kind"), F.col("canon"), F.col("stream"), F.col("attempt")).alias("made")))
 
     state = made(entities.withColumn("attempt", F.lit(0)))
-    for _ in range(ATTEMPTS):
+    while True:
         shared = state.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).where("n > 1")
         real = state.select("kind", F.col("canon").alias("made")).join(state.select("kind", "made").distinct(), ["kind", "made"], "left_semi")
         bad = shared.select("kind", "made", F.col("first.canon").alias("stays")).unionByName(real.select("kind", "made", F.lit(None).cast("string").alias("stays")))
@@ -181,7 +201,6 @@ def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
         again = (F.col("all") | (F.col("canon") != F.col("stays")))
         moved = state.join(bad, ["kind", "made"], "left").withColumn("attempt", F.col("attempt") + F.coalesce(again, F.lit(False)).cast("int"))
         state = made(moved.select("kind", "canon", "attempt"))
-    raise ValueError("more entities of a format than it has surrogates")
 
 
 def replace(docs: DataFrame, key: str = KEY, bits: int | None = None) -> DataFrame:
@@ -215,8 +234,8 @@ def replace(docs: DataFrame, key: str = KEY, bits: int | None = None) -> DataFra
         return F.coalesce(F.try_element_at(F.col("later"), F.concat_ws(":", e["kind"], e["canon"])), F.lit(0))
 
     steps = (  # one after the other, so that none is computed twice
-        lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), e["canon"].alias("canon"), _stream(key, e["kind"], e["canon"], attempt(e)).alias("stream")),
-        lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), surrogate(e["kind"], e["canon"], e["stream"]).alias("made")),
+        lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), e["canon"].alias("canon"), _stream(key, e["kind"], e["canon"], attempt(e)).alias("stream"), attempt(e).alias("attempt")),
+        lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), surrogate(e["kind"], e["canon"], e["stream"], e["attempt"]).alias("made")),
         lambda e: formatted(e["entity"], e["kind"], e["made"]),
     )
     ready = ready.withColumn("new", F.col("found"))

@@ -70,6 +70,23 @@ def test_surrogates_never_clash(spark):
     assert sorted(out) == sorted(r.text for r in pii.replace(df.unionByName(df)).distinct().select("text").distinct().collect())
 
 
+def test_crowded_formats_grow(spark):
+    """All 676 addresses of a format are taken, so none of its surrogates is free."""
+    mails = [f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    out = [r.text for r in pii.replace(spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string")).collect()]
+    assert len(set(out)) == 676 and not set(out) & set(mails) and all(re.fullmatch(r"[a-z]+@[a-z]\.com", m) for m in out)
+
+
+def test_grown_surrogates(spark):
+    rows = [("email", "a@b.com", "A@b.com"), ("ip", "1.2.3.4", "1.2.3.4"), ("ssn", "123456789", "123-45-6789"), ("phone", "5551234567", "555 123-4567")]
+    df = spark.createDataFrame(rows, "kind string, canon string, entity string").withColumn("attempt", F.lit(pii.GROW + 2))
+    df = df.withColumn("stream", pii._stream("k", F.col("kind"), F.col("canon"), F.col("attempt")))
+    df = df.withColumn("made", pii.surrogate(F.col("kind"), F.col("canon"), F.col("stream"), F.col("attempt")))
+    got = [r.out for r in df.select(pii.formatted(F.col("entity"), F.col("kind"), F.col("made")).alias("out")).collect()]
+    for out, form in zip(got, (r"[a-z]{2}[A-Z]@[a-z]\.com", r"2001:db8(:[0-9a-f]{4}){6}", r"\d{3}-\d{2}-\d{6}", r"\d{3} \d{3}-\d{6}"), strict=True):
+        assert re.fullmatch(form, out), out
+
+
 # --- secrets
 
 BASES = {
