@@ -1,11 +1,15 @@
 """Personal data replaced by surrogates of the same type and format.
 
-Entities (e-mail, card, IP, phone and national id numbers, titled names) are found by
-pattern. Each has a canonical form, so that the same entity in another layout or case is
+Entities (e-mail, card, IP, phone and national id numbers, names) are found by pattern.
+Names are found after a title, of any number of words, with initials, apostrophes, inner
+capitals and particles; further mentions of their words in the same document, with or
+without a title, are names too. Each has a canonical form, so that the same entity in another layout or case is
 the same entity. Its surrogate is derived from a key and the canonical form: letters give
 letters of the same case, digits digits, separators stay; cards keep their issuer digit
-and a valid check digit, IP addresses stay addresses, and names are built of syllables of
-their script, with an ending of the gender that the title tells.
+and a valid check digit, IP addresses stay addresses. Names are replaced word by word, so that
+'Mr John Smith', 'Dr John Smith' and 'Smith' agree: words are built of syllables of their
+own script, with an ending of the gender if the titles right before the word, in all
+documents, tell just one. Initials become initials, particles stay.
 
 Surrogates are checked over all distinct entities: where two share one, or one equals an
 entity of the data, the later takes its next attempt, until all differ. After GROW
@@ -32,28 +36,32 @@ KEY = "quillon-surrogates-1"
 #: Attempts after which a surrogate grows.
 GROW = 8
 
-# Titles by gender (m, f, or none told) and script; patterns in order of precedence.
+# Titles by gender (m, f, or none told); patterns in order of precedence.
 TITLES = {
-    ("m", "latin"): ("Mr", "Herr", "Monsieur", "Señor", "Sir", "Signor"),
-    ("f", "latin"): ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora"),
-    ("x", "latin"): ("Dr", "Prof"),
-    ("m", "cyrillic"): ("Господин", "Г-н"),
-    ("f", "cyrillic"): ("Госпожа", "Г-жа"),
+    "m": ("Mr", "Herr", "Monsieur", "Señor", "Sir", "Signor", "Господин", "Г-н"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "Госпожа", "Г-жа"),
+    "": ("Dr", "Prof"),
 }
 SYLLABLES = {
     "latin": "ba be bi bo bra da de di do dra fa fe fi ga ge go gra ka ke ki ko la le li lo lu ma me mi mo na ne ni no pa pe pi po ra re ri ro sa se si so ta te ti to tra va ve vi vo za ze".split(),
     "cyrillic": "ба бе би бо ва ве ви во га ге го да де ди до за зе ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе пи по ра ре ри ро са се си со та те ти то фа фе".split(),
 }
-ENDINGS = {("m", "latin"): "n", ("f", "latin"): "na", ("x", "latin"): "l", ("m", "cyrillic"): "н", ("f", "cyrillic"): "на"}
-_NAME = r"\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}"
+ENDINGS = {("m", "latin"): "n", ("f", "latin"): "na", ("m", "cyrillic"): "н", ("f", "cyrillic"): "на"}
 _TITLE = "|".join(t for own in TITLES.values() for t in own)
+_TITLED = rf"(?:(?:{_TITLE})\.? )"
+_INITIAL = r"\p{Lu}\."
+_PARTICLE = r"(?:v[ao]n(?: de[rnm]?)?|de(?: la| los| las)?|del|della|di|da|dos|du|bin|ibn|al)"
+_WORD = rf"(?!(?:{_TITLE})(?!\p{{L}}))(?:\p{{Ll}}{{1,2}}['’])?\p{{Lu}}[\p{{L}}\p{{M}}]+(?:['’]\p{{Lu}}[\p{{L}}\p{{M}}]*)*|\p{{Lu}}(?:['’]\p{{Lu}}[\p{{L}}\p{{M}}]*)+"
+#: Particles and initials stand before a word, so a name ends with one.
+_NAME_WORD = rf"(?:{_PARTICLE} |{_INITIAL}[ -]?)*(?:{_WORD})"
+_NAME = rf"{_NAME_WORD}(?:[ -]{_NAME_WORD})*"
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,4}[A-Za-z]{2,24}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
     "ssn": r"(?<![\dA-Za-z-])\d{3}-\d{2}-\d{4}(?![\dA-Za-z-])",
     "card": r"(?<![\dA-Za-z])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?![\dA-Za-z])",
     "phone": r"(?<![\dA-Za-z])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|(?<=\+\d{1,3}[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){2,3})(?![\dA-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}",
+    "name": rf"(?<!\p{{L}}){_TITLED}+{_NAME}",
 }
 TYPES = tuple(PATTERNS)
 ANY = "|".join(PATTERNS.values())
@@ -72,22 +80,37 @@ def type_of(entity: Column) -> Column:
     return F.when(F.contains(entity, F.lit("@")), F.lit("email")).otherwise(out)
 
 
-def _bare_name(entity: Column) -> Column:
-    return F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", "")
+def _title(entity: Column) -> Column:
+    return F.regexp_extract(entity, rf"^{_TITLED}*", 0)
+
+
+def _gender(entity: Column) -> Column:
+    """What the titles of a name tell: m, f or nothing."""
+    out = F.lit("")
+    for g in ("f", "m"):
+        out = F.when(F.rlike(entity, F.lit(rf"^{_TITLED}*(?:{'|'.join(TITLES[g])})\.? ")), F.lit(g)).otherwise(out)
+    return out
+
+
+def _tokens(entity: Column) -> Column:
+    """Initials, words, and what is between them, of a name without its titles."""
+    return F.regexp_extract_all(F.substring(entity, F.length(_title(entity)) + 1, F.length(entity)), F.lit(rf"{_INITIAL}|[\p{{L}}\p{{M}}'’]+|[ -]"), F.lit(0))
+
+
+def _is_word(token: Column) -> Column:
+    return F.rlike(token, F.lit(r"\p{Lu}")) & ~F.endswith(token, F.lit("."))
 
 
 def canonical(entity: Column, kind: Column) -> Column:
-    """The form in which layouts of the same entity agree; names keep the gender of their title."""
-    digits = F.regexp_replace(entity, r"[^0-9]", "")
-    gender = F.lit("x:latin")
-    for (g, script), titles in TITLES.items():
-        gender = F.when(F.rlike(entity, F.lit(rf"^(?:{'|'.join(titles)})\.? ")), F.lit(f"{g}:{script}")).otherwise(gender)
-    return (
-        F.when(kind == "email", F.lower(entity))
-        .when(kind == "ip", entity)
-        .when(kind == "name", F.concat(gender, F.lit(":"), _bare_name(entity)))
-        .otherwise(digits)
-    )
+    """The form in which layouts of the same entity agree; that of names is of each word."""
+    return F.when(kind == "email", F.lower(entity)).when(kind == "ip", entity).otherwise(F.regexp_replace(entity, r"[^0-9]", ""))
+
+
+def keys(entity: Column, kind: Column) -> Column:
+    """What has surrogates of its own: a name's words, of which the first has the title's gender, or the entity."""
+    part = lambda canon, gender: F.struct(kind.alias("kind"), canon.alias("canon"), gender.alias("gender"))
+    words = F.transform(_tokens(entity), lambda w, i: part(w, F.when(i == 0, _gender(entity)).otherwise("")))
+    return F.when(kind == "name", F.filter(words, lambda w: _is_word(w["canon"]))).otherwise(F.array(part(canonical(entity, kind), F.lit(""))))
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -133,28 +156,23 @@ def _grown(out: Column, stream: Column, more: Column, digits: str, before: bool
     return F.when(more > 0, F.concat(extra, out) if before else F.concat(out, extra)).otherwise(out)
 
 
-def _made_name(canon: Column, stream: Column, more: Column) -> Column:
-    out = F.lit(None).cast("string")
-    bare = F.substring_index(canon, ":", -1)
-    breaks = F.regexp_extract_all(bare, F.lit("[ -]"), F.lit(0))
-    n = F.size(breaks) + 1
-
-    def word(script: str, at: Column) -> Column:
+def _made_name(word: Column, gender: Column, stream: Column, more: Column) -> Column:
+    def made(script: str) -> Column:
         own = F.array(*[F.lit(s) for s in SYLLABLES[script]])
-        part = [F.get(own, _byte(stream, at * 4 + k) % len(SYLLABLES[script])) for k in range(3)]
+        part = [F.get(own, _byte(stream, F.lit(k)) % len(SYLLABLES[script])) for k in range(3)]
         extra = F.transform(F.sequence(F.lit(1), more), lambda k: F.get(own, _byte(_more(stream), k) % len(SYLLABLES[script])))
-        return F.concat(*part, F.when((more > 0) & (at == 0), F.array_join(extra, "")).otherwise(""))
+        end = F.lit("")
+        for g in ("m", "f"):
+            end = F.when(gender == g, F.lit(ENDINGS[g, script])).otherwise(end)
+        return F.initcap(F.concat(*part, F.when(more > 0, F.array_join(extra, "")).otherwise(""), end))
 
-    def whole(script: str, end: str) -> Column:  # the given name, which comes first, has the ending
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.initcap(F.when(i == 0, F.concat(word(script, i), F.lit(end))).otherwise(word(script, i))))
-
-    for (gender, script), end in ENDINGS.items():
-        parts = F.zip_with(whole(script, end), breaks, lambda w, b: F.concat(w, F.coalesce(b, F.lit(""))))
-        out = F.when(F.startswith(canon, F.lit(f"{gender}:{script}:")), F.concat(F.lit(f"{gender}:{script}:"), F.array_join(parts, ""))).otherwise(out)
-    return out
+    initial = F.concat(F.substring(made("latin"), 1, 1), F.lit("."))
+    cyrillic = F.concat(F.substring(made("cyrillic"), 1, 1), F.lit("."))
+    own = F.when(F.endswith(word, F.lit(".")), F.struct(initial.alias("l"), cyrillic.alias("c"))).otherwise(F.struct(made("latin").alias("l"), made("cyrillic").alias("c")))
+    return F.when(F.rlike(word, F.lit(r"\p{IsCyrillic}")), own["c"]).otherwise(own["l"])
 
 
-def surrogate(kind: Column, canon: Column, stream: Column, attempt: Column) -> Column:
+def surrogate(kind: Column, canon: Column, stream: Column, attempt: Column, gender: Column | None = None) -> Column:
     """Canonical form of the replacement that a stream of digits gives."""
     more = F.least(F.greatest(attempt - GROW, F.lit(0)), F.lit(64))
     six = F.concat(F.lit("2001:db8"), F.regexp_replace(F.substring(_more(stream), 1, 24), "(.{4})", ":$1"))
@@ -164,7 +182,7 @@ def surrogate(kind: Column, canon: Column, stream: Column, attempt: Column) -> C
     return (
         F.when(kind == "email", _grown(_scrambled(canon, stream, top), stream, more, "abcdefghijklmnop", before=True))
         .when(kind == "ip", F.when(more > 0, six).otherwise(F.concat_ws(".", *octet)))
-        .when(kind == "name", _made_name(canon, stream, more))
+        .when(kind == "name", _made_name(canon, F.lit("") if gender is None else gender, stream, more))
         .when(kind == "card", card)
         .otherwise(_grown(_scrambled(canon, stream), stream, more, "0123456789012345"))
     )
@@ -179,16 +197,20 @@ def formatted(entity: Column, kind: Column, made: Column) -> Column:
     more = F.length(made) - F.length(entity)
     at = lambda i: F.substring(made, (i + 1 + more).cast("int"), F.lit(1))
     cased = F.concat(F.substring(made, F.lit(1), more), F.array_join(F.transform(chars, lambda c, i: F.when(c != F.lower(c), F.upper(at(i))).otherwise(at(i))), ""))
-    title = F.regexp_extract(entity, rf"^(?:{_TITLE})\.? ", 0)
-    return F.when(kind == "email", cased).when(kind == "ip", made).when(kind == "name", F.concat(title, F.substring_index(made, ":", -1))).otherwise(filled)
+    return F.when(kind == "email", cased).when(kind == "ip", made).when(kind == "name", F.concat(_title(entity), made)).otherwise(filled)
 
 
 def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, canon, attempt of distinct entities(kind, canon) whose first surrogate clashes."""
+    """kind, canon, gender, attempt of distinct entities(kind, canon, gender) whose first surrogate clashes.
+
+    Words of names with more than one gender are among them, with the one that they have in all documents.
+    """
+    told = F.collect_set(F.when(F.col("gender") != "", F.col("gender")))
+    entities = entities.groupBy("kind", "canon").agg(F.when(F.size(told) == 1, F.get(told, F.lit(0))).otherwise("").alias("gender"), (F.count(F.lit(1)) > 1).alias("mixed"))
 
     def made(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("stream", _stream(key, F.col("kind"), F.col("canon"), F.col("attempt")))
-        return saved(rows.select("kind", "canon", "attempt", surrogate(F.col("kind"), F.col("canon"), F.col("stream"), F.col("attempt")).alias("made")))
+        return saved(rows.select("kind", "canon", "gender", "mixed", "attempt", surrogate(F.col("kind"), F.col("canon"), F.col("stream"), F.col("attempt"), F.col("gender")).alias("made")))
 
     state = made(entities.withColumn("attempt", F.lit(0)))
     while True:
@@ -197,10 +219,10 @@ def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
         bad = shared.select("kind", "made", F.col("first.canon").alias("stays")).unionByName(real.select("kind", "made", F.lit(None).cast("string").alias("stays")))
         bad = saved(bad.groupBy("kind", "made").agg(F.max("stays").alias("stays"), F.max(F.col("stays").isNull()).alias("all")))
         if bad.isEmpty():
-            return state.where("attempt > 0").select("kind", "canon", "attempt")
+            return state.where("attempt > 0 OR mixed").select("kind", "canon", "gender", "attempt")
         again = (F.col("all") | (F.col("canon") != F.col("stays")))
         moved = state.join(bad, ["kind", "made"], "left").withColumn("attempt", F.col("attempt") + F.coalesce(again, F.lit(False)).cast("int"))
-        state = made(moved.select("kind", "canon", "attempt"))
+        state = made(moved.select("kind", "canon", "gender", "mixed", "attempt"))
 
 
 def replace(docs: DataFrame, key: str = KEY, bits: int | None = None) -> DataFrame:
@@ -211,37 +233,56 @@ def replace(docs: DataFrame, key: str = KEY, bits: int | None = None) -> DataFra
             hint = hint | F.contains("t", F.lit(title))
     none = F.array().cast("array<string>")
     rows = docs.select("doc_id", F.col("text").alias("t"))
-    rows = rows.withColumn("found", F.coalesce(F.when(hint, F.regexp_extract_all("t", F.lit(ANY), F.lit(0))), none))
+    rows = rows.withColumn("first", F.coalesce(F.when(hint, F.regexp_extract_all("t", F.lit(ANY), F.lit(0))), none))
+    named = F.flatten(F.transform(F.filter("first", lambda e: type_of(e) == "name"), _tokens))
+    rows = rows.withColumn("words", F.array_distinct(F.filter(named, _is_word)))
+    words = F.concat(F.lit("(?:"), F.array_join("words", "|"), F.lit(")"))
+    again = F.concat(F.lit(rf"{ANY}|(?<!\p{{L}})"), words, F.lit("(?:[ -]"), words, F.lit(r")*(?!\p{L})"))
+    rows = rows.withColumn("pattern", F.when(F.size("words") > 0, again).otherwise(F.lit(ANY)))
+    rows = rows.withColumn("found", F.when(F.size("words") > 0, F.regexp_extract_all("t", "pattern", F.lit(0))).otherwise(F.col("first"))).drop("first", "words")
     rows = rows.withColumn("found", F.transform("found", lambda e: F.struct(e.alias("entity"), type_of(e).alias("kind"))))
-    rows = rows.withColumn("found", F.transform("found", lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), canonical(e["entity"], e["kind"]).alias("canon"))))
-    mentions = rows.select("doc_id", F.xxhash64("t").alias("mark"), F.explode("found").alias("e")).select("doc_id", "mark", "e.kind", "e.canon")
-    later = saved(attempts(mentions.select("kind", "canon").distinct(), key))
+    mentions = rows.select("doc_id", F.xxhash64("t").alias("mark"), F.explode(F.flatten(F.transform("found", lambda e: keys(e["entity"], e["kind"])))).alias("e")).select("doc_id", "mark", "e.*")
+    later = saved(attempts(mentions.select("kind", "canon", "gender").distinct(), key))
 
-    no_later = F.lit(None).cast("map<string,int>")
+    no_later = F.lit(None).cast("map<string,struct<attempt:int,gender:string>>")
     if later.isEmpty():
         ready = rows.withColumn("later", no_later)
     else:
-        held = mentions.distinct().join(later, ["kind", "canon"])
-        entry = F.struct(F.concat_ws(":", "kind", "canon").alias("k"), F.col("attempt").alias("v"))
+        held = mentions.drop("gender").distinct().join(later, ["kind", "canon"])
+        entry = F.struct(F.concat_ws(":", "kind", "canon").alias("k"), F.struct("attempt", "gender").alias("v"))
         held = saved(held.groupBy("doc_id", "mark").agg(F.map_from_entries(F.collect_set(entry)).alias("later")))
         rows = rows.withColumn("mark", F.xxhash64("t"))
         marked = with_maybe(rows, bitmap(held, "mark", bits), "mark", "maybe")
         some = marked.where("maybe").alias("r").join(held.alias("h"), F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("r.mark") == F.col("h.mark")), "left")
-        ready = marked.where("NOT maybe").select("doc_id", "t", "found").withColumn("later", no_later)
-        ready = ready.unionByName(some.select("r.doc_id", "r.t", "r.found", "h.later"))
+        ready = marked.where("NOT maybe").select("doc_id", "t", "found", "pattern").withColumn("later", no_later)
+        ready = ready.unionByName(some.select("r.doc_id", "r.t", "r.found", "r.pattern", "h.later"))
+
+    def told(kind: Column, canon: Column) -> Column:
+        return F.try_element_at(F.col("later"), F.concat_ws(":", kind, canon))
+
+    part_steps = (  # one after the other, so that none is computed twice
+        lambda p: F.struct(p["kind"].alias("kind"), p["canon"].alias("canon"), p["gender"].alias("gender"), told(p["kind"], p["canon"]).alias("told")),
+        lambda p: F.struct(p["kind"].alias("kind"), p["canon"].alias("canon"), F.coalesce(p["told"]["gender"], p["gender"]).alias("gender"), F.coalesce(p["told"]["attempt"], F.lit(0)).alias("attempt")),
+        lambda p: F.struct(*[p[c].alias(c) for c in ("kind", "canon", "gender", "attempt")], _stream(key, p["kind"], p["canon"], p["attempt"]).alias("stream")),
+        lambda p: F.when((p["kind"] == "name") & ~(F.rlike(p["canon"], F.lit(rf"^{_INITIAL}$")) | _is_word(p["canon"])), p["canon"]).otherwise(surrogate(p["kind"], p["canon"], p["stream"], p["attempt"], p["gender"])),
+    )
 
-    def attempt(e: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.col("later"), F.concat_ws(":", e["kind"], e["canon"])), F.lit(0))
+    def parts(e: Column) -> Column:
+        whole = lambda canon, gender: F.struct(e["kind"].alias("kind"), canon.alias("canon"), gender.alias("gender"))
+        tokens = F.transform(_tokens(e["entity"]), lambda w, i: whole(w, F.when((i == 0) & _is_word(w), _gender(e["entity"])).otherwise("")))
+        out = F.when(e["kind"] == "name", tokens).otherwise(F.array(whole(canonical(e["entity"], e["kind"]), F.lit(""))))
+        for step in part_steps:
+            out = F.transform(out, step)
+        return F.array_join(out, "")
 
-    steps = (  # one after the other, so that none is computed twice
-        lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), e["canon"].alias("canon"), _stream(key, e["kind"], e["canon"], attempt(e)).alias("stream"), attempt(e).alias("attempt")),
-        lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), surrogate(e["kind"], e["canon"], e["stream"], e["attempt"]).alias("made")),
+    steps = (
+        lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), parts(e).alias("made")),
         lambda e: formatted(e["entity"], e["kind"], e["made"]),
     )
     ready = ready.withColumn("new", F.col("found"))
     for step in steps:
         ready = ready.withColumn("new", F.transform("new", step))
-    ready = ready.withColumn("gaps", F.when(F.size("found") > 0, F.split("t", ANY, -1)))
+    ready = ready.withColumn("gaps", F.when(F.size("found") > 0, F.split("t", F.col("pattern"), -1)))
     woven = F.array_join(F.zip_with("gaps", F.col("new"), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     text = F.when(F.size("found") > 0, woven).otherwise(F.col("t"))
 

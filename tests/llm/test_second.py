@@ -87,6 +87,24 @@ def test_grown_surrogates(spark):
         assert re.fullmatch(form, out), out
 
 
+def test_whole_names(spark):
+    texts = [
+        "Mr McDonald met Ms O'Neil. Mr J. Smith saw Dr Juan Carlos Maria Lopez Garcia.", "Mr John Smith and Dr John Smith; then John Smith came, and Smith left. Mr Smith's dog", "Dr Иван Петров", "Herr Dr. Ludwig van Beethoven played",
+        "Dr John Smith alone", "Smith without a title elsewhere",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace(df).collect()}
+    out = [got[i].text for i in range(len(texts))]
+    word, initial = "[A-Z][a-z]{5,}", "[A-Z]\\."
+    assert re.fullmatch(rf"Mr {word} met Ms {word}\. Mr {initial} {word} saw Dr {word}( {word}){{4}}\.", out[0]), out[0]
+    assert not re.search("Mc|Donald|Neil|Smith|Lopez|Garcia", out[0])
+    m = re.fullmatch(rf"Mr ({word}) ({word}) and Dr (\w+) (\w+); then (\w+) (\w+) came, and (\w+) left\. Mr (\w+)'s dog", out[1])
+    assert m and m[1] == m[3] == m[5] and m[2] == m[4] == m[6] == m[7] == m[8] and got[1].n_name == 5, out[1]
+    assert re.fullmatch("Dr [А-Я][а-я]+ [А-Я][а-я]+", out[2]) and "Иван" not in out[2]
+    assert re.fullmatch(rf"Herr Dr\. {word} van {word} played", out[3]), out[3]
+    assert out[4] == f"Dr {m[1]} {m[2]} alone" and out[5] == texts[5]
+
+
 # --- secrets
 
 BASES = {
