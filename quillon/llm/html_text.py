@@ -5,6 +5,12 @@ when elements open and close. The renderer skips what visibility rules hide and
 block spacing, list markers, preformatted text and aligned table cells. Both work in one
 pass over a page without recursion, so depth and length have no limit of their own.
 
+Formulas give the text of their parts, without annotations; drawings that of their text
+elements, each on a line of its own, without what is only defined. Not given, though
+browsers show it: the options of a select, the values of inputs, and text that is drawn
+by `use` of a definition. What stands in for media, objects, frames and scripts is taken to
+be unseen.
+
 Defined results: a null page gives null text, a page without visible text an empty one;
 markup that is broken off is read as far as it goes; repeated rows repeat; an empty
 table gives no rows; further columns are ignored.
@@ -23,7 +29,10 @@ from pyspark.sql import DataFrame
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes".split())
 ESCAPABLE = set("title textarea".split())
-UNSEEN = set("head script style template noscript title iframe noembed noframes datalist object video audio canvas svg math select".split())
+UNSEEN = set("head script style template noscript title iframe noembed noframes datalist object video audio canvas select".split())
+UNSEEN_IN_SVG = set("defs symbol clippath mask marker pattern metadata desc lineargradient radialgradient filter".split())
+UNSEEN_IN_MATH = set("annotation annotation-xml mphantom".split())
+DRAWN, FOLD = {"text", "foreignobject"}, {"summary"}
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup html legend li main menu nav ol option p pre section summary table ul h1 h2 h3 h4 h5 h6 caption xmp".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote pre table dl figure xmp".split())
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre section summary table ul xmp".split())
@@ -146,27 +155,39 @@ class Renderer:
         self.flows: list[Flow] = [Flow()]
         self.tables: list[Table] = []
         self.lists: list[list] = []
-        self.unseen = self.pre = 0
-        self.folded: list[int] = []
+        self.unseen = self.pre = self.math = 0
+        self.folded: list[tuple[int, set[str]]] = []  # depth of what is hidden, and what shows in it
 
     def opened(self, name: str, attrs: dict[str, str]) -> dict:
         """State that closed() needs."""
         state = {"name": name}
-        if name in UNSEEN or "hidden" in attrs or HIDING.search(attrs.get("style", "")):
+        inside = self.folded[-1][1] if self.folded else ()
+        if name == "math":
+            self.math += 1
+        if name in UNSEEN or (inside is DRAWN and name in UNSEEN_IN_SVG) or (self.math and name in UNSEEN_IN_MATH) or "hidden" in attrs or HIDING.search(attrs.get("style", "")):
             self.unseen += 1
             state["unseen"] = True
         elif name == "details" and "open" not in attrs:  # folded: only its summary shows
             if not self.unseen:
                 self.flows[-1].block(1)
             self.unseen += 1
-            self.folded.append(self.unseen)
+            self.folded.append((self.unseen, FOLD))
+            state["unseen"] = state["folded"] = True
+        elif name == "svg" and not (inside is DRAWN and self.unseen == self.folded[-1][0]):
+            self.unseen += 1
+            self.folded.append((self.unseen, DRAWN))
             state["unseen"] = state["folded"] = True
-        elif name == "summary" and self.folded and self.unseen == self.folded[-1]:
+        elif name in inside and self.unseen == self.folded[-1][0]:
             self.unseen -= 1
             state["summary"] = True
+            state["apart"] = name != "summary"
         if self.unseen:
             return state
         flow = self.flows[-1]
+        if name == "math" and attrs.get("display", "").lower() == "block":
+            state["apart"] = True
+        if state.get("apart"):
+            flow.block(1)
         if name == "br":
             flow.gap += 1
         elif name == "hr":
@@ -208,6 +229,7 @@ class Renderer:
 
     def closed(self, state: dict) -> None:
         name = state["name"]
+        self.math -= name == "math"
         if "unseen" in state:
             self.unseen -= 1
             if "folded" in state:
@@ -242,6 +264,8 @@ class Renderer:
                 flow.block(2)
         if name in BLOCKS:
             flow.block(2 if name in SPACED else 1)
+        if state.get("apart"):
+            flow.block(1)
         if "summary" in state:
             self.unseen += 1
 
@@ -346,6 +370,14 @@ class Builder:
             self.end_open({"head"}, set())
         self.show.text(s)
 
+    def foreign(self) -> bool:
+        """Whether the innermost open element is of a drawing or formula, where tags may close themselves."""
+        if self.count.get("svg") or self.count.get("math"):
+            for own, _ in reversed(self.open):
+                if own in ("svg", "math", "foreignobject"):
+                    return own != "foreignobject"
+        return False
+
     def show_in_head(self) -> bool:
         return self.open[-1][0] != "head"
 
@@ -378,6 +410,10 @@ class Builder:
                 self.end(name)
                 continue
             self.start(name, m["attrs"])
+            if m["attrs"].endswith("/") and self.foreign():
+                if self.open[-1][0] == name:
+                    self.pop()
+                continue
             if name in RAW or name in ESCAPABLE:
                 close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 s = page[at : close.start() if close else n]

@@ -263,6 +263,22 @@ def test_pages(page, want):
     assert html_text.visible_text(page) == want
 
 
+DRAWINGS = [
+    ("a <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> b", "a x=2 b"),
+    ("a<math display=block><mi>y</mi></math>b", "a\ny\nb"),
+    ("a<svg><title/><title>no</title><desc>no</desc><defs/><g>no<text x=1>Q<tspan>1</tspan></text><text>Q2</text></g><defs><text>no</text></defs><path d='M0'/></svg>b", "a\nQ1\nQ2\nb"),
+    ("<svg><svg><text>in</text></svg><foreignObject><p>para</foreignObject></svg><p>after", "in\n\npara\n\nafter"),
+    ("<div hidden><svg><text>no</text></svg><math><mi>no</mi></math></div><details><summary>S</summary><svg><text>no</text></svg></details>z", "S\nz"),
+    ("<svg style='display:none'><text>no</text></svg><svg><text hidden>no</text><text>yes</text>", "yes"),
+    ("a<annotation>b</annotation>", "ab"),
+]
+
+
+@pytest.mark.parametrize("page,want", DRAWINGS)
+def test_formulas_and_drawings(page, want):
+    assert html_text.visible_text(page) == want
+
+
 def test_extreme_pages():
     assert html_text.visible_text("<div>" * 50000 + "x") == "x"
     assert html_text.visible_text("<a b='" * 20000).strip() == ""
