@@ -78,17 +78,15 @@ def with_maybe(df: DataFrame, marked: tuple[DataFrame, int], column: str, out: s
 
 
 def without(docs: DataFrame, gone: DataFrame, mark: Column) -> DataFrame:
-    """The rows of docs that are not in gone(doc_id, mark). Ids decide; where they are null, a mark of the text does.
+    """The rows of docs that are not in gone(doc_id, mark). An id and a mark of the text decide together.
 
-    Rows that a bitmap clears stay where they are; only the others are shuffled.
+    Rows whose id, or if it is null whose mark, a bitmap clears stay where they are; only the others are shuffled.
     """
-    def keyed(df: DataFrame, m: Column, *more: Column) -> DataFrame:
-        rows = df.select(*more, F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNull(), m).alias("mark"))
-        return rows.withColumn("both", F.xxhash64("id", "mark"))
-
+    key = lambda m: F.xxhash64("id", F.when(F.col("id").isNull(), m))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    left_out = saved(keyed(gone, F.col("mark")))
-    own = with_maybe(keyed(docs, mark, F.struct(*names).alias("row")), bitmap(left_out, "both"), "both", "maybe")
-    a, b = own.where("maybe").alias("a"), left_out.alias("b")
+    left_out = saved(gone.select(F.col("doc_id").alias("id"), "mark").withColumn("key", key(F.col("mark"))))
+    keyed = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNull(), mark).alias("none"), F.col("text")).withColumn("key", key(F.col("none")))
+    own = with_maybe(keyed, bitmap(left_out, "key"), "key", "maybe")
+    a, b = own.where("maybe").select("row", "id", mark.alias("mark")).alias("a"), left_out.alias("b")
     same = F.col("a.id").eqNullSafe(F.col("b.id")) & F.col("a.mark").eqNullSafe(F.col("b.mark"))
     return own.where("NOT maybe").select("row.*").unionByName(a.join(b, same, "left_anti").select("row.*"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillon import plans
-from quillon.llm import html_text, langid, pii, queries, secret_scan, simhash
+from quillon.llm import exact_dedup, html_text, langid, pii, queries, secret_scan, simhash
 from tests.llm.test_first import ODD, SCHEMA
 
 
@@ -196,6 +196,15 @@ def test_near_dedup_without_ids(spark):
     assert sorted(((r.doc_id, (r.text or "").strip()) for r in out.collect()), key=repr) == sorted([(None, "a b c d"), (7, "q w e r t"), (8, "z"), (None, "")], key=repr)
 
 
+def test_reused_ids_keep_other_texts(spark):
+    rows = [(5, "a b c d e f"), (5, "only here once, of other words"), (3, "a b c d e f"), (9, "x"), (9, "X"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {tuple(r) for r in simhash.near_deduplicated(df).collect()}
+    assert rows[1] in near and rows[2] in near and rows[0] not in near
+    exact = {tuple(r) for r in exact_dedup.deduplicated(df).collect()}
+    assert {rows[0], rows[1], rows[5]} <= exact and rows[2] not in exact and len(exact) == 4
+
+
 def test_hot_buckets(spark):
     rng = random.Random(3)
     base = [rng.choice("abcdefghij") * 3 for _ in range(300)]
