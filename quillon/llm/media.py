@@ -3,7 +3,8 @@
 The container has a file type box, a movie box with one track, and the media data. The
 walker descends nested boxes, decodes the sample tables (durations, sizes, chunk map,
 chunk offsets, sync samples) and gives codec, duration and the byte ranges of keyframes
-without decoding a payload.
+without decoding a payload. Not indexed: samples of movie fragments (their runs and defaults
+are not read), and tracks with compact sizes (stz2), which give no row.
 
 Defined results: null text counts as empty and gives one frame of blanks; an empty table
 gives no rows; further columns are ignored; rows are independent, so repeats repeat.
