@@ -27,15 +27,25 @@ def errors(output: Column, expected: Column) -> Column:
     return F.when(F.size(output) >= F.size(expected), diff)
 
 
+def _if_whole(values: Column, result: Column) -> Column:
+    """The result, or NULL where an element is NULL; folds and greatest would pass over it."""
+    return F.when(~F.exists(values, lambda v: v.isNull()), result)
+
+
 def max_error(errs: Column, nan_policy: str = "fail") -> Column:
-    """Largest error, 0 for an empty array. nan_policy 'fail' lets NaN win, 'ignore' passes over it."""
+    """Largest error, 0 for an empty array, NULL if any error is unknown.
+
+    nan_policy 'fail' lets NaN win, 'ignore' passes over it.
+    """
     if nan_policy not in ("fail", "ignore"):
         raise ValueError(f"nan_policy: {nan_policy}")
     zero = F.lit(0.0)
     wide = F.transform(errs, lambda e: e.cast("double"))
     if nan_policy == "ignore":
-        return F.aggregate(wide, zero, lambda m, e: F.when(F.isnan(e), m).otherwise(F.greatest(m, e)))
-    return F.aggregate(wide, zero, lambda m, e: F.greatest(m, e))
+        folded = F.aggregate(wide, zero, lambda m, e: F.when(F.isnan(e), m).otherwise(F.greatest(m, e)))
+    else:
+        folded = F.aggregate(wide, zero, lambda m, e: F.greatest(m, e))
+    return _if_whole(errs, folded)
 
 
 def within(error: Column, tolerance: float = TOLERANCE) -> Column:
@@ -44,7 +54,8 @@ def within(error: Column, tolerance: float = TOLERANCE) -> Column:
 
 
 def max_abs(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0).cast("float"), lambda m, v: F.greatest(m, F.abs(v)))
+    """Largest absolute value, 0 for an empty array, NULL if an element is NULL."""
+    return _if_whole(values, F.aggregate(values, F.lit(0.0).cast("float"), lambda m, v: F.greatest(m, F.abs(v))))
 
 
 def pick(values: Column, index: int, strict: bool = True) -> Column:
@@ -73,6 +84,21 @@ def join_path(*parts: Column) -> Column:
     return F.concat_ws("/", *parts)
 
 
+def concat(*parts: Column | str) -> Column:
+    """Texts and values one after the other; a string is a literal, a value that is NULL reads 'null'."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
+
+
+def dedent(text: Column) -> Column:
+    """Without the indent that all lines with text share, and without a blank first and last line."""
+    lines = F.split(text, "\n", -1)
+    has_text = lambda line: F.rlike(line, F.lit(r"\S"))
+    indents = F.transform(F.filter(lines, has_text), lambda line: F.length(F.regexp_extract(line, r"^\s*", 0)))
+    shared = F.coalesce(F.array_min(indents), F.lit(0))
+    inner = F.filter(lines, lambda line, i: has_text(line) | ((i > 0) & (i < F.size(lines) - 1)))
+    return F.array_join(F.transform(inner, lambda line: F.substring(line, shared + 1, F.length(line))), "\n")
+
+
 def option_map(options: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in options.items() for x in kv])
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,8 +17,10 @@ from quillon import functions as Q
 
 LOG = logging.getLogger("quillon")
 
-#: Weights of up to so many cells travel inside the plan; larger ones are joined.
+#: Weights of up to so many cells travel inside the plan; larger ones are broadcast once to Python workers.
 INLINE_CELLS = 65536
+#: Weight tables of up to so many cells (12 bytes each) are broadcast; the copies a larger one is dealt in.
+BROADCAST_CELLS, SALTS = 1 << 20, 16
 
 
 def provider_filter(df: DataFrame, column: str, name: str, required: bool = False) -> DataFrame:
@@ -27,29 +32,57 @@ def provider_filter(df: DataFrame, column: str, name: str, required: bool = Fals
 
 
 def matmul(vectors: DataFrame, weights: Sequence[Sequence[float]], value: str = "embedding", out: str = "y") -> DataFrame:
-    """vector x weights as an array column, in place: no shuffle, sums in index order.
+    """vector x weights as an array column, in place: no shuffle.
 
-    A vector whose length is not the number of weight rows gives NULL.
+    A vector whose length is not the number of weight rows gives NULL, a NULL element NULL sums.
+    Sums are in index order, but for weights above INLINE_CELLS, which numpy multiplies.
     """
     rows, cols = len(weights), len(weights[0])
     if rows * cols > INLINE_CELLS:
-        raise ValueError("weights too large for a plan; use matmul_relational")
-    by_col = F.array(*[F.array(*[F.lit(float(weights[i][j])) for i in range(rows)]) for j in range(cols)])
+        return vectors.withColumn(out, _batched(vectors, weights)(F.col(value)))
+    turned = json.dumps([[float(weights[i][j]) for i in range(rows)] for j in range(cols)])
+    by_col = F.from_json(F.lit(turned), "array<array<double>>")  # folded into one literal
     x = F.transform(F.col(value), lambda v: v.cast("double"))
     product = F.transform(by_col, lambda w: F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p))
     return vectors.withColumn(out, F.when(F.size(value) == rows, product))
 
 
-def matmul_relational(vectors: DataFrame, weights: DataFrame, key: str = "vec_id", value: str = "embedding") -> DataFrame:
+def _batched(vectors: DataFrame, weights: Sequence[Sequence[float]]) -> Callable:
+    """A function of a vector column that multiplies by broadcast weights, a batch of vectors at once."""
+    shared = vectors.sparkSession.sparkContext.broadcast(np.asarray(weights, dtype=np.float64))
+
+    def product(values: pd.Series) -> pd.Series:
+        w = shared.value
+        fits = np.array([v is not None and len(v) == len(w) for v in values], dtype=bool)
+        result = np.full(len(values), None, dtype=object)
+        if fits.any():
+            x = np.array([[np.nan if e is None else e for e in v] for v in values[fits]], dtype=np.float64)
+            missing = np.array([any(e is None for e in v) for v in values[fits]])
+            for at, row, unknown in zip(np.flatnonzero(fits), x @ w, missing, strict=True):
+                result[at] = [None] * w.shape[1] if unknown else row
+        return pd.Series(result)
+
+    return F.pandas_udf(product, "array<double>")
+
+
+def matmul_relational(vectors: DataFrame, weights: DataFrame, key: str = "vec_id", value: str = "embedding", broadcast_cells: int = BROADCAST_CELLS, salts: int = SALTS) -> DataFrame:
     """vector x weights(i, j, w), as rows (key, j, y). Cells that are not stored count as zero.
 
-    For weights too large to inline: the join is on the inner index and the sums are
-    combined before the shuffle on (key, j).
+    A NULL element with a stored weight gives NULL. Weights of up to broadcast_cells, which is
+    counted, are broadcast. Larger ones are joined on the inner index, of which there are few
+    values, so each is dealt in `salts` copies and the vectors among those. Sums are combined
+    before the shuffle on (key, j).
     """
     x = vectors.select(F.col(key).alias("_k"), F.posexplode(value).alias("_i", "_v"))
     w = weights.select(F.col("i").alias("_wi"), F.col("j"), F.col("w"))
-    joined = x.join(w, F.col("_i") == F.col("_wi"))
-    return joined.groupBy(F.col("_k").alias(key), "j").agg(F.sum(F.col("_v").cast("double") * F.col("w")).alias("y"))
+    if w.limit(broadcast_cells + 1).count() <= broadcast_cells:
+        joined = x.join(F.broadcast(w), F.col("_i") == F.col("_wi"))
+    else:
+        x = x.withColumn("_s", F.pmod(F.xxhash64("_k"), F.lit(salts)))
+        w = w.withColumn("_ws", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = x.join(w, (F.col("_i") == F.col("_wi")) & (F.col("_s") == F.col("_ws")))
+    y = F.when(~F.bool_or(F.col("_v").isNull()), F.sum(F.col("_v").cast("double") * F.col("w")))
+    return joined.groupBy(F.col("_k").alias(key), "j").agg(y.alias("y"))
 
 
 def identity_weights(spark, n: int) -> DataFrame:
@@ -67,7 +100,7 @@ def tolerance_check(df: DataFrame, output: str, expected: str, tolerance: float
     out = df.withColumn("max_error", Q.max_error(Q.errors(F.col(output), F.col(expected)), nan_policy))
     ok = Q.within(F.col("max_error"), tolerance)
     if strict:
-        ok = F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("Validation failed. Max error = "), F.coalesce(F.col("max_error").cast("string"), F.lit("unknown")))).cast("boolean"))
+        ok = F.when(ok, F.lit(True)).otherwise(F.raise_error(Q.concat("Validation failed. Max error = ", F.col("max_error"))).cast("boolean"))
     return out.withColumn("pass", ok)
 
 
@@ -84,6 +117,18 @@ def status_report(checked: DataFrame) -> DataFrame:
     ).withColumn("status", F.when(F.col("n") == F.col("n_pass"), "PASS").otherwise("FAILED"))
 
 
+def observed(checked: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The frame, and its count of rows, passes and largest error, which come with the next action on it."""
+    seen = Observation(name)
+    metrics = F.count(F.lit(1)).alias("n"), F.count_if(F.col("pass")).alias("n_pass"), F.max("max_error").alias("max_error")
+    return checked.observe(seen, *metrics), seen
+
+
+def error_text(e: Exception) -> str:
+    """The class and the message of an error."""
+    return f"{type(e).__name__}: {e}"
+
+
 def guarded_report(make: Callable[[], DataFrame], spark) -> DataFrame:
     """status_report of make(), or one FAILED row with the error's class and message."""
     schema = "n long, n_pass long, max_error double, status string, error string"
@@ -92,7 +137,7 @@ def guarded_report(make: Callable[[], DataFrame], spark) -> DataFrame:
         return spark.createDataFrame([(r["n"], r["n_pass"], r["max_error"], r["status"], None)], schema)
     except Exception as e:
         LOG.exception("check failed")
-        return spark.createDataFrame([(0, 0, None, "FAILED", f"{type(e).__name__}: {e}")], schema)
+        return spark.createDataFrame([(0, 0, None, "FAILED", error_text(e))], schema)
 
 
 def batch_inference(df: DataFrame, make_predict: Callable, value: str = "embedding", out: str = "y", width: int = 64, batch_size: int = 1024) -> DataFrame:
@@ -128,9 +173,10 @@ def timed(df: DataFrame) -> float:
     return (time.perf_counter_ns() - began) / 1_000_000.0
 
 
-def log_rows(df: DataFrame, at_most: int = 100) -> int:
-    """Log the rows of a small report."""
-    rows = df.take(at_most)
-    for r in rows:
-        LOG.info("%s", r.asDict())
-    return len(rows)
+def log_rows(df: DataFrame, log: Callable[[dict], object] | None = None) -> int:
+    """Hand every row to the log, a partition at a time on the driver; meant for reports."""
+    log = log or (lambda row: LOG.info("%s", row))
+    n = 0
+    for n, row in enumerate(df.toLocalIterator(), 1):
+        log(row.asDict())
+    return n

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon import functions as Q
 from quillon import operators as O
 from quillon import sources as S
+from quillon.session import Registry
 
 SCALE, ZERO_POINT, LO, HI = 1 / 128, 3, -128, 127
 WIDTH = 64
@@ -107,19 +108,67 @@ def elementwise_error(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.posexplode("e").alias("i", "error"))
 
 
-# Outputs and expectations fed to the error step: bounds, NaN, infinity, lengths.
+# Outputs and expectations fed to the error step: bounds, NaN, infinity, lengths, unknown elements.
 EDGES = [
     ([1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.0]), ([1.5, 2.0], [1.0, 2.0]), ([0.0625, 2.0], [0.0, 2.0]), ([float("nan"), 2.0], [1.0, 2.0]),
     ([float("inf"), 2.0], [1.0, 2.0]), ([1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0]), ([1.0, 2.0, 9.0], [1.0, 2.0]), ([], []),
+    ([None, 2.0], [1.0, 2.0]), ([9.0, 2.0], [None, 2.0]), ([None], [None]), ([1.0, 2.0, None], [1.0, 2.0]), (None, [1.0]), ([1.0], None),
 ]
 
 
 def edge_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Both NaN policies; an output that is too short fails, one that is too long passes."""
+    """Both NaN policies; an output that is too short or has an unknown element fails, one that is too long passes."""
     df = S.cases(spark, [(i, a, b) for i, (a, b) in enumerate(EDGES)])
-    strict = O.tolerance_check(df, "input", "expected").select("case_id", F.col("pass").alias("pass_strict"))
-    lenient = O.tolerance_check(df, "input", "expected", nan_policy="ignore").select("case_id", F.col("pass").alias("pass_ignoring_nan"))
-    return strict.join(lenient, "case_id")
+    errs = Q.errors(F.col("input"), F.col("expected"))
+    passes = lambda policy: Q.within(Q.max_error(errs, policy))
+    return df.select("case_id", passes("fail").alias("pass_strict"), passes("ignore").alias("pass_ignoring_nan"), Q.max_error(errs).isNull().alias("unknown"), Q.max_abs(F.col("input")).isNull().alias("abs_unknown"))
+
+
+def failures(spark: SparkSession, d: str) -> DataFrame:
+    """Errors that become rows: a check that fails, no such provider, no such model, a wrong type, and none."""
+    wrong = S.cases(spark, [(0, [2.0], [1.0])])
+    checked = lambda df: O.tolerance_check(df, "input", "expected", strict=True)
+    makes = {
+        "fine": lambda: checked(S.self_check(spark)),
+        "strict": lambda: checked(wrong),
+        "provider": lambda: O.provider_filter(S.providers(spark), "ep_name", "npu", required=True),
+        "model": lambda: S.blob(spark, f"{d}/no_such_model.onnx"),
+        "type": lambda: checked(O.typed(wrong.select("case_id", F.lit("x").alias("input"), "expected"), "case_id long, input array<float>, expected array<float>")),
+    }
+    kind = F.regexp_extract("error", r"^(\w+)", 1)
+    told = F.regexp_extract("error", r"Validation failed\. Max error = [0-9.]+|no provider named \w+|PATH_NOT_FOUND|INVALID_COLUMN_OR_FIELD_DATA_TYPE", 0)
+    rows = [O.guarded_report(make, spark).select(F.lit(k).alias("case"), "status", "n", F.coalesce(F.when(kind.like("%Exception"), "engine").otherwise(kind), F.lit("")).alias("raised"), F.coalesce(told, F.lit("")).alias("told")) for k, make in makes.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def environment(spark: SparkSession, d: str) -> DataFrame:
+    """The providers, the engine's version and a setting, by name."""
+    row = O.provider_filter(S.providers(spark), "ep_name", "spark", required=True).join(S.runtime(spark))
+    return row.select("ep_name", (F.col("slots") > 0).alias("has_slots"), F.rlike("engine_version", F.lit(r"^\d+\.\d+")).alias("has_version"), F.lit(S.setting(spark, "quillon.no.such", "none")).alias("setting"))
+
+
+def blob_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A file as one blob: whole, with its leading bytes."""
+    b = S.blob(spark, f"{d}/region.parquet")
+    return b.select((F.length("content") == F.col("length")).alias("whole"), F.decode(F.substring("content", 1, 4), "UTF-8").alias("magic"))
+
+
+def registered_function(spark: SparkSession, d: str) -> DataFrame:
+    """A function registered for a query and gone after it is planned."""
+    own = Registry(spark)
+    own.define("quillon_scaled", "x DOUBLE, by DOUBLE", "DOUBLE", "x * by + 1")
+    out = S.table(spark, d, "nation").select("n_nationkey", F.expr("quillon_scaled(n_nationkey, 0.5D)").alias("y"))
+    own.unregister()
+    return out
+
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """Values put into a message, and a template without its common indent."""
+    block = Q.concat("\n    Region ", F.col("r_regionkey"), "\n      ", F.col("r_name"), "\n\n    end\n  ")
+    return S.table(spark, d, "region").select("r_regionkey", Q.concat("Max error = ", F.col("r_regionkey") / 4, "; ", F.lit(None)).alias("message"), Q.dedent(block).alias("report"))
 
 
 def lenient_pick(spark: SparkSession, d: str) -> DataFrame:
@@ -163,7 +212,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (tensor_scan, row_pick, provider_filter, matmul_identity, matmul_dense, qdq_roundtrip, qdq_max_error, tolerance_check, max_abs_fold, error_by_label, array_render, status_report, self_check, batch_inference, elementwise_error, edge_cases, lenient_pick, durations, rendered, signature, output_pick, flagship)
+    for f in (tensor_scan, row_pick, provider_filter, matmul_identity, matmul_dense, qdq_roundtrip, qdq_max_error, tolerance_check, max_abs_fold, error_by_label, array_render, status_report, self_check, batch_inference, elementwise_error, edge_cases, lenient_pick, durations, rendered, signature, output_pick, failures, environment, blob_scan, registered_function, texts, flagship)
 }
 
 _ELEMENTS = "SELECT vec_id, label, CAST(unnest(range(64)) AS INTEGER) AS i, unnest(embedding) AS v FROM embeddings"
@@ -171,6 +220,14 @@ _Q = f"""SELECT vec_id, label, i, v, CAST(least(greatest(round_even(CAST(v AS DO
 _DQ = f"SELECT vec_id, label, i, v, q, CAST(q - {ZERO_POINT} AS DOUBLE) / 128 AS dq FROM ({_Q})"
 _ERR = f"SELECT vec_id, label, max(abs(dq - CAST(v AS DOUBLE))) AS max_error FROM ({_DQ}) GROUP BY vec_id, label"
 
+
+
+def _array(values: list | None) -> str:
+    if values is None:
+        return "NULL::FLOAT[]"
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'::FLOAT" for v in values) + "]::FLOAT[]"
+
+
 ORACLES: dict[str, str] = {
     "tensor_scan": "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n FROM embeddings",
     "row_pick": "SELECT vec_id, embedding[1] AS first_value FROM embeddings",
@@ -187,7 +244,20 @@ ORACLES: dict[str, str] = {
     "self_check": "SELECT CAST(0 AS BIGINT) AS case_id, [1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, 4.0::DOUBLE] AS y, 0.0::DOUBLE AS max_error, true AS pass",
     "batch_inference": f"SELECT vec_id, i, v AS y FROM ({_ELEMENTS})",
     "elementwise_error": f"SELECT vec_id, i, abs(dq - CAST(v AS DOUBLE)) AS error FROM ({_DQ})",
-    "edge_cases": "SELECT * FROM (VALUES (0::BIGINT, true, true), (1, false, false), (2, true, true), (3, false, true), (4, false, false), (5, false, false), (6, true, true), (7, true, true)) AS t(case_id, pass_strict, pass_ignoring_nan)",
+    "edge_cases": f"""
+        SELECT case_id, coalesce(len(output) >= len(expected) AND len(list_filter(errs, lambda e: e IS NULL OR isnan(e) OR e > {Q.TOLERANCE})) = 0, false) AS pass_strict,
+               coalesce(len(output) >= len(expected) AND len(list_filter(errs, lambda e: e IS NULL OR (NOT isnan(e) AND e > {Q.TOLERANCE}))) = 0, false) AS pass_ignoring_nan,
+               coalesce(len(output) < len(expected) OR len(list_filter(errs, lambda e: e IS NULL)) > 0, true) AS unknown,
+               coalesce(len(list_filter(output, lambda v: v IS NULL)) > 0, true) AS abs_unknown
+        FROM (SELECT *, list_transform(range(1, len(expected) + 1), lambda i: abs(output[i]::DOUBLE - expected[i]::DOUBLE)) AS errs
+              FROM (VALUES {", ".join(f"({i}::BIGINT, {_array(a)}, {_array(b)})" for i, (a, b) in enumerate(EDGES))}) AS t(case_id, output, expected))""",
+    "failures": """SELECT * FROM (VALUES ('fine', 'PASS', 1::BIGINT, '', ''), ('strict', 'FAILED', 0, 'engine', 'Validation failed. Max error = 1.0'),
+        ('provider', 'FAILED', 0, 'LookupError', 'no provider named npu'), ('model', 'FAILED', 0, 'engine', 'PATH_NOT_FOUND'),
+        ('type', 'FAILED', 0, 'engine', 'INVALID_COLUMN_OR_FIELD_DATA_TYPE')) AS t("case", status, n, raised, told)""",
+    "environment": "SELECT 'spark' AS ep_name, true AS has_slots, true AS has_version, 'none' AS setting",
+    "blob_scan": "SELECT true AS whole, 'PAR1' AS magic",
+    "registered_function": "SELECT n_nationkey, n_nationkey * 0.5::DOUBLE + 1 AS y FROM nation",
+    "texts": "SELECT r_regionkey, 'Max error = ' || CAST(r_regionkey / 4.0::DOUBLE AS VARCHAR) || '; null' AS message, 'Region ' || r_regionkey || chr(10) || '  ' || r_name || chr(10) || chr(10) || 'end' AS report FROM region",
     "lenient_pick": "SELECT vec_id, embedding[65] AS beyond, embedding[64] AS last_value FROM embeddings",
     "durations": "SELECT event_id, (event_id * 1000) / 1000000.0::DOUBLE AS ms FROM events",
     "rendered": "SELECT n_nationkey, 'lib/' || n_name AS path, printf('%.3f', n_nationkey / 8.0::DOUBLE) AS text, 'spark' AS backend, CASE WHEN n_nationkey > 20 THEN 'dynamic' WHEN n_nationkey > 10 THEN 'dark' ELSE 'light' END AS choice FROM nation",

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -11,7 +12,12 @@ LOG = logging.getLogger("quillon")
 
 
 def start(app: str = "quillon", master: str | None = None, options: Mapping[str, str] | None = None, executor_env: Mapping[str, str] | None = None) -> SparkSession:
-    """Get or create the session. Executor variables are set before the runtime starts."""
+    """Get or create the session. Executor variables are set before the runtime starts.
+
+    A runtime that is already up cannot take executor variables any more, so asking for some is an error.
+    """
+    if executor_env and SparkSession.getActiveSession() is not None:
+        raise RuntimeError("executor variables have to be set before the engine starts")
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -33,6 +39,11 @@ class Registry:
         self.spark.udf.register(name, fn, return_type)
         self.names.append(name)
 
+    def define(self, name: str, parameters: str, returns: str, body: str) -> None:
+        """A function whose body is an SQL expression; the optimizer puts it in place of the call."""
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION `{name}`({parameters}) RETURNS {returns} RETURN {body}")
+        self.names.append(name)
+
     def unregister(self) -> list[str]:
         done = []
         while self.names:
@@ -52,3 +63,37 @@ def teardown(*steps: tuple[str, Callable[[], object]]) -> list[tuple[str, str]]:
             LOG.exception("teardown step %s", name)
             failed.append((name, f"{type(e).__name__}: {e}"))
     return failed
+
+
+def when_set(flag: object, action: Callable[[], object]) -> object:
+    """The action's result if the flag holds, else None; the action is not touched then."""
+    return action() if flag else None
+
+
+def call(target: object | None, method: str, *args) -> object:
+    """target.method(*args), or None if there is no target."""
+    return None if target is None else getattr(target, method)(*args)
+
+
+@contextmanager
+def released(resource, method: str = "close") -> Iterator:
+    """The resource, let go by its own method however the block ends; None is passed through."""
+    try:
+        yield resource
+    finally:
+        call(resource, method)
+
+
+@contextmanager
+def engine(stop: bool = True, **start_options) -> Iterator[tuple[SparkSession, Registry]]:
+    """A session with a registry; on the way out caches go, then functions, then the session, each on its own."""
+    spark = start(**start_options)
+    registry = Registry(spark)
+    try:
+        yield spark, registry
+    finally:
+        teardown(
+            ("cache", spark.catalog.clearCache),
+            ("functions", lambda: when_set(registry.names, registry.unregister)),
+            ("session", lambda: when_set(stop, spark.stop)),
+        )

@@ -1,4 +1,7 @@
 import math
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -9,8 +12,10 @@ from quillon import operators as O
 from quillon import plans
 from quillon import sources as S
 from quillon.plans import queries as core
+from quillon import session as L
 from quillon.session import Registry, teardown
 from quillon.streaming import checked_stream, vector_stream
+from tests.conftest import ROOT
 from tests.oracle import assert_same
 
 
@@ -34,12 +39,13 @@ EDGES = [
     ([1, 2, 3, 4], [1, 2, 3, 4], True, True), ([1.1, 2, 3, 4], [1, 2, 3, 4], True, True), ([1.2, 2, 3, 4], [1, 2, 3, 4], False, False),
     ([0.11], [0], True, True), ([NAN, 2, 3, 4], [1, 2, 3, 4], False, True), ([INF, 2, 3, 4], [1, 2, 3, 4], False, False),
     ([1, 2, 3], [1, 2, 3, 4], False, False), ([1, 2, 3, 4, 9], [1, 2, 3, 4], True, True), ([], [], True, True), (None, [1], False, False),
+    ([None, 2], [1, 2], False, False), ([9, 2], [None, 2], False, False), ([None], [None], False, False), ([1, 2, None], [1, 2], True, True), ([1], None, False, False),
 ]
 
 
 @pytest.mark.parametrize("policy,at", [("fail", 2), ("ignore", 3)])
 def test_edges(spark, policy, at):
-    fl = lambda v: None if v is None else [float(x) for x in v]
+    fl = lambda v: None if v is None else [None if x is None else float(x) for x in v]
     df = S.cases(spark, [(i, fl(a), fl(b)) for i, (a, b, *_) in enumerate(EDGES)])
     got = {r.case_id: r["pass"] for r in O.tolerance_check(df, "input", "expected", nan_policy=policy).collect()}
     assert got == {i: e[at] for i, e in enumerate(EDGES)}
@@ -83,7 +89,10 @@ def test_sources_and_lifecycle(spark, sf, tmp_path):
     seen = []
     failed = teardown(("a", lambda: 1 / 0), ("b", lambda: seen.append(r.unregister())))
     assert [f[0] for f in failed] == ["a"] and seen == [["plus_one"]]
-    assert O.timed(S.self_check(spark)) > 0 and O.log_rows(S.self_check(spark)) == 1
+    assert O.timed(S.self_check(spark)) > 0
+    logged = []
+    assert O.log_rows(spark.range(300).repartition(3), logged.append) == 300 and sorted(r["id"] for r in logged) == list(range(300))
+    assert O.log_rows(S.self_check(spark)) == 1 and O.log_rows(spark.range(0)) == 0
     row = spark.range(1).select(Q.nanos_to_millis(F.lit(1500000)).alias("ms"), Q.fixed3(F.lit(1.25)).alias("s"), Q.join_path(F.lit("a"), F.lit("b")).alias("p"), Q.option_map({"backend": "x"}).alias("m"), Q.first_match((F.lit(False), F.lit(1)), (F.lit(True), F.lit(2)), default=F.lit(3)).alias("c")).first()
     assert (row.ms, row.s, row.p, row.m, row.c) == (1.5, "1.250", "a/b", {"backend": "x"}, 2)
     assert O.status_report(O.tolerance_check(S.cases(spark, []), "input", "expected")).first().status == "PASS"
@@ -119,7 +128,91 @@ def test_vectors_of_other_lengths(spark):
     df = S.cases(spark, [(0, [1.0, 2.0], None), (1, [1.0], None), (2, None, None), (3, [], None)])
     got = {r.case_id: r.y for r in O.matmul(df, [[1.0, 0.5], [0.0, 2.0]], "input").collect()}
     assert got == {0: [1.0, 4.5], 1: None, 2: None, 3: None}
-    with pytest.raises(ValueError):
-        O.matmul(df, [[0.0] * 300] * 300, "input")
     assert O.pick_output(df, 1).columns == ["input"] and O.typed(df.select("case_id"), "case_id long").count() == 4
     assert O.compiled(df) >= 0 and S.setting(spark, "spark.master").startswith("local") and S.setting(spark, "no.such", "x") == "x"
+
+
+def test_unknown_elements(spark):
+    df = S.cases(spark, [(0, [1.0, None], None), (1, [3.0, -4.0], None), (2, [None, None], None), (3, [], None), (4, None, None)])
+    assert {r.case_id: r.m for r in df.select("case_id", Q.max_abs(F.col("input")).alias("m")).collect()} == {0: None, 1: 4.0, 2: None, 3: 0.0, 4: None}
+    got = {r.case_id: r.y for r in O.matmul(df, [[1.0, 0.5], [0.0, 2.0]], "input").collect()}
+    assert got == {0: [None, None], 1: [3.0, -6.5], 2: [None, None], 3: None, 4: None}
+    cells = spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.5), (1, 1, 2.0)], "i int, j int, w double")
+    want = {(0, 0): 1.0, (0, 1): None, (1, 0): 3.0, (1, 1): -6.5, (2, 0): None, (2, 1): None}
+    for most in (100, 0):  # broadcast; dealt in copies
+        assert {(r.case_id, r.j): r.y for r in O.matmul_relational(df, cells, "case_id", "input", broadcast_cells=most, salts=3).collect()} == want
+
+
+def test_large_weights(spark):
+    rng = np.random.default_rng(1)
+    w = rng.integers(-4, 5, (300, 300)) / 8
+    x = rng.integers(-8, 9, (20, 300)) / 4
+    rows = [(i, v.tolist(), None) for i, v in enumerate(x)] + [(20, [1.0], None), (21, None, None), (22, [None] + [1.0] * 299, None)]
+    got = {r.case_id: r.y for r in O.matmul(S.cases(spark, rows), w.tolist(), "input").collect()}
+    assert all(got[i] == (x[i] @ w).tolist() for i in range(20)) and got[20] is None and got[21] is None and got[22] == [None] * 300
+
+
+def test_observed_metrics(spark):
+    rows = [(i, [float(i % 3)], [0.0]) for i in range(30)]
+    df, seen = O.observed(O.tolerance_check(S.cases(spark, rows), "input", "expected"), "checked")
+    assert df.count() == 30 and seen.get == {"n": 30, "n_pass": 10, "max_error": 2.0}
+
+
+def test_dedent(spark):
+    texts = ["  a\n   b\n", "\n    x\n\n      y\n  ", "plain", "", "\n\n", "a\n  b", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.d for r in df.select("i", Q.dedent(F.col("t")).alias("d")).collect()}
+    assert got == {0: "a\n b", 1: "x\n\n  y", 2: "plain", 3: "", 4: "", 5: "a\n  b", 6: None}
+
+
+def test_typed_raises_on_other_types(spark):
+    with pytest.raises(Exception, match="INVALID_COLUMN_OR_FIELD_DATA_TYPE"):
+        O.typed(S.self_check(spark).select("case_id", F.lit("x").alias("input")), "case_id long, input array<float>")
+
+
+def test_guards():
+    class Handle:
+        open = 1
+
+        def close(self):
+            self.open -= 1
+
+    assert L.call(None, "close") is None and L.call("a b", "split", " ") == ["a", "b"]
+    assert L.when_set(0, lambda: 1 / 0) is None and L.when_set(1, lambda: 7) == 7
+    h = Handle()
+    with pytest.raises(KeyError), L.released(h) as own:
+        assert own is h and h.open
+        raise KeyError("inside")
+    assert h.open == 0
+    with L.released(None) as own:
+        assert own is None
+
+
+def test_engine_scope(spark):
+    with L.engine(stop=False) as (own, registry):
+        registry.define("quillon_twice", "x INT", "INT", "x * 2")
+        assert own.sql("select quillon_twice(4)").first()[0] == 8
+    with pytest.raises(Exception, match="UNRESOLVED_ROUTINE"):
+        spark.sql("select quillon_twice(4)").collect()
+    with pytest.raises(RuntimeError, match="before the engine starts"):
+        L.start(executor_env={"A": "1"})
+
+
+START = """
+import os
+from quillon import session as L
+with L.engine(app="t", master="local[1]", options={"spark.ui.enabled": "false", "quillon.x": "7"}, executor_env={"QUILLON_PATH": "/opt/lib"}) as (spark, registry):
+    registry.register("seen", lambda: os.environ.get("QUILLON_PATH"), "string")
+    print(spark.sql("select seen()").first()[0], spark.conf.get("quillon.x"), spark.conf.get("spark.sql.session.timeZone"), spark.version)
+from pyspark.sql import SparkSession
+print(SparkSession.getActiveSession())
+"""
+
+
+def test_start_sets_environment_and_options():
+    """In a process of its own, as variables go to the engine before it starts."""
+    env = {**os.environ, "PYTHONPATH": ROOT}
+    out = subprocess.run([sys.executable, "-c", START], env=env, capture_output=True, text=True, check=True, timeout=120).stdout.split()
+    import pyspark
+
+    assert out == ["/opt/lib", "7", "UTC", pyspark.__version__, "None"]
