@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A table of at most so many narrow rows may be broadcast.
 BROADCAST_ROWS = 50_000
+#: A key of more rows than this, or than one in HOT_KEYS of all, is hot; so there are at most HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -17,16 +19,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows, computed once, in the folder of spark.checkpoint.dir; it survives lost executors.
-
-    Only where no folder is set, as in tests, a temporary one is used.
-    """
+    """The rows, computed once, in the folder of spark.checkpoint.dir; it survives lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local master, as in tests, may go without: it gets a temporary one."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set; the driver and executors need a shared folder")
+    return tempfile.mkdtemp(prefix="quillon-")
+
+
 def has_repeats(docs: DataFrame) -> bool:
     """Whether an id occurs twice; reads ids only."""
     return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
@@ -45,6 +53,21 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def matched(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with the saved table(key, n, ...) on the key, how: inner or left; n goes.
+
+    n is how many of the `total` rows have the key. Hot keys are few by that, so they are
+    broadcast and their rows stay where they are; only rows of other keys are shuffled.
+    rows are read twice, so they should be saved.
+    """
+    if total <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key, how).drop("n")
+    is_hot = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(table.where(is_hot))
+    others = rows.join(hot.select(key), key, "left_anti").join(table.where(~is_hot), key, how)
+    return rows.join(hot, key).unionByName(others).drop("n")
+
+
 #: Least and most bits of a bitmap, as powers of 2: the largest has 16 MB.
 BITS = (17, 27)
 

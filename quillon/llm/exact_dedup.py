@@ -4,7 +4,10 @@ Only hashes and ids are shuffled for all rows. Texts move only for rows whose ha
 may occur twice, and of those a group's smallest and largest text are aggregated
 on the map side: the two are equal exactly if all bytes of the group are.
 
-Defined results: null text counts as empty; a null doc_id is never kept over another;
+A text that a large part of all rows has does not gather these rows in one task: the few
+hashes of so many rows are broadcast.
+
+Defined results: null text counts as empty; texts of any length are hashed and compared whole; a null doc_id is never kept over another;
 rows that repeat a doc_id and its text form one group and are all marked as kept;
 an empty table gives an empty result; further columns are ignored.
 """
@@ -16,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ascii_lower, bitmap, has_repeats, saved, text_of, with_maybe, without
+from quillon.llm.common import ascii_lower, bitmap, has_repeats, matched, saved, text_of, with_maybe, without
 
 
 def content_hash(text: Column) -> Column:
@@ -36,7 +39,7 @@ def exact_groups(docs: DataFrame, bits: int | None = None, hash_of: Callable[[Co
     extremes = doubtful.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     mixed = saved(extremes.where("lo <> hi").select("h"))
 
-    out = rows.join(groups, "h", "left")
+    out = matched(rows, groups.withColumn("n", F.col("group_size")), "h", rows.count(), "left")
     if not mixed.isEmpty():  # different bytes under one hash: these rows are grouped by their bytes
         apart = doubtful.join(mixed, "h", "left_semi").withColumn("sha", F.unhex(F.sha2("t", 256)))
         exact = apart.groupBy("h", "t").agg(stable("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

@@ -11,16 +11,26 @@ bitwise counters through carry-save adders, and a word is abandoned when all its
 have passed the radius. Links leave a task as a spanning forest, never as pairs. A bucket
 that is too large is cut into tiles, and every pair of tiles is a task's unit of work.
 
-Components of the links are found by alternating large-star and small-star rounds.
-
-Defined results: null and empty texts have fingerprint zero and are linked like others;
-texts of under four words are one shingle; equal fingerprints are always linked; a null
+Components of the links are found by alternating large-star and small-star rounds. Where
+a join meets a node of many links, that node is broadcast.
+
+similar_groups links texts whose sets of five-word shingles have a Jaccard similarity of
+0.8 or more. Such sets share a bucket by one of BANDS keys of ROWS least hashes each (a pair
+at exactly 0.8 misses all of them once in 4600 times, one at 0.9 once in 10^7), where the same
+bit-sliced comparison leaves those within a wide radius. Of these only the forest is kept,
+and the texts of each of its components are compared exactly: smaller components at once,
+larger ones by the same buckets and tiles.
+
+Defined results: null and empty texts have fingerprint zero and are linked like others, by
+similar_groups with each other only; texts of under four (five) words are one shingle; very long
+texts are read whole; equal fingerprints are always linked; a null
 doc_id never names a component that has another id; an empty table gives no rows;
 further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,13 +39,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import has_repeats, saved, text_of, without
+from quillon.llm.common import bitmap, has_repeats, matched, saved, text_of, with_maybe, without
 
 WIDTH, RADIUS, SEED = 4, 4, 42
-#: Rows of a bucket compared in one piece; of a larger one, rows of a tile.
-BUCKET = 2048
+#: Words of a shingle and the least Jaccard similarity of similar texts; bits that their fingerprints may
+#: differ by: 10 are expected at a similarity of 0.8, with a deviation of 3; bands, and least hashes in each.
+SIMILAR_WIDTH, SIMILARITY, WIDE_RADIUS, BANDS, ROWS = 5, 0.8, 24, 16, 4
+#: Rows of a bucket compared in one piece; a larger one has tiles of half as many. And the same for whole texts.
+BUCKET, TEXTS = 8192, 512
 #: Mean rows a bucket may have before keys take in one block more.
 MEAN = 256
+#: Hot buckets up to which their list is broadcast.
+HOT_BUCKETS = 50_000
 #: Comparisons of a fingerprint with a word that are held at once.
 CHUNK = 1 << 19
 
@@ -43,18 +58,21 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str, width: int = WIDTH) -> int:
-    """Bits set in over half the hashes of a text's word shingles."""
+def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
+    """A hash of each run of `width` words, repeats included; of the whole sequence if it is shorter."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, hash_of = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = np.array([hash_of(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.append(0, ends[: -width] + 1)
-        hashes = np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)], dtype=np.uint64)
+        return np.array([hash_of(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.append(0, ends[: -width] + 1)
+    return np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; 0 if there are none."""
     n, value = len(hashes), 0
     if n < 64:
         counts = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -66,6 +84,11 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
     return value
 
 
+def fingerprint(text: str, width: int = WIDTH) -> int:
+    """Bits set in over half the hashes of a text's word shingles."""
+    return majority(shingle_hashes(text, width))
+
+
 def _fingerprints(width):
     def run(batches):
         for batch in batches:
@@ -156,12 +179,11 @@ def forest(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | None = None
     return label
 
 
-def link_groups(group: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For rows sorted by group: the first row of each row's component of links inside its group."""
+def hits(group: np.ndarray, prints: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows within the radius, of rows sorted by group; some at a time, never all of them."""
     n = len(prints)
-    label = np.arange(n)
     if not n:
-        return label
+        return
     start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     sizes = np.diff(np.append(start, n))
     inside = np.arange(n) - np.repeat(start, sizes)
@@ -185,8 +207,15 @@ def link_groups(group: np.ndarray, prints: np.ndarray, radius: int = RADIUS) ->
         for k in range(0, len(q), 1 << 15):
             hit = np.unpackbits(lanes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             i, j = np.nonzero(hit)
-            label = forest(n, q[k + i], row_at[w[k + i] * 64 + j], label)
+            yield q[k + i], row_at[w[k + i] * 64 + j]
         at = stop
+
+
+def link_groups(group: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For rows sorted by group: the first row of each row's component of links inside its group."""
+    label = np.arange(len(prints))
+    for i, j in hits(group, prints, radius):
+        label = forest(len(label), i, j, label)
     return label
 
 
@@ -210,81 +239,203 @@ def agreeing(n: int, radius: int, mean: int = MEAN) -> int:
     return agree
 
 
-def _linker(radius: int):
-    """Rows sorted by (mask, key, tile) as edges fp - first fp of its component in the group."""
+GROUP_KEYS = ("mask", "key", "tile")
+
 
-    def links(table: pa.Table):
-        prints = table["fp"].to_numpy().astype(np.int64)
-        same = np.zeros(len(prints), bool)
-        for name in ("mask", "key", "tile"):
+def _by_group(batches: Iterator[pa.RecordBatch], least: int, most_bytes: int = 1 << 26) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows sorted by GROUP_KEYS, at least so many rows or bytes at once, with their numbers."""
+    kept, rows, size = [], 0, 0
+
+    def numbers(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        for name in GROUP_KEYS:
             x = table[name].to_numpy()
-            same[1:] |= x[1:] != x[:-1]
-        root = link_groups(np.cumsum(same), prints.view(np.uint64), radius)
-        on = root != np.arange(len(root))
-        return pa.RecordBatch.from_arrays([pa.array(prints[on]), pa.array(prints[root[on]])], names=["u", "v"])
+            new[1:] |= x[1:] != x[:-1]
+        return np.cumsum(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows < least and size < most_bytes:
+            continue
+        table = pa.Table.from_batches(kept)
+        number = numbers(table)
+        cut = int(np.searchsorted(number, number[-1]))  # the last group may go on in the next batch
+        if cut:
+            yield table.slice(0, cut), number[:cut]
+            table = pa.Table.from_batches(table.slice(cut).combine_chunks().to_batches())
+        kept, rows, size = table.to_batches(), table.num_rows, table.nbytes
+    if rows:
+        table = pa.Table.from_batches(kept)
+        yield table, numbers(table)
+
+
+def _linker(radius: int, node: str):
+    """Rows (mask, key, tile, fp, node) as edges from a node to the first of its component in the group."""
 
     def run(batches):
-        kept, rows = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kept.append(batch)
-            rows += batch.num_rows
-            if rows < 1 << 16:
-                continue
-            table = pa.Table.from_batches(kept)
-            key = [table[c].to_numpy() for c in ("mask", "key", "tile")]
-            last = np.ones(rows, bool)
-            for x in key:
-                last &= x == x[-1]
-            cut = int(np.argmax(last))  # the last group may go on in the next batch
-            if cut:
-                yield links(table.slice(0, cut))
-            kept = table.slice(cut).to_batches()
-            rows -= cut
-        if rows:
-            yield links(pa.Table.from_batches(kept))
+        for table, number in _by_group(batches, 1 << 16):
+            root = link_groups(number, table["fp"].to_numpy().astype(np.int64).view(np.uint64), radius)
+            on = np.flatnonzero(root != np.arange(len(root)))
+            names = table[node].combine_chunks()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(on)), names.take(pa.array(root[on]))], names=["u", "v"])
 
     return run
 
 
+def dealt(keyed: DataFrame, bucket: int) -> DataFrame:
+    """Rows (mask, key, ...) with a tile. A bucket of more rows than `bucket` is cut: each pair of tiles is a group."""
+    hot = saved(keyed.groupBy("mask", "key").count().where(F.col("count") > bucket))
+    if hot.isEmpty():
+        return keyed.withColumn("tile", F.lit(0))
+    known = keyed.join(hot if hot.count() > HOT_BUCKETS else F.broadcast(hot), ["mask", "key"], "left")
+    tiles = F.ceil(F.col("count") / F.lit(bucket // 2)).cast("int")
+    own = F.pmod(F.xxhash64(F.lit("tile"), *[c for c in keyed.columns if c not in GROUP_KEYS]), tiles).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), tiles - 1), lambda o: F.least(o, own) * tiles + F.greatest(o, own))
+    return known.withColumn("tile", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(pair))).drop("count")
+
+
+def _grouped_rows(tiled: DataFrame) -> DataFrame:
+    parts = int(tiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiled.repartition(parts, *GROUP_KEYS).sortWithinPartitions(*GROUP_KEYS)
+
+
 def near_links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, n: int | None = None) -> DataFrame:
     """Links u - v that join exactly the components of distinct prints(fp) within the radius."""
-    spark = prints.sparkSession
     masks = block_masks(radius, agreeing(prints.count() if n is None else n, radius))
     keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key"))
-    hot = saved(keyed.groupBy("mask", "key").count().where(F.col("count") > bucket))
-    if hot.isEmpty():
-        tiled = keyed.withColumn("tile", F.lit(0))
-    else:
-        known = keyed.join(hot, ["mask", "key"], "left")
-        tiles = F.ceil(F.col("count") / F.lit(bucket // 2)).cast("int")
-        own = F.pmod(F.xxhash64("fp"), tiles).cast("int")
-        pair = F.transform(F.sequence(F.lit(0), tiles - 1), lambda o: F.least(o, own) * tiles + F.greatest(o, own))
-        tiled = known.select("fp", "mask", "key", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(pair)).alias("tile"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tiled.repartition(parts, "mask", "key", "tile").sortWithinPartitions("mask", "key", "tile")
-    return dealt.mapInArrow(_linker(radius), "u long, v long")
+    return _grouped_rows(dealt(keyed, bucket)).mapInArrow(_linker(radius, "fp"), "u long, v long")
+
+
+# --- similar sets -----------------------------------------------------------------------
+
+
+_FAMILY = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+_FOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """BANDS keys of each set that is not empty, each of the least of ROWS hashes of its members."""
+    whole = np.concatenate(sets)
+    starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
+    keys = np.zeros((len(sets), BANDS), np.uint64)
+    for i, (flip, factor) in enumerate(_FAMILY.T):
+        least = np.minimum.reduceat((whole ^ flip) * (factor | np.uint64(1)), starts)
+        own = (keys[:, i // ROWS] ^ least) * _FOLD
+        keys[:, i // ROWS] = own ^ (own >> np.uint64(32))
+    return keys.view(np.int64)
+
+
+#: Shingles whose least hashes are taken at once.
+TOGETHER = 1 << 20
+
+
+def _sketches(width: int):
+    """Rows (doc_id, text, mark) as (doc_id, mark, node, fp, keys); node is a digest of the shingles' set."""
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        full = [r[2] for r in rows if len(r[2])]
+        found = iter(band_keys(full).tolist() if full else [])
+        keys = [next(found) if len(r[2]) else [] for r in rows]
+        prints = np.array([majority(r[2]) for r in rows], dtype=np.uint64).view(np.int64)
+        nodes = [xxhash.xxh3_128_digest(r[2].tobytes(), SEED) for r in rows]
+        columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(nodes, pa.binary()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "fp", "keys"])
+
+    def run(batches):
+        rows, size = [], 0
+        for batch in batches:
+            for doc_id, text, mark in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                rows.append((doc_id, mark, np.unique(shingle_hashes(text.as_py(), width))))
+                size += len(rows[-1][2])
+                if size >= TOGETHER or len(rows) >= 1 << 14:
+                    yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+    return run
+
+
+def verified(number: np.ndarray, sets: list[np.ndarray], nodes: list[bytes], similarity: float, radius: int = WIDE_RADIUS) -> list[tuple[bytes, bytes]]:
+    """Links of similar sets inside groups; pairs that are joined already are not compared."""
+    prints = np.array([majority(s) for s in sets], dtype=np.uint64)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    label, links = list(range(len(sets))), []
+
+    def top(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for i, j in hits(number, prints, radius):
+        small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        on = (i != j) & (small >= similarity * large) & (small > 0)
+        for a, b in zip(i[on].tolist(), j[on].tolist(), strict=True):
+            x, y = top(a), top(b)
+            if x == y:
+                continue
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if both >= similarity * (sizes[a] + sizes[b] - both):
+                label[max(x, y)] = min(x, y)
+                links.append((nodes[a], nodes[b]))
+    return links
+
+
+def _verifier(width: int, similarity: float):
+    def run(batches):
+        for table, number in _by_group(batches, 1 << 12, 1 << 24):
+            sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in table["text"]]
+            links = verified(number, sets, table["node"].to_pylist(), similarity)
+            columns = zip(*links, strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["u", "v"])
+
+    return run
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, width: int, similarity: float, bucket: int = BUCKET, texts: int = TEXTS) -> DataFrame:
+    """Links u - v that join the components of similar sets; nodes(node, first, least, fp, keys) are distinct sets of docs."""
+    keyed = lambda rows, *more: rows.select(*more, F.posexplode("keys").alias("mask", "key"))
+    near_ = _grouped_rows(dealt(keyed(nodes, "node", "fp"), bucket)).mapInArrow(_linker(WIDE_RADIUS, "node"), "u binary, v binary")
+    stars = saved(components(near_))
+    sizes = saved(stars.groupBy(F.col("root")).agg((F.count(F.lit(1)) + 1).alias("size")))
+    members = stars.select("node", "root").unionByName(sizes.select(F.col("root").alias("node"), "root"))
+    grouped = matched(saved(members), sizes.withColumn("n", F.col("size")), "root", nodes.count())
+    grouped = saved(grouped.join(nodes, "node").select("node", "first", "least", "keys", "size", F.xxhash64("root").alias("group")))
+
+    alone = F.col("size") <= texts
+    whole = grouped.where(alone).select("node", F.lit(-1).alias("mask"), F.col("group").alias("key"), F.lit(0).alias("tile"))
+    split = dealt(saved(keyed(grouped.where(~alone), "node")), texts).select("node", "mask", "key", "tile")
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("mark", F.xxhash64("text"))
+    maybe = with_maybe(rows, bitmap(grouped, "least"), "mark", "maybe").where("maybe").alias("r")
+    same = (F.col("r.mark") == F.col("g.least")) & F.col("r.doc_id").eqNullSafe(F.col("g.first"))
+    own = saved(maybe.join(grouped.alias("g"), same).select("node", "r.text").groupBy("node").agg(F.any_value("text").alias("text")))
+    groups = whole.unionByName(split).join(own, "node")
+    return _grouped_rows(groups).mapInArrow(_verifier(width, similarity), "u binary, v binary")
 
 
 # --- components -----------------------------------------------------------------------
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:
-    return saved(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")))
+    return saved(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = _lowest(both)
-    return both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return matched(both.where("v > u"), low, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = _lowest(down)
-    moved = down.join(low, F.col("u") == F.col("k"))
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+    moved = matched(down, low, "u", total)
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def _digest(edges: DataFrame):
@@ -296,7 +447,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(edges.where("u <> v").distinct())
     seen = _digest(edges)
     while seen[0]:
-        edges = saved(_small_star(saved(_large_star(edges))))
+        edges = saved(_small_star(saved(_large_star(edges, seen[0])), seen[0]))
         now = _digest(edges)
         if now == seen:
             break
@@ -307,28 +458,60 @@ def components(edges: DataFrame) -> DataFrame:
 # --- the operator ---------------------------------------------------------------------
 
 
-def _grouped(docs: DataFrame, radius: int, width: int, bucket: int) -> DataFrame:
-    """Rows with their component's lowest member: an id before none, then by fingerprint and text hash."""
-    rows = saved(fingerprints(docs, width))
-    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("mark").alias("least")))
-    stars = saved(components(near_links(distinct.select("fp"), radius, bucket)))
-    rooted = distinct.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "first", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp", "least")).alias("low"))
-    named = saved(rooted.select("fp", "root").join(lowest, "root").select("fp", "low"))
-    return rows.join(named, "fp")
+def _named(rows: DataFrame, nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    """rows(node, ...) with `low`, their component's lowest member: an id before none, then by node and text hash."""
+    total = rows.count()
+    rooted = nodes.join(stars, "node", "left").select("node", "first", "least", "rows", F.coalesce("root", "node").alias("root"))
+    rooted = saved(rooted)
+    lowest = saved(rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node", "least")).alias("low"), F.count(F.lit(1)).alias("n")))
+    named = matched(rooted.select("node", "root", "rows"), lowest, "root", total).select("node", "low", F.col("rows").alias("n"))
+    return matched(rows, saved(named), "node", total)
+
+
+def _near(docs: DataFrame, radius: int, width: int, bucket: int) -> DataFrame:
+    """doc_id, mark, node (the fingerprint), low of rows linked by fingerprints."""
+    rows = saved(fingerprints(docs, width).withColumnRenamed("fp", "node"))
+    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("mark").alias("least"), F.count(F.lit(1)).alias("rows")))
+    stars = saved(components(near_links(nodes.select(F.col("node").alias("fp")), radius, bucket)))
+    return _named(rows, nodes, stars)
+
+
+def _similar(docs: DataFrame, width: int, similarity: float, bucket: int, texts: int) -> DataFrame:
+    """doc_id, mark, node (a digest of the shingles), low of rows linked by similarity."""
+    first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("mark", F.xxhash64("text"))
+    made = saved(first.mapInArrow(_sketches(width), "doc_id long, mark long, node binary, fp long, keys array<long>"))
+    rows = made.select("doc_id", "mark", "node")
+    shown = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("shown")
+    nodes = made.groupBy("node").agg(shown, F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.count(F.lit(1)).alias("rows"))
+    nodes = saved(nodes.select("node", F.col("shown.doc_id").alias("first"), F.col("shown.mark").alias("least"), "fp", "keys", "rows"))
+    stars = saved(components(similar_links(docs, nodes, width, similarity, bucket, texts)))
+    return _named(rows, nodes, stars)
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint, component_id for each row of docs(doc_id, text)."""
-    rows = _grouped(docs, radius, width, bucket)
-    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("low.first").alias("component_id"))
+    rows = _near(docs, radius, width, bucket)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), F.col("low.first").alias("component_id"))
 
 
-def near_deduplicated(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns."""
-    rows = _grouped(docs, radius, width, bucket)
-    stays = F.when(F.col("low.none"), (F.col("fp") == F.col("low.fp")) & (F.col("mark") == F.col("low.least"))).otherwise(F.col("doc_id").eqNullSafe(F.col("low.first")))
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH, bucket: int = BUCKET, texts: int = TEXTS) -> DataFrame:
+    """doc_id, component_id for each row of docs(doc_id, text)."""
+    return _similar(docs, width, similarity, bucket, texts).select("doc_id", F.col("low.first").alias("component_id"))
+
+
+def _firsts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    stays = F.when(F.col("low.none"), (F.col("node") == F.col("low.node")) & (F.col("mark") == F.col("low.least"))).otherwise(F.col("doc_id").eqNullSafe(F.col("low.first")))
     left = without(docs, rows.where(~stays), F.xxhash64(text_of()))
     if has_repeats(docs):
         left = left.withColumn("_same_text", F.md5(text_of())).dropDuplicates(["doc_id", "_same_text"]).drop("_same_text")
     return left
+
+
+def near_deduplicated(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
+    """One document of each component of near_groups, the one with the smallest id, with all its columns."""
+    return _firsts_of(docs, _near(docs, radius, width, bucket))
+
+
+def similar_deduplicated(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH, bucket: int = BUCKET, texts: int = TEXTS) -> DataFrame:
+    """One document of each component of similar_groups, the one with the smallest id, with all its columns."""
+    return _firsts_of(docs, _similar(docs, width, similarity, bucket, texts))

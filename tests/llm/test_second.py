@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillon import plans
-from quillon.llm import exact_dedup, html_text, langid, pii, queries, secret_scan, simhash
+from quillon.llm import common, exact_dedup, html_text, langid, pii, queries, secret_scan, simhash
 from tests.llm.test_first import ODD, SCHEMA
 
 
@@ -217,6 +217,83 @@ def test_hot_buckets(spark):
     check_components(spark, rows, bucket=16)
 
 
+def brute_similar(rows, similarity=0.8, width=5):
+    """Smallest id of each row's component of texts whose shingle sets have the similarity."""
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(b" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+    sets = [shingles(t) for _, t in rows]
+    root, holders = list(range(len(rows))), defaultdict(list)
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, own in enumerate(sets):
+        counts = defaultdict(int)
+        for s in own:
+            for j in holders[s]:
+                counts[j] += 1
+            holders[s].append(i)
+        if not own:
+            counts = {j: 0 for j in range(i) if not sets[j]}
+        for j, both in counts.items():
+            if not own or both >= similarity * (len(own) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    low = defaultdict(list)
+    for i, (doc_id, _) in enumerate(rows):
+        low[find(i)].append(doc_id)
+    return [min((x for x in low[find(i)] if x is not None), default=None) for i in range(len(rows))]
+
+
+def check_similar(spark, rows, **options):
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, keys int")
+    got = sorted((tuple(r) for r in simhash.similar_groups(df, **options).collect()), key=repr)
+    assert got == sorted(zip([i for i, _ in rows], brute_similar(rows)), key=repr)
+    return got
+
+
+def test_similar_groups(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert any(i != c for i, c in check_similar(spark, rows))
+
+
+def edited(rng, base, most):
+    words = list(base)
+    for _ in range(rng.randrange(most + 1)):
+        words[rng.randrange(len(words))] = "w%d" % rng.randrange(1000)
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("bucket,texts", [(8192, 512), (32, 16)])
+def test_similar_groups_around_the_bound(spark, bucket, texts):
+    rng = random.Random(5)
+    bases = [[rng.choice("abcdefghij") * rng.randrange(1, 4) for _ in range(n)] for n in (300, 120, 60, 12)]
+    rows = [(i, edited(rng, bases[i % 4], (12, 5, 3, 1)[i % 4])) for i in range(400)]
+    got = check_similar(spark, rows, bucket=bucket, texts=texts)
+    assert 4 < len({c for _, c in got}) < 390
+
+
+def test_similar_groups_odd(spark, odd):
+    rows = [(r.doc_id, r.text) for r in odd.collect()] + [(11, "one two"), (12, "ONE  two"), (13, "one two three four five six"), (None, "q w e r t"), (None, "Q w e r t"), (14, " "), (15, "a a a a a a a"), (16, "a a a a a")]
+    check_similar(spark, rows)
+    assert check_similar(spark, []) == [] and check_similar(spark, [(None, None)]) == [(None, None)]
+    assert simhash.similar_deduplicated(odd).columns == odd.columns
+    assert simhash.similar_deduplicated(odd).count() == len(set(brute_similar([(r.doc_id, r.text) for r in odd.collect()])))
+
+
+def test_hot_keys_join_alike(spark, monkeypatch):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1200, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count("id").alias("n"), F.max("id").alias("m")).where("k <> 7")
+    want = sorted(map(str, rows.join(table.drop("n"), "k", "left").collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    assert sorted(map(str, common.matched(rows, table, "k", 3000, "left").collect())) == want
+    assert common.matched(rows, table, "k", 3000).count() == rows.where("k <> 7").count()
+
+
 @pytest.mark.parametrize("radius", [0, 1, 3, 4, 7])
 def test_bit_sliced_comparison(radius):
     rng = np.random.default_rng(radius)
