@@ -8,9 +8,10 @@ this cumulative demand at a document's first word gives its position, by which t
 result is range-sorted.
 
 Running sums over a source, which may hold a third of all rows, are taken in two steps:
-sums of hash-ordered blocks, then sums inside blocks.
+sums of hash-ordered blocks, then sums inside blocks. Those over the sources themselves are
+taken over ranges of sources, and then inside ranges.
 
-Defined results: null text has size 0; a null source is a source of its own, the last;
+Defined results: null text has size 0; texts of any length are counted whole; a null source is a source of its own, the last;
 sources without words have target 0; documents of which nothing is taken have no
 position and come last; rows that repeat a doc_id are taken like any others; an empty
 table gives an empty result; further columns are ignored.
@@ -23,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import saved, small
+from quillon.llm.common import BROADCAST_ROWS, has_repeats, saved, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -53,6 +54,19 @@ def demand_inverse(knots: Sequence[tuple[float, float]], share: Column) -> Colum
     return out
 
 
+def _running(rows: DataFrame, n: int, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """The n rows with the sum of all earlier rows for each of `sums`; one range of BROADCAST_ROWS rows a task."""
+    ranged = saved(rows.repartitionByRange(max(1, -(-n // BROADCAST_ROWS)), *order).withColumn("_part", F.spark_partition_id()))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_all_{k}") for k, c in sums.items()])
+    by_part, inside = earlier(Window.partitionBy(F.lit(0)).orderBy("_part")), earlier(Window.partitionBy("_part").orderBy(*order))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    base = whole.select(F.col("_part").alias("_own"), *[zero(F.sum(f"_all_{k}").over(by_part)).alias(f"_before_{k}") for k in sums])
+    own = ranged.select("*", *[zero(F.sum(c).over(inside)).alias(f"_inside_{k}") for k, c in sums.items()])
+    both = own.join(F.broadcast(base), F.col("_part") == F.col("_own"))
+    return saved(both.select(*[F.col(c) for c in rows.columns], *[(F.col(f"_before_{k}") + F.col(f"_inside_{k}")).alias(k) for k in sums]))
+
+
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
     """source, n, source_size, place, target of sizes(source, size).
 
@@ -60,25 +74,26 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     held is the largest of (what the earlier ones leave) / (weight of the rest).
     """
     sums = saved(sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size")))
-    everything = Window.partitionBy()
-    placed = sums.withColumn("place", (F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights))
+    count = sums.count()
+    by_name = F.col("source").asc_nulls_last()
+    placed = _running(sums, count, [by_name], {"rank": F.lit(1)}).withColumn("place", (F.col("rank") % len(weights)).cast("int")).drop("rank")
     weight = F.lit(None).cast("double")
     for i, w in enumerate(weights):
         weight = F.when(F.col("place") == i, F.lit(float(w))).otherwise(weight)
-    held = (F.lit(most) * F.col("source_size")).cast("double")
-    by_level = everything.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    earlier = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum(F.lit(most) * F.col("source_size")).over(earlier), F.lit(0))
-    levels = placed.withColumn("weight", weight).withColumn("level", left.cast("double") / F.sum("weight").over(rest))
-    target = F.least(held, F.max("level").over(everything) * F.col("weight"))
-    return saved(levels.select("source", "n", "source_size", "place", target.alias("target")))
+    weighed = placed.withColumn("weight", weight).withColumn("ratio", F.col("source_size") / F.col("weight"))
+    ran = _running(weighed, count, [F.col("ratio"), by_name], {"held": F.lit(most) * F.col("source_size"), "lighter": F.col("weight")})
+    whole = ran.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    left = (F.lit(whole["size"]) - F.col("held")).cast("double") / (F.lit(whole["weight"]) - F.col("lighter"))
+    level = ran.agg(F.max(left).alias("level")).first()["level"]
+    target = F.least((F.lit(most) * F.col("source_size")).cast("double"), F.lit(level) * F.col("weight"))
+    return saved(ran.select("source", "n", "source_size", "place", target.alias("target")))
 
 
-def _taken(docs: DataFrame, weights: Sequence[int], most: int, block: int) -> DataFrame:
+def _taken(docs: DataFrame, weights: Sequence[int], most: int, block: int, own: Column) -> DataFrame:
+    """What is taken of each row; own, as column `own`, tells it from others."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     mark = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
-    rows = saved(docs.select("doc_id", "source", size.alias("size"), mark.alias("mark")))
+    rows = saved(docs.select("doc_id", "source", size.alias("size"), mark.alias("mark"), own.alias("own")))
     sources = small(targets(rows, weights, most).withColumnRenamed("source", "_source"))
 
     spread = F.conv(F.substring("mark", 1, 8), 16, 10).cast("long")
@@ -89,7 +104,7 @@ def _taken(docs: DataFrame, weights: Sequence[int], most: int, block: int) -> Da
     before = F.sum("block_size").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     starts = saved(sums.select(F.col("source").alias("_source"), F.col("block").alias("_block"), F.coalesce(before, F.lit(0)).alias("block_start")))
 
-    inside = Window.partitionBy("source", "block").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "block").orderBy("mark", "doc_id", "size", "own").rowsBetween(Window.unboundedPreceding, -1)
     run = known.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     run = run.join(small(starts), F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
     quota = F.round("target").cast("long")
@@ -113,7 +128,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, sch
 
     position is that of the first copy; copies is in whole documents: a part counts if it is more than half.
     """
-    run = _taken(docs, weights, most, block)
+    run = _taken(docs, weights, most, block, F.lit(0))
     run = run.withColumn("position", F.when(F.col("taken") > 0, _position(F.col("start"), schedules, len(weights))))
     return run.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
@@ -121,11 +136,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, sch
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, schedules=SCHEDULES, block: int = BLOCK) -> DataFrame:
     """The documents the mix takes, whole and as often as it takes them, range-sorted by each copy's position.
 
-    Documents without words are neither taken nor asked for, so they go.
+    Documents without words are neither taken nor asked for, so they go. Rows that share an id, or
+    have none, are taken each by itself; only then all rows are written once more, with numbers.
     """
-    run = _taken(docs, weights, most, block).where("copies > 0 AND size > 0")
-    one = run.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.struct("copies", "start", "source_size", "quota", "place")).alias("_m")).select("_id", "_m.*")
-    each = one.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
-    at = each.select("_id", "_copy", _position(F.col("start") + F.col("_copy") * F.col("source_size"), schedules, len(weights)).alias("_position"))
-    both = docs.alias("_own").join(at.alias("_at"), F.col("_own.doc_id").eqNullSafe(F.col("_at._id")))
-    return both.orderBy("_at._position", "_at._id", "_at._copy").select("_own.*")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("row"), "doc_id", "source", "text")
+    own = F.col("doc_id")
+    if has_repeats(docs):  # rows are numbered; the numbers hold as the rows are kept with them
+        rows, own = saved(rows.withColumn("number", F.monotonically_increasing_id())), F.col("number")
+    run = _taken(rows, weights, most, block, own).where("copies > 0 AND size > 0")
+    each = run.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
+    at = each.select("own", "copy", _position(F.col("start") + F.col("copy") * F.col("source_size"), schedules, len(weights)).alias("position"))
+    both = rows.select("row", own.alias("_own")).join(at, F.col("_own").eqNullSafe(F.col("own")))
+    return both.orderBy("position", "own", "copy").select("row.*")

@@ -165,6 +165,42 @@ def test_mixing(odd, spark, sf):
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in big if r["size"])
 
 
+def test_rows_with_shared_ids_are_mixed_one_by_one(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, 3, None, 7]), rng.choice(["a b c", "a b c", "d e", "f " * 40, "", None]), rng.choice(["a", "b", "c", None])) for _ in range(120)]
+    df = spark.createDataFrame([(*r, k, 1) for k, r in enumerate(rows)], "doc_id long, text string, source string, row int, own int")
+    plan = mixing.mix(df).collect()
+    out = mixing.mixed(df).collect()
+    want, got = defaultdict(int), defaultdict(int)
+    for r in plan:
+        want[r.doc_id, r.source, r["size"]] += r.copies if r["size"] else 0
+    for r in out:
+        got[r.doc_id, r.source, len((r.text or "").split())] += 1
+    assert dict(got) == {k: v for k, v in want.items() if v}
+    assert max(sum(1 for r in out if r.row == k) for k in range(120)) <= 3
+
+
+def test_shared_ids_in_two_sources(spark):
+    """A source of much text, of which one copy each is taken, and one whose rows are taken three times."""
+    rows = [(i, "w " * 50, "a") for i in range(3)] + [(i, "x y", "b") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {(r.doc_id, r.source): r.copies for r in mixing.mix(df).collect()}
+    got = defaultdict(int)
+    for r in mixing.mixed(df).collect():
+        got[r.doc_id, r.source] += 1
+    assert dict(got) == {k: v for k, v in plan.items() if v} and len(set(plan.values())) > 1
+
+
+def test_many_sources(spark, monkeypatch):
+    """Running sums over ranges of sources agree with those over all of them."""
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(1, 40), f"s{rng.randrange(60):02}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one = sorted(map(str, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 7)
+    assert sorted(map(str, mixing.mix(df).collect())) == one
+
+
 def test_demand_inverse(spark):
     knots = ((0.0, 0.0), (0.25, 2.0), (0.5, 0.0), (0.75, 0.0), (1.0, 1.0))
     got = [r[0] for r in spark.range(101).select(mixing.demand_inverse(knots, F.col("id") / 100)).collect()]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillon.llm import mixing
 from tests.conftest import ROOT
 from tests.llm.test_first import ODD, SCHEMA, check_packing
-from tests.llm.test_second import brute_components, brute_print
+from tests.llm.test_second import brute_similar
 
 
 def test_stages(spark, sf):
@@ -31,7 +31,7 @@ def test_stages(spark, sf):
         best[low(r[1])] = max(best.get(low(r[1]), r[0]), r[0])
     assert sorted(r[0] for r in rows[2]) == sorted(best.values())
     ids = sorted(best.values())
-    assert sorted(r[0] for r in rows[3]) == sorted(set(brute_components(ids, [brute_print(texts[i]) for i in ids])))
+    assert sorted(r[0] for r in rows[3]) == sorted(set(brute_similar([(i, texts[i]) for i in ids])))
     plan = {r.doc_id: r for r in mixing.mix(steps[3]).collect()}
     assert Counter(r[0] for r in rows[4]) == Counter({i: r.copies for i, r in plan.items() if r.copies})
     taken, target = defaultdict(int), {}
@@ -44,7 +44,8 @@ def test_stages(spark, sf):
 
 def test_stages_on_odd_rows(spark):
     odd = spark.createDataFrame(ODD, SCHEMA).withColumn("_id", F.lit(1)).withColumn("_own", F.lit("x")).withColumn("lang_pred", F.lit(1)).withColumn("_copy", F.lit(1))
-    for docs in (odd, spark.createDataFrame([], SCHEMA), odd.where("text IS NULL"), odd.withColumn("source", F.lit(None).cast("string"))):
+    shared = spark.createDataFrame([(1, "eins zwei drei", "de", "a", 3), (1, "un deux", "fr", "b", 2), (1, "un deux", "fr", "b", 2), (None, "x y z", "en", "a", 1), (None, "x y z q", "en", None, 1)], SCHEMA)
+    for docs in (odd, shared, spark.createDataFrame([], SCHEMA), odd.where("text IS NULL"), odd.withColumn("source", F.lit(None).cast("string"))):
         own = docs
         for name, stage in corpus_pipeline.STAGES[:-1]:
             own = stage(spark, own, "").cache()
