@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import exact_dedup, langid, mixing, packing, simhash
-from quillon.llm.common import documents
+from quillon.llm.common import documents, shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,22 +21,29 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates, the one with the smallest id stays."""
-    return simhash.near_deduplicated(docs)
+    """Of texts whose five-word shingles are similar, 0.8 or more by Jaccard, directly or through others, the one with the smallest id stays.
+
+    Texts without words are alike, a null id goes before another, repeated rows are one.
+    """
+    return simhash.similar_deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
+    """Documents as often as the mix takes them, in training order; those without words go.
+
+    A null source is the last one, a null text has no words, rows that share an id are taken each by itself.
+    """
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with the sequence and offset of each; a null or empty text is one token."""
     return packing.pack(docs)
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
 
-#: Languages, fingerprints and packing are beyond SQL; the tests hold run() against plain code.
+#: Languages, similarities and packing are beyond SQL; the tests hold run() against plain code.
 ORACLE_SQL = None
 
 
@@ -51,8 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A stage's table goes when the next one is written; the last before packing, the training corpus, stays.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quillon-")
-    root = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs, last = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
