@@ -35,6 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="quillon-")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever the session's file systems have it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def has_repeats(docs: DataFrame) -> bool:
     """Whether an id occurs twice; reads ids only."""
     return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import exact_dedup, html_text, langid, media, mixing, packing, pii, secret_scan, simhash, suffix_dedup
-from quillon.llm.common import documents
+from quillon.llm.common import documents, remove, shared_folder
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +23,11 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.report(secret_scan.scan(documents(spark, sf_dir))[0])
+    """The base rules first, then all: the second scan runs only the pairs that the ledger does not have."""
+    ledger = f"{shared_folder(spark).rstrip('/')}/secret-ledger-{uuid.uuid4().hex}"
+    found = secret_scan.scan_into(ledger, documents(spark, sf_dir), secret_scan.BASE, secret_scan.RULES)
+    remove(spark, ledger)  # what was found is saved
+    return secret_scan.report(found)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

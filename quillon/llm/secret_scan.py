@@ -1,25 +1,30 @@
 """Secret scans over an incremental ledger of blobs.
 
-Every version of a text is addressed by its content. The ledger holds which pairs of a
-blob and a rule version have been scanned, and what was found. A scan reads only unseen
-pairs, each blob once however many paths carry it, and findings are joined back to all
-paths. Texts are scanned where they are; only texts whose content occurs twice move.
+Every version of a text is addressed by its content. The ledger, a table that only grows,
+holds which pairs of a blob and a rule version have been scanned, and what was found. A
+scan first joins the ledger with the blobs' addresses. Rules that all blobs have had are
+passed over, and no text is read if none is left; rules that no blob has had run on texts
+where they are. Only texts whose content occurs twice, or which have had some of the other
+rules, move, and of these not the ones that are certain to have had all. Each blob is
+scanned once however many paths carry it, and findings are joined back to all paths.
 
 A rule's matches are leftmost and do not overlap. Spans are in code points, end exclusive.
 
-Defined results: null text is the empty blob, without findings; ties cannot occur, since
+Defined results: null text is the empty blob, without findings; very long texts are scanned
+whole, in time that grows with their length and number of matches; ties cannot occur, since
 spans of a rule do not overlap; repeated rows repeat their findings; an empty table
 gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bitmap, saved, text_of, with_maybe
+from quillon.llm.common import bitmap, matched, saved, text_of, with_maybe
 
 
 @dataclass(frozen=True)
@@ -57,6 +62,41 @@ RULES = BASE + MORE
 SPAN = "struct<start:int,rule:int,end:int>"
 
 
+LEDGER = f"blob binary, rule string, spans array<{SPAN}>"
+#: Numbers that a running sum adds up one by one; then sums of so many, and of those.
+RUN = 64
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sum(values: Column, start: Column, count: Column) -> Column:
+    return F.aggregate(F.slice(values, start + 1, count), F.lit(0), lambda a, b: a + b)
+
+
+def running(sizes: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """body(before), where before(i) is the sum of the first i sizes, in a time that does not grow with i.
+
+    sizes are not empty. Sums of RUN sizes, and of RUN of these, are taken first.
+    """
+
+    def folded(values: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda c: _sum(values, c * RUN, F.lit(RUN)))
+
+    def with_tops(own: Column) -> Column:
+        some, more = own["some"], own["more"]
+        tops = F.transform(F.sequence(F.lit(0), F.size(more) - 1), lambda c: _sum(more, F.lit(0), c))
+        return _let(tops, lambda top: body(lambda i: before(i, some, top)))
+
+    def before(i: Column, some: Column, top: Column) -> Column:
+        of_run, of_top = F.floor(i / RUN).cast("int"), F.floor(i / (RUN * RUN)).cast("int")
+        return F.get(top, of_top) + _sum(some, of_top * RUN, of_run % RUN) + _sum(sizes, of_run * RUN, i % RUN)
+
+    return _let(folded(sizes), lambda some: _let(F.struct(some.alias("some"), folded(some).alias("more")), with_tops))
+
+
 def spans_of(text: Column, rule: Rule, index: int) -> Column:
     """Array of (start, rule, end): gaps between matches and matches, lengths summed up from the left."""
     pattern = F.lit(rule.pattern)
@@ -64,12 +104,16 @@ def spans_of(text: Column, rule: Rule, index: int) -> Column:
     pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("len"), F.length(F.regexp_extract(h, rule.pattern, rule.group)).alias("own")))
     empty = F.array().cast(f"array<{SPAN}>")
 
-    def step(acc, p):
-        start = acc["at"] + p["gap"]
-        span = F.struct(start.alias("start"), F.lit(index).alias("rule"), (start + p["len"]).alias("end"))
-        return F.struct((start + p["len"]).alias("at"), F.when(p["own"] >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def placed(own: Column) -> Column:
+        pairs, sizes = own["pairs"], own["sizes"]
+
+        def spans(before: Callable[[Column], Column]) -> Column:
+            starts = F.transform(pairs, lambda p, i: F.struct((before(i) + p["gap"]).alias("start"), p["len"].alias("len"), p["own"].alias("own")))
+            return F.transform(F.filter(starts, lambda p: p["own"] >= rule.least), lambda p: F.struct(p["start"].alias("start"), F.lit(index).alias("rule"), (p["start"] + p["len"]).alias("end")))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+        return running(sizes, spans)
+
+    found = _let(pairs, lambda p: _let(F.struct(p.alias("pairs"), F.transform(p, lambda x: x["gap"] + x["len"]).alias("sizes")), placed))
     maybe = F.lit(True)
     if rule.hints:
         maybe = F.lit(False)
@@ -82,38 +126,82 @@ def blobs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().alias("t")).withColumn("blob", F.unhex(F.sha2("t", 256)))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+def addressed(docs: DataFrame) -> DataFrame:
+    """doc_id, blob of every row, saved."""
+    return saved(blobs(docs).select("doc_id", "blob"))
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, bits: int | None = None, paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(paths, entries): doc_id, blob, spans for every row; and the ledger's new rows (blob, rule, spans).
 
     ledger: earlier entries. Pairs of blob and rule version in it are not scanned again.
+    paths: what addressed(docs) gave, if it is there already.
     """
-    whole = blobs(docs)
-    paths = saved(whole.select("doc_id", "blob"))
-    copies = saved(paths.groupBy("blob").count().where("count > 1").select("blob"))
-    marked = with_maybe(whole.select("blob", "t"), bitmap(copies, "blob", bits), "blob", "maybe")
-    once = marked.where("NOT maybe").select("blob", "t")
-    again = marked.where("maybe").groupBy("blob").agg(F.max("t").alias("t"))
-    unseen = once.unionByName(again).withColumn("known", F.array().cast("array<string>"))
-    if ledger is not None:
-        had = saved(ledger.groupBy("blob").agg(F.collect_set("rule").alias("had")))
-        marks = with_maybe(unseen, bitmap(had, "blob", bits), "blob", "old")
-        old = marks.where("old").join(had, "blob", "left").withColumn("known", F.coalesce("had", "known"))
-        unseen = marks.where("NOT old").select("blob", "t", "known").unionByName(old.select("blob", "t", "known"))
+    spark = docs.sparkSession
+    paths = addressed(docs) if paths is None else paths
+    each = saved(paths.groupBy("blob").agg(F.count(F.lit(1)).alias("n")))
+    own, places = each.count(), {r.key: i for i, r in enumerate(rules)}
+    old = spark.createDataFrame([], LEDGER) if ledger is None else ledger.where(F.col("rule").isin(list(places))).dropDuplicates(["blob", "rule"])
+    old = saved(old.join(each, "blob", "left_semi"))
+    counts = {r["rule"]: r["count"] for r in old.groupBy("rule").count().collect()}
+    open_ = [r for r in rules if counts.get(r.key, 0) < own]  # the others have run on every blob
+    mixed = [r.key for r in open_ if counts.get(r.key)]
+
     none = F.array().cast(f"array<{SPAN}>")
-    entry = [
-        F.struct(F.lit(r.key).alias("rule"), (~F.array_contains("known", r.key)).alias("new"), F.when(F.array_contains("known", r.key), none).otherwise(spans_of(F.col("t"), r, i)).alias("spans"))
-        for i, r in enumerate(rules)
-    ]
-    done = saved(unseen.select("blob", F.array(*entry).alias("e")))
-    entries = done.select("blob", F.inline("e")).where("new").select("blob", "rule", "spans")
-    found = done.select("blob", F.flatten(F.transform("e", lambda x: x["spans"])).alias("spans")).where(F.size("spans") > 0)
-    if ledger is not None:  # what was found before, under the places that the rules have now
-        place = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
-        before = ledger.where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
-        before = before.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), place[F.col("rule")].alias("rule"), s["end"].alias("end"))).alias("spans"))
-        found = found.unionByName(before).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    found = saved(found.select("blob", F.array_sort("spans").alias("spans")))
-    return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans")), entries
+    entries = spark.createDataFrame([], LEDGER)
+    if open_:
+        no_rule = F.array().cast("array<string>")
+        known = old.where(F.col("rule").isin(mixed)).groupBy("blob").agg(F.collect_set("rule").alias("known"))
+        apart = saved(each.join(known, "blob", "left").where("n > 1 OR known IS NOT NULL").select("blob", F.coalesce("known", no_rule).alias("known")))
+        marked = with_maybe(blobs(docs).select("blob", "t"), bitmap(apart, "blob", bits), "blob", "maybe")
+        once = marked.where("NOT maybe").select("blob", "t", no_rule.alias("known"))
+        again = marked.where("maybe").select("blob", "t")
+        ready = apart.where(F.size("known") == len(open_)).select("blob")
+        if not ready.isEmpty():  # texts that have had all rules stay where they are
+            todo = saved(each.select("blob").join(ready, "blob", "left_anti"))
+            again = with_maybe(again, bitmap(todo, "blob", bits), "blob", "todo").where("todo").select("blob", "t")
+        again = again.groupBy("blob").agg(F.max("t").alias("t")).join(apart, "blob", "left").withColumn("known", F.coalesce("known", no_rule))
+        unseen = once.unionByName(again.where(F.size("known") < len(open_)))
+        entry = [
+            F.struct(F.lit(r.key).alias("rule"), (~F.array_contains("known", r.key)).alias("new"), F.when(F.array_contains("known", r.key), none).otherwise(spans_of(F.col("t"), r, places[r.key])).alias("spans"))
+            for r in open_
+        ]
+        done = saved(unseen.select("blob", F.array(*entry).alias("e")))
+        entries = done.select("blob", F.inline("e")).where("new").select("blob", "rule", "spans")
+
+    # what was found before is put under the places that the rules have now
+    place = F.create_map(*[x for k, i in places.items() for x in (F.lit(k), F.lit(i))])
+    hits = old.unionByName(entries).where(F.size("spans") > 0)
+    hits = hits.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), place[F.col("rule")].alias("rule"), s["end"].alias("end"))).alias("spans"))
+    found = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    found = saved(found.join(each, "blob"))
+    out = matched(paths, found, "blob", paths.count(), "left")
+    return out.select("doc_id", "blob", F.coalesce("spans", none).alias("spans")), entries
+
+
+# --- the stored ledger ------------------------------------------------------------------
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored entries, or None where there are none yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def scan_into(path: str, docs: DataFrame, *increments: tuple[Rule, ...]) -> DataFrame:
+    """Paths after scans of each increment of rules, with the ledger stored at path read and added to.
+
+    Entries that are written twice, by scans at the same time, count once. An increment's
+    rows are added before the next one starts, so one that fails loses only its own work.
+    """
+    spark, keys, out = docs.sparkSession, addressed(docs), None
+    for rules in increments:
+        out, entries = scan(docs, read_ledger(spark, path), rules, paths=keys)
+        if not entries.isEmpty():
+            entries.write.mode("append").parquet(path)
+    return out
 
 
 def joined(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:

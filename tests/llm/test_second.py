@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -140,6 +141,45 @@ def test_ledger(spark):
     assert secret_scan.scan(df, entries)[1].isEmpty()
 
 
+def test_stored_ledger(spark, tmp_path):
+    """Increments of rules and of documents through a table; each pair of blob and rule is written once."""
+    df = spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate([*SECRETS, SECRETS[1], None])], "doc_id long, text string, blob string, n int")
+    path, whole = str(tmp_path / "ledger"), secret_scan.scan(df)[0].collect()
+    assert secret_scan.read_ledger(spark, path) is None
+    some = secret_scan.scan_into(path, df.where("doc_id % 3 <> 0"), secret_scan.BASE)
+    first = secret_scan.read_ledger(spark, path).count()
+    assert first == 3 * some.select("blob").distinct().count()
+    out = secret_scan.scan_into(path, df, secret_scan.RULES)
+    assert sorted(map(str, out.collect())) == sorted(map(str, whole))
+    pairs = secret_scan.read_ledger(spark, path).select("blob", "rule")
+    assert pairs.count() == pairs.distinct().count() == len(secret_scan.RULES) * out.select("blob").distinct().count()
+    again, entries = secret_scan.scan(df, secret_scan.read_ledger(spark, path))
+    assert entries.isEmpty() and sorted(map(str, again.collect())) == sorted(map(str, whole))
+    twice = secret_scan.read_ledger(spark, path)
+    assert sorted(map(str, secret_scan.scan(df, twice.unionByName(twice))[0].collect())) == sorted(map(str, whole))
+
+
+def test_known_texts_are_not_read(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
+    paths = secret_scan.addressed(df)
+    entries = secret_scan.scan(df, paths=paths)[1]
+    monkeypatch.setattr(secret_scan, "blobs", lambda docs: 1 / 0)
+    assert secret_scan.scan(df, entries, paths=paths)[1].isEmpty()
+
+
+def test_many_matches(spark):
+    """Running sums over several levels, and a time that follows the number of matches."""
+    took = []
+    for n in (5, 8000, 64000):
+        text = "".join(f"token={k:08d} é" + "x" * (k % 3) + ", " for k in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string").select("doc_id", secret_scan.spans_of(F.col("text"), secret_scan.BASE[0], 0).alias("spans"))
+        began = time.perf_counter()
+        (row,) = df.collect()
+        took.append(time.perf_counter() - began)
+        assert [(s.start, s.end) for s in row.spans] == [(m.start(), m.end()) for m in BASES["assign"][0].finditer(text)]
+    assert took[2] < 12 * took[1] + 2
+
+
 # --- near duplicates
 
 
