@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import exact_dedup, langid, mixing, packing, simhash
-from quillon.llm.common import documents, shared_folder
+from quillon.llm.common import documents, remove, shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +47,6 @@ STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near),
 ORACLE_SQL = None
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table. What is between them lies in the folder of spark.checkpoint.dir.
 
@@ -66,6 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
             if last:
-                _remove(spark, last)
+                remove(spark, last)
             last = path
     return docs
