@@ -11,8 +11,16 @@ browsers show it: the options of a select, the values of inputs, and text that i
 by `use` of a definition. What stands in for media, objects, frames and scripts is taken to
 be unseen.
 
+Layout rules that keep the output in proportion to the page, however it is nested; no text
+is lost by them. Indents add up over DEPTH levels. Tables are aligned DEPTH deep; in deeper
+ones cells follow each other as blocks. A column is as wide as its widest cell, but cells
+that would make its padding more than PADDING times its text, and WIDE a line, do not count.
+A cell is at most GAP blanks away from the one before it. Row spans are carried down over
+the first SPANNED columns.
+
 Defined results: a null page gives null text, a page without visible text an empty one;
-markup that is broken off is read as far as it goes; repeated rows repeat; an empty
+markup that is broken off is read as far as it goes; a quote that is never closed ends with
+its tag; a page of any length is read whole, in one pass; repeated rows repeat; an empty
 table gives no rows; further columns are ignored.
 """
 
@@ -21,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,11 +63,17 @@ ENDS = {
     "tfoot": (SECTIONS | {"caption"}, {"table", "template"}),
     "caption": ({"caption"}, {"table", "template"}),
 }
-#: A cell wider than this does not set its column's width.
-ALIGNED = 60
-
-TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|</[^a-zA-Z][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S)
-LOOSE = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|</[^a-zA-Z][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)>", re.S)
+#: Rules of the layout, see above.
+DEPTH, PADDING, WIDE, GAP, SPANNED = 16, 4, 60, 200, 1000
+#: The most columns and rows that a cell may span.
+SPANS = {"colspan": 1000, "rowspan": 65534}
+
+# Attributes are read to the end of the tag, or up to a quoted value that is never closed.
+TAG = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|</>|</[^a-zA-Z>][^>]*>
+    |<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|(?=>)))*+)""",
+    re.S | re.X,
+)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)\b", re.I)
@@ -71,14 +86,22 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def spanned(attrs: dict[str, str], name: str) -> int:
+    """A number of columns or rows, within what the format allows."""
+    m = re.match(r"\s*\+?([0-9]+)", attrs.get(name, ""))
+    return min(int(m[1][:12]), SPANS[name]) if m else 1
+
+
 class Flow:
     """Text that is laid out line by line."""
 
-    __slots__ = ("out", "gap", "space", "indents", "marker")
+    __slots__ = ("out", "gap", "space", "indents", "markers")
 
     def __init__(self):
         self.out: list[str] = []
-        self.gap, self.space, self.indents, self.marker = 0, False, [], ""
+        self.gap, self.space = 0, False
+        self.indents: list[str] = []
+        self.markers: list[tuple[int, str]] = []  # of list items without a line yet, by their level
 
     def block(self, gap: int) -> None:
         self.gap = max(self.gap, gap)
@@ -88,11 +111,11 @@ class Flow:
             if self.space:
                 self.out[-1] = self.out[-1].rstrip(" ")
             self.out.append("\n" * self.gap)
-        lead = "".join(self.indents)
-        if self.marker:
-            lead = lead[: len(lead) - len(self.marker)] + self.marker
-            self.marker = ""
-        self.out.append(lead)
+        lead = self.indents[:DEPTH]
+        for level, marker in self.markers:
+            lead[level : level + 1] = [marker]  # beyond DEPTH, after the others
+        self.markers.clear()
+        self.out.append("".join(lead))
         self.gap, self.space = 0, False
 
     def text(self, s: str) -> None:
@@ -121,32 +144,60 @@ class Flow:
 
 
 class Table:
+    """Rows of cells: lines, columns spanned, rows spanned."""
+
     __slots__ = ("rows",)
 
     def __init__(self):
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+
+    def _placed(self) -> list[list[tuple[list[str], int, int]]]:
+        """Cells as (lines, first column, column after), past the columns that cells of earlier rows hold."""
+        out, held = [], [0] * SPANNED  # the row up to which a column is held
+        some = 0  # columns that any cell has held
+        for r, row in enumerate(self.rows):
+            at, cells = 0, []
+            for lines, across, down in row:
+                while at < some and held[at] > r:
+                    at += 1
+                cells.append((lines, at, at + across))
+                if down > 1:
+                    stop = min(at + across, SPANNED)
+                    held[at:stop] = [r + down] * (stop - at)
+                    some = max(some, stop)
+                at += across
+            out.append(cells)
+        return out
 
     def lines(self) -> list[str]:
-        widths: list[int] = []
-        for row in self.rows:
-            at = 0
-            for lines, span in row:
-                while len(widths) < at + span:
-                    widths.append(0)
-                if span == 1 and (w := max(map(len, lines))) <= ALIGNED:
-                    widths[at] = max(widths[at], w)
-                at += span
+        placed = self._placed()
+        found: dict[int, list[int]] = {}
+        for cells in placed:
+            for lines, at, stop in cells:
+                if stop == at + 1:
+                    found.setdefault(at, []).extend(map(len, lines))
+        columns = sorted(found)  # those of which some cell is the only one
+        ends = [0]  # widths of columns with the gaps after them, summed up
+        for c in columns:
+            own = found[c]
+            most = max(WIDE, PADDING * sum(own) // len(own))
+            ends.append(ends[-1] + max((w for w in own if w <= most), default=0) + 2)
         out = []
-        for row in self.rows:
-            if not any(any(lines) for lines, _ in row):
+        for cells in placed:
+            if not any(any(lines) for lines, _, _ in cells):
                 continue
-            for k in range(max(len(lines) for lines, _ in row)):
-                at, parts = 0, []
-                for lines, span in row:
-                    width = sum(widths[at : at + span]) + 2 * (span - 1)
-                    parts.append((lines[k] if k < len(lines) else "").ljust(width))
-                    at += span
-                out.append("  ".join(parts).rstrip())
+            for k in range(max(len(lines) for lines, _, _ in cells)):
+                line, want = [], 0  # the column position at which the next cell starts
+                size = 0
+                for lines, at, stop in cells:
+                    text = lines[k] if k < len(lines) else ""
+                    if text:
+                        want = min(ends[bisect_left(columns, at)], size + GAP)
+                        if line:
+                            want = max(want, size + 2)
+                        line.append(" " * (want - size) + text)
+                        size = want + len(text)
+                out.append("".join(line))
         return out
 
 
@@ -155,7 +206,7 @@ class Renderer:
         self.flows: list[Flow] = [Flow()]
         self.tables: list[Table] = []
         self.lists: list[list] = []
-        self.unseen = self.pre = self.math = 0
+        self.unseen = self.pre = self.math = self.deep = 0
         self.folded: list[tuple[int, set[str]]] = []  # depth of what is hidden, and what shows in it
 
     def opened(self, name: str, attrs: dict[str, str]) -> dict:
@@ -192,14 +243,19 @@ class Renderer:
             flow.gap += 1
         elif name == "hr":
             flow.block(1)
+        elif name == "table" and len(self.tables) >= DEPTH:
+            self.deep += 1
+            state["deep"] = True
+            flow.block(2)
+        elif self.deep and name in ("tr", "td", "th"):
+            flow.block(1)
         elif name == "table":
             self.tables.append(Table())
             state["table"] = True
         elif name in ("td", "th") and self.tables:
             if not self.tables[-1].rows:
                 self.tables[-1].rows.append([])
-            span = attrs.get("colspan", "1")
-            state["span"] = min(max(int(span), 1), 1000) if span.isdecimal() and len(span) < 5 else 1
+            state["span"] = spanned(attrs, "colspan") or 1, spanned(attrs, "rowspan")
             self.flows.append(Flow())
         elif name == "tr" and self.tables:
             self.tables[-1].rows.append([])
@@ -216,8 +272,8 @@ class Renderer:
                 if self.lists and self.lists[-1][0]:
                     mark = f"{self.lists[-1][1]}. "
                     self.lists[-1][1] += 1
+                flow.markers.append((len(flow.indents), mark))
                 flow.indents.append(" " * len(mark))
-                flow.marker = mark
                 state["indent"] = flow
             elif name in ("blockquote", "dd"):
                 flow.indents.append("  ")
@@ -240,9 +296,13 @@ class Renderer:
             return
         if "span" in state:
             cell = self.flows.pop().get().split("\n")
-            self.tables[-1].rows[-1].append((cell, state["span"]))
+            across, down = state["span"]
+            self.tables[-1].rows[-1].append((cell, across, down or SPANS["rowspan"]))
             return
         flow = self.flows[-1]
+        if "deep" in state:
+            self.deep -= 1
+            flow.block(2)
         if "table" in state:
             flow.block(2)
             for line in self.tables.pop().lines():
@@ -256,8 +316,10 @@ class Renderer:
         if "pre" in state:
             self.pre -= 1
         if "indent" in state:
-            state["indent"].indents.pop()
-            state["indent"].marker = ""
+            own = state["indent"]
+            own.indents.pop()
+            if own.markers and own.markers[-1][0] == len(own.indents):
+                own.markers.pop()
         if "list" in state:
             self.lists.pop()
             if not self.lists:
@@ -382,7 +444,7 @@ class Builder:
         return self.open[-1][0] != "head"
 
     def feed(self, page: str) -> str:
-        at, n, tag = 0, len(page), TAG
+        at, n = 0, len(page)
         while at < n:
             lt = page.find("<", at)
             if lt < 0:
@@ -391,20 +453,20 @@ class Builder:
             if lt > at:
                 s = page[at:lt]
                 self.text(html.unescape(s) if "&" in s else s)
-            m = tag.match(page, lt)
-            if not m and tag is TAG and lt + 1 < n and (page[lt + 1].isalpha() or page[lt + 1] == "/"):
-                tag = LOOSE  # a quote is never closed: from here on tags end at the next >
-                m = tag.match(page, lt)
+            m = TAG.match(page, lt)
             if not m:
-                if page.find(">", lt) < 0 and lt + 1 < n and (page[lt + 1] in "/!?" or page[lt + 1].isalpha()):
+                if page.find(">", lt) < 0 and lt + 1 < n and page[lt + 1] in "/!?":
                     break  # broken off inside a tag
                 self.text("<")
                 at = lt + 1
                 continue
-            at = m.end()
-            name = m["name"]
+            at, name = m.end(), m["name"]
             if not name:
                 continue
+            end = page.find(">", at)  # right here, or after a quote that is never closed
+            if end < 0:
+                break
+            at = end + 1
             name = name.lower()
             if m["end"]:
                 self.end(name)

@@ -1,5 +1,6 @@
 """Surrogates, secret scans, near-dedup, HTML text and language ID."""
 
+import html
 import random
 import re
 import time
@@ -405,18 +406,222 @@ def test_formulas_and_drawings(page, want):
     assert html_text.visible_text(page) == want
 
 
+TAGS = [
+    ("a<!-->b", "ab"), ("a<!--->b", "ab"), ("a</>text<b>c</b>", "atextc"), ("a<!-- > -- -->b</ >c", "abc"),
+    ("<a title='1>2'>t</a> <p x='unclosed>u</p><a title=\"1>2\">t", "t\n\nu\n\nt"), ("<p don't>it's</p>x", "it's\n\nx"), ("<a b=c'd href = \"x>y\">z", "z"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td>a<td rowspan=0>b<tr><td>cc<tr><td>d<td>e</table>", "a   b\ncc\nd      e"),
+    ("<table><tr><td colspan=99999>abc<tr><td>d<td>e</table>", "abc\nd  e"), ("<table><tr><td colspan=x>a<td>b</table>", "a  b"),
+]
+
+
+@pytest.mark.parametrize("page,want", TAGS)
+def test_tags(page, want):
+    assert html_text.visible_text(page) == want
+
+
+GROWING = {
+    "quotes": "<blockquote>x", "lists": "<ul><li>x", "tables": "<table><tr><td>x<tr><td>y<td>", "wide cells": "<table><tr><td>x<td colspan=1000>y", "attribute": "<a b='",
+    "declaration": "<!", "equals": "<a =", "rows": "<tr><td rowspan=30000>x<td>y",
+}
+
+
+@pytest.mark.parametrize("name", GROWING)
+def test_output_follows_the_page(name):
+    """Nesting and spans: four times the page gives at most about four times the text, in about four times the time."""
+    sizes, took = [], []
+    for n in (2000, 8000):
+        page = ("<table>" if name == "rows" else "") + GROWING[name] * n
+        began = time.perf_counter()
+        sizes.append(len(html_text.visible_text(page)))
+        took.append(time.perf_counter() - began)
+        assert sizes[-1] < 30 * len(page)
+    assert sizes[1] < 5 * sizes[0] + 1000 and took[1] < 12 * took[0] + 0.5
+
+
 def test_extreme_pages():
     assert html_text.visible_text("<div>" * 50000 + "x") == "x"
     assert html_text.visible_text("<a b='" * 20000).strip() == ""
     assert html_text.visible_text("<" * 100000) == "<" * 100000
     assert len(html_text.visible_text("<table>" + "<tr><td>a<td>" + "b" * 100000 + "<td>c" * 3 + "<tr><td>x<td>y<td>z" * 500)) < 300000
+    assert len(html_text.visible_text("<table><tr>" + "<td rowspan=60000>" * 2000 + "x" + "<tr><td>y" * 20000)) < 1 << 22
+
+
+# A renderer of trees, which never sees a tag: elements are (name, attributes, children), texts are strings.
+GAPS = {"p": 2, "div": 1, "blockquote": 2, "pre": 2, "table": 2, "li": 1, "h2": 2}
+
+
+def brute_flow(children, listed=0):
+    """Lines as [gap before, text], and the gap after them."""
+    out, buffer, pending = [], [], 0
+
+    def flush():
+        nonlocal pending
+        line = re.sub("[ \t\n]+", " ", "".join(buffer)).strip(" ")
+        buffer.clear()
+        if line:
+            out.append([pending, line])
+            pending = 0
+
+    def walk(nodes):
+        nonlocal pending
+        number = 0
+        for node in nodes:
+            if isinstance(node, str):
+                buffer.append(node)
+                continue
+            name, attrs, inner = node
+            if "hidden" in attrs:
+                continue
+            if name in ("b", "span"):
+                walk(inner)
+                continue
+            flush()
+            if name == "br":
+                pending += 1
+                continue
+            gap = GAPS.get(name, 2 if not listed else 1)
+            lines, after = brute_block(name, attrs, inner, listed)
+            pending = max(pending, gap)
+            if lines:
+                out.append([max(pending, lines[0][0]), lines[0][1]])
+                out.extend(lines[1:])
+                pending = gap
+            pending = max(pending, after)
+
+    walk(children)
+    flush()
+    return out, pending
+
+
+def brute_block(name, attrs, inner, listed):
+    if name == "pre":
+        lines = "".join(inner).split("\n")
+        return [[1, line] for line in lines], 0
+    if name == "table":
+        return brute_table(inner, listed), 0
+    if name in ("ul", "ol"):
+        out, after = [], 1
+        for k, (_, _, own) in enumerate(inner):
+            mark = "- " if name == "ul" else f"{k + 1}. "
+            lines, tail = brute_flow(own, listed + 1)
+            out += [[max(gap, after) if i == 0 else gap, (mark if i == 0 else " " * len(mark)) + text] for i, (gap, text) in enumerate(lines)]
+            after = max(1, tail, 0 if lines else after)
+        return out, after
+    lines, after = brute_flow(inner, listed)
+    return [[gap, "  " + text] for gap, text in lines] if name == "blockquote" else lines, after
+
+
+def brute_table(rows, listed):
+    taken, cells = set(), []
+    for r, row in enumerate(rows):
+        c = 0
+        for _, attrs, inner in row:
+            while (r, c) in taken:
+                c += 1
+            across, down = int(attrs.get("colspan", 1)), int(attrs.get("rowspan", 1))
+            taken |= {(r + i, c + j) for i in range(1, down) for j in range(across)}
+            text = []
+            for k, (gap, line) in enumerate(brute_flow(inner, listed)[0]):
+                text += [""] * (gap - 1 if k else 0) + [line]
+            cells.append((r, c, across, text))
+            c += across
+    width = {}
+    for _, c, across, text in cells:
+        if across == 1:
+            width[c] = max([width.get(c, 0), *map(len, text)])
+    if max(width.values(), default=0) > html_text.WIDE:
+        raise OverflowError  # wide cells may be left out of their column's width, by another rule
+    out, blank = [], 0
+    for r in range(len(rows)):
+        own = [x for x in cells if x[0] == r]
+        for k in range(max((len(x[3]) for x in own), default=0)):
+            line = ""
+            for _, c, _, text in own:
+                if k < len(text) and text[k]:
+                    at = sum(w + 2 for i, w in width.items() if i < c)
+                    line = line.ljust(max(at, len(line) + 2 if line else 0)) + text[k]
+            if line:
+                out.append([1 + blank, line])
+            blank = 0 if line else blank + 1
+    return out
+
+
+def random_tree(rng, depth, inline=False):
+    def text():
+        return "".join(rng.choice(["ab", "c d", " ", "\n ", "é", "<", "&", "x" * 7]) for _ in range(rng.randrange(1, 5)))
+
+    out = []
+    for _ in range(rng.randrange(1, 5)):
+        kind = rng.random()
+        if kind < 0.35 or depth == 0:
+            out.append(text())
+        elif kind < 0.55 or inline:
+            name = rng.choice(["b", "span"])
+            out.append((name, {"hidden": ""} if rng.random() < 0.15 else {"title": "1>2"}, random_tree(rng, depth - 1, True)))
+        elif kind < 0.6:
+            out += ["t ", ("br", {}, []), "u"]
+        elif kind < 0.7:
+            out.append((rng.choice(["p", "p", "h2"]), {}, random_tree(rng, depth - 1, True)))
+        elif kind < 0.75:
+            out.append(("pre", {}, ["\n".join("  " * rng.randrange(3) + "k" * rng.randrange(1, 4) for _ in range(3))]))
+        elif kind < 0.83:
+            out.append((rng.choice(["ul", "ol"]), {}, [("li", {}, random_tree(rng, depth - 1)) for _ in range(rng.randrange(1, 4))]))
+        elif kind < 0.93:
+            out.append((rng.choice(["div", "blockquote"]), {}, random_tree(rng, depth - 1)))
+        else:
+            span = lambda: {k: str(rng.randrange(1, 4)) for k in ("colspan", "rowspan") if rng.random() < 0.25}
+            out.append(("table", {}, [[("td", span(), random_tree(rng, depth - 1)) for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(1, 4))]))
+    return out
+
+
+BLOCK_NAMES = {"p", "ul", "ol", "div", "blockquote", "h2", "pre", "table"}
+
+
+def written(rng, nodes, parent=""):
+    """A tree as a page; end tags that the format lets be left out sometimes are."""
+    out = []
+    for k, node in enumerate(nodes):
+        if isinstance(node, str):
+            out.append(html.escape(node, quote=False) + rng.choice(["", "", "<!-- <p> -->", "<!-->"]))
+            continue
+        name, attrs, inner = node
+        quote = rng.choice("'\"")
+        tag = "".join(f" {a}={quote}{v}{quote}" if v else f" {a}" for a, v in attrs.items())
+        if name == "table":
+            body = "".join("<tr>" + written(rng, row) + rng.choice(["</tr>", ""]) for row in inner)
+        else:
+            body = written(rng, inner, name)
+        following = nodes[k + 1] if k + 1 < len(nodes) else None
+        ends = following is None or (not isinstance(following, str) and following[0] in BLOCK_NAMES and "hidden" not in following[1])
+        free = name in ("li", "td") or (name == "p" and parent not in ("b", "span") and ends)
+        out.append(f"<{name}{tag}>" + body + ("" if name == "br" or (free and rng.random() < 0.5) else f"</{name}>"))
+    return "".join(out)
+
+
+def test_generated_pages():
+    rng, compared = random.Random(12), 0
+    for _ in range(3000):
+        tree = random_tree(rng, rng.randrange(1, 5))
+        page = written(rng, tree)
+        try:
+            lines, _ = brute_flow(tree)
+        except OverflowError:
+            continue
+        compared += 1
+        want = "".join("\n" * (gap if k else 0) + text for k, (gap, text) in enumerate(lines))
+        assert html_text.visible_text(page) == want, page
+    assert compared > 2000
 
 
 def test_pages_query(spark, sf):
-    rows = queries.op9_html_extraction(spark, sf).collect()
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
-    assert len(rows) == len(pages) and all(r.text == html_text.visible_text(pages[r.page_id]) for r in rows)
-    assert not any("track(" in r.text or "</" in r.text for r in rows)
+    """Every page, null and repeated ones too, in a table with further columns."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    more = spark.createDataFrame([(-1, None, None), (-2, "u", ""), (-3, "u", "<p>x"), (-3, "u", "<p>x"), (None, "u", "<b>y" + " z" * 50000)], "page_id long, url string, html string")
+    rows = html_text.extract(pages.unionByName(more).withColumn("text", F.lit("clash")).withColumn("n_lines", F.lit(9))).collect()
+    assert sorted(((r.page_id, r.text) for r in rows), key=repr) == sorted(((r.page_id, html_text.visible_text(r.html)) for r in pages.unionByName(more).collect()), key=repr)
+    assert rows and [r.text for r in rows if r.page_id == -3] == ["x", "x"]
+    assert len(queries.op9_html_extraction(spark, sf).collect()) == pages.count()
+    assert not any("track(" in (r.text or "") or "</" in (r.text or "") for r in rows)
 
 
 # --- languages
