@@ -1,13 +1,17 @@
 """Media columns: texts stored as samples in ISO media containers, and such containers indexed.
 
 The container has a file type box, a movie box with one track, and the media data. The
-walker descends nested boxes, decodes the sample tables (durations, sizes, chunk map,
-chunk offsets, sync samples) and gives codec, duration and the byte ranges of keyframes
-without decoding a payload. Not indexed: samples of movie fragments (their runs and defaults
-are not read), and tracks with compact sizes (stz2), which give no row.
+walker descends nested boxes, decodes the sample tables (durations, sizes, compact sizes,
+chunk map, chunk offsets, sync samples) and the runs of movie fragments with their defaults,
+and gives codec, duration and the byte ranges of keyframes without decoding a payload.
 
-Defined results: null text counts as empty and gives one frame of blanks; an empty table
-gives no rows; further columns are ignored; rows are independent, so repeats repeat.
+Counts and offsets are held to the boxes and the file they are in. A track that breaks this
+gets a status that tells how, and no samples; the others of the file are indexed. Boxes are
+descended DEPTH deep, far deeper than the format nests them.
+
+Defined results: null text counts as empty and gives one frame of blanks; texts of any
+length are stored whole; an empty table gives no rows; further columns are ignored; rows are
+independent, so repeats repeat; what is no container, or has no track, gives no index row.
 """
 
 from __future__ import annotations
@@ -16,7 +20,8 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,7 @@ TIMESCALE = 48_000
 # Boxes of the format that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 CODEC = b"raw "
+DEPTH = 32
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -94,14 +100,18 @@ def store(payload: bytes, frame: int = FRAME) -> bytes:
     return ftyp + movie(base) + box(b"mdat", payload)
 
 
+NO_SAMPLES = np.zeros(0, np.int64)
+
+
 @dataclass
 class Track:
-    codec: str
-    timescale: int
-    duration: int
-    offsets: np.ndarray
-    sizes: np.ndarray
-    sync: np.ndarray
+    codec: str = ""
+    timescale: int = 0
+    duration: int = 0
+    offsets: np.ndarray = field(default_factory=lambda: NO_SAMPLES)
+    sizes: np.ndarray = field(default_factory=lambda: NO_SAMPLES)
+    sync: np.ndarray = field(default_factory=lambda: NO_SAMPLES)
+    status: str = "ok"
 
     @property
     def seconds(self) -> float:
@@ -113,10 +123,30 @@ class Track:
         return list(zip(self.offsets[i].tolist(), (self.offsets[i] + self.sizes[i]).tolist(), strict=True))
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """Every box below: path, and where its body starts and ends. A truncated box ends the walk of its parent."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+class Damaged(ValueError):
+    """A box that does not hold what it says."""
+
+
+class Box(NamedTuple):
+    """Where a box and its body start, where it ends, and the kinds of the boxes around it and its own."""
+
+    path: tuple[bytes, ...]
+    start: int
+    body: int
+    stop: int
+
+    @property
+    def kind(self) -> bytes:
+        return self.path[-1]
+
+
+def walk(data: bytes) -> Iterator[Box]:
+    """Every box, outer ones first. A truncated box ends the walk of its parent."""
+    todo: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while todo:
+        start, end, path = todo.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1 and start + 16 <= end:
@@ -125,50 +155,223 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
             size = end - start
         stop = start + size
         if size < body - start or stop > end:
-            return
-        yield path + (kind,), body, stop
-        if kind in CONTAINERS:
-            yield from walk(data, body, stop, path + (kind,))
-        start = stop
-
-
-def _rows(data: bytes, body: int, width: str, columns: int = 1) -> np.ndarray:
-    n = struct.unpack_from(">I", data, body + 4)[0]
-    flat = np.frombuffer(data, width, n * columns, body + 8).astype(np.int64)
-    return flat.reshape(n, columns) if columns > 1 else flat
+            continue
+        yield Box((*path, kind), start, body, stop)
+        todo.append((stop, end, path))
+        if kind in CONTAINERS and len(path) < DEPTH:
+            todo.append((body, stop, (*path, kind)))
+
+
+class Reader:
+    """Numbers of a box's body, one after the other; what is beyond its end is damage."""
+
+    def __init__(self, data: bytes, box: Box):
+        self.data, self.at, self.stop, self.name = data, box.body, box.stop, box.kind.decode("latin-1")
+
+    def take(self, form: str) -> tuple:
+        at, self.at = self.at, self.at + struct.calcsize(form)
+        if self.at > self.stop:
+            raise Damaged(f"{self.name} is too short")
+        return struct.unpack_from(form, self.data, at)
+
+    def head(self) -> tuple[int, int]:
+        """Version and flags."""
+        word = self.take(">I")[0]
+        return word >> 24, word & 0xFFFFFF
+
+    def rows(self, n: int, width: str, columns: int = 1) -> np.ndarray:
+        size = n * columns * np.dtype(width).itemsize
+        if self.at + size > self.stop:
+            raise Damaged(f"{self.name} has fewer entries than it says")
+        flat = np.frombuffer(self.data, width, n * columns, self.at).astype(np.int64)
+        self.at += size
+        return flat.reshape(n, columns) if columns > 1 else flat
+
+
+def _table(data: bytes, box: Box, width: str, columns: int = 1) -> np.ndarray:
+    r = Reader(data, box)
+    r.head()
+    return r.rows(r.take(">I")[0], width, columns)
+
+
+def _held(n: int, size: int, data: bytes, name: str) -> None:
+    """Samples of a size that is told once need no table, so only the file holds their number down."""
+    if n > len(data) or n * size > len(data):
+        raise Damaged(f"{name} has more samples than the file has room for")
+
+
+def _sizes(data: bytes, parts: dict[bytes, Box]) -> np.ndarray:
+    if b"stsz" in parts:
+        r = Reader(data, parts[b"stsz"])
+        r.head()
+        fixed, n = r.take(">II")
+        if not fixed:
+            return r.rows(n, ">u4")
+        _held(n, fixed, data, r.name)
+        return np.full(n, fixed, np.int64)
+    r = Reader(data, parts[b"stz2"])
+    r.head()
+    width, n = r.take(">II")
+    if (width := width & 0xFF) == 4:
+        pairs = r.rows((n + 1) // 2, ">u1")
+        return np.stack([pairs >> 4, pairs & 15], axis=1).reshape(-1)[:n]
+    if width not in (8, 16):
+        raise Damaged("stz2 has no known width")
+    return r.rows(n, ">u1" if width == 8 else ">u2")
+
+
+def _sampled(data: bytes, parts: dict[bytes, Box], track: Track) -> None:
+    """Samples of the movie's own tables."""
+    sizes = _sizes(data, parts)
+    n = len(sizes)
+    chunk_at = _table(data, parts[b"co64"], ">u8") if b"co64" in parts else _table(data, parts[b"stco"], ">u4")
+    runs = _table(data, parts[b"stsc"], ">u4", 3).reshape(-1, 3)
+    spent = _table(data, parts[b"stts"], ">u4", 2).reshape(-1, 2)
+    sync = _table(data, parts[b"stss"], ">u4") - 1 if b"stss" in parts else np.arange(n)
+    if len(sync) and (sync.min() < 0 or sync.max() >= n):
+        raise Damaged("stss names samples that there are not")
+    track.duration = track.duration or sum(a * b for a, b in spent.tolist())
+    if not n:
+        return
+    if not len(runs) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any():
+        raise Damaged("stsc is not in order")
+    reach = np.minimum(np.append(runs[1:, 0], len(chunk_at) + 1), len(chunk_at) + 1)
+    per_chunk = np.repeat(runs[:, 1], np.maximum(reach - np.minimum(runs[:, 0], len(chunk_at) + 1), 0))
+    last = np.cumsum(per_chunk)
+    if not len(last) or last[-1] < n:
+        raise Damaged("chunks hold fewer samples than there are")
+    chunk_of = np.searchsorted(last, np.arange(n), "right")
+    before = np.cumsum(sizes) - sizes
+    first = np.minimum(last - per_chunk, n - 1)
+    track.offsets, track.sizes, track.sync = chunk_at[chunk_of] + before - before[first[chunk_of]], sizes, sync
+
+
+def _defaults(data: bytes, box: Box) -> tuple[int, tuple[int, int, int]]:
+    """The track of a trex box, and its samples' duration, size and flags."""
+    r = Reader(data, box)
+    r.head()
+    track, _, duration, size, flags = r.take(">5I")
+    return track, (duration, size, flags)
+
+
+def _fragment(data: bytes, moof: Box, parts: list[Box], defaults: dict[int, tuple[int, int, int]], after: int) -> tuple[int, int, list[tuple], int]:
+    """Of a traf box: its track, time, runs as (offsets, sizes, sync flags), and where its data ends."""
+    r = Reader(data, parts[0])
+    _, flags = r.head()
+    track = r.take(">I")[0]
+    base = r.take(">Q")[0] if flags & 1 else moof.start if flags & 0x20000 or after < 0 else after
+    if flags & 2:
+        r.take(">I")
+    own = list(defaults.get(track, (0, 0, 0)))
+    for k, bit in enumerate((8, 16, 32)):
+        if flags & bit:
+            own[k] = r.take(">I")[0]
+    at, time, out = base, 0, []
+    for box in parts[1:]:
+        r = Reader(data, box)
+        _, flags = r.head()
+        n = r.take(">I")[0]
+        if flags & 1:
+            at = base + r.take(">i")[0]
+        if not 0 <= at <= len(data):
+            raise Damaged("a fragment's data is beyond the file")
+        first = r.take(">I")[0] if flags & 4 else None
+        given = [k for k, bit in enumerate((0x100, 0x200, 0x400, 0x800)) if flags & bit]
+        if not given:
+            _held(n, own[1], data, r.name)
+        rows = r.rows(n, ">u4", len(given)).reshape(n, len(given)) if given else NO_SAMPLES
+        column = lambda k: rows[:, given.index(k)] if k in given else np.full(n, own[k], np.int64)
+        sizes, marks = column(1), column(2).copy()
+        if first is not None and n:
+            marks[0] = first
+        out.append((at + np.cumsum(sizes) - sizes, sizes, marks & 0x10000 == 0))
+        time, at = time + int(column(0).sum()), at + int(sizes.sum())
+    return track, time, out, at
 
 
 def tracks(data: bytes) -> list[Track]:
-    """The sample index of every track with a full sample table."""
-    found: list[dict[bytes, tuple[int, int]]] = []
-    for path, body, stop in walk(data):
-        if path[-1] == b"trak":
+    """The index of every track: of its sample tables, and of the fragments that go on with it."""
+    found: list[dict[bytes, Box]] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    fragments: list[tuple[Box, list[Box]]] = []
+    moof, broken = None, ""
+    for own in walk(data):
+        if own.kind == b"trak":
             found.append({})
-        elif found and b"trak" in path:
-            found[-1].setdefault(path[-1], (body, stop))
-    out = []
-    for t in found:
-        if not {b"mdhd", b"stsd", b"stts", b"stsc", b"stsz"} <= t.keys() or not t.keys() & {b"stco", b"co64"}:
-            continue
-        at = t[b"mdhd"][0]
-        scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] else struct.unpack_from(">II", data, at + 12)
-        codec = data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16].decode("latin-1")
-        fixed, n = struct.unpack_from(">II", data, t[b"stsz"][0] + 4)
-        sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, t[b"stsz"][0] + 12).astype(np.int64)
-        chunk_at = _rows(data, t[b"co64"][0], ">u8") if b"co64" in t else _rows(data, t[b"stco"][0], ">u4")
-        runs = _rows(data, t[b"stsc"][0], ">u4", 3).reshape(-1, 3)
-        reach = np.append(runs[1:, 0], len(chunk_at) + 1)
-        per_chunk = np.repeat(runs[:, 1], np.maximum(reach - runs[:, 0], 0))
-        chunk_of = np.repeat(np.arange(len(per_chunk)), per_chunk)[:n]
-        before = np.cumsum(sizes) - sizes
-        first = np.searchsorted(chunk_of, np.arange(len(per_chunk)))
-        offsets = chunk_at[chunk_of] + before - before[first[chunk_of]]
-        spent = _rows(data, t[b"stts"][0], ">u4", 2).reshape(-1, 2)
-        sync = _rows(data, t[b"stss"][0], ">u4") - 1 if b"stss" in t else np.arange(n)
-        out.append(Track(codec, scale, duration or int((spent[:, 0] * spent[:, 1]).sum()), offsets, sizes, sync))
+        elif b"trak" in own.path:
+            found[-1].setdefault(own.kind, own)
+        elif own.kind == b"trex":
+            try:
+                track, values = _defaults(data, own)
+                defaults[track] = values
+            except Damaged as e:
+                broken = broken or str(e)
+        elif own.kind == b"moof":
+            moof = own
+        elif own.kind == b"traf" and moof:
+            fragments.append((moof, []))
+        elif own.kind in (b"tfhd", b"trun") and b"traf" in own.path and fragments:
+            fragments[-1][1].append(own)
+    out, ids = [], []
+    for parts in found:
+        track, number = Track(), None
+        try:
+            if b"tkhd" in parts:
+                r = Reader(data, parts[b"tkhd"])
+                r.take(">QQ" if r.head()[0] else ">II")
+                number = r.take(">I")[0]
+            if not {b"mdhd", b"stsd", b"stts", b"stsc"} <= parts.keys() or not parts.keys() & {b"stsz", b"stz2"} or not parts.keys() & {b"stco", b"co64"}:
+                raise Damaged("no whole sample table")
+            r = Reader(data, parts[b"mdhd"])
+            long_ = r.head()[0]
+            r.take(">QQ" if long_ else ">II")
+            track.timescale, track.duration = r.take(">IQ" if long_ else ">II")
+            r = Reader(data, parts[b"stsd"])
+            track.codec = r.take(">12x4s")[0].decode("latin-1")
+            _sampled(data, parts, track)
+        except Damaged as e:
+            track = Track(track.codec, track.timescale, track.duration, status=str(e))
+        out.append(track)
+        ids.append(number)
+    _continue(data, fragments, defaults, {n: t for n, t in zip(ids, out, strict=True) if n is not None}, broken)
+    for t in out:
+        if t.status == "ok" and len(t.sizes) and (t.offsets.min() < 0 or (t.offsets + t.sizes).max() > len(data)):
+            t.status = "samples beyond the file"
     return out
 
 
+def _continue(data: bytes, fragments, defaults, by_id: dict[int, Track], broken: str) -> None:
+    """Add the fragments' runs to their tracks."""
+    more: dict[int, list[tuple]] = {}
+    told = {n for n, t in by_id.items() if t.duration}
+    last, after = None, -1
+    for moof, parts in fragments:
+        if last is not moof:
+            last, after = moof, -1
+        try:
+            if not parts or parts[0].kind != b"tfhd" or any(p.kind != b"trun" for p in parts[1:]):
+                raise Damaged("a fragment does not start with its header")
+            track, time, runs, after = _fragment(data, moof, parts, defaults, after)
+        except Damaged as e:
+            broken = broken or str(e)
+            continue
+        if (own := by_id.get(track)) and own.status == "ok":
+            more.setdefault(track, []).extend(runs)
+            if track not in told:
+                own.duration += time
+    for number, runs in more.items():
+        if not runs:
+            continue
+        own, had = by_id[number], len(by_id[number].sizes)
+        flags = np.concatenate([r[2] for r in runs])
+        own.offsets = np.concatenate([own.offsets, *(r[0] for r in runs)])
+        own.sizes = np.concatenate([own.sizes, *(r[1] for r in runs)])
+        own.sync = np.concatenate([own.sync, had + np.flatnonzero(flags)])
+    if broken and fragments:
+        for own in by_id.values():
+            own.status = broken if own.status == "ok" else own.status
+
+
 def read_back(data: bytes, track: Track) -> bytes:
     """The samples' bytes in order; neighbouring samples are read as one range."""
     if not len(track.offsets):
@@ -205,7 +408,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_stored, SCHEMA)
 
 
-INDEX_SCHEMA = "name string, track int, codec string, seconds double, samples long, keyframes array<struct<start: long, end: long>>"
+INDEX_SCHEMA = "name string, track int, codec string, seconds double, samples long, keyframes array<struct<start: long, end: long>>, status string"
 
 
 def _indexed(batches):
@@ -215,10 +418,10 @@ def _indexed(batches):
         rows = []
         for name, data in zip(pdf["name"], pdf["content"], strict=True):
             for i, t in enumerate(tracks(bytes(data)) if data is not None else []):
-                rows.append((name, i, t.codec, t.seconds, len(t.sizes), [{"start": a, "end": b} for a, b in t.keyframes()]))
-        yield pd.DataFrame(rows, columns=["name", "track", "codec", "seconds", "samples", "keyframes"])
+                rows.append((name, i, t.codec, t.seconds, len(t.sizes), [{"start": a, "end": b} for a, b in t.keyframes()], t.status))
+        yield pd.DataFrame(rows, columns=["name", "track", "codec", "seconds", "samples", "keyframes", "status"])
 
 
 def index_media(files: DataFrame) -> DataFrame:
-    """files(name, content binary): one row a track. What is no container gives no row."""
+    """files(name, content binary): one row a track. status is 'ok', or tells what is wrong with the track."""
     return files.select("name", "content").mapInPandas(_indexed, INDEX_SCHEMA)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 from collections import defaultdict
 
@@ -87,6 +88,84 @@ def test_media_index(spark):
     assert (r.name, r.codec, r.samples, len(r.keyframes)) == ("a", "raw ", 133, 9)
 
 
+def fragmented(sizes, keys, given=True):
+    """A movie without samples of its own, and a fragment for each list of sizes."""
+    word = lambda *x: struct.pack(f">{len(x)}I", *x)
+    entry = media.box(b"avc1", bytes(78))
+    empty = [media.full(k, word(0)) for k in (b"stts", b"stsc", b"stco")] + [media.full(b"stsz", word(0, 0))]
+    stbl = media.box(b"stbl", media.full(b"stsd", word(1), entry), *empty)
+    trak = media.box(b"trak", media.full(b"tkhd", word(0, 0, 7), bytes(72)), media.box(b"mdia", media.full(b"mdhd", word(0, 0, 1000, 0), bytes(4)), media.box(b"minf", stbl)))
+    out = media.box(b"ftyp", b"isom", word(512)) + media.box(b"moov", trak, media.box(b"mvex", media.full(b"trex", word(7, 1, 40, sizes[0][0], 0x10000))))
+    payloads = []
+    for own in sizes:
+        rows = b"".join(word(50, n, 0 if k in keys else 0x10000) for k, n in enumerate(own))
+        flags, body = (0x701, rows) if given else (0x5, b"")
+
+        def moof(at):
+            head = word(len(own)) + struct.pack(">i", at) + (b"" if given else word(0))
+            return media.box(b"moof", media.full(b"mfhd", word(1)), media.box(b"traf", media.full(b"tfhd", word(7), flags=0x20000), media.full(b"trun", head, body, flags=flags)))
+
+        data = random.Random(len(out)).randbytes(sum(own))
+        out += moof(len(moof(0)) + 8) + media.box(b"mdat", data)
+        payloads.append(data)
+    return out, b"".join(payloads)
+
+
+def test_fragments():
+    data, payload = fragmented([[5, 9, 30], [4, 4]], {0})
+    (t,) = media.tracks(data)
+    assert (t.codec, t.status, t.seconds, t.sizes.tolist(), t.sync.tolist()) == ("avc1", "ok", 0.25, [5, 9, 30, 4, 4], [0, 3])
+    assert media.read_back(data, t) == payload and [data[a:b] for a, b in t.keyframes()] == [payload[:5], payload[44:48]]
+    data, payload = fragmented([[6] * 4, [6] * 2], set(), given=False)  # all from the defaults, the first a keyframe
+    (t,) = media.tracks(data)
+    assert t.sizes.tolist() == [6] * 6 and t.sync.tolist() == [0, 4] and t.duration == 240 and media.read_back(data, t) == payload
+
+
+@pytest.mark.parametrize("width,sizes,values", [(4, [3, 15, 1, 7, 2], b"\x3f\x17\x20"), (8, [3, 200, 1], b"\x03\xc8\x01"), (16, [3, 60000], b"\x00\x03\xea\x60")])
+def test_compact_sizes(width, sizes, values):
+    data = media.full(b"stz2", struct.pack(">II", width, len(sizes)), values)
+    (own,) = media.walk(data)
+    assert media._sizes(data, {b"stz2": own}).tolist() == sizes
+
+
+def patched(data, kind, at, value):
+    """The container with a word of a box's body replaced."""
+    own = next(b for b in media.walk(data) if b.kind == kind)
+    return data[: own.body + at] + struct.pack(">I", value) + data[own.body + at + 4 :]
+
+
+@pytest.mark.parametrize("kind,at,value,told", [
+    (b"stsz", 8, 0xFFFFFFF0, "room"), (b"stts", 4, 9999, "fewer entries"), (b"stss", 8, 0, "stss names"), (b"stss", 4, 1 << 31, "fewer entries"),
+    (b"stsc", 8, 5, "not in order"), (b"stsc", 12, 1, "chunks hold"), (b"stco", 8, 1 << 31, "beyond"), (b"stco", 4, 7, "fewer entries"),
+])
+def test_damaged_containers(kind, at, value, told):
+    (t,) = media.tracks(patched(media.store(random.Random(1).randbytes(192 * 133)), kind, at, value))
+    assert told in t.status and (told == "beyond" or not len(t.sizes))
+
+
+def test_deep_and_fuzzed_containers(spark):
+    deep = b""
+    for _ in range(1500):
+        deep = media.box(b"moov", deep)
+    assert media.tracks(deep) == [] and len(list(media.walk(deep))) == media.DEPTH + 1
+    assert len(list(media.walk(struct.pack(">I4s", 8, b"moov") * 50000))) == 50000
+    rng, files = random.Random(3), [("deep", deep)]
+    for good in (media.store(rng.randbytes(192 * 70)), fragmented([[5, 9, 30], [4, 4]], {0})[0], fragmented([[6] * 4], set(), False)[0]):
+        heads = [b for b in media.walk(good) if b.kind != b"mdat"]
+        for k in range(2000):
+            data = bytearray(good)
+            for _ in range(rng.randrange(1, 4)):
+                own = rng.choice(heads)
+                i = rng.randrange(own.start, own.stop)
+                data[i] = rng.choice([0, 1, 255, rng.randrange(256)])
+            data = bytes(data[: rng.randrange(len(data))] if rng.random() < 0.2 else data)
+            for t in media.tracks(data):
+                assert t.status and len(t.sizes) <= len(data) and len(t.keyframes()) == len(t.sync)
+            if k % 100 == 0:
+                files.append((str(k), data))
+    assert media.index_media(spark.createDataFrame([(*f, "x") for f in files], "name string, content binary, status string")).where("status IS NULL").isEmpty()
+
+
 def check_packing(rows, docs, limit=2048):
     enc = packing.ids_of("byte_bpe_50k.json").slow
     by_doc, by_seq = defaultdict(list), defaultdict(list)
