@@ -7,13 +7,17 @@ length of which some n-gram is known decides, with the mean log frequency of tho
 The model is fitted on about TRAIN_DOCS labelled documents, taken by a hash of the id,
 and whole texts of those. The sample is bounded for each language: the rarest give all
 their documents, the others equally many, LEAST_DOCS at least, so every label is learned.
-A word or n-gram is kept if its share of its language's tokens is at least one in WORDS
-(n-grams: GRAMS, for each length); where languages are so many that a table would have
-more than CELLS cells, only those of the largest shares are. So the model's size has a
-bound that does not grow with the data; prediction reads every whole text. What a language
-was not seen to have gets the same share in all of them, however small their samples are.
+The sample alone bounds the model: each word and n-gram in it is kept, with the languages it
+was seen in. If these entries are more than ENTRIES (about 20 bytes each), which is
+counted before any of them leaves the executors, the sample is halved until they are not.
+What a language was not seen to have gets the same share in all of them, however small
+their samples are, so it needs no entry. Prediction reads every whole text.
 
-Defined results: null texts and texts without a letter are 'und' with score 0; texts of
+Tables are sorted 64-bit hashes of the items, with sparse rows. Words that come up are kept
+at hand as full rows, as far as there is room.
+
+Defined results: null texts and texts without a letter are 'und' with score 0; very long
+texts are read whole; of languages with equal scores the first by name is taken; texts of
 which nothing is known get the first language by name with score 1 / languages; without
 training rows everything is 'und'; an empty table gives no rows; repeated rows repeat;
 further columns are ignored.
@@ -27,18 +31,21 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import saved
+from quillon.llm.common import saved, small
 
-#: Bounds of the model, see above.
-TRAIN_DOCS, LEAST_DOCS, WORDS, GRAMS, CELLS = 20_000, 100, 50_000, 20_000, 2_000_000
+#: Bounds of the sample, see above.
+TRAIN_DOCS, LEAST_DOCS, ENTRIES = 20_000, 100, 3_000_000
 LENGTHS = (5, 4, 3, 2, 1)
 #: Words after which the score takes a text to be long.
 LONG = 20
-#: Unseen words that a worker keeps at hand, cells of their table, and unseen words looked up at once.
-MEMO, MEMO_CELLS, BATCH = 200_000, 4_000_000, 20_000
+#: Words that a worker keeps at hand, cells of their table, and cells of rows made at once.
+MEMO, MEMO_CELLS, CELLS = 400_000, 4_000_000, 1_000_000
+#: Words counted by a task before their counts are handed on.
+COUNTED = 1 << 21
 LETTERS = re.compile(r"[^\W\d_]+")
 HELD_OUT, FOLDS = 2, 4
 UNKNOWN = "und"
@@ -57,78 +64,125 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def item(text: str, kind: int) -> int:
+    """A word (kind 0) or n-gram (kind n) as 64 bits."""
+    return xxhash.xxh64_intdigest(text, kind)
+
+
 def _counted(batches):
     """Partial counts; kind 0 is words, kind n is n-grams of n."""
-    for batch in batches:
-        counts: dict[str, Counter] = defaultdict(Counter)
-        docs: Counter = Counter()
-        for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            counts[lang].update(words_of(text.as_py()))
-            docs[lang] += 1
-        rows = [(lang, -1, "", n) for lang, n in docs.items()]
+    counts: dict[str, Counter] = defaultdict(Counter)
+    size = 0
+
+    def rows() -> pa.RecordBatch:
+        out: list[tuple] = []
         for lang, words in counts.items():
-            rows += [(lang, 0, w, n) for w, n in words.items()]
-            for size in LENGTHS:
+            out += [(lang, 0, item(w, 0), n) for w, n in words.items()]
+            for length in LENGTHS:
                 own: Counter = Counter()
                 for w, n in words.items():
-                    for g in grams(w, size):
+                    for g in grams(w, length):
                         own[g] += n
-                rows += [(lang, size, g, n) for g, n in own.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "kind", "item", "n"])
+                out += [(lang, length, item(g, length), n) for g, n in own.items()]
+        items = np.array([r[2] for r in out], np.uint64).view(np.int64)
+        columns = [pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array(items), pa.array([r[3] for r in out], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "kind", "item", "n"])
+
+    for batch in batches:
+        for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            words = words_of(text.as_py())
+            counts[lang].update(words)
+            size += len(words)
+            if size > COUNTED:
+                yield rows()
+                counts, size = defaultdict(Counter), 0
+    if counts:
+        yield rows()
+
+
+class Table:
+    """Sorted items, and for each the languages that have it, with by how much its log share is above the least."""
+
+    def __init__(self, items: np.ndarray, column: np.ndarray, n: np.ndarray, whole: np.ndarray, kinds: int):
+        """Rows (item, language, count) sorted by item; tokens of each language; most different items of one."""
+        first = np.flatnonzero(np.append(True, items[1:] != items[:-1])) if len(items) else np.zeros(0, np.int64)
+        self.items, self.starts, self.column = items[first], np.append(first, len(items)), column.astype(np.int32)
+        least = 0.5 / max([1.0, *whole.tolist()])  # a share, so that small samples do not favour what they lack
+        self.base = float(np.log(least / (1 + least * kinds)))
+        self.above = np.log1p(n / np.maximum(whole[column], 1) / least).astype(np.float32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each item, or -1."""
+        if not len(self.items):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.items, hashes), len(self.items) - 1)
+        return np.where(self.items[at] == hashes, at, -1)
+
+    def rows(self, at: np.ndarray, languages: int) -> np.ndarray:
+        """Log shares in all languages."""
+        out = np.full((len(at), languages), self.base)
+        some = self.starts[at + 1] - self.starts[at]
+        entry = np.arange(some.sum()) + np.repeat(self.starts[at] - (np.cumsum(some) - some), some)
+        out[np.repeat(np.arange(len(at)), some), self.column[entry]] += self.above[entry]
+        return out
 
 
 class Model:
     """Log frequencies of items in each language, and the texts' languages by them."""
 
-    def __init__(self, langs: list[str], words: dict[str, int], gram_rows: dict[int, dict[str, int]], logs: dict[int, np.ndarray]):
-        """words and gram_rows give rows of logs, which has a table for words (0) and each length."""
-        self.langs, self.words, self.grams, self.logs = langs, words, gram_rows, logs
-        self.ready = False
+    def __init__(self, langs: list[str], tables: dict[int, Table]):
+        """tables: of words (0) and of n-grams of each length."""
+        self.langs, self.tables, self.at = langs, tables, None
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("langs", "words", "grams", "logs")} | {"ready": False}
+        return {"langs": self.langs, "tables": self.tables, "at": None}
 
     def prepare(self) -> None:
-        """One table of all words: those learned, then unseen ones as they come up, as far as there is room."""
-        self.known = len(self.words)
-        room = min(MEMO, max(1000, MEMO_CELLS // max(1, len(self.langs))))
-        self.table = np.zeros((self.known + room, len(self.langs)))
-        self.table[: self.known] = self.logs[0]
-        self.at, self.used = dict(self.words), self.known
-        base, offset, parts = 0, {}, []
+        wide = max(1, len(self.langs))
+        self.memo = np.zeros((min(MEMO, max(1000, MEMO_CELLS // wide)), wide))
+        self.batch = max(100, CELLS // wide // 8)
+        self.at, self.used = {}, 0
+
+    def made(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its own, or the mean of its known n-grams of the longest length that has any, or NaN."""
+        wide = len(self.langs)
+        out = np.full((len(words), wide), np.nan)
+        at = self.tables[0].find(np.array([item(w, 0) for w in words], np.uint64))
+        known = np.flatnonzero(at >= 0)
+        out[known] = self.tables[0].rows(at[known], wide)
+        left = np.flatnonzero(at < 0)
         for n in LENGTHS:
-            offset[n], base = base, base + len(self.logs[n])
-            parts.append(self.logs[n])
-        self.gram_table = np.concatenate([*parts, np.zeros((1, len(self.langs)))])
-        self.gram_at = [(n, {g: offset[n] + i for g, i in self.grams[n].items()}) for n in LENGTHS]
-        self.nothing, self.ready = base, True
-
-    def unseen(self, words: list[str]) -> np.ndarray:
-        """A row for each word: the mean of its known n-grams of the longest length that has any, or NaN."""
-        flat, sizes = [], []
-        for w in words:
-            rows = [self.nothing]
-            for n, at in self.gram_at:
-                if found := [at[g] for g in grams(w, n) if g in at]:
-                    rows = found
-                    break
-            flat += rows
-            sizes.append(len(rows))
-        flat, sizes = np.array(flat), np.array(sizes)
-        starts = np.cumsum(sizes) - sizes
-        out = np.add.reduceat(self.gram_table[flat], starts, axis=0) / sizes[:, None]
-        out[flat[starts] == self.nothing] = np.nan
-        if self.used + len(words) > len(self.table):  # no room: forget the unseen words of before
-            self.at, self.used = dict(self.words), self.known
-        keep = words[: len(self.table) - self.used]
-        self.table[self.used : self.used + len(keep)] = out[: len(keep)]
+            if not len(left):
+                break
+            parts = [[item(g, n) for g in grams(words[i], n)] for i in left.tolist()]
+            owner = np.repeat(np.arange(len(left)), [len(p) for p in parts])
+            at = self.tables[n].find(np.array([g for p in parts for g in p], np.uint64))
+            owner, at = owner[at >= 0], at[at >= 0]
+            if len(at):
+                first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                sums = np.zeros((len(first), wide))
+                edges = np.append(first, len(at)).tolist()
+                for a in range(0, len(first), self.batch):  # some words at once, so that their n-grams' rows stay few
+                    b = min(a + self.batch, len(first))
+                    rows = self.tables[n].rows(at[edges[a] : edges[b]], wide)
+                    sums[a:b] = np.add.reduceat(rows, first[a:b] - first[a], axis=0)
+                out[left[owner[first]]] = sums / np.diff(np.append(first, len(at)))[:, None]
+                left = np.delete(left, owner[first])
+        return out
+
+    def kept(self, words: list[str]) -> np.ndarray:
+        """Rows of words that are not at hand; they are then, those of before being forgotten if there is no room."""
+        out = self.made(words)
+        if self.used + len(words) > len(self.memo):
+            self.at, self.used = {}, 0
+        keep = words[: len(self.memo) - self.used]
+        self.memo[self.used : self.used + len(keep)] = out[: len(keep)]
         self.at.update(zip(keep, range(self.used, self.used + len(keep)), strict=True))
         self.used += len(keep)
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.ready:
+        if self.at is None:
             self.prepare()
         counts = Counter(words_of(text or ""))
         if not self.langs or not any(c.isalpha() for w in counts for c in w):
@@ -147,12 +201,12 @@ class Model:
         new = np.flatnonzero(rows < 0)
         if len(new) < n:
             old = rows >= 0
-            add(self.table[rows[old]], times[old])
+            add(self.memo[rows[old]], times[old])
         if len(new):
             words = list(counts)
-            for k in range(0, len(new), BATCH):
-                some = new[k : k + BATCH]
-                add(self.unseen([words[i] for i in some.tolist()]), times[some])
+            for k in range(0, len(new), self.batch):
+                some = new[k : k + self.batch]
+                add(self.kept([words[i] for i in some.tolist()]), times[some])
         if not weight:
             return self.langs[0], 1 / len(self.langs)
         mean = total / weight * min(weight, LONG)
@@ -172,40 +226,36 @@ def quota(sizes: list[int], most: int, least: int = LEAST_DOCS) -> int:
     return max([own, least, *sizes])
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most_docs: int = TRAIN_DOCS, most_words: int = WORDS, most_grams: int = GRAMS, most_cells: int = CELLS) -> Model:
-    """Fit on the labelled rows of docs. What reaches the driver is bounded by most_words, most_grams and most_cells."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most_docs: int = TRAIN_DOCS, most_entries: int = ENTRIES) -> Model:
+    """Fit on the labelled rows of docs. What reaches the driver is bounded by most_entries, and a few numbers for each label."""
     labelled = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
     place = F.pmod(F.xxhash64("i"), F.lit(1 << 40))
     sizes = saved(labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")))
-    most = quota([r["n"] for r in sizes.select("n").collect()], most_docs)
-    share = sizes.select("l", F.when(F.col("n") > most, F.greatest(F.col("first") + 1, F.floor(F.lit(float(1 << 40)) * most / F.col("n")))).alias("end"))
-    sample = labelled.join(F.broadcast(share), "l").where(F.col("end").isNull() | (place < F.col("end")))
-    counts = sample.select("t", "l").mapInArrow(_counted, "lang string, kind int, item string, n long")
-    counts = saved(counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
+    most, least = quota([r["n"] for r in sizes.select("n").collect()], most_docs), 1
+    while True:
+        share = sizes.select("l", F.when(F.col("n") > most, F.greatest(F.col("first") + 1, F.floor(F.lit(float(1 << 40)) * most / F.col("n")))).alias("end"))
+        sample = labelled.join(small(share), "l").where(F.col("end").isNull() | (place < F.col("end")))
+        counts = sample.select("t", "l").mapInArrow(_counted, "lang string, kind int, item long, n long")
+        counts = saved(counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
+        entries = counts.count()
+        if entries <= most_entries or most <= least:
+            break
+        most //= 2
     sums = counts.groupBy("lang", "kind").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("different"))
     totals = {(r["lang"], r["kind"]): (r["all"], r["different"]) for r in sums.collect()}
-    langs = sorted({k[0] for k in totals})
-    bound = F.when(F.col("kind") == 0, F.lit(most_words)).otherwise(F.lit(most_grams))
-    kept = counts.where("kind >= 0").join(F.broadcast(sums), ["lang", "kind"]).where(F.col("n") * bound >= F.col("all"))
-    names = saved(kept.groupBy("kind", "item").agg(F.max(F.col("n") / F.col("all")).alias("share")))
-    most_items = max(1, most_cells // max(1, len(langs)))
-    for r in names.groupBy("kind").count().where(F.col("count") > most_items).collect():
-        some = names.where(F.col("kind") == r["kind"]).orderBy(F.desc("share"), "item").limit(most_items)
-        names = names.where(F.col("kind") != r["kind"]).unionByName(some)
-    rows = counts.join(names, ["kind", "item"]).select("lang", "kind", "item", "n").toArrow().to_pydict() if langs else {"lang": [], "kind": [], "item": [], "n": []}
-    index: dict[int, dict[str, int]] = {k: {} for k in (0, *LENGTHS)}
-    for k, item in sorted(set(zip(rows["kind"], rows["item"], strict=True))):
-        index[k][item] = len(index[k])
-    column = {name: i for i, name in enumerate(langs)}
-    tables = {k: np.zeros((len(index[k]), len(langs))) for k in index}
-    for name, k, item, c in zip(rows["lang"], rows["kind"], rows["item"], rows["n"], strict=True):
-        tables[k][index[k][item], column[name]] = c
-    for k, t in tables.items():
-        whole = np.array([totals.get((name, k), (0, 0))[0] for name in langs], dtype=float)
-        kinds = max([1, *(totals.get((name, k), (0, 0))[1] for name in langs)])
-        least = 0.5 / max([1.0, *whole])  # a share, so that small samples do not favour what they lack
-        tables[k] = np.log((t / np.maximum(whole, 1) + least) / (1 + least * kinds))
-    return Model(langs, index.pop(0), index, tables)
+    langs = sorted({r["l"] for r in sizes.select("l").collect()})
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(langs)), "number int, lang string")
+    rows = counts.join(small(saved(numbers)), "lang").select("kind", "item", "number", "n").toArrow()
+    kind, items, column, n = (rows[c].to_numpy() for c in rows.column_names)
+    items = items.astype(np.int64).view(np.uint64)
+    order = np.lexsort((column, items, kind))
+    kind, items, column, n = kind[order], items[order], column[order], n[order]
+    tables = {}
+    for k in (0, *LENGTHS):
+        own = slice(*np.searchsorted(kind, [k, k + 1]))
+        of = [totals.get((name, k), (0, 0)) for name in langs]
+        tables[k] = Table(items[own], column[own], n[own], np.array([x[0] for x in of], dtype=float), max([1, *(x[1] for x in of)]))
+    return Model(langs, tables)
 
 
 def predicted(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

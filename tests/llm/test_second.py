@@ -1,6 +1,7 @@
 """Surrogates, secret scans, near-dedup, HTML text and language ID."""
 
 import html
+import math
 import random
 import re
 import time
@@ -653,8 +654,6 @@ def test_backoff(spark):
     model = langid.train(docs)
     assert model.predict("thinking")[0] == "en" and model.predict("denkender")[0] == "de" and model.predict("the")[0] == "en"
     assert model.predict("жук") == ("de", 0.5) and model.predict("42")[0] == "und"
-    small = langid.train(docs, most_words=2, most_grams=3)
-    assert len(small.words) <= 4 and all(len(g) <= 6 for g in small.grams.values())
 
 
 def test_rare_languages_are_learned(spark):
@@ -666,8 +665,79 @@ def test_rare_languages_are_learned(spark):
         assert model.langs == ["de", "en", "fi"]
         got = [model.predict(t)[0] for t in ("koiran kissa", "the dog sat", "der hund", "matte", "mat")]
         assert got == ["fi", "en", "de", "de", "en"]
-    small = langid.train(docs, most_cells=12)
-    assert small.langs == ["de", "en", "fi"] and len(small.words) == 4 and all(len(g) <= 4 for g in small.grams.values())
+    thin = langid.train(docs, most_entries=1)  # no room for anything, so one document of each
+    assert thin.langs == ["de", "en", "fi"] and thin.predict("kissa istui")[0] == "fi"
+
+
+def syllable_languages(n, rng):
+    """Words of n languages, each made of syllables of its own."""
+    made = []
+    for k in range(n):
+        own = ["".join(rng.choice("bcdfghjklmnpqrstvwz") + rng.choice("aeiouyäöüé") for _ in range(1)) for _ in range(9)]
+        made.append([f"{own[k % 9]}{''.join(rng.choice(own) for _ in range(rng.randrange(1, 4)))}" for _ in range(60)])
+    return made
+
+
+def test_many_languages(spark):
+    rng = random.Random(2)
+    words = syllable_languages(200, rng)
+    rows = [(i, " ".join(rng.choice(words[i % 200]) for _ in range(25)), f"l{i % 200:03}") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    held = [i for i, r in got.items() if r.held_out]
+    assert len(held) > 400 and np.mean([got[i].lang_pred == rows[i][2] for i in held]) > 0.99
+
+
+def brute_language(train, text):
+    """Counts of all items, looked up one by one."""
+    kinds = (0, *langid.LENGTHS)
+    counts = {k: defaultdict(lambda: defaultdict(int)) for k in kinds}
+    for t, lang in train:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            for k in kinds:
+                marked = f"<{w}>" if k > 1 else w
+                for x in [w] if k == 0 else [marked[i : i + k] for i in range(len(marked) - k + 1)]:
+                    counts[k][lang][x] += 1
+    langs = sorted({lang for _, lang in train})
+    whole = {k: {g: sum(counts[k][g].values()) for g in langs} for k in kinds}
+
+    def share(k, lang, x):
+        least = 0.5 / max(1, *whole[k].values())
+        return math.log((counts[k][lang].get(x, 0) / max(1, whole[k][lang]) + least) / (1 + least * max(1, *(len(counts[k][g]) for g in langs))))
+
+    total, weight = dict.fromkeys(langs, 0.0), 0
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        for k in kinds:
+            marked = f"<{w}>" if k > 1 else w
+            found = [x for x in ([w] if k == 0 else [marked[i : i + k] for i in range(len(marked) - k + 1)]) if any(x in counts[k][g] for g in langs)]
+            if found:
+                weight += 1
+                for g in langs:
+                    total[g] += sum(share(k, g, x) for x in found) / len(found)
+                break
+    if not weight:
+        return langs[0], 1 / len(langs)
+    p = {g: math.exp((total[g] - max(total.values())) / weight * min(weight, langid.LONG)) for g in langs}
+    best = max(langs, key=lambda g: p[g])
+    return best, p[best] / sum(p.values())
+
+
+def test_language_by_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    words = syllable_languages(4, rng)
+    train = [(" ".join(rng.choice(words[i % 4][:40]) for _ in range(12)), "abcd"[i % 4]) for i in range(60)]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(train)], "doc_id long, text string, lang string")
+    for memo in (langid.MEMO, 7):  # 7 rows at hand: forgotten again and again
+        monkeypatch.setattr(langid, "MEMO", memo)
+        model = langid.train(docs)
+        model.prepare()
+        model.batch = 5 if memo == 7 else model.batch
+        for _ in range(150):
+            mixed = [rng.choice(rng.choice(words)) + rng.choice(["", "", "x", "zz"]) for _ in range(rng.randrange(1, 30))] + rng.choice([[], ["жук"], ["42"]])
+            text = " ".join(mixed)
+            lang, score = model.predict(text)
+            want = brute_language(train, text)
+            assert lang == want[0] and abs(score - want[1]) < 1e-4
 
 
 def test_quota():
