@@ -96,6 +96,18 @@ ORACLES = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, {_LOWER} AS t FROM documents) WINDOW same AS (PARTITION BY t)""",
     "op4_secret_scans": _secrets_sql(),
+    "op6_suffix_array_dedup": """
+        WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        windows AS (SELECT doc_id, b, unnest(range(1, n - 98)) AS i FROM texts WHERE n >= 100),
+        hashed AS (SELECT doc_id, i, md5(b[i:i + 99]) AS h FROM windows),
+        again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM hashed) WHERE k > 1),
+        marked AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM again),
+        islands AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked) GROUP BY doc_id, g),
+        spans AS (SELECT doc_id, list(struct_pack(a := a, z := z) ORDER BY a) AS s, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM islands GROUP BY doc_id)
+        SELECT t.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(CASE WHEN s IS NULL THEN hex(b) ELSE list_aggregate(list_transform(range(1, len(s) + 2), lambda k:
+                   hex(b[CASE WHEN k = 1 THEN 1 ELSE s[k - 1].z END : CASE WHEN k > len(s) THEN n ELSE s[k].a - 1 END])), 'string_agg', '') END)) AS kept_sha256
+        FROM texts t LEFT JOIN spans USING (doc_id)""",
     "op8_source_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS mark,

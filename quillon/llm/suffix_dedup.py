@@ -10,20 +10,25 @@ windows with one anchor form a run; all of its bytes are its region.
 
 Pass 1 deals runs by gram and finds grams with several runs. They are marked in bitmaps of
 a fixed size. Pass 2 deals the runs of marked grams into buckets. Runs with equal regions
-fall to the first of them, already in the map task. Where the regions of a gram differ,
-the suffixes from the anchors on are sorted, multikey quicksort over 8-byte characters to
-a shallow depth, and blind tries order the groups that still agree; the reversed prefixes
-before the anchors likewise. Common prefixes of sorted neighbours tell how far any two
-regions agree, and so which windows of the later one are repeats. For a gram with many
-different regions, windows are looked up by their own hashes instead; for one with very
-many, they are also dealt by these, so that no bucket holds all of a gram.
+fall to the first of them, already in the map task; two are taken to be equal if the 64-bit
+hashes of their grams and those of their whole regions are. Where the regions of a gram
+differ, the suffixes from the anchors on are sorted: multikey quicksort over 8-byte
+characters, in which every open group is parted into smaller, equal and larger ones at
+once, to a shallow depth, and blind tries for the groups that still agree; the reversed
+prefixes before the anchors likewise. Common prefixes of sorted neighbours cut both orders
+into intervals of rows that agree to a depth. Windows with b bytes before the anchor are
+equal exactly if they share an interval of depth MIN - b to the right and one of depth b
+to the left, so one look at each b tells the first row of every window, however many
+regions a gram has; no pairs are made. A gram of more than SPLIT regions would be too much
+for a bucket: its windows are dealt one by one, by two hashes of their own, 128 bits.
 
 A full bitmap costs speed, not results: with more repeated grams than bits, pass 2 deals
 all runs, with their regions, rather than those that may be repeats.
 
 Defined results: null text counts as empty; a null doc_id comes after all others; of
-rows with the same doc_id, the smaller 31-bit text hash comes first, and rows that repeat both
-are one document; texts of under MIN bytes lose nothing; an empty table gives no rows;
+rows with the same doc_id, the smaller 64-bit text hash comes first, and rows that repeat both
+are one document; texts of under MIN bytes lose nothing; very long texts are cut into
+overlapping segments, so nothing is missed between them; an empty table gives no rows;
 further columns are ignored.
 """
 
@@ -50,8 +55,10 @@ BITS, BUCKETS = (20, 28), 8
 FEWER = (0, 2, 5)
 #: Bytes compared by quicksort before tries take over.
 SHALLOW = 32
-#: Regions of a gram up to which any two are compared; and beyond which its windows are dealt one by one.
-PAIRS, SPLIT = 1024, 32768
+#: Regions of a gram beyond which its windows are dealt one by one.
+SPLIT = 32768
+#: Bytes of input for which there is a bucket at least.
+BUCKET_BYTES = 1 << 26
 WIDE = 104  # regions reach at most MIN bytes from the anchor, padded to whole words
 _PLACE = np.uint64((1 << 24) - 1)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -120,8 +127,8 @@ class Chunk:
         doc, self.first, self.count, self.anchor, self.gram = anchor_runs(self.data, starts, ends)
         view, reach = self.data, self.first + self.count + MIN - 1
         self.region = np.array([xxhash.xxh64_intdigest(view[a:b]) for a, b in zip(self.first.tolist(), reach.tolist(), strict=True)], dtype=np.uint64)
-        self.key, self.offset = np.array(keys, np.int64)[doc], self.anchor - self.first
-        self.place = np.array(marks, np.int64)[doc] << 32 | self.first + (np.array(bases, np.int64) - starts)[doc]
+        self.key, self.mark, self.offset = np.array(keys, np.int64)[doc], np.array(marks, np.int64)[doc], self.anchor - self.first
+        self.place = self.first + (np.array(bases, np.int64) - starts)[doc]
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Chunk]]:
@@ -259,21 +266,23 @@ def merged(key: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray
     return key[at], mark[at], start[at], np.maximum.reduceat(reach, at)
 
 
-def _firsts(gram: np.ndarray, region: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by the hashes and then place; which rows are first of their hashes; which repeat an earlier place."""
-    order = np.lexsort((place, key, region, gram))
+def _spans(key: np.ndarray, mark: np.ndarray, place: np.ndarray, size) -> tuple[np.ndarray, ...]:
+    return key, mark, place, place + size
+
+
+def _firsts(gram: np.ndarray, region: np.ndarray, *where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by the hashes and then where: key, mark, place; which rows are first of their hashes; which repeat an earlier place."""
+    order = np.lexsort((*reversed(where), region, gram))
     lead = np.zeros(len(order), bool)
     lead[:1] = True
     for x in (gram, region):
         lead[1:] |= x[order][1:] != x[order][:-1]
     at = np.flatnonzero(lead)
     head = np.repeat(order[at], np.diff(np.append(at, len(order))))
-    return order, lead, (key[order] != key[head]) | (place[order] != place[head])
-
-
-def _spans(key: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-    start = place & 0xFFFFFFFF
-    return key, place >> 32, start, start + size
+    again = np.zeros(len(order), bool)
+    for x in where:
+        again |= x[order] != x[head]
+    return order, lead, again
 
 
 def _windows(c: Chunk, part: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -283,7 +292,7 @@ def _windows(c: Chunk, part: np.ndarray) -> tuple[np.ndarray, ...]:
     part = np.repeat(part, count)
     whole = [c.data[a : a + MIN] for a in (c.first[part] + step).tolist()]
     hashes = (np.array([xxhash.xxh64_intdigest(w, seed) for w in whole], dtype=np.uint64) for seed in (1, 2))
-    return *hashes, c.key[part], c.place[part] + step
+    return *hashes, c.key[part], c.mark[part], c.place[part] + step
 
 
 def _dealer(buckets: int, shared):
@@ -300,27 +309,28 @@ def _dealer(buckets: int, shared):
                 on = np.flatnonzero(_has(dup, c.gram))
                 split = _has(hot, c.gram[on])
                 p = on[~split]
-                runs.append((c.gram[p], c.region[p], c.key[p], c.place[p], c.count[p], c.offset[p], c.first[p], np.full(len(p), k)))
+                runs.append((c.gram[p], c.region[p], c.key[p], c.mark[p], c.place[p], c.count[p], c.offset[p], c.first[p], np.full(len(p), k)))
                 if split.any():
                     windows.append(_windows(c, on[split]))
             if windows:
-                gram, region, key, place = (np.concatenate(x) for x in zip(*windows, strict=True))
-                order, lead, repeat = _firsts(gram, region, key, place)
-                gone.append(_spans(key[order[repeat]], place[order[repeat]], MIN))
+                hashes = [np.concatenate(x) for x in zip(*windows, strict=True)]
+                order, lead, repeat = _firsts(*hashes)
+                o = order[repeat]
+                gone.append(_spans(*(x[o] for x in hashes[2:]), MIN))
                 keep = order[lead]
-                rows += [(b, 2, packed(blob), None) for b, blob in _blobs(bucket_of(gram[keep], buckets), [x[keep] for x in (gram, region, key, place)])]
-            gram, region, key, place, count, offset, first, chunk = (np.concatenate(x) for x in zip(*runs, strict=True))
-            order, lead, repeat = _firsts(gram, region, key, place)
+                rows += [(b, 2, packed(blob), None) for b, blob in _blobs(bucket_of(hashes[0][keep], buckets), [x[keep] for x in hashes])]
+            gram, region, key, mark, place, count, offset, first, chunk = (np.concatenate(x) for x in zip(*runs, strict=True))
+            order, lead, repeat = _firsts(gram, region, key, mark, place)
             o = order[repeat]
-            gone.append(_spans(key[o], place[o], count[o] + MIN - 1))
+            gone.append(_spans(key[o], mark[o], place[o], count[o] + MIN - 1))
             keep = order[lead]
             bucket = bucket_of(gram[keep], buckets)
             needs = _has(multi, gram[keep])
             about = count[keep] << 32 | offset[keep] << 16 | needs
             size = np.where(needs, count[keep] + MIN - 1, 0)
             chunk, first, a = chunk[keep], first[keep], 0
-            for b, blob in _blobs(bucket, [*(x[keep] for x in (gram, region, key, place)), about]):
-                stop = a + len(blob) // 40
+            for b, blob in _blobs(bucket, [*(x[keep] for x in (gram, region, key, mark, place)), about]):
+                stop = a + len(blob) // 48
                 text = b"".join(own[k].data[i : i + n] for k, i, n in zip(chunk[a:stop].tolist(), first[a:stop].tolist(), size[a:stop].tolist(), strict=True))
                 rows.append((b, 1, packed(blob), packed(text)))
                 a = stop
@@ -379,26 +389,36 @@ class BlindTrie:
         return out
 
 
+def _in_groups(cut: np.ndarray) -> np.ndarray:
+    """Which rows are in a group of several, by the marks of the groups' first rows."""
+    size = np.diff(np.append(np.flatnonzero(cut), len(cut)))
+    return np.repeat(size > 1, size)
+
+
 def deep_shallow(rows: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
     """Order of byte strings (rows of a matrix, padded) inside groups."""
     n, wide = rows.shape
     words = np.ascontiguousarray(rows).view(">u8").astype(np.uint64).reshape(n, wide // 8)
     order = np.argsort(group, kind="stable")
     label = group[order]  # rows with one label are not told apart yet
-    for d in range(min(shallow, wide) // 8):  # multikey quicksort: a character splits each open group in place
-        cut = np.append(True, label[1:] != label[:-1])
-        at = np.flatnonzero(cut)
-        size = np.diff(np.append(at, n))
-        open_ = np.flatnonzero(np.repeat(size > 1, size))
-        if not len(open_):
-            return order
-        own, char = np.cumsum(cut)[open_], words[order[open_], d]
-        by = np.lexsort((char, own))
-        order[open_] = order[open_][by]
-        own, char = own[by], char[by]
-        step = np.append(True, (own[1:] != own[:-1]) | (char[1:] != char[:-1]))
-        cut[open_] = step
-        label = np.cumsum(cut)
+    cut = np.append(True, label[1:] != label[:-1])
+    depth = np.zeros(n, np.int64)  # characters in which the rows of a group are known to agree
+    last = min(shallow, wide) // 8
+    open_ = np.flatnonzero(_in_groups(cut))
+    while len(open_):  # multikey quicksort: a pivot parts each open group into smaller, equal and larger rows
+        own = np.cumsum(cut[open_]) - 1
+        at = np.flatnonzero(cut[open_])
+        char = words[order[open_], depth[open_]]
+        pivot = char[at + np.diff(np.append(at, len(open_))) // 2]
+        side = (char > pivot[own]).astype(np.int8) - (char < pivot[own])
+        by = np.lexsort((side, own))
+        order[open_], own, side = order[open_][by], own[by], side[by]
+        new = np.append(True, (own[1:] != own[:-1]) | (side[1:] != side[:-1]))
+        cut[open_] = new
+        depth[open_] = depth[open_][by] + (side == 0)  # the equal ones go on with the next character
+        on = _in_groups(new) & (depth[open_] < last)
+        open_ = open_[on]
+    label = np.cumsum(cut)
     at = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
     size = np.diff(np.append(at, n))
     for a, m in zip(at[size > 1].tolist(), size[size > 1].tolist(), strict=True):  # blind tries order what still agrees
@@ -423,29 +443,13 @@ def _padded(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(p.ljust(WIDE, b"\0") for p in parts), np.uint8).reshape(len(parts), WIDE)
 
 
-def _agreement(order: np.ndarray, lcp: np.ndarray, a: int, m: int, base: int) -> np.ndarray:
-    """m x m common prefixes of the rows order[a : a+m], which are base .. base+m-1: minima between them in order."""
-    out = np.full((m, m), WIDE, np.int64)
-    at = order[a : a + m] - base
-    for i in range(m - 1):
-        low = np.minimum.accumulate(lcp[a + i + 1 : a + m])
-        out[at[i], at[i + 1 :]] = low
-        out[at[i + 1 :], at[i]] = low
+def _intervals(order: np.ndarray, lcp: np.ndarray, depth: int) -> np.ndarray:
+    """For each row the number of its interval in the order: those that agree in `depth` bytes."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(lcp < depth)
     return out
 
 
-def _looked_up(regions: list[bytes], count: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As repeated_windows, for one group: every window whose hashes an earlier region has."""
-    row = np.repeat(np.arange(len(regions)), count)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    both = [np.fromiter((xxhash.xxh64_intdigest(r[k : k + MIN], seed) for r, n in zip(regions, count.tolist(), strict=True) for k in range(n)), np.uint64, len(row)) for seed in (1, 2)]
-    order = np.lexsort((row, *both))
-    same = np.zeros(len(order), bool)
-    same[1:] = (both[0][order][1:] == both[0][order][:-1]) & (both[1][order][1:] == both[1][order][:-1])
-    o = order[same]
-    return row[o] + base, step[o], step[o]
-
-
 def repeated_windows(group: np.ndarray, regions: list[bytes], offset: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first window, last window) that an earlier row of the group also has; rows sorted by group and then place."""
     n = len(group)
@@ -453,26 +457,39 @@ def repeated_windows(group: np.ndarray, regions: list[bytes], offset: np.ndarray
     left = _padded([r[:o][::-1] for r, o in zip(regions, offset.tolist(), strict=True)])
     ahead, back = deep_shallow(right, group), deep_shallow(left, group)
     far, near = neighbour_lcp(right, ahead), neighbour_lcp(left, back)
+    for order, lcp in ((ahead, far), (back, near)):  # an interval never goes on into another group
+        lcp[1:][group[order[1:]] != group[order[:-1]]] = -1
+        lcp[:1] = -1
     longest = np.array([len(r) for r in regions], np.int64) - offset
     at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     size = np.diff(np.append(at, n))
     out: list[tuple[np.ndarray, ...]] = [(at[:0], at[:0], at[:0])]
 
-    def judge(later, earlier, r, lf):
-        r = np.minimum(r, np.minimum(longest[later], longest[earlier]))
-        lf = np.minimum(lf, np.minimum(offset[later], offset[earlier]))
-        high, low = lf, np.maximum(MIN - r, offset[later] - count[later] + 1)  # bytes of the window before the anchor
-        on = low <= high
-        out.append((later[on], (offset[later] - high)[on], (offset[later] - low)[on]))
-
-    two = at[size == 2]
-    judge(two + 1, two, far[two + 1], near[two + 1])
-    for a, m in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        if m > PAIRS:
-            out.append(_looked_up(regions[a : a + m], count[a : a + m], a))
-            continue
-        later, earlier = np.tril_indices(m, -1)
-        judge(later + a, earlier + a, _agreement(ahead, far, a, m, a)[later, earlier], _agreement(back, near, a, m, a)[later, earlier])
+    # two rows: their common prefixes tell all equal windows at once
+    later, earlier = at[size == 2] + 1, at[size == 2]
+    place = np.empty(n, np.int64)
+    for both, (order, lcp) in enumerate(((ahead, far), (back, near))):
+        place[order] = np.arange(n)
+        agree = lcp[np.maximum(place[later], place[earlier])]
+        if not both:
+            r = np.minimum(agree, np.minimum(longest[later], longest[earlier]))
+        else:
+            lf = np.minimum(agree, np.minimum(offset[later], offset[earlier]))
+    low = np.maximum(MIN - r, offset[later] - count[later] + 1)  # bytes of the window before the anchor
+    on = low <= lf
+    out.append((later[on], (offset[later] - lf)[on], (offset[later] - low)[on]))
+
+    many = np.flatnonzero(np.repeat(size > 2, size))
+    if len(many):
+        for b in range(int(offset[many].max()) + 1):
+            own = many[(offset[many] >= b) & (offset[many] - count[many] < b)]  # rows with such a window
+            if len(own) < 2:
+                continue
+            a, z = _intervals(ahead, far, MIN - b)[own], _intervals(back, near, b)[own]
+            by = np.lexsort((own, z, a))
+            same = np.append(False, (a[by][1:] == a[by][:-1]) & (z[by][1:] == z[by][:-1]))
+            row = own[by[same]]  # the first row of a window stays
+            out.append((row, offset[row] - b, offset[row] - b))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -485,19 +502,20 @@ def _judge(table: pa.Table) -> pa.Table:
         return _columns([unpacked(blobs[int(i)].as_py()) for i in np.flatnonzero(kind == which)], kinds)
 
     gone = [tuple(columns(0, "iiii"))]
-    gram, region, key, place = columns(2, "uuii")
-    if len(gram):
-        order, _, repeat = _firsts(gram, region, key, place)
-        gone.append(_spans(key[order[repeat]], place[order[repeat]], MIN))
-    gram, region, key, place, about = columns(1, "uuiii")
+    hashes = columns(2, "uuiii")
+    if len(hashes[0]):
+        order, _, repeat = _firsts(*hashes)
+        o = order[repeat]
+        gone.append(_spans(*(x[o] for x in hashes[2:]), MIN))
+    gram, region, key, mark, place, about = columns(1, "uuiiii")
     if len(gram):
         count, offset, needs = about >> 32, about >> 16 & 0xFFFF, about & 1
-        order, lead, repeat = _firsts(gram, region, key, place)
+        order, lead, repeat = _firsts(gram, region, key, mark, place)
         o = order[repeat]
-        gone.append(_spans(key[o], place[o], count[o] + MIN - 1))
+        gone.append(_spans(key[o], mark[o], place[o], count[o] + MIN - 1))
         first = order[lead]
         first = first[needs[first] == 1]
-        first = first[np.lexsort((place[first], key[first], gram[first]))]
+        first = first[np.lexsort((place[first], mark[first], key[first], gram[first]))]
         g = gram[first]
         same = np.zeros(len(g) + 1, bool)
         same[1:-1] = g[1:] == g[:-1]
@@ -510,7 +528,7 @@ def _judge(table: pa.Table) -> pa.Table:
             regions = [data[e - n : e] for e, n in zip(end[first].tolist(), size[first].tolist(), strict=True)]
             row, a, b = repeated_windows(group, regions, offset[first], count[first])
             o = first[row]
-            gone.append(_spans(key[o], place[o] + a, b - a + MIN))
+            gone.append(_spans(key[o], mark[o], place[o] + a, b - a + MIN))
     key, mark, a, b = merged(*(np.concatenate(x) for x in zip(*gone, strict=True)))
     return pa.table({"key": key, "mark": mark, "span": a << 32 | b})
 
@@ -537,10 +555,16 @@ def _cut_out(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def input_bytes(docs: DataFrame) -> int:
+    """The engine's own estimate of a frame's bytes, from its files; 0 where it has none."""
+    told = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return told if told < 1 << 60 else 0
+
+
 def repeats(docs: DataFrame, bits: int | None = None, split: int = SPLIT) -> DataFrame:
     """key, mark, spans (array of start << 32 | end in bytes) of each document that has repeats."""
     spark = docs.sparkSession
-    buckets = max(64, BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(64, BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // BUCKET_BYTES)
     bits = min(max((buckets << 15).bit_length(), BITS[0]), BITS[1]) if bits is None else bits
     rows = docs.select("key", "mark", "text")
     shared = spark.sparkContext.broadcast(marked_grams(rows, buckets, bits, split))
@@ -552,7 +576,7 @@ def repeats(docs: DataFrame, bits: int | None = None, split: int = SPLIT) -> Dat
 def remove_repeats(docs: DataFrame, bits: int | None = None, split: int = SPLIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text)."""
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    whole = whole.withColumn("key", F.coalesce("doc_id", F.lit(LAST))).withColumn("mark", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)))
+    whole = whole.withColumn("key", F.coalesce("doc_id", F.lit(LAST))).withColumn("mark", F.xxhash64("text"))
     found = saved(repeats(whole, bits, split))
     marked = with_maybe(whole, bitmap(found, "mark"), "mark", "maybe")
     size = F.octet_length("text").cast("long")

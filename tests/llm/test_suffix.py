@@ -13,11 +13,15 @@ from quillon.llm import queries, suffix_dedup as sd
 from tests.llm.test_first import ODD, SCHEMA
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 def brute(docs):
     """doc_id and text rows to (doc_id, n_bytes, n_removed, n_spans, sha) by looking up every string of 100 bytes."""
     def place(row):
         data = (row[1] or "").encode()
-        return (row[0] is None, row[0] or 0, xxhash.xxh64(data, seed=42).intdigest() & 0x7FFFFFFF), data
+        return (row[0] is None, row[0] or 0, signed(xxhash.xxh64_intdigest(data, 42))), data
 
     seen, out, done = set(), {}, {}
     for k, data in sorted((place(r) for r in docs), key=lambda x: x[0]):
@@ -40,7 +44,7 @@ def local(docs, bits=16, split=256, buckets=8, batch=50):
     rows = []
     for i, t in docs:
         data = (t or "").encode()
-        rows.append((sd.LAST if i is None else i, xxhash.xxh64_intdigest(data, 42) & 0x7FFFFFFF, t or ""))
+        rows.append((sd.LAST if i is None else i, signed(xxhash.xxh64_intdigest(data, 42)), t or ""))
     batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + batch]), (pa.int64(), pa.int64(), pa.string()))], names=["key", "mark", "text"]) for k in range(0, len(rows), batch)]
     marks = [np.zeros((1 << bits - less) // 8, np.uint8) for less in sd.FEWER]
     tables = defaultdict(list)
@@ -101,9 +105,8 @@ def corpus(seed, n=120):
 
 
 @pytest.mark.parametrize("seed", range(6))
-@pytest.mark.parametrize("split,pairs", [(256, 256), (3, 256), (256, 3)])
-def test_tasks_match_brute_force(seed, split, pairs, monkeypatch):
-    monkeypatch.setattr(sd, "PAIRS", pairs)
+@pytest.mark.parametrize("split", [256, 3])
+def test_tasks_match_brute_force(seed, split):
     docs = corpus(seed)
     assert local(docs, split=split) == brute(docs)
 
@@ -115,6 +118,46 @@ def test_long_documents(monkeypatch):
     assert local(docs) == brute(docs)
 
 
+def test_many_regions_of_a_gram():
+    """More regions of one gram than were ever compared in pairs, which agree to all depths on both sides."""
+    rng = random.Random(4)
+    gram = "The passage that many share: "
+    near_ = ["".join(rng.choice("ab") for _ in range(90)) for _ in range(12)]
+    docs = []
+    for i in range(2500):
+        a, b = rng.choice(near_), rng.choice(near_)
+        x, y = rng.randrange(91), rng.randrange(91)
+        docs.append((i, "".join(rng.choice("abc") for _ in range(x)) + a[x:] + gram + b[:y] + "".join(rng.choice("abc") for _ in range(90 - y))))
+    assert local(docs, split=1 << 20, batch=500) == brute(docs)
+
+
+def test_repeated_windows_by_pairs():
+    """Intervals of both orders against a look at every window of every row."""
+    rng = random.Random(9)
+    for _ in range(60):
+        anchors = "".join(rng.choice("xy") for _ in range(sd.GRAM))
+        sides = ["".join(rng.choice("ab") for _ in range(80)) for _ in range(3)]
+        group, regions, offset, count = [], [], [], []
+        for g in range(rng.randrange(1, 5)):
+            for _ in range(rng.randrange(1, 12)):
+                before = rng.randrange(0, 77)  # bytes before the anchor in the first window
+                n = rng.randrange(1, before + 2)
+                whole = rng.choice(sides)[80 - before :] + anchors + rng.choice(sides)
+                regions.append(whole[: sd.MIN + n - 1].encode())
+                group.append(g), offset.append(before), count.append(n)
+        got = {(r, k) for r, a, b in zip(*(x.tolist() for x in sd.repeated_windows(np.array(group), regions, np.array(offset), np.array(count)))) for k in range(a, b + 1)}
+        seen, want = set(), set()
+        for r, (g, own, o, n) in enumerate(zip(group, regions, offset, count)):
+            new = set()
+            for k in range(n):
+                w = (g, o - k, own[k : k + sd.MIN])
+                if w in seen:
+                    want.add((r, k))
+                new.add(w)
+            seen |= new
+        assert got == want
+
+
 def test_buckets_are_even():
     data = " ".join(t for _, t in corpus(3, 400)).encode()
     gram = sd.anchor_runs(data, np.array([0]), np.array([len(data)]))[4]
