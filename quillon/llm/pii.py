@@ -1,38 +1,51 @@
 """Personal data replaced by surrogates of the same type and format.
 
-Entities (e-mail, card, IP, phone and national id numbers, names) are found by pattern.
-Names are found after a title, of any number of words, with initials, apostrophes, inner
-capitals and particles; further mentions of their words in the same document, with or
-without a title, are names too. Each has a canonical form, so that the same entity in another layout or case is
-the same entity. Its surrogate is derived from a key and the canonical form: letters give
-letters of the same case, digits digits, separators stay; cards keep their issuer digit
-and a valid check digit, IP addresses stay addresses. Names are replaced word by word, so that
-'Mr John Smith', 'Dr John Smith' and 'Smith' agree: words are built of syllables of their
-own script, with an ending of the gender if the titles right before the word, in all
-documents, tell just one. Initials become initials, particles stay.
+Entities are found by pattern: e-mail addresses, IP addresses of both versions, bank account
+numbers (IBAN), national id, card and phone numbers, and names. Card and account numbers
+need valid check digits, cards also the length and first digits of a kind of card; other
+runs of digits stay. Names are found after a title, of any number of words, with initials,
+apostrophes, inner capitals and particles; further mentions of their words in the same
+document, with or without a title, are names too.
+
+Each entity has a canonical form, so that the same one in another layout or case is the
+same: letters in lower case, digits alone, phone numbers without the country's code, which
+stays, addresses of version 6 written out. Its surrogate is derived from a secret key, by
+HMAC, and the canonical form: letters give letters of the same script and case, digits
+digits, separators stay; cards keep their issuer's first digits and a valid check digit,
+accounts their country and valid check digits, addresses stay addresses. Names are replaced
+word by word, so that 'Mr John Smith', 'Dr John Smith' and 'Smith' agree: words are built of
+syllables of their own script, with an ending of the gender if the titles right before the
+word, in all documents, tell just one. Initials become initials, particles stay.
+
+The key is an argument, or the session's setting KEY_SETTING; where neither is given, each
+call draws one, and surrogates of different calls do not agree.
 
 Surrogates are checked over all distinct entities: where two share one, or one equals an
-entity of the data, the later takes its next attempt, until all differ. After GROW
-attempts the format is taken to be crowded and grows with each attempt: names by syllables,
-e-mail addresses by letters, phone and id numbers by digits, and IP addresses become those
-of version 6; cards do not, as they have 10^14 surrogates for each issuer digit. Equal entities
-thus have equal surrogates everywhere (coreference), different ones different surrogates.
-Documents are rewritten where they are; only those that hold an entity with a later
-attempt are joined with it.
-
-Defined results: null text stays null with no entities; empty texts stay empty; repeated
+entity of the data, the later takes its next attempt, until all differ; only those that
+moved are checked again. After GROW attempts the format is taken to be crowded and grows
+with each attempt: names by syllables, e-mail addresses by letters, phone and id numbers by
+digits, and IP addresses of version 4 become those of version 6; the others do not, as they
+have 10^11 surrogates or more. Equal entities thus have equal surrogates everywhere
+(coreference), different ones different surrogates. Documents are rewritten where they are;
+only those that hold an entity with a later attempt are joined with it.
+
+Defined results: null text stays null with no entities; empty texts stay empty; very long
+texts are rewritten whole; repeated
 rows are rewritten alike; an empty table gives no rows; further columns are ignored. Of
 two matches at one place, the type listed first wins.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bitmap, saved, with_maybe
+from quillon.llm.common import bitmap, let, saved, small, with_maybe
 
-KEY = "quillon-surrogates-1"
+KEY_SETTING = "spark.quillon.surrogate.key"
 #: Attempts after which a surrogate grows.
 GROW = 8
 
@@ -55,28 +68,62 @@ _WORD = rf"(?!(?:{_TITLE})(?!\p{{L}}))(?:\p{{Ll}}{{1,2}}['’])?\p{{Lu}}[\p{{L}}
 #: Particles and initials stand before a word, so a name ends with one.
 _NAME_WORD = rf"(?:{_PARTICLE} |{_INITIAL}[ -]?)*(?:{_WORD})"
 _NAME = rf"{_NAME_WORD}(?:[ -]{_NAME_WORD})*"
+_H = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,4}[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,255}+@(?:[\p{L}\p{N}-]{1,63}\.)+\p{L}{2,24}",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}}|(?:{_H}:){{2,7}}:|::(?:{_H}:){{1,6}}{_H})(?![\p{{L}}\p{{N}}:]|\.\d)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\dA-Za-z-])\d{3}-\d{2}-\d{4}(?![\dA-Za-z-])",
-    "card": r"(?<![\dA-Za-z])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?![\dA-Za-z])",
+    "card": r"(?<![\dA-Za-z])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|\d{4}[ -]?\d{6}[ -]?\d{4,5})(?![\dA-Za-z])",
     "phone": r"(?<![\dA-Za-z])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|(?<=\+\d{1,3}[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){2,3})(?![\dA-Za-z])",
     "name": rf"(?<!\p{{L}}){_TITLED}+{_NAME}",
 }
+#: A country's code before a phone number, told apart by what follows it.
+_CODE = r"^\+\d{1,3}(?=[ .(-])"
 TYPES = tuple(PATTERNS)
 ANY = "|".join(PATTERNS.values())
 #: An entity has one of these characters or a title; both are far cheaper to look for than ANY.
 HINT = "[0-9@]"
 
 
+def _digits(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^0-9]", "")
+
+
+def _check_sum(digits: Column) -> Column:
+    """The sum over card digits that is a multiple of 10 if the last one is right."""
+
+    def worth(c: Column, i: Column) -> Column:
+        d = F.ascii(c) - 48
+        return F.when(i % 2 == 0, d).otherwise(F.when(d > 4, 2 * d - 9).otherwise(2 * d))
+
+    return F.aggregate(F.transform(F.filter(F.split(F.reverse(digits), "", -1), lambda c: c != ""), worth), F.lit(0), lambda a, b: a + b)
+
+
+def _remainder(account: Column) -> Column:
+    """Of an account number, its first four characters put last and its letters read as numbers, by 97."""
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+
+    def step(acc: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code >= 65, (acc * 100 + code - 55) % 97).when(code >= 48, (acc * 10 + code - 48) % 97).otherwise(acc)
+
+    return F.aggregate(F.split(turned, "", -1), F.lit(0), step)
+
+
 def type_of(entity: Column) -> Column:
-    """Which of the patterns a match of ANY is, by its looks."""
-    out = F.lit("name")
-    digits = F.length(F.regexp_replace(entity, r"[^0-9]", ""))
-    out = F.when(F.rlike(entity, F.lit(r"^[0-9+(]")), F.lit("phone")).otherwise(out)
-    out = F.when(F.rlike(entity, F.lit(r"^[0-9 -]+$")) & (digits == 16), F.lit("card")).otherwise(out)
+    """Which of the patterns a match of ANY is, by its looks; empty if its check digits or first digits are wrong."""
+    digits = _digits(entity)
+    kind_of_card = r"^(?:[2-6]\d{15}|3[47]\d{13}|3[0689]\d{12})$"
+    out = F.when(F.rlike(entity, F.lit(r"^[0-9+(]")), F.lit("phone")).otherwise("name")
+    card = F.when(F.rlike(digits, F.lit(kind_of_card)) & (_check_sum(digits) % 10 == 0), F.lit("card")).otherwise("")
+    out = F.when(F.rlike(entity, F.lit(r"^[0-9 -]+$")) & F.length(digits).isin(14, 15, 16), card).otherwise(out)
+    account = F.when(_remainder(F.replace(entity, F.lit(" "), F.lit(""))) == 1, F.lit("iban")).otherwise("")
+    out = F.when(F.rlike(entity, F.lit(r"^[A-Z]{2}\d{2}")), account).otherwise(out)
     out = F.when(F.rlike(entity, F.lit(r"^\d{3}-\d{2}-\d{4}$")), F.lit("ssn")).otherwise(out)
     out = F.when(F.rlike(entity, F.lit(r"^\d+\.\d+\.\d+\.\d+$")), F.lit("ip")).otherwise(out)
+    out = F.when(F.rlike(entity, F.lit(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$")), F.lit("ipv6")).otherwise(out)
     return F.when(F.contains(entity, F.lit("@")), F.lit("email")).otherwise(out)
 
 
@@ -101,16 +148,32 @@ def _is_word(token: Column) -> Column:
     return F.rlike(token, F.lit(r"\p{Lu}")) & ~F.endswith(token, F.lit("."))
 
 
+def _written_out(address: Column) -> Column:
+    """An IP address of version 6 as eight groups of four digits."""
+    side = lambda k: F.filter(F.split(F.substring_index(F.lower(address), "::", k), ":", -1), lambda g: g != "")
+    left, right = side(1), F.when(F.contains(address, F.lit("::")), side(-1)).otherwise(F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0)))
+    return F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), ":")
+
+
 def canonical(entity: Column, kind: Column) -> Column:
     """The form in which layouts of the same entity agree; that of names is of each word."""
-    return F.when(kind == "email", F.lower(entity)).when(kind == "ip", entity).otherwise(F.regexp_replace(entity, r"[^0-9]", ""))
+    return (
+        F.when(kind == "email", F.lower(entity))
+        .when(kind == "ip", entity)
+        .when(kind == "ipv6", _written_out(entity))
+        .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
+        .when(kind == "phone", _digits(F.regexp_replace(entity, _CODE, "")))
+        .otherwise(_digits(entity))
+    )
 
 
 def keys(entity: Column, kind: Column) -> Column:
     """What has surrogates of its own: a name's words, of which the first has the title's gender, or the entity."""
     part = lambda canon, gender: F.struct(kind.alias("kind"), canon.alias("canon"), gender.alias("gender"))
     words = F.transform(_tokens(entity), lambda w, i: part(w, F.when(i == 0, _gender(entity)).otherwise("")))
-    return F.when(kind == "name", F.filter(words, lambda w: _is_word(w["canon"]))).otherwise(F.array(part(canonical(entity, kind), F.lit(""))))
+    alone = F.filter(F.array(part(canonical(entity, kind), F.lit(""))), lambda p: p["kind"] != "")
+    return F.when(kind == "name", F.filter(words, lambda w: _is_word(w["canon"]))).otherwise(alone)
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -118,31 +181,47 @@ def _byte(stream: Column, i: Column) -> Column:
 
 
 def _stream(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """128 hex digits that depend on all four."""
-    return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), canon), 512)
+    """128 hex digits that depend on all four: HMAC-SHA-512 under the key."""
+    own = key.encode()
+    own = (hashlib.sha512(own).digest() if len(own) > 128 else own).ljust(128, b"\0")
+    padded = lambda x: F.lit(bytes(b ^ x for b in own))
+    text = F.encode(F.concat_ws("\x1f", kind, attempt.cast("string"), canon), "UTF-8")
+    return F.sha2(F.concat(padded(0x5C), F.unhex(F.sha2(F.concat(padded(0x36), text), 512))), 512)
+
+
+def _long(stream: Column, length: Column) -> Column:
+    """A stream of two digits for each of so many characters, 64 to a block."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((length - 1) / 64).cast("int")), lambda k: F.sha2(F.concat_ws("\x1f", F.lit("block"), k.cast("string"), stream), 512))
+    return F.when(length > 64, F.array_join(blocks, "")).otherwise(stream)
+
+
+ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "digits": "0123456789", "hex": "0123456789abcdef"}
+
 
+def _scrambled(text: Column, stream: Column, fixed: Column | None = None, digits: str = "digits") -> Column:
+    """Small letters to letters of their script and digits to digits; positions from `fixed` on stay."""
 
-def _scrambled(text: Column, stream: Column, fixed: Column | None = None) -> Column:
-    """Letters to letters and digits to digits; positions from `fixed` on stay."""
-    letters = F.lit("abcdefghijklmnopqrstuvwxyz")
+    def drawn(b: Column, name: str) -> Column:
+        return F.substring(F.lit(ALPHABETS[name]), b % len(ALPHABETS[name]) + 1, F.lit(1))
 
-    def one(c, i):
-        b = _byte(stream, i)
-        new = F.when(F.rlike(c, F.lit("^[0-9]$")), F.substring(F.lit("0123456789"), b % 10 + 1, F.lit(1))).when(F.rlike(c, F.lit("^[a-z]$")), F.substring(letters, b % 26 + 1, F.lit(1))).otherwise(c)
+    def one(c: Column, i: Column, own: Column) -> Column:
+        b = F.conv(F.substring(own, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+        new = F.when(F.rlike(c, F.lit("^[0-9]$" if digits == "digits" else "^[0-9a-f]$")), drawn(b, digits)).when(F.rlike(c, F.lit(r"^\p{IsCyrillic}$")), drawn(b, "cyrillic")).when(F.rlike(c, F.lit(r"^\p{L}$")), drawn(b, "latin")).otherwise(c)
         return new if fixed is None else F.when(i >= fixed, c).otherwise(new)
 
-    return F.array_join(F.transform(F.split(text, "", -1), one), "")
+    return let(_long(stream, F.length(text)), lambda own: F.array_join(F.transform(F.split(text, "", -1), lambda c, i: one(c, i, own)), ""))
 
 
 def _with_check_digit(digits: Column) -> Column:
-    """The last of 16 digits replaced by the one that makes the sum of the check come out."""
+    """The last digit of a card replaced by the one that makes the sum of the check come out."""
+    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    return F.concat(body, ((F.lit(10) - _check_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
 
-    def worth(i: Column) -> Column:
-        d = F.substring(digits, (i + 1).cast("int"), F.lit(1)).cast("int")
-        return F.when(i % 2 == 0, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d)
 
-    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(14)), worth), F.lit(0), lambda a, b: a + b)
-    return F.concat(F.substring(digits, 1, 15), ((F.lit(10) - total % 10) % 10).cast("string"))
+def _with_check_digits(account: Column) -> Column:
+    """The third and fourth character of an account number replaced by those that make the remainder come out."""
+    own = F.concat(F.substring(account, 1, 2), F.lit("00"), F.substring(account, F.lit(5), F.length(account)))
+    return F.concat(F.substring(account, 1, 2), F.lpad((F.lit(98) - _remainder(own)).cast("string"), 2, "0"), F.substring(account, F.lit(5), F.length(account)))
 
 
 def _more(stream: Column) -> Column:
@@ -178,29 +257,47 @@ def surrogate(kind: Column, canon: Column, stream: Column, attempt: Column, gend
     six = F.concat(F.lit("2001:db8"), F.regexp_replace(F.substring(_more(stream), 1, 24), "(.{4})", ":$1"))
     top = F.length(canon) - F.length(F.substring_index(canon, ".", -1)) - 1
     octet = [(_byte(stream, F.lit(i)) % (223 if i == 0 else 254) + 1).cast("string") for i in range(4)]
-    card = _with_check_digit(F.concat(F.substring(canon, 1, 1), F.substring(_scrambled(canon, stream), 2, 15)))
+    kept = F.when(F.length(canon) == 16, F.lit(1)).otherwise(F.lit(2))
+    card = _with_check_digit(F.concat(F.substring(canon, F.lit(1), kept), F.substring(_scrambled(canon, stream), kept + 1, F.length(canon))))
+    account = _with_check_digits(F.concat(F.substring(canon, 1, 4), F.upper(_scrambled(F.lower(F.substring(canon, F.lit(5), F.length(canon))), stream))))
     return (
         F.when(kind == "email", _grown(_scrambled(canon, stream, top), stream, more, "abcdefghijklmnop", before=True))
         .when(kind == "ip", F.when(more > 0, six).otherwise(F.concat_ws(".", *octet)))
         .when(kind == "name", _made_name(canon, F.lit("") if gender is None else gender, stream, more))
         .when(kind == "card", card)
+        .when(kind == "iban", account)
+        .when(kind == "ipv6", F.concat(F.lit("2001:0db8:"), F.substring(_scrambled(canon, stream, digits="hex"), F.lit(11), F.length(canon))))
         .otherwise(_grown(_scrambled(canon, stream), stream, more, "0123456789012345"))
     )
 
 
 def formatted(entity: Column, kind: Column, made: Column) -> Column:
     """The surrogate in the layout of the entity it replaces; what it has grown by comes first or last."""
-    chars = F.split(entity, "", -1)
-    digit_at = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), (i + 1).cast("int")), r"[^0-9]", ""))
-    filled = F.array_join(F.transform(chars, lambda c, i: F.when(F.rlike(c, F.lit("^[0-9]$")), F.substring(made, digit_at(i), F.lit(1))).otherwise(c)), "")
-    filled = F.concat(filled, F.substring(made, digit_at(F.length(entity)) + 1, F.length(made)))
+
+    def filled(whole: Column, mark: str) -> Column:
+        """The characters of made in place of those that fit the mark, the rest of them at the end."""
+        places = F.transform(F.split(whole, "", -1), lambda c: F.rlike(c, F.lit(mark)))
+        before = lambda i: F.size(F.filter(F.slice(places, F.lit(1), i + 1), lambda p: p))
+        own = F.array_join(F.transform(F.split(whole, "", -1), lambda c, i: F.when(F.rlike(c, F.lit(mark)), F.substring(made, before(i), F.lit(1))).otherwise(c)), "")
+        return F.concat(own, F.substring(made, F.size(F.filter(places, lambda p: p)) + 1, F.length(made)))
+
+    code = F.regexp_extract(entity, _CODE, 0)
+    phone = F.concat(code, filled(F.substring(entity, F.length(code) + 1, F.length(entity)), "^[0-9]$"))
     more = F.length(made) - F.length(entity)
     at = lambda i: F.substring(made, (i + 1 + more).cast("int"), F.lit(1))
-    cased = F.concat(F.substring(made, F.lit(1), more), F.array_join(F.transform(chars, lambda c, i: F.when(c != F.lower(c), F.upper(at(i))).otherwise(at(i))), ""))
-    return F.when(kind == "email", cased).when(kind == "ip", made).when(kind == "name", F.concat(_title(entity), made)).otherwise(filled)
+    cased = F.concat(F.substring(made, F.lit(1), more), F.array_join(F.transform(F.split(entity, "", -1), lambda c, i: F.when(c != F.lower(c), F.upper(at(i))).otherwise(at(i))), ""))
+    return (
+        F.when(kind == "", entity)
+        .when(kind == "email", cased)
+        .when(kind.isin("ip", "ipv6"), made)
+        .when(kind == "name", F.concat(_title(entity), made))
+        .when(kind == "iban", filled(entity, "^[A-Z0-9]$"))
+        .when(kind == "phone", phone)
+        .otherwise(filled(entity, "^[0-9]$"))
+    )
 
 
-def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
+def attempts(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, gender, attempt of distinct entities(kind, canon, gender) whose first surrogate clashes.
 
     Words of names with more than one gender are among them, with the one that they have in all documents.
@@ -208,25 +305,41 @@ def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
     told = F.collect_set(F.when(F.col("gender") != "", F.col("gender")))
     entities = entities.groupBy("kind", "canon").agg(F.when(F.size(told) == 1, F.get(told, F.lit(0))).otherwise("").alias("gender"), (F.count(F.lit(1)) > 1).alias("mixed"))
 
-    def made(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("stream", _stream(key, F.col("kind"), F.col("canon"), F.col("attempt")))
-        return saved(rows.select("kind", "canon", "gender", "mixed", "attempt", surrogate(F.col("kind"), F.col("canon"), F.col("stream"), F.col("attempt"), F.col("gender")).alias("made")))
-
-    state = made(entities.withColumn("attempt", F.lit(0)))
-    while True:
-        shared = state.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).where("n > 1")
-        real = state.select("kind", F.col("canon").alias("made")).join(state.select("kind", "made").distinct(), ["kind", "made"], "left_semi")
-        bad = shared.select("kind", "made", F.col("first.canon").alias("stays")).unionByName(real.select("kind", "made", F.lit(None).cast("string").alias("stays")))
-        bad = saved(bad.groupBy("kind", "made").agg(F.max("stays").alias("stays"), F.max(F.col("stays").isNull()).alias("all")))
+    def made(rows: DataFrame, attempt: int) -> DataFrame:
+        at = F.lit(attempt)
+        rows = rows.withColumn("stream", _stream(key, F.col("kind"), F.col("canon"), at))
+        return saved(rows.select("kind", "canon", "gender", "mixed", surrogate(F.col("kind"), F.col("canon"), F.col("stream"), at, F.col("gender")).alias("made")))
+
+    def split(rows: DataFrame, others: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Those that keep their surrogate, and those whose is another's, or a real one, and who move on."""
+        own = small(rows.select("kind", "made"))
+        taken = [others.select("kind", F.col("canon").alias("made")).join(own, ["kind", "made"], "left_semi")]
+        if seen is not None:
+            taken.append(seen.select("kind", "made").join(own, ["kind", "made"], "left_semi"))
+        shared = rows.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min("canon").alias("stays")).where("n > 1").drop("n")
+        for t in taken:
+            shared = shared.unionByName(t.withColumn("stays", F.lit(None).cast("string")))
+        bad = saved(shared.groupBy("kind", "made").agg(F.max("stays").alias("stays"), F.max(F.col("stays").isNull()).alias("all")))
         if bad.isEmpty():
-            return state.where("attempt > 0 OR mixed").select("kind", "canon", "gender", "attempt")
-        again = (F.col("all") | (F.col("canon") != F.col("stays")))
-        moved = state.join(bad, ["kind", "made"], "left").withColumn("attempt", F.col("attempt") + F.coalesce(again, F.lit(False)).cast("int"))
-        state = made(moved.select("kind", "canon", "gender", "mixed", "attempt"))
+            return rows, rows.limit(0)
+        judged = rows.join(small(bad), ["kind", "made"], "left")
+        moves = F.coalesce(F.col("all") | (F.col("canon") != F.col("stays")), F.lit(False))
+        return saved(judged.where(~moves).select(*rows.columns)), saved(judged.where(moves).select(*rows.columns))
+
+    every = made(entities, 0)
+    settled, moving = split(every, every, None)
+    out, attempt = settled.where("mixed").select("kind", "canon", "gender", F.lit(0).alias("attempt")), 0
+    while not moving.isEmpty():  # only these are looked at again; the others stay
+        attempt += 1
+        stays, moving = split(made(moving, attempt), every, settled)
+        out = out.unionByName(stays.select("kind", "canon", "gender", F.lit(attempt).alias("attempt")))
+        settled = saved(settled.unionByName(stays)) if attempt % 8 == 0 else settled.unionByName(stays)
+    return out
 
 
-def replace(docs: DataFrame, key: str = KEY, bits: int | None = None) -> DataFrame:
+def replace(docs: DataFrame, key: str | None = None, bits: int | None = None) -> DataFrame:
     """doc_id, text (rewritten), n_entities and a count for each type, of docs(doc_id, text)."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
     hint = F.rlike("t", F.lit(HINT))
     for own in TITLES.values():
         for title in own:
@@ -264,7 +377,7 @@ def replace(docs: DataFrame, key: str = KEY, bits: int | None = None) -> DataFra
         lambda p: F.struct(p["kind"].alias("kind"), p["canon"].alias("canon"), p["gender"].alias("gender"), told(p["kind"], p["canon"]).alias("told")),
         lambda p: F.struct(p["kind"].alias("kind"), p["canon"].alias("canon"), F.coalesce(p["told"]["gender"], p["gender"]).alias("gender"), F.coalesce(p["told"]["attempt"], F.lit(0)).alias("attempt")),
         lambda p: F.struct(*[p[c].alias(c) for c in ("kind", "canon", "gender", "attempt")], _stream(key, p["kind"], p["canon"], p["attempt"]).alias("stream")),
-        lambda p: F.when((p["kind"] == "name") & ~(F.rlike(p["canon"], F.lit(rf"^{_INITIAL}$")) | _is_word(p["canon"])), p["canon"]).otherwise(surrogate(p["kind"], p["canon"], p["stream"], p["attempt"], p["gender"])),
+        lambda p: F.when(p["kind"] == "", p["canon"]).when((p["kind"] == "name") & ~(F.rlike(p["canon"], F.lit(rf"^{_INITIAL}$")) | _is_word(p["canon"])), p["canon"]).otherwise(surrogate(p["kind"], p["canon"], p["stream"], p["attempt"], p["gender"])),
     )
 
     def parts(e: Column) -> Column:
@@ -290,4 +403,4 @@ def replace(docs: DataFrame, key: str = KEY, bits: int | None = None) -> DataFra
         return F.size(F.filter("found", lambda e: e["kind"] == k)).cast("long")
 
     counts = [count(k).alias(f"n_{k}") for k in TYPES]
-    return ready.select("doc_id", text.alias("text"), F.size("found").cast("long").alias("n_entities"), *counts)
+    return ready.select("doc_id", text.alias("text"), F.size(F.filter("found", lambda e: e["kind"] != "")).cast("long").alias("n_entities"), *counts)

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bitmap, matched, saved, text_of, with_maybe
+from quillon.llm.common import bitmap, let, matched, saved, text_of, with_maybe
 
 
 @dataclass(frozen=True)
@@ -67,11 +67,6 @@ LEDGER = f"blob binary, rule string, spans array<{SPAN}>"
 RUN = 64
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _sum(values: Column, start: Column, count: Column) -> Column:
     return F.aggregate(F.slice(values, start + 1, count), F.lit(0), lambda a, b: a + b)
 
@@ -88,13 +83,13 @@ def running(sizes: Column, body: Callable[[Callable[[Column], Column]], Column])
     def with_tops(own: Column) -> Column:
         some, more = own["some"], own["more"]
         tops = F.transform(F.sequence(F.lit(0), F.size(more) - 1), lambda c: _sum(more, F.lit(0), c))
-        return _let(tops, lambda top: body(lambda i: before(i, some, top)))
+        return let(tops, lambda top: body(lambda i: before(i, some, top)))
 
     def before(i: Column, some: Column, top: Column) -> Column:
         of_run, of_top = F.floor(i / RUN).cast("int"), F.floor(i / (RUN * RUN)).cast("int")
         return F.get(top, of_top) + _sum(some, of_top * RUN, of_run % RUN) + _sum(sizes, of_run * RUN, i % RUN)
 
-    return _let(folded(sizes), lambda some: _let(F.struct(some.alias("some"), folded(some).alias("more")), with_tops))
+    return let(folded(sizes), lambda some: let(F.struct(some.alias("some"), folded(some).alias("more")), with_tops))
 
 
 def spans_of(text: Column, rule: Rule, index: int) -> Column:
@@ -113,7 +108,7 @@ def spans_of(text: Column, rule: Rule, index: int) -> Column:
 
         return running(sizes, spans)
 
-    found = _let(pairs, lambda p: _let(F.struct(p.alias("pairs"), F.transform(p, lambda x: x["gap"] + x["len"]).alias("sizes")), placed))
+    found = let(pairs, lambda p: let(F.struct(p.alias("pairs"), F.transform(p, lambda x: x["gap"] + x["len"]).alias("sizes")), placed))
     maybe = F.lit(True)
     if rule.hints:
         maybe = F.lit(False)

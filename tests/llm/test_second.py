@@ -1,6 +1,8 @@
 """Surrogates, secret scans, near-dedup, HTML text and language ID."""
 
+import hmac
 import html
+import ipaddress
 import math
 import random
 import re
@@ -68,9 +70,9 @@ def test_surrogates(spark):
 def test_surrogates_never_clash(spark):
     df = spark.createDataFrame([(i, f"m {a}{b}@x.io n") for i, (a, b) in enumerate([(a, b) for a in "abcdefghij" for b in "0123456789"])], "doc_id long, text string")
     # one letter, one digit and one letter of domain: 6760 surrogates for 100 entities, so some clash
-    out = [r.text for r in pii.replace(df).collect()]
+    out = [r.text for r in pii.replace(df, key="k").collect()]
     assert len(set(out)) == 100 and not set(out) & {r.text for r in df.collect()}
-    assert sorted(out) == sorted(r.text for r in pii.replace(df.unionByName(df)).distinct().select("text").distinct().collect())
+    assert sorted(out) == sorted(r.text for r in pii.replace(df.unionByName(df), key="k").distinct().select("text").distinct().collect())
 
 
 def test_crowded_formats_grow(spark):
@@ -108,6 +110,100 @@ def test_whole_names(spark):
     assert out[4] == f"Dr {m[1]} {m[2]} alone" and out[5] == texts[5]
 
 
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (2 if i % 2 else 1), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def iban_valid(account):
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
+def generated(rng, kind):
+    """An entity: canonical form and one of its layouts."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    if kind == "email":
+        own = rng.choice(["ann.lee7@mail3.example.org", "José.Ñu+x@mañana.es", "жук@почта.рф", f"u{digits(3)}@x.io", f"long{digits(90)}@a.b.c.d.e.f.com"])
+        return own.lower(), rng.choice([own, own.upper(), own.lower()])
+    if kind == "ip":
+        own = ".".join(str(rng.randrange(1, 255)) for _ in range(4))
+        return own, own
+    if kind == "ipv6":
+        own = ipaddress.IPv6Address(rng.choice([rng.getrandbits(128), rng.getrandbits(16) << 112 | rng.getrandbits(32) | 1 << 33, 0x20010DB8 << 96 | rng.randrange(1, 9999) << 20 | 1]))
+        return own.exploded, rng.choice([own.exploded, own.compressed, own.compressed.upper()])
+    if kind == "card":
+        while True:
+            own = rng.choice([rng.choice("23456") + digits(15), "37" + digits(13), "36" + digits(12)])
+            if luhn(own):
+                break
+        return own, rng.choice([own, f"{own[:4]} {own[4:8]} {own[8:12]} {own[12:]}" if len(own) == 16 else f"{own[:4]} {own[4:10]} {own[10:]}"])
+    if kind == "iban":
+        body = rng.choice([digits(18), rng.choice("ABCXYZ") * 4 + digits(14)])
+        cc = rng.choice(["DE", "GB", "FR"])
+        own = next(x for k in range(98) if iban_valid(x := f"{cc}{k + 1:02}{body}"))
+        return own, rng.choice([own, " ".join(own[i : i + 4] for i in range(0, len(own), 4))])
+    if kind == "ssn":
+        own = digits(9)
+        return own, f"{own[:3]}-{own[3:5]}-{own[5:]}"
+    own = digits(10)
+    return own, rng.choice([f"({own[:3]}) {own[3:6]}-{own[6:]}", f"+1 ({own[:3]}) {own[3:6]}-{own[6:]}", f"{own[:3]}-{own[3:6]}-{own[6:]}", f"+44 {own[:3]} {own[3:6]} {own[6:]}"])
+
+
+def plain_form(kind, text):
+    if kind == "email":
+        return text.lower()
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(text).exploded
+    if kind in ("ip", "iban"):
+        return text.replace(" ", "")
+    return re.sub("[^0-9]", "", re.sub(r"^\+\d{1,3} ", "", text) if kind == "phone" else text)
+
+
+DECOYS = ["9807915762804490", "4845168114407328", "DE00 3704 0044 0532 0130 00", "12:30:45", "a::b", "1699999999999", "std::vector", "3.14.15", "378282246310006"]
+
+
+def test_generated_entities(spark):
+    """Texts around entities stay, surrogates have the type and layout, and are equal exactly where entities are."""
+    rng = random.Random(11)
+    pool = [(k, *generated(rng, k)) for k in ("email", "ip", "ipv6", "card", "iban", "ssn", "phone") for _ in range(60)]
+    relaid = {(k, c): [e] for k, c, e in pool}
+    for _ in range(400):
+        k = rng.choice(["email", "card", "iban", "phone", "ipv6"])
+        c, e = generated(rng, k)
+        relaid.setdefault((k, c), []).append(e)
+    flat = [(k, c, e) for (k, c), own in relaid.items() for e in own]
+    docs = []
+    for i in range(300):
+        parts = [rng.choice([("", "", "word é"), ("", "", rng.choice(DECOYS)), rng.choice(flat), rng.choice(flat)]) for _ in range(rng.randrange(1, 12))]
+        docs.append((i, parts))
+    df = spark.createDataFrame([(i, " | ".join(e for *_, e in parts)) for i, parts in docs], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace(df, key="test").collect()}
+    made, real = {}, {(k, plain_form(k, e)) for k, _, e in flat}
+    for i, parts in docs:
+        out = got[i].text.split(" | ")
+        assert len(out) == len(parts) and got[i].n_entities == sum(1 for k, *_ in parts if k), (parts, out)
+        for (k, c, e), new in zip(parts, out):
+            if not k:
+                assert new == e
+                continue
+            own = plain_form(k, new)
+            assert plain_form(k, e) == c and made.setdefault((k, c), own) == own and (k, own) not in real
+            shape = lambda t: re.sub("[0-9]", "0", re.sub(r"(?i)[a-zà-ÿ]", "a", re.sub("(?i)[а-яё]", "б", t)))
+            assert k in ("ip", "ipv6") or shape(new) == shape(e), (e, new)
+            assert k != "card" or luhn(own) and own[0] == c[0]
+            assert k != "iban" or iban_valid(own) and own[:2] == c[:2]
+            assert k != "ip" or ipaddress.IPv4Address(new)
+            assert k != "phone" or e[: e.find(" ")] == new[: new.find(" ")] or not e.startswith("+")
+    assert len(set(made.values())) == len(made) > 300
+    other = {r.text for r in pii.replace(df).collect()}
+    assert not other & {r.text for r in got.values() if r.n_entities}  # a key of its own for each call
+
+
+def test_streams_are_hmacs(spark):
+    for key in ("k", "x" * 200):
+        row = spark.range(1).select(pii._stream(key, F.lit("email"), F.lit("a@b.c"), F.lit(3)).alias("s")).first()
+        assert row.s == hmac.new(key.encode(), "email\x1f3\x1fa@b.c".encode(), "sha512").hexdigest()
+
+
 # --- secrets
 
 BASES = {
