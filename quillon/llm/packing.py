@@ -5,9 +5,14 @@ fill a sequence are done. The others are dealt evenly into blocks, packed best-f
 order of length, and improved by local search: while a block has more bins than its
 tokens need, documents move between underfull bins, or are exchanged one for one or two
 for one, each step raising the sum of squared fills, until the emptiest bins are empty.
-What lies in clearly underfull bins is dealt again into fewer blocks.
+What lies in bins with more than `loose` free tokens is dealt again into fewer blocks, round
+after round, until one block holds all of it or a round no longer leaves less.
 
-Defined results: null and empty texts give one piece of one token; ties are broken by
+The search ends by itself, since the sum cannot rise for ever; `patience` ends it sooner, after
+so many steps without a bin less. No piece is lost by that; some bins may be left underfull.
+
+Defined results: null and empty texts give one piece of one token; texts of any length are
+tokenized whole; ties are broken by
 the row's place; rows that repeat are packed again; an empty table gives no rows;
 further columns are ignored.
 """
@@ -30,7 +35,9 @@ from quillon.llm.common import saved, text_of
 
 SEQUENCE = 2048
 #: Pieces in a block; a bin with more free tokens than LOOSE is packed again with those of other blocks.
-BLOCK, LOOSE, ROUNDS = 16384, 16, 3
+BLOCK, LOOSE = 16384, 16
+#: Bins in which a two-for-one exchange is looked for first, fullest ones; the others follow if nothing else is found.
+NEAREST = 64
 #: Steps of the local search without a bin less, after which a block is left as it is.
 PATIENCE = 400
 
@@ -144,8 +151,10 @@ def improve(bins: list[list[int]], lengths: np.ndarray, limit: int, patience: in
         b = min(todo, key=lambda k: (fills[k], k))
         others = open_[open_ != b]
         moved = False
-        for i in sorted(bins[b], key=lambda k: -lengths[k]):
-            if step := _step(i, b, bins, fills, lengths, limit, others):
+        by_size = sorted(bins[b], key=lambda k: -lengths[k])
+        tries = [(i, False) for i in by_size] + [(i, True) for i in by_size if len(others) > NEAREST]
+        for i, wide in tries:
+            if step := _step(i, b, bins, fills, lengths, limit, others, wide):
                 to, back = step
                 for k in back:
                     bins[to].remove(k)
@@ -165,8 +174,11 @@ def improve(bins: list[list[int]], lengths: np.ndarray, limit: int, patience: in
     return [b for b in bins if b]
 
 
-def _step(i, b, bins, fills, lengths, limit, others):
-    """The step for item i of bin b that raises the squares most: (bin, items given back), or None."""
+def _step(i, b, bins, fills, lengths, limit, others, wide=False):
+    """The step for item i of bin b that raises the squares most: (bin, items given back), or None.
+
+    Two-for-one exchanges are looked for in the NEAREST fullest bins or, if wide, in the others.
+    """
     x, room = int(lengths[i]), limit - fills[others]
     best, found = 0, None
     k = np.flatnonzero(room >= x)
@@ -185,7 +197,8 @@ def _step(i, b, bins, fills, lengths, limit, others):
         at = int(np.argmax(gain))
         best, found = int(gain[at]), (int(owner[at]), [int(item[at])])
     if best < x * x // 4:  # two for one
-        for o in others[np.argsort(room, kind="stable")][:64].tolist():
+        fullest = others[np.argsort(room, kind="stable")]
+        for o in (fullest[NEAREST:] if wide else fullest[:NEAREST]).tolist():
             own = np.array(bins[o])
             if len(own) < 2:
                 continue
@@ -204,16 +217,16 @@ def _step(i, b, bins, fills, lengths, limit, others):
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-def _packer(limit: int, tag: int, stage: int):
+def _packer(limit: int, tag: int, patience: int):
     def run(table: pa.Table) -> pa.Table:
         lengths = table["length"].to_numpy().astype(np.int64)
-        bins = improve(best_fit(lengths, limit), lengths, limit)
+        bins = improve(best_fit(lengths, limit), lengths, limit, patience)
         n = len(lengths)
         seq, off, fill = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
         block = int(table["block"][0].as_py())
         for k, b in enumerate(bins):
             own = lengths[b]
-            seq[b] = (((block << 20) + k) << 3) + tag
+            seq[b] = (((block << 20) + k) << TAG_BITS) + tag
             off[b] = np.cumsum(own) - own
             fill[b] = own.sum()
         out = table.drop_columns(["block"])
@@ -224,25 +237,30 @@ def _packer(limit: int, tag: int, stage: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = SEQUENCE, block: int = BLOCK) -> DataFrame:
+#: Bits of a sequence's number that tell its round, 0 for pieces that fill a sequence.
+TAG_BITS = 6
+
+
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = SEQUENCE, block: int = BLOCK, loose: int = LOOSE, patience: int = PATIENCE) -> DataFrame:
     """docs(doc_id, text) as pieces with the sequence and offset where each lies."""
     rows = saved(pieces(docs, tokenizer, limit))
     place = F.monotonically_increasing_id()
-    whole = rows.where(F.col("length") == limit).select("*", F.shiftleft(place, 3).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    todo, parts = rows.where(F.col("length") < limit), [whole]
-    for stage in range(1, ROUNDS + 1):
-        n = todo.count()
+    whole = rows.where(F.col("length") == limit).select("*", F.shiftleft(place, TAG_BITS).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    todo, out = rows.where(F.col("length") < limit), whole
+    n = todo.count()
+    for tag in range(1, 1 << TAG_BITS):
         if not n:
             break
-        blocks = max(1, -(-n // block))
+        blocks = -(-n // block)
         dealt = todo.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start", place), F.lit(blocks)))
-        packed = saved(dealt.groupBy("block").applyInArrow(_packer(limit, stage, stage), PACKED + ", fill long"))
-        if blocks == 1 or stage == ROUNDS:
-            parts.append(packed.drop("fill"))
+        packed = saved(dealt.groupBy("block").applyInArrow(_packer(limit, tag, patience), PACKED + ", fill long"))
+        tight = F.col("fill") >= limit - loose
+        before, n = n, packed.where(~tight).count() if blocks > 1 else 0
+        if n >= before or not n:  # no use in going on, or nothing left
+            out = out.unionByName(packed.drop("fill"))
             break
-        parts.append(packed.where(F.col("fill") >= limit - LOOSE).drop("fill"))
-        todo = packed.where(F.col("fill") < limit - LOOSE).drop("fill", "sequence_id", "offset")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(packed.where(tight).drop("fill"))
+        todo = packed.where(~tight).drop("fill", "sequence_id", "offset")
+    else:
+        out = out.unionByName(packed.where(~tight).drop("fill"))
     return out

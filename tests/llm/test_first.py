@@ -200,6 +200,35 @@ def test_packing(spark, sf, odd):
     assert used <= least * 1.02 + 2
 
 
+def test_repeated_rows_are_packed_again(spark, odd):
+    """Each row by itself: as many pieces as rows ask for, and sequences without gaps, over several rounds."""
+    df = odd.unionByName(odd).unionByName(odd.where("doc_id <> 6")).withColumn("piece", F.lit("clash"))
+    rows = packing.pack(df, limit=64, block=20).collect()
+    enc = packing.ids_of("byte_bpe_50k.json").slow
+    want, got, by_seq = defaultdict(int), defaultdict(int), defaultdict(list)
+    for r in df.collect():
+        n = len(enc.encode(r.text or "", add_special_tokens=False).ids) + 1
+        for k in range(-(-n // 64)):
+            want[r.doc_id, k] += 1
+    for r in rows:
+        got[r.doc_id, r.piece] += 1
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    assert got == want
+    for own in by_seq.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 64
+
+
+def test_two_for_one_beyond_the_nearest_bins(monkeypatch):
+    """The only exchange that helps is in the least full bin of many."""
+    monkeypatch.setattr(packing, "NEAREST", 2)
+    lengths = np.array([81] * 5 + [29, 29, 20] + [60])
+    bins = [[0], [1], [2], [3], [4], [5, 6, 7], [8]]
+    out = packing.improve([list(b) for b in bins], lengths, 100)
+    assert sorted(i for b in out for i in b) == list(range(9)) and max(lengths[b].sum() for b in out) <= 100
+    fills = lambda own: sum(int(lengths[b].sum()) ** 2 for b in own)
+    assert fills(out) > fills(bins)
+
+
 def test_special_strings_and_extreme_texts():
     enc = packing.ids_of("byte_bpe_50k.json")
     for t in ("a<|endoftext|>b", " " * 200000, "x" * 50000, "é \x00 '", "don't  do\n\n it"):
