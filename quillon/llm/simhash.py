@@ -297,16 +297,17 @@ def dealt(keyed: DataFrame, bucket: int) -> DataFrame:
     return known.withColumn("tile", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(pair))).drop("count")
 
 
-def _grouped_rows(tiled: DataFrame) -> DataFrame:
+def _grouped_rows(tiled: DataFrame, node: str) -> DataFrame:
+    """Groups as neighbours, each by node, so that the first row of a component has its smallest."""
     parts = int(tiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiled.repartition(parts, *GROUP_KEYS).sortWithinPartitions(*GROUP_KEYS)
+    return tiled.repartition(parts, *GROUP_KEYS).sortWithinPartitions(*GROUP_KEYS, node)
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, n: int | None = None) -> DataFrame:
     """Links u - v that join exactly the components of distinct prints(fp) within the radius."""
     masks = block_masks(radius, agreeing(prints.count() if n is None else n, radius))
     keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key"))
-    return _grouped_rows(dealt(keyed, bucket)).mapInArrow(_linker(radius, "fp"), "u long, v long")
+    return _grouped_rows(dealt(keyed, bucket), "fp").mapInArrow(_linker(radius, "fp"), "u long, v long")
 
 
 # --- similar sets -----------------------------------------------------------------------
@@ -333,16 +334,16 @@ TOGETHER = 1 << 20
 
 
 def _sketches(width: int):
-    """Rows (doc_id, text, mark) as (doc_id, mark, node, fp, keys); node is a digest of the shingles' set."""
+    """Rows (doc_id, text, mark) as (doc_id, mark, sig, fp, keys); sig is a digest of the shingles' set."""
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         full = [r[2] for r in rows if len(r[2])]
         found = iter(band_keys(full).tolist() if full else [])
         keys = [next(found) if len(r[2]) else [] for r in rows]
         prints = np.array([majority(r[2]) for r in rows], dtype=np.uint64).view(np.int64)
-        nodes = [xxhash.xxh3_128_digest(r[2].tobytes(), SEED) for r in rows]
-        columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(nodes, pa.binary()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "fp", "keys"])
+        sigs = [xxhash.xxh3_128_digest(r[2].tobytes(), SEED) for r in rows]
+        columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(sigs, pa.binary()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "sig", "fp", "keys"])
 
     def run(batches):
         rows, size = [], 0
@@ -359,11 +360,11 @@ def _sketches(width: int):
     return run
 
 
-def verified(number: np.ndarray, sets: list[np.ndarray], nodes: list[bytes], similarity: float, radius: int = WIDE_RADIUS) -> list[tuple[bytes, bytes]]:
-    """Links of similar sets inside groups; pairs that are joined already are not compared."""
+def verified(number: np.ndarray, sets: list[np.ndarray], nodes: list[int], similarity: float, radius: int = WIDE_RADIUS) -> list[tuple[int, int]]:
+    """Links from nodes to the first of their component of similar sets in a group; pairs that are joined already are not compared."""
     prints = np.array([majority(s) for s in sets], dtype=np.uint64)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    label, links = list(range(len(sets))), []
+    label = list(range(len(sets)))
 
     def top(x: int) -> int:
         while label[x] != x:
@@ -381,8 +382,7 @@ def verified(number: np.ndarray, sets: list[np.ndarray], nodes: list[bytes], sim
             both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
             if both >= similarity * (sizes[a] + sizes[b] - both):
                 label[max(x, y)] = min(x, y)
-                links.append((nodes[a], nodes[b]))
-    return links
+    return [(nodes[i], nodes[top(i)]) for i in range(len(sets)) if top(i) != i]
 
 
 def _verifier(width: int, similarity: float):
@@ -391,7 +391,7 @@ def _verifier(width: int, similarity: float):
             sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in table["text"]]
             links = verified(number, sets, table["node"].to_pylist(), similarity)
             columns = zip(*links, strict=True) if links else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v"])
 
     return run
 
@@ -399,23 +399,25 @@ def _verifier(width: int, similarity: float):
 def similar_links(docs: DataFrame, nodes: DataFrame, width: int, similarity: float, bucket: int = BUCKET, texts: int = TEXTS) -> DataFrame:
     """Links u - v that join the components of similar sets; nodes(node, first, least, fp, keys) are distinct sets of docs."""
     keyed = lambda rows, *more: rows.select(*more, F.posexplode("keys").alias("mask", "key"))
-    near_ = _grouped_rows(dealt(keyed(nodes, "node", "fp"), bucket)).mapInArrow(_linker(WIDE_RADIUS, "node"), "u binary, v binary")
+    near_ = _grouped_rows(dealt(keyed(nodes, "node", "fp"), bucket), "node").mapInArrow(_linker(WIDE_RADIUS, "node"), "u long, v long")
     stars = saved(components(near_))
-    sizes = saved(stars.groupBy(F.col("root")).agg((F.count(F.lit(1)) + 1).alias("size")))
-    members = stars.select("node", "root").unionByName(sizes.select(F.col("root").alias("node"), "root"))
-    grouped = matched(saved(members), sizes.withColumn("n", F.col("size")), "root", nodes.count())
-    grouped = saved(grouped.join(nodes, "node").select("node", "first", "least", "keys", "size", F.xxhash64("root").alias("group")))
-
-    alone = F.col("size") <= texts
-    whole = grouped.where(alone).select("node", F.lit(-1).alias("mask"), F.col("group").alias("key"), F.lit(0).alias("tile"))
-    split = dealt(saved(keyed(grouped.where(~alone), "node")), texts).select("node", "mask", "key", "tile")
+    members = stars.select("node", "root").unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    grouped = saved(members.join(nodes, "node").select("node", "root", "first", "least", "keys"))
+    sizes = stars.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") > texts)
+    large = saved(sizes)
+    alone = grouped.select("node", F.lit(-1).alias("mask"), F.col("root").alias("key"), F.lit(0).alias("tile"))
+    if large.isEmpty():
+        groups = alone
+    else:  # larger components by bands and tiles
+        marked = saved(matched(grouped, large.select("root", "n", F.lit(True).alias("large")), "root", grouped.count(), "left"))
+        split = dealt(saved(keyed(marked.where("large"), "node")), texts).select("node", "mask", "key", "tile")
+        groups = alone.join(marked.where("large").select("node"), "node", "left_anti").unionByName(split)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("mark", F.xxhash64("text"))
     maybe = with_maybe(rows, bitmap(grouped, "least"), "mark", "maybe").where("maybe").alias("r")
     same = (F.col("r.mark") == F.col("g.least")) & F.col("r.doc_id").eqNullSafe(F.col("g.first"))
     own = saved(maybe.join(grouped.alias("g"), same).select("node", "r.text").groupBy("node").agg(F.any_value("text").alias("text")))
-    groups = whole.unionByName(split).join(own, "node")
-    return _grouped_rows(groups).mapInArrow(_verifier(width, similarity), "u binary, v binary")
+    return _grouped_rows(groups.join(own, "node"), "node").mapInArrow(_verifier(width, similarity), "u long, v long")
 
 
 # --- components -----------------------------------------------------------------------
@@ -438,60 +440,61 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def _digest(edges: DataFrame):
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _done(edges: DataFrame) -> bool:
+    """Whether every edge goes down to a node that has none down itself, and every node has one at most."""
+    ends = edges.select(F.col("u").alias("x"), F.when(F.col("v") < F.col("u"), 1).otherwise(2).alias("down"), F.lit(0).alias("up"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    sums = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return sums.where("down > 1 OR (down > 0 AND up > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable over edges(u, v), for every node with a link."""
     edges = saved(edges.where("u <> v").distinct())
-    seen = _digest(edges)
-    while seen[0]:
-        edges = saved(_small_star(saved(_large_star(edges, seen[0])), seen[0]))
-        now = _digest(edges)
-        if now == seen:
-            break
-        seen = now
+    while not _done(edges):
+        total = edges.count()
+        edges = saved(_small_star(saved(_large_star(edges, total)), total))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 # --- the operator ---------------------------------------------------------------------
 
 
-def _named(rows: DataFrame, nodes: DataFrame, stars: DataFrame) -> DataFrame:
-    """rows(node, ...) with `low`, their component's lowest member: an id before none, then by node and text hash."""
+def _named(rows: DataFrame, nodes: DataFrame, stars: DataFrame, key: str) -> DataFrame:
+    """rows(key, ...) with `low`, their component's lowest member: an id before none, then by text hash and key."""
     total = rows.count()
-    rooted = nodes.join(stars, "node", "left").select("node", "first", "least", "rows", F.coalesce("root", "node").alias("root"))
-    rooted = saved(rooted)
-    lowest = saved(rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node", "least")).alias("low"), F.count(F.lit(1)).alias("n")))
-    named = matched(rooted.select("node", "root", "rows"), lowest, "root", total).select("node", "low", F.col("rows").alias("n"))
-    return matched(rows, saved(named), "node", total)
+    own = F.col(key).alias("own")
+    rooted = saved(nodes.join(stars, "node", "left").select(own, "first", "least", "rows", F.coalesce("root", "node").alias("root")))
+    lowest = saved(rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "least", "own")).alias("low"), F.count(F.lit(1)).alias("n")))
+    named = matched(rooted.select("own", "root", "rows"), lowest, "root", total).select("own", "low", F.col("rows").alias("n"))
+    return matched(rows.withColumnRenamed(key, "own"), saved(named), "own", total)
 
 
 def _near(docs: DataFrame, radius: int, width: int, bucket: int) -> DataFrame:
-    """doc_id, mark, node (the fingerprint), low of rows linked by fingerprints."""
+    """doc_id, mark, own (the fingerprint), low of rows linked by fingerprints."""
     rows = saved(fingerprints(docs, width).withColumnRenamed("fp", "node"))
     nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("mark").alias("least"), F.count(F.lit(1)).alias("rows")))
     stars = saved(components(near_links(nodes.select(F.col("node").alias("fp")), radius, bucket)))
-    return _named(rows, nodes, stars)
+    return _named(rows, nodes, stars, "node")
 
 
 def _similar(docs: DataFrame, width: int, similarity: float, bucket: int, texts: int) -> DataFrame:
-    """doc_id, mark, node (a digest of the shingles), low of rows linked by similarity."""
+    """doc_id, mark, own (a digest of the shingles), low of rows linked by similarity."""
     first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("mark", F.xxhash64("text"))
-    made = saved(first.mapInArrow(_sketches(width), "doc_id long, mark long, node binary, fp long, keys array<long>"))
-    rows = made.select("doc_id", "mark", "node")
+    made = saved(first.mapInArrow(_sketches(width), "doc_id long, mark long, sig binary, fp long, keys array<long>"))
+    rows = made.select("doc_id", "mark", "sig")
     shown = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("shown")
-    nodes = made.groupBy("node").agg(shown, F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.count(F.lit(1)).alias("rows"))
-    nodes = saved(nodes.select("node", F.col("shown.doc_id").alias("first"), F.col("shown.mark").alias("least"), "fp", "keys", "rows"))
+    nodes = made.groupBy("sig").agg(shown, F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.count(F.lit(1)).alias("rows"))
+    number = F.monotonically_increasing_id().alias("node")  # kept with the rows
+    nodes = saved(nodes.select(number, "sig", F.col("shown.doc_id").alias("first"), F.col("shown.mark").alias("least"), "fp", "keys", "rows"))
     stars = saved(components(similar_links(docs, nodes, width, similarity, bucket, texts)))
-    return _named(rows, nodes, stars)
+    return _named(rows, nodes, stars, "sig")
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint, component_id for each row of docs(doc_id, text)."""
     rows = _near(docs, radius, width, bucket)
-    return rows.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), F.col("low.first").alias("component_id"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("own")), 16, "0").alias("fingerprint"), F.col("low.first").alias("component_id"))
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH, bucket: int = BUCKET, texts: int = TEXTS) -> DataFrame:
@@ -500,7 +503,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int =
 
 
 def _firsts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    stays = F.when(F.col("low.none"), (F.col("node") == F.col("low.node")) & (F.col("mark") == F.col("low.least"))).otherwise(F.col("doc_id").eqNullSafe(F.col("low.first")))
+    stays = F.when(F.col("low.none"), (F.col("own") == F.col("low.own")) & (F.col("mark") == F.col("low.least"))).otherwise(F.col("doc_id").eqNullSafe(F.col("low.first")))
     left = without(docs, rows.where(~stays), F.xxhash64(text_of()))
     if has_repeats(docs):
         left = left.withColumn("_same_text", F.md5(text_of())).dropDuplicates(["doc_id", "_same_text"]).drop("_same_text")
