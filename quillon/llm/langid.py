@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -43,9 +44,9 @@ LENGTHS = (5, 4, 3, 2, 1)
 #: Words after which the score takes a text to be long.
 LONG = 20
 #: Words that a worker keeps at hand, cells of their table, and cells of rows made at once.
-MEMO, MEMO_CELLS, CELLS = 400_000, 4_000_000, 1_000_000
+MEMO, MEMO_CELLS, CELLS = 200_000, 4_000_000, 1_000_000
 #: Words counted by a task before their counts are handed on.
-COUNTED = 1 << 21
+COUNTED = 1 << 19
 LETTERS = re.compile(r"[^\W\d_]+")
 HELD_OUT, FOLDS = 2, 4
 UNKNOWN = "und"
@@ -74,19 +75,18 @@ def _counted(batches):
     counts: dict[str, Counter] = defaultdict(Counter)
     size = 0
 
-    def rows() -> pa.RecordBatch:
-        out: list[tuple] = []
+    def rows() -> Iterator[pa.RecordBatch]:
         for lang, words in counts.items():
-            out += [(lang, 0, item(w, 0), n) for w, n in words.items()]
-            for length in LENGTHS:
-                own: Counter = Counter()
-                for w, n in words.items():
-                    for g in grams(w, length):
-                        own[g] += n
-                out += [(lang, length, item(g, length), n) for g, n in own.items()]
-        items = np.array([r[2] for r in out], np.uint64).view(np.int64)
-        columns = [pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array(items), pa.array([r[3] for r in out], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "kind", "item", "n"])
+            for kind in (0, *LENGTHS):
+                own = words
+                if kind:
+                    own = Counter()
+                    for w, n in words.items():
+                        for g in grams(w, kind):
+                            own[g] += n
+                items = np.fromiter((item(x, kind) for x in own), np.uint64, len(own)).view(np.int64)
+                times = np.fromiter(own.values(), np.int64, len(own))
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(own)), pa.repeat(pa.scalar(kind, pa.int32()), len(own)), pa.array(items), pa.array(times)], names=["lang", "kind", "item", "n"])
 
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -94,10 +94,9 @@ def _counted(batches):
             counts[lang].update(words)
             size += len(words)
             if size > COUNTED:
-                yield rows()
+                yield from rows()
                 counts, size = defaultdict(Counter), 0
-    if counts:
-        yield rows()
+    yield from rows()
 
 
 class Table:
