@@ -319,12 +319,10 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
         shared = rows.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min("canon").alias("stays")).where("n > 1").drop("n")
         for t in taken:
             shared = shared.unionByName(t.withColumn("stays", F.lit(None).cast("string")))
-        bad = saved(shared.groupBy("kind", "made").agg(F.max("stays").alias("stays"), F.max(F.col("stays").isNull()).alias("all")))
-        if bad.isEmpty():
-            return rows, rows.limit(0)
-        judged = rows.join(small(bad), ["kind", "made"], "left")
-        moves = F.coalesce(F.col("all") | (F.col("canon") != F.col("stays")), F.lit(False))
-        return saved(judged.where(~moves).select(*rows.columns)), saved(judged.where(moves).select(*rows.columns))
+        bad = shared.groupBy("kind", "made").agg(F.max("stays").alias("stays"), F.max(F.col("stays").isNull()).alias("all"))
+        moves = F.coalesce(F.col("all") | (F.col("canon") != F.col("stays")), F.lit(False)).alias("moves")
+        judged = saved(rows.join(bad, ["kind", "made"], "left").select(*rows.columns, moves))
+        return judged.where("NOT moves").drop("moves"), judged.where("moves").drop("moves")
 
     every = made(entities, 0)
     settled, moving = split(every, every, None)
