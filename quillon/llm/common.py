@@ -65,7 +65,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def matched(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+def matched(rows: DataFrame, table: DataFrame, key: str | list[str], total: int, how: str = "inner") -> DataFrame:
     """rows joined with the saved table(key, n, ...) on the key, how: inner or left; n goes.
 
     n is how many of the `total` rows have the key. Hot keys are few by that, so they are

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import BROADCAST_ROWS, has_repeats, saved, small
+from quillon.llm.common import BROADCAST_ROWS, has_repeats, matched, saved, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -94,11 +94,12 @@ def _taken(docs: DataFrame, weights: Sequence[int], most: int, block: int, own:
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     mark = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
     rows = saved(docs.select("doc_id", "source", size.alias("size"), mark.alias("mark"), own.alias("own")))
-    sources = small(targets(rows, weights, most).withColumnRenamed("source", "_source"))
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("name")  # null is a source of its own
+    sources = targets(rows, weights, most).select(name, "n", F.col("n").alias("rows"), "source_size", "place", "target")
 
     spread = F.conv(F.substring("mark", 1, 8), 16, 10).cast("long")
-    blocks = F.ceil(F.col("n") / F.lit(block))
-    known = rows.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    blocks = F.ceil(F.col("rows") / F.lit(block))
+    known = matched(rows.select("*", name), saved(sources), "name", rows.count()).drop("name")
     known = known.withColumn("block", F.shiftright(F.coalesce(spread, F.lit(0)) * blocks, 32))
     sums = known.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     before = F.sum("block_size").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))

@@ -290,7 +290,10 @@ def dealt(keyed: DataFrame, bucket: int) -> DataFrame:
     hot = saved(keyed.groupBy("mask", "key").count().where(F.col("count") > bucket))
     if hot.isEmpty():
         return keyed.withColumn("tile", F.lit(0))
-    known = keyed.join(hot if hot.count() > HOT_BUCKETS else F.broadcast(hot), ["mask", "key"], "left")
+    if hot.count() <= HOT_BUCKETS:
+        known = keyed.join(F.broadcast(hot), ["mask", "key"], "left")
+    else:
+        known = matched(keyed, hot.withColumn("n", F.col("count")), ["mask", "key"], keyed.count(), "left")
     tiles = F.ceil(F.col("count") / F.lit(bucket // 2)).cast("int")
     own = F.pmod(F.xxhash64(F.lit("tile"), *[c for c in keyed.columns if c not in GROUP_KEYS]), tiles).cast("int")
     pair = F.transform(F.sequence(F.lit(0), tiles - 1), lambda o: F.least(o, own) * tiles + F.greatest(o, own))

@@ -406,8 +406,9 @@ def edited(rng, base, most):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("bucket,texts", [(8192, 512), (32, 16)])
-def test_similar_groups_around_the_bound(spark, bucket, texts):
+@pytest.mark.parametrize("bucket,texts,listed", [(8192, 512, 9), (32, 16, 50_000), (32, 16, 0)])
+def test_similar_groups_around_the_bound(spark, bucket, texts, listed, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_BUCKETS", listed)
     rng = random.Random(5)
     bases = [[rng.choice("abcdefghij") * rng.randrange(1, 4) for _ in range(n)] for n in (300, 120, 60, 12)]
     rows = [(i, edited(rng, bases[i % 4], (12, 5, 3, 1)[i % 4])) for i in range(400)]
