@@ -14,6 +14,7 @@ LOG = logging.getLogger("quillon")
 def start(app: str = "quillon", master: str | None = None, options: Mapping[str, str] | None = None, executor_env: Mapping[str, str] | None = None) -> SparkSession:
     """Get or create the session. Executor variables are set before the runtime starts.
 
+    Checkpoints go when nothing refers to them any more, unless the options say otherwise.
     A runtime that is already up cannot take executor variables any more, so asking for some is an error.
     """
     if executor_env and SparkSession.getActiveSession() is not None:
@@ -23,7 +24,7 @@ def start(app: str = "quillon", master: str | None = None, options: Mapping[str,
         builder = builder.master(master)
     for k, v in (executor_env or {}).items():
         builder = builder.config(f"spark.executorEnv.{k}", v)
-    conf = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true"} | dict(options or {})
+    conf = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"} | dict(options or {})
     spark = builder.config(map=conf).getOrCreate()
     LOG.info("engine %s, options %s", spark.version, conf)
     return spark
