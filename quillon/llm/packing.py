@@ -36,8 +36,6 @@ from quillon.llm.common import saved, text_of
 SEQUENCE = 2048
 #: Pieces in a block; a bin with more free tokens than LOOSE is packed again with those of other blocks.
 BLOCK, LOOSE = 16384, 16
-#: Bins in which a two-for-one exchange is looked for first, fullest ones; the others follow if nothing else is found.
-NEAREST = 64
 #: Steps of the local search without a bin less, after which a block is left as it is.
 PATIENCE = 400
 
@@ -151,10 +149,8 @@ def improve(bins: list[list[int]], lengths: np.ndarray, limit: int, patience: in
         b = min(todo, key=lambda k: (fills[k], k))
         others = open_[open_ != b]
         moved = False
-        by_size = sorted(bins[b], key=lambda k: -lengths[k])
-        tries = [(i, False) for i in by_size] + [(i, True) for i in by_size if len(others) > NEAREST]
-        for i, wide in tries:
-            if step := _step(i, b, bins, fills, lengths, limit, others, wide):
+        for i in sorted(bins[b], key=lambda k: -lengths[k]):
+            if step := _step(i, b, bins, fills, lengths, limit, others):
                 to, back = step
                 for k in back:
                     bins[to].remove(k)
@@ -174,13 +170,9 @@ def improve(bins: list[list[int]], lengths: np.ndarray, limit: int, patience: in
     return [b for b in bins if b]
 
 
-def _step(i, b, bins, fills, lengths, limit, others, wide=False):
-    """The step for item i of bin b that raises the squares most: (bin, items given back), or None.
-
-    Two-for-one exchanges are looked for in the NEAREST fullest bins or, if wide, in the others.
-    """
+def _step(i, b, bins, fills, lengths, limit, others):
+    """The step for item i of bin b that raises the squares most: (bin, items given back), or None."""
     x, room = int(lengths[i]), limit - fills[others]
-    best, found = 0, None
     k = np.flatnonzero(room >= x)
     if len(k):  # move
         to = int(others[k[np.argmax(fills[others[k]])]])
@@ -189,29 +181,24 @@ def _step(i, b, bins, fills, lengths, limit, others, wide=False):
     item = np.array([j for o in others for j in bins[o]], dtype=np.int64)
     if not len(item):
         return None
-    y = lengths[item]
-    d = x - y
-    ok = (d > 0) & (d <= limit - fills[owner]) & (fills[owner] + d > fills[b])
-    if ok.any():  # one for one
-        gain = np.where(ok, d * (fills[owner] - fills[b] + d), 0)
-        at = int(np.argmax(gain))
-        best, found = int(gain[at]), (int(owner[at]), [int(item[at])])
-    if best < x * x // 4:  # two for one
-        fullest = others[np.argsort(room, kind="stable")]
-        for o in (fullest[NEAREST:] if wide else fullest[:NEAREST]).tolist():
-            own = np.array(bins[o])
-            if len(own) < 2:
-                continue
-            two = lengths[own][:, None] + lengths[own][None, :]
-            d = x - two
-            ok = (d > 0) & (d <= limit - fills[o]) & (fills[o] + d > fills[b])
-            np.fill_diagonal(ok, False)
-            if ok.any():
-                gain = np.where(ok, d * (fills[o] - fills[b] + d), 0)
-                at = divmod(int(np.argmax(gain)), len(own))
-                if int(gain[at]) > best:
-                    best, found = int(gain[at]), (o, [int(own[at[0]]), int(own[at[1]])])
-    return found
+    order = np.lexsort((lengths[item], owner))
+    item, owner = item[order], owner[order]
+    y, room = lengths[item], limit - fills[owner]
+
+    def gain(d, ok):
+        return np.where(ok & (d > 0) & (d <= room) & (fills[owner] + d > fills[b]), d * (fills[owner] - fills[b] + d), 0)
+
+    one = gain(x - y, True)  # one for one
+    # two for one: to each item the smallest other one of its bin with which it leaves no more than the room
+    key = owner * (limit + 1) + y
+    other = np.searchsorted(key, owner * (limit + 1) + np.maximum(x - room - y, 0))
+    other += other == np.arange(len(item))
+    at = np.minimum(other, len(item) - 1)
+    two = gain(x - y - y[at], (other < len(item)) & (owner[at] == owner))
+    first, second = int(np.argmax(one)), int(np.argmax(two))
+    if two[second] > one[first]:
+        return int(owner[second]), [int(item[second]), int(item[at[second]])]
+    return (int(owner[first]), [int(item[first])]) if one[first] else None
 
 
 PACKED = PIECES + ", sequence_id long, offset long"

@@ -218,9 +218,8 @@ def test_repeated_rows_are_packed_again(spark, odd):
         assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 64
 
 
-def test_two_for_one_beyond_the_nearest_bins(monkeypatch):
+def test_two_for_one_in_any_bin():
     """The only exchange that helps is in the least full bin of many."""
-    monkeypatch.setattr(packing, "NEAREST", 2)
     lengths = np.array([81] * 5 + [29, 29, 20] + [60])
     bins = [[0], [1], [2], [3], [4], [5, 6, 7], [8]]
     out = packing.improve([list(b) for b in bins], lengths, 100)
@@ -229,6 +228,39 @@ def test_two_for_one_beyond_the_nearest_bins(monkeypatch):
     assert fills(out) > fills(bins)
 
 
+def test_steps_by_brute_force():
+    """The step taken is the best of all moves, and else of all exchanges one for one and two for one."""
+    rng = random.Random(3)
+    for _ in range(400):
+        limit = 60
+        lengths, bins = [], []
+        for _ in range(rng.randrange(2, 7)):
+            own = []
+            while (n := rng.randrange(1, 25)) + sum(lengths[k] for k in own) < limit and len(own) < 5:
+                own.append(len(lengths))
+                lengths.append(n)
+            bins.append(own)
+        lengths = np.array(lengths + [0])
+        fills = np.array([int(lengths[b].sum()) for b in bins])
+        b = int(np.argmin(np.where(fills > 0, fills, 99)))
+        others = np.array([k for k in range(len(bins)) if k != b and fills[k] > 0], dtype=np.int64)
+        for i in bins[b]:
+            x, gains = int(lengths[i]), {}
+            for o in others.tolist():
+                for back in [()] + [(j,) for j in bins[o]] + [(j, k) for j in bins[o] for k in bins[o] if j < k]:
+                    d = x - int(lengths[list(back)].sum()) if back else x
+                    if d > 0 and fills[o] + d <= limit and fills[o] + d > fills[b]:
+                        gains[o, back] = d * (int(fills[o]) - int(fills[b]) + d)
+            got = packing._step(i, b, bins, fills, lengths, limit, others)
+            moves = [o for o in others.tolist() if fills[o] + x <= limit]
+            if moves:
+                assert got[1] == [] and fills[got[0]] == max(fills[moves])
+            elif not gains:
+                assert got is None
+            else:
+                assert gains[got[0], tuple(sorted(got[1]))] == max(gains.values())
+
+
 def test_special_strings_and_extreme_texts():
     enc = packing.ids_of("byte_bpe_50k.json")
     for t in ("a<|endoftext|>b", " " * 200000, "x" * 50000, "é \x00 '", "don't  do\n\n it"):
