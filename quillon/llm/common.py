@@ -19,8 +19,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows, computed once, in the folder of spark.checkpoint.dir; it survives lost executors."""
+#: Narrow rows in a file of a saved table, and the least number of files, where the rows are known.
+SAVED_ROWS, SAVED_FILES = 50_000, 4
+
+
+def saved(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows, computed once, in the folder of spark.checkpoint.dir; it survives lost executors.
+
+    rows: about how many there are, at most; with few of them there are few files.
+    """
+    if rows is not None:
+        df = df.coalesce(max(SAVED_FILES, -(-rows // SAVED_ROWS)))
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
@@ -97,7 +106,8 @@ def bitmap(keys: DataFrame, column: str, bits: int | None = None) -> tuple[DataF
         bits = min(max((32 * keys.count()).bit_length(), BITS[0]), BITS[1])
     slot = _slot(F.col(column), bits)
     marks = keys.select(F.shiftright(slot, 15).alias("_chunk"), slot.bitwiseAND(F.lit(32767)).alias("_bit"))
-    return saved(marks.groupBy("_chunk").agg(F.bitmap_construct_agg("_bit").alias("_bits"))), bits
+    chunks = marks.groupBy("_chunk").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    return saved(chunks, SAVED_ROWS << max(0, bits - 21)), bits  # 64 chunks a file
 
 
 def with_maybe(df: DataFrame, marked: tuple[DataFrame, int], column: str, out: str) -> DataFrame:

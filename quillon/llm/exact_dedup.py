@@ -33,13 +33,14 @@ def exact_groups(docs: DataFrame, bits: int | None = None, hash_of: Callable[[Co
     """
     whole = docs.select(F.col("doc_id"), ascii_lower(text_of()).alias("t")).withColumn("h", hash_of(F.col("t")))
     rows = saved(whole.select("doc_id", "h", F.unhex(F.sha2("t", 256)).alias("sha")))
-    groups = saved(rows.groupBy("h").agg(stable("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"))
+    total = rows.count()
+    groups = saved(rows.groupBy("h").agg(stable("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), total)
 
     doubtful = with_maybe(whole, bitmap(groups, "h", bits), "h", "maybe").where("maybe").drop("maybe")
     extremes = doubtful.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     mixed = saved(extremes.where("lo <> hi").select("h"))
 
-    out = matched(rows, groups.withColumn("n", F.col("group_size")), "h", rows.count(), "left")
+    out = matched(rows, groups.withColumn("n", F.col("group_size")), "h", total, "left")
     if not mixed.isEmpty():  # different bytes under one hash: these rows are grouped by their bytes
         apart = doubtful.join(mixed, "h", "left_semi").withColumn("sha", F.unhex(F.sha2("t", 256)))
         exact = apart.groupBy("h", "t").agg(stable("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

@@ -99,7 +99,7 @@ def _taken(docs: DataFrame, weights: Sequence[int], most: int, block: int, own:
 
     spread = F.conv(F.substring("mark", 1, 8), 16, 10).cast("long")
     blocks = F.ceil(F.col("rows") / F.lit(block))
-    known = matched(rows.select("*", name), saved(sources), "name", rows.count()).drop("name")
+    known = matched(rows.select("*", name), sources, "name", rows.count()).drop("name")
     known = known.withColumn("block", F.shiftright(F.coalesce(spread, F.lit(0)) * blocks, 32))
     sums = known.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     before = F.sum("block_size").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))

@@ -321,7 +321,7 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
             shared = shared.unionByName(t.withColumn("stays", F.lit(None).cast("string")))
         bad = shared.groupBy("kind", "made").agg(F.max("stays").alias("stays"), F.max(F.col("stays").isNull()).alias("all"))
         moves = F.coalesce(F.col("all") | (F.col("canon") != F.col("stays")), F.lit(False)).alias("moves")
-        judged = saved(rows.join(bad, ["kind", "made"], "left").select(*rows.columns, moves))
+        judged = saved(rows.join(bad, ["kind", "made"], "left").select(*rows.columns, moves), rows.count())
         return judged.where("NOT moves").drop("moves"), judged.where("moves").drop("moves")
 
     every = made(entities, 0)

@@ -134,10 +134,11 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     """
     spark = docs.sparkSession
     paths = addressed(docs) if paths is None else paths
-    each = saved(paths.groupBy("blob").agg(F.count(F.lit(1)).alias("n")))
+    total = paths.count()
+    each = saved(paths.groupBy("blob").agg(F.count(F.lit(1)).alias("n")), total)
     own, places = each.count(), {r.key: i for i, r in enumerate(rules)}
     old = spark.createDataFrame([], LEDGER) if ledger is None else ledger.where(F.col("rule").isin(list(places))).dropDuplicates(["blob", "rule"])
-    old = saved(old.join(each, "blob", "left_semi"))
+    old = saved(old.join(each, "blob", "left_semi"), total)
     counts = {r["rule"]: r["count"] for r in old.groupBy("rule").count().collect()}
     open_ = [r for r in rules if counts.get(r.key, 0) < own]  # the others have run on every blob
     mixed = [r.key for r in open_ if counts.get(r.key)]
@@ -147,13 +148,13 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     if open_:
         no_rule = F.array().cast("array<string>")
         known = old.where(F.col("rule").isin(mixed)).groupBy("blob").agg(F.collect_set("rule").alias("known"))
-        apart = saved(each.join(known, "blob", "left").where("n > 1 OR known IS NOT NULL").select("blob", F.coalesce("known", no_rule).alias("known")))
+        apart = saved(each.join(known, "blob", "left").where("n > 1 OR known IS NOT NULL").select("blob", F.coalesce("known", no_rule).alias("known")), total)
         marked = with_maybe(blobs(docs).select("blob", "t"), bitmap(apart, "blob", bits), "blob", "maybe")
         once = marked.where("NOT maybe").select("blob", "t", no_rule.alias("known"))
         again = marked.where("maybe").select("blob", "t")
         ready = apart.where(F.size("known") == len(open_)).select("blob")
         if not ready.isEmpty():  # texts that have had all rules stay where they are
-            todo = saved(each.select("blob").join(ready, "blob", "left_anti"))
+            todo = saved(each.select("blob").join(ready, "blob", "left_anti"), total)
             again = with_maybe(again, bitmap(todo, "blob", bits), "blob", "todo").where("todo").select("blob", "t")
         again = again.groupBy("blob").agg(F.max("t").alias("t")).join(apart, "blob", "left").withColumn("known", F.coalesce("known", no_rule))
         unseen = once.unionByName(again.where(F.size("known") < len(open_)))
@@ -169,8 +170,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     hits = old.unionByName(entries).where(F.size("spans") > 0)
     hits = hits.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), place[F.col("rule")].alias("rule"), s["end"].alias("end"))).alias("spans"))
     found = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    found = saved(found.join(each, "blob"))
-    out = matched(paths, found, "blob", paths.count(), "left")
+    found = saved(found.join(each, "blob"), total)
+    out = matched(paths, found, "blob", total, "left")
     return out.select("doc_id", "blob", F.coalesce("spans", none).alias("spans")), entries
 
 

@@ -35,6 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ MEAN = 256
 #: Hot buckets up to which their list is broadcast.
 HOT_BUCKETS = 50_000
 #: Comparisons of a fingerprint with a word that are held at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -285,15 +286,15 @@ def _linker(radius: int, node: str):
     return run
 
 
-def dealt(keyed: DataFrame, bucket: int) -> DataFrame:
-    """Rows (mask, key, ...) with a tile. A bucket of more rows than `bucket` is cut: each pair of tiles is a group."""
-    hot = saved(keyed.groupBy("mask", "key").count().where(F.col("count") > bucket))
+def dealt(keyed: DataFrame, bucket: int, rows: int) -> DataFrame:
+    """About so many rows (mask, key, ...) with a tile. A bucket of more rows than `bucket` is cut: each pair of tiles is a group."""
+    hot = saved(keyed.groupBy("mask", "key").count().where(F.col("count") > bucket), rows)
     if hot.isEmpty():
         return keyed.withColumn("tile", F.lit(0))
     if hot.count() <= HOT_BUCKETS:
         known = keyed.join(F.broadcast(hot), ["mask", "key"], "left")
     else:
-        known = matched(keyed, hot.withColumn("n", F.col("count")), ["mask", "key"], keyed.count(), "left")
+        known = matched(keyed, hot.withColumn("n", F.col("count")), ["mask", "key"], rows, "left")
     tiles = F.ceil(F.col("count") / F.lit(bucket // 2)).cast("int")
     own = F.pmod(F.xxhash64(F.lit("tile"), *[c for c in keyed.columns if c not in GROUP_KEYS]), tiles).cast("int")
     pair = F.transform(F.sequence(F.lit(0), tiles - 1), lambda o: F.least(o, own) * tiles + F.greatest(o, own))
@@ -308,9 +309,10 @@ def _grouped_rows(tiled: DataFrame, node: str) -> DataFrame:
 
 def near_links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, n: int | None = None) -> DataFrame:
     """Links u - v that join exactly the components of distinct prints(fp) within the radius."""
-    masks = block_masks(radius, agreeing(prints.count() if n is None else n, radius))
+    n = prints.count() if n is None else n
+    masks = block_masks(radius, agreeing(n, radius))
     keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key"))
-    return _grouped_rows(dealt(keyed, bucket), "fp").mapInArrow(_linker(radius, "fp"), "u long, v long")
+    return _grouped_rows(dealt(keyed, bucket, n * len(masks)), "fp").mapInArrow(_linker(radius, "fp"), "u long, v long")
 
 
 # --- similar sets -----------------------------------------------------------------------
@@ -332,8 +334,8 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-#: Shingles whose least hashes are taken at once.
-TOGETHER = 1 << 20
+#: Shingles whose least hashes are taken at once; bytes of texts whose groups are compared at once.
+TOGETHER, BYTES = 1 << 18, 1 << 22
 
 
 def _sketches(width: int):
@@ -354,7 +356,7 @@ def _sketches(width: int):
             for doc_id, text, mark in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 rows.append((doc_id, mark, np.unique(shingle_hashes(text.as_py(), width))))
                 size += len(rows[-1][2])
-                if size >= TOGETHER or len(rows) >= 1 << 14:
+                if size >= TOGETHER or len(rows) >= 1 << 12:
                     yield made(rows)
                     rows, size = [], 0
         if rows:
@@ -390,30 +392,37 @@ def verified(number: np.ndarray, sets: list[np.ndarray], nodes: list[int], simil
 
 def _verifier(width: int, similarity: float):
     def run(batches):
-        for table, number in _by_group(batches, 1 << 12, 1 << 24):
-            sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in table["text"]]
-            links = verified(number, sets, table["node"].to_pylist(), similarity)
-            columns = zip(*links, strict=True) if links else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v"])
+        for table, number in _by_group(batches, 1 << 10, BYTES):
+            edges = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(number))
+            filled = np.append(0, np.cumsum(pc.binary_length(table["text"].combine_chunks()).to_numpy()))
+            a = 0
+            while a < len(edges) - 1:  # some whole groups at once
+                b = max(a + 1, int(np.searchsorted(filled[edges], filled[edges[a]] + BYTES, "right")) - 1)
+                own = table.slice(edges[a], edges[b] - edges[a])
+                sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in own["text"]]
+                links = verified(number[edges[a] : edges[b]], sets, own["node"].to_pylist(), similarity)
+                columns = zip(*links, strict=True) if links else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v"])
+                a = b
 
     return run
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, width: int, similarity: float, bucket: int = BUCKET, texts: int = TEXTS) -> DataFrame:
-    """Links u - v that join the components of similar sets; nodes(node, first, least, fp, keys) are distinct sets of docs."""
+def similar_links(docs: DataFrame, nodes: DataFrame, n: int, width: int, similarity: float, bucket: int = BUCKET, texts: int = TEXTS) -> DataFrame:
+    """Links u - v that join the components of similar sets; the n nodes(node, first, least, fp, keys) are distinct sets of docs."""
     keyed = lambda rows, *more: rows.select(*more, F.posexplode("keys").alias("mask", "key"))
-    near_ = _grouped_rows(dealt(keyed(nodes, "node", "fp"), bucket), "node").mapInArrow(_linker(WIDE_RADIUS, "node"), "u long, v long")
-    stars = saved(components(near_))
+    near_ = _grouped_rows(dealt(keyed(nodes, "node", "fp"), bucket, n * BANDS), "node").mapInArrow(_linker(WIDE_RADIUS, "node"), "u long, v long")
+    stars = components(near_, n)
     members = stars.select("node", "root").unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
-    grouped = saved(members.join(nodes, "node").select("node", "root", "first", "least", "keys"))
-    sizes = stars.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") > texts)
-    large = saved(sizes)
+    grouped = saved(members.join(nodes, "node").select("node", "root", "first", "least", "keys"), n)
+    some = grouped.count()
+    large = saved(stars.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") > texts), some)
     alone = grouped.select("node", F.lit(-1).alias("mask"), F.col("root").alias("key"), F.lit(0).alias("tile"))
     if large.isEmpty():
         groups = alone
     else:  # larger components by bands and tiles
-        marked = saved(matched(grouped, large.select("root", "n", F.lit(True).alias("large")), "root", grouped.count(), "left"))
-        split = dealt(saved(keyed(marked.where("large"), "node")), texts).select("node", "mask", "key", "tile")
+        marked = saved(matched(grouped, large.select("root", "n", F.lit(True).alias("large")), "root", some, "left"), some)
+        split = dealt(keyed(marked.where("large"), "node"), texts, some * BANDS).select("node", "mask", "key", "tile")
         groups = alone.join(marked.where("large").select("node"), "node", "left_anti").unionByName(split)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("mark", F.xxhash64("text"))
@@ -426,19 +435,19 @@ def similar_links(docs: DataFrame, nodes: DataFrame, width: int, similarity: flo
 # --- components -----------------------------------------------------------------------
 
 
-def _lowest(pairs: DataFrame) -> DataFrame:
-    return saved(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+def _lowest(pairs: DataFrame, total: int) -> DataFrame:
+    return saved(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), total)
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _lowest(both)
+    low = _lowest(both, 2 * total)
     return matched(both.where("v > u"), low, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = _lowest(down)
+    low = _lowest(down, total)
     moved = matched(down, low, "u", total)
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
@@ -451,12 +460,15 @@ def _done(edges: DataFrame) -> bool:
     return sums.where("down > 1 OR (down > 0 AND up > 0)").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node reachable over edges(u, v), for every node with a link."""
-    edges = saved(edges.where("u <> v").distinct())
+def components(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """node, root: the smallest node reachable over edges(u, v), for every node with a link; a saved table.
+
+    n: about how many edges there are.
+    """
+    edges = saved(edges.where("u <> v").distinct(), n)
     while not _done(edges):
         total = edges.count()
-        edges = saved(_small_star(saved(_large_star(edges, total)), total))
+        edges = saved(_small_star(saved(_large_star(edges, total), total), total), total)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -467,17 +479,18 @@ def _named(rows: DataFrame, nodes: DataFrame, stars: DataFrame, key: str) -> Dat
     """rows(key, ...) with `low`, their component's lowest member: an id before none, then by text hash and key."""
     total = rows.count()
     own = F.col(key).alias("own")
-    rooted = saved(nodes.join(stars, "node", "left").select(own, "first", "least", "rows", F.coalesce("root", "node").alias("root")))
-    lowest = saved(rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "least", "own")).alias("low"), F.count(F.lit(1)).alias("n")))
+    rooted = saved(nodes.join(stars, "node", "left").select(own, "first", "least", "rows", F.coalesce("root", "node").alias("root")), total)
+    lowest = saved(rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "least", "own")).alias("low"), F.count(F.lit(1)).alias("n")), total)
     named = matched(rooted.select("own", "root", "rows"), lowest, "root", total).select("own", "low", F.col("rows").alias("n"))
-    return matched(rows.withColumnRenamed(key, "own"), saved(named), "own", total)
+    return matched(rows.withColumnRenamed(key, "own"), saved(named, total), "own", total)
 
 
 def _near(docs: DataFrame, radius: int, width: int, bucket: int) -> DataFrame:
     """doc_id, mark, own (the fingerprint), low of rows linked by fingerprints."""
     rows = saved(fingerprints(docs, width).withColumnRenamed("fp", "node"))
-    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("mark").alias("least"), F.count(F.lit(1)).alias("rows")))
-    stars = saved(components(near_links(nodes.select(F.col("node").alias("fp")), radius, bucket)))
+    nodes = saved(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("mark").alias("least"), F.count(F.lit(1)).alias("rows")), rows.count())
+    n = nodes.count()
+    stars = components(near_links(nodes.select(F.col("node").alias("fp")), radius, bucket, n), n)
     return _named(rows, nodes, stars, "node")
 
 
@@ -489,8 +502,9 @@ def _similar(docs: DataFrame, width: int, similarity: float, bucket: int, texts:
     shown = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("shown")
     nodes = made.groupBy("sig").agg(shown, F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.count(F.lit(1)).alias("rows"))
     number = F.monotonically_increasing_id().alias("node")  # kept with the rows
-    nodes = saved(nodes.select(number, "sig", F.col("shown.doc_id").alias("first"), F.col("shown.mark").alias("least"), "fp", "keys", "rows"))
-    stars = saved(components(similar_links(docs, nodes, width, similarity, bucket, texts)))
+    nodes = saved(nodes.select(number, "sig", F.col("shown.doc_id").alias("first"), F.col("shown.mark").alias("least"), "fp", "keys", "rows"), rows.count())
+    n = nodes.count()
+    stars = components(similar_links(docs, nodes, n, width, similarity, bucket, texts), n)
     return _named(rows, nodes, stars, "sig")
 
 
