@@ -146,8 +146,9 @@ def failures(spark: SparkSession, d: str) -> DataFrame:
 
 def environment(spark: SparkSession, d: str) -> DataFrame:
     """The providers, the engine's version and a setting, by name."""
-    row = O.provider_filter(S.providers(spark), "ep_name", "spark", required=True).join(S.runtime(spark))
-    return row.select("ep_name", (F.col("slots") > 0).alias("has_slots"), F.rlike("engine_version", F.lit(r"^\d+\.\d+")).alias("has_version"), F.lit(S.setting(spark, "quillon.no.such", "none")).alias("setting"))
+    row = O.provider_filter(S.providers(spark), "ep_name", "spark", required=True)
+    version = F.lit(S.runtime(spark).first()["engine_version"])
+    return row.select("ep_name", (F.col("slots") > 0).alias("has_slots"), F.rlike(version, F.lit(r"^\d+\.\d+")).alias("has_version"), F.lit(S.setting(spark, "quillon.no.such", "none")).alias("setting"))
 
 
 def blob_scan(spark: SparkSession, d: str) -> DataFrame:
