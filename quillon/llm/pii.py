@@ -43,7 +43,7 @@ import secrets
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bitmap, let, saved, small, with_maybe
+from quillon.llm.common import BROADCAST_ROWS, bitmap, let, saved, with_maybe
 
 KEY_SETTING = "spark.quillon.surrogate.key"
 #: Attempts after which a surrogate grows.
@@ -305,14 +305,18 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
     told = F.collect_set(F.when(F.col("gender") != "", F.col("gender")))
     entities = entities.groupBy("kind", "canon").agg(F.when(F.size(told) == 1, F.get(told, F.lit(0))).otherwise("").alias("gender"), (F.count(F.lit(1)) > 1).alias("mixed"))
 
-    def made(rows: DataFrame, attempt: int) -> DataFrame:
-        at = F.lit(attempt)
-        rows = rows.withColumn("stream", _stream(key, F.col("kind"), F.col("canon"), at))
-        return saved(rows.select("kind", "canon", "gender", "mixed", surrogate(F.col("kind"), F.col("canon"), F.col("stream"), at, F.col("gender")).alias("made")))
+    # these are built once, and the attempt is a column, so that all rounds share their compiled code
+    stream = _stream(key, F.col("kind"), F.col("canon"), F.col("attempt"))
+    drawn = surrogate(F.col("kind"), F.col("canon"), F.col("stream"), F.col("attempt"), F.col("gender")).alias("made")
 
-    def split(rows: DataFrame, others: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Those that keep their surrogate, and those whose is another's, or a real one, and who move on."""
-        own = small(rows.select("kind", "made"))
+    def made(rows: DataFrame, n: int | None = None) -> DataFrame:
+        rows = rows.withColumn("attempt", F.col("attempt") + 1).withColumn("stream", stream)
+        return saved(rows.select("kind", "canon", "gender", "mixed", "attempt", drawn), n)
+
+    def split(rows: DataFrame, n: int, others: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Of n rows, those that keep their surrogate, and those whose is another's, or a real one, and who move on."""
+        own = rows.select("kind", "made")
+        own = F.broadcast(own) if n <= BROADCAST_ROWS else own
         taken = [others.select("kind", F.col("canon").alias("made")).join(own, ["kind", "made"], "left_semi")]
         if seen is not None:
             taken.append(seen.select("kind", "made").join(own, ["kind", "made"], "left_semi"))
@@ -321,18 +325,19 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
             shared = shared.unionByName(t.withColumn("stays", F.lit(None).cast("string")))
         bad = shared.groupBy("kind", "made").agg(F.max("stays").alias("stays"), F.max(F.col("stays").isNull()).alias("all"))
         moves = F.coalesce(F.col("all") | (F.col("canon") != F.col("stays")), F.lit(False)).alias("moves")
-        judged = saved(rows.join(bad, ["kind", "made"], "left").select(*rows.columns, moves), rows.count())
+        judged = saved(rows.join(bad, ["kind", "made"], "left").select(*rows.columns, moves), n)
         return judged.where("NOT moves").drop("moves"), judged.where("moves").drop("moves")
 
-    every = made(entities, 0)
-    settled, moving = split(every, every, None)
-    out, attempt = settled.where("mixed").select("kind", "canon", "gender", F.lit(0).alias("attempt")), 0
-    while not moving.isEmpty():  # only these are looked at again; the others stay
-        attempt += 1
-        stays, moving = split(made(moving, attempt), every, settled)
-        out = out.unionByName(stays.select("kind", "canon", "gender", F.lit(attempt).alias("attempt")))
-        settled = saved(settled.unionByName(stays)) if attempt % 8 == 0 else settled.unionByName(stays)
-    return out
+    every = made(entities.withColumn("attempt", F.lit(-1)))
+    settled, moving = split(every, every.count(), every, None)
+    later, rounds = settled.where("mixed"), 0
+    placed = None  # those that moved and now stay; the others are not written again
+    while n := moving.count():  # only these are looked at again; the others stay
+        rounds += 1
+        stays, moving = split(made(moving, n), n, every, settled if placed is None else settled.unionByName(placed))
+        placed = stays if placed is None else placed.unionByName(stays)
+        placed = saved(placed) if rounds % 8 == 0 else placed
+    return (later if placed is None else later.unionByName(placed)).select("kind", "canon", "gender", "attempt")
 
 
 def replace(docs: DataFrame, key: str | None = None, bits: int | None = None) -> DataFrame:
