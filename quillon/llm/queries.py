@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import exact_dedup, html_text, langid, media, mixing, packing, pii, secret_scan, simhash, suffix_dedup
+from quillon.llm import exact_dedup, fill_in_middle, html_text, langid, media, mixing, packing, pii, secret_scan, simhash, suffix_dedup, url_filter, vector_codes
 from quillon.llm.common import documents, remove, shared_folder
 
 
@@ -54,9 +55,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return vector_codes.with_label_errors(codes).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(documents(spark, sf_dir))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_exact_dedup, op3_pii_surrogates, op4_secret_scans, op5_media_columns, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_source_mixing, op9_html_extraction, op10_language_id)
+    for f in (op1_best_fit_packing, op2_exact_dedup, op3_pii_surrogates, op4_secret_scans, op5_media_columns, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_source_mixing, op9_html_extraction, op10_language_id, op11_url_filters, op12_vector_codes, op13_fill_in_middle)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -90,6 +107,27 @@ def _secrets_sql() -> str:
                sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts t LEFT JOIN sums USING (doc_id)"""
 
 
+def _codes_sql() -> str:
+    """Each round's assignment and codebook as tables of their own; squared distances are whole numbers below 2^53, so doubles are exact."""
+    nearest = lambda book: f"""SELECT vec_id, label, p, min(struct_pack(d := CAST(xx - 2 * list_inner_product(x, y) + yy AS BIGINT), e := e)) AS b
+        FROM parts JOIN {book} USING (p) GROUP BY ALL"""
+    size = "list_inner_product"
+    tables = [f"""whole AS (SELECT vec_id, label, list_transform(embedding, lambda v: floor(1024 * CAST(v AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0)""",
+        f"""parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x, {size}(x, x) AS xx FROM whole, range(4) AS t(p))""",
+        f"""book0 AS MATERIALIZED (SELECT p, e, y, {size}(y, y) AS yy FROM (SELECT p, x AS y, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 256)"""]
+    for k in range(vector_codes.ROUNDS):
+        tables.append(f"near{k} AS MATERIALIZED ({nearest(f'book{k}')})")
+        tables.append(f"""means{k} AS (SELECT p, e, list(m ORDER BY i) AS y FROM (SELECT p, b.e AS e, i, floor(sum(x[i]) / count(*)) AS m FROM near{k} JOIN parts USING (vec_id, p), unnest(range(1, len(x) + 1)) AS u(i) GROUP BY ALL) GROUP BY ALL)""")
+        tables.append(f"book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.y, o.y) AS y, {size}(coalesce(m.y, o.y), coalesce(m.y, o.y)) AS yy FROM book{k} o LEFT JOIN means{k} m USING (p, e))")
+    last = f"book{vector_codes.ROUNDS}"
+    return f"""WITH {", ".join(tables)}, final AS ({nearest(last)}),
+        codes AS (SELECT vec_id, label, string_agg(printf('%02x', b.e), '' ORDER BY p) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM final GROUP BY vec_id, label)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(list_transform(y, lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) FROM {last}) AS codebooks_sha256
+        FROM codes"""
+
+
 ORACLES = {
     "op2_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -135,4 +173,17 @@ ORACLES = {
                     WHEN 0 THEN CASE WHEN x > 0 THEN 2 * x / (1.5::DOUBLE + sqrt(2.25::DOUBLE - 2 * x)) ELSE 0 END
                     ELSE CASE WHEN x > 0 THEN 2 * x / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * x)) ELSE 0 END END END AS position
         FROM shares""",
+    "op12_vector_codes": _codes_sql(),
+    "op13_fill_in_middle": r"""
+        WITH drawn AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+        cut AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS lines, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || h[i:i + 7] AS BIGINT)) AS d FROM drawn),
+        ranked AS (
+            SELECT *, CAST(len(lines) AS BIGINT) AS n, least(d[1] % (len(lines) + 1), d[2] % (len(lines) + 1)) AS a, greatest(d[1] % (len(lines) + 1), d[2] % (len(lines) + 1)) AS b,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d[3] % 100 >= 100 THEN 'plain' WHEN d[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM cut),
+        pieces AS (SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle, array_to_string(lines[b + 1:], '') AS suffix FROM ranked)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM pieces""",
 }
