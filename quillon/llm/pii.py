@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 import secrets
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,8 @@ from quillon.llm.common import BROADCAST_ROWS, bitmap, let, saved, with_maybe
 KEY_SETTING = "spark.quillon.surrogate.key"
 #: Attempts after which a surrogate grows.
 GROW = 8
+#: First letters by which the words to look for in a document are branched.
+BRANCHES = 3
 
 # Titles by gender (m, f, or none told); patterns in order of precedence.
 TITLES = {
@@ -64,20 +67,24 @@ _TITLE = "|".join(t for own in TITLES.values() for t in own)
 _TITLED = rf"(?:(?:{_TITLE})\.? )"
 _INITIAL = r"\p{Lu}\."
 _PARTICLE = r"(?:v[ao]n(?: de[rnm]?)?|de(?: la| los| las)?|del|della|di|da|dos|du|bin|ibn|al)"
-_WORD = rf"(?!(?:{_TITLE})(?!\p{{L}}))(?:\p{{Ll}}{{1,2}}['’])?\p{{Lu}}[\p{{L}}\p{{M}}]+(?:['’]\p{{Lu}}[\p{{L}}\p{{M}}]*)*|\p{{Lu}}(?:['’]\p{{Lu}}[\p{{L}}\p{{M}}]*)+"
+# Loops over groups are possessive: others take a frame of the stack for each turn. Where giving back would matter, a turn looks ahead.
+_WORD = rf"(?!(?:{_TITLE})(?!\p{{L}}))(?:\p{{Ll}}{{1,2}}['’])?\p{{Lu}}[\p{{L}}\p{{M}}]+(?:['’]\p{{Lu}}[\p{{L}}\p{{M}}]*+)*+|\p{{Lu}}(?:['’]\p{{Lu}}[\p{{L}}\p{{M}}]*+)++"
 #: Particles and initials stand before a word, so a name ends with one.
-_NAME_WORD = rf"(?:{_PARTICLE} |{_INITIAL}[ -]?)*(?:{_WORD})"
-_NAME = rf"{_NAME_WORD}(?:[ -]{_NAME_WORD})*"
+_NAME_WORD = rf"(?:{_PARTICLE} |{_INITIAL}[ -]?)*+(?:{_WORD})"
+_NAME = rf"{_NAME_WORD}(?:[ -]{_NAME_WORD})*+"
+_LABEL = r"[\p{L}\p{N}-]{1,63}\."
+#: A domain of any length where each label leads on to one more, or else one of up to 126 labels, tried from the longest down.
+_DOMAIN = rf"(?:(?:{_LABEL}(?=\p{{L}}{{2}}|{_LABEL}))++\p{{L}}{{2,24}}|(?:{_LABEL}){{1,126}}\p{{L}}{{2,24}})"
 _H = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,255}+@(?:[\p{L}\p{N}-]{1,63}\.)+\p{L}{2,24}",
+    "email": rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}._%+-]{{0,255}}+@{_DOMAIN}",
     "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}}|(?:{_H}:){{2,7}}:|::(?:{_H}:){{1,6}}{_H})(?![\p{{L}}\p{{N}}:]|\.\d)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\dA-Za-z-])\d{3}-\d{2}-\d{4}(?![\dA-Za-z-])",
     "card": r"(?<![\dA-Za-z])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|\d{4}[ -]?\d{6}[ -]?\d{4,5})(?![\dA-Za-z])",
     "phone": r"(?<![\dA-Za-z])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|(?<=\+\d{1,3}[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){2,3})(?![\dA-Za-z])",
-    "name": rf"(?<!\p{{L}}){_TITLED}+{_NAME}",
+    "name": rf"(?<!\p{{L}}){_TITLED}++{_NAME}",
 }
 #: A country's code before a phone number, told apart by what follows it.
 _CODE = r"^\+\d{1,3}(?=[ .(-])"
@@ -128,14 +135,15 @@ def type_of(entity: Column) -> Column:
 
 
 def _title(entity: Column) -> Column:
-    return F.regexp_extract(entity, rf"^{_TITLED}*", 0)
+    return F.regexp_extract(entity, rf"^{_TITLED}*+", 0)
 
 
 def _gender(entity: Column) -> Column:
     """What the titles of a name tell: m, f or nothing."""
     out = F.lit("")
     for g in ("f", "m"):
-        out = F.when(F.rlike(entity, F.lit(rf"^{_TITLED}*(?:{'|'.join(TITLES[g])})\.? ")), F.lit(g)).otherwise(out)
+        own = rf"(?:{'|'.join(TITLES[g])})\.? "
+        out = F.when(F.rlike(entity, F.lit(rf"^(?:(?!{own}){_TITLED})*+{own}")), F.lit(g)).otherwise(out)
     return out
 
 
@@ -205,11 +213,12 @@ def _scrambled(text: Column, stream: Column, fixed: Column | None = None, digits
         return F.substring(F.lit(ALPHABETS[name]), b % len(ALPHABETS[name]) + 1, F.lit(1))
 
     def one(c: Column, i: Column, own: Column) -> Column:
-        b = F.conv(F.substring(own, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+        b = F.conv(F.get(own["digits"], i), 16, 10).cast("int")
         new = F.when(F.rlike(c, F.lit("^[0-9]$" if digits == "digits" else "^[0-9a-f]$")), drawn(b, digits)).when(F.rlike(c, F.lit(r"^\p{IsCyrillic}$")), drawn(b, "cyrillic")).when(F.rlike(c, F.lit(r"^\p{L}$")), drawn(b, "latin")).otherwise(c)
-        return new if fixed is None else F.when(i >= fixed, c).otherwise(new)
+        return new if fixed is None else F.when(i >= own["fixed"], c).otherwise(new)
 
-    return let(_long(stream, F.length(text)), lambda own: F.array_join(F.transform(F.split(text, "", -1), lambda c, i: one(c, i, own)), ""))
+    drawn_from = F.struct(F.regexp_extract_all(_long(stream, F.length(text)), F.lit(".."), F.lit(0)).alias("digits"), (F.lit(0) if fixed is None else fixed).alias("fixed"))
+    return let(drawn_from, lambda own: F.array_join(F.transform(F.split(text, "", -1), lambda c, i: one(c, i, own)), ""))
 
 
 def _with_check_digit(digits: Column) -> Column:
@@ -284,8 +293,8 @@ def formatted(entity: Column, kind: Column, made: Column) -> Column:
     code = F.regexp_extract(entity, _CODE, 0)
     phone = F.concat(code, filled(F.substring(entity, F.length(code) + 1, F.length(entity)), "^[0-9]$"))
     more = F.length(made) - F.length(entity)
-    at = lambda i: F.substring(made, (i + 1 + more).cast("int"), F.lit(1))
-    cased = F.concat(F.substring(made, F.lit(1), more), F.array_join(F.transform(F.split(entity, "", -1), lambda c, i: F.when(c != F.lower(c), F.upper(at(i))).otherwise(at(i))), ""))
+    like = lambda c, x: F.when(c != F.lower(c), F.upper(x)).otherwise(x)
+    cased = F.concat(F.substring(made, F.lit(1), more), let(F.struct(F.split(made, "", -1).alias("made"), more.alias("more")), lambda own: F.array_join(F.transform(F.split(entity, "", -1), lambda c, i: like(c, F.get(own["made"], i + own["more"]))), "")))
     return (
         F.when(kind == "", entity)
         .when(kind == "email", cased)
@@ -297,6 +306,22 @@ def formatted(entity: Column, kind: Column, made: Column) -> Column:
     )
 
 
+def _any_of(words: Column) -> Column:
+    """A pattern of distinct words of letters. Those that begin alike share branches for their first letters, so that few are tried at one place; longer ones go first."""
+
+    def joined(own: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(own, i - 1))
+            shared = reduce(lambda a, b: a + b, [F.coalesce((F.substring(before, 1, n) == F.substring(w, 1, n)).cast("int"), F.lit(0)) for n in range(1, BRANCHES + 1)])
+            opened = [F.when(shared < n, F.concat(F.substring(w, n, 1), F.lit("(?:"))).otherwise("") for n in range(1, BRANCHES + 1)]
+            closed = F.when(i > 0, F.concat(F.repeat(F.lit(")"), BRANCHES - shared), F.lit("|"))).otherwise("")
+            return F.concat(closed, *opened, F.substring(w, F.lit(BRANCHES + 1), F.length(w)))
+
+        return F.concat(F.array_join(F.transform(own, one), ""), F.lit(")" * BRANCHES))
+
+    return let(F.reverse(F.array_sort(words)), joined)
+
+
 def attempts(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, gender, attempt of distinct entities(kind, canon, gender) whose first surrogate clashes.
 
@@ -352,8 +377,8 @@ def replace(docs: DataFrame, key: str | None = None, bits: int | None = None) ->
     rows = rows.withColumn("first", F.coalesce(F.when(hint, F.regexp_extract_all("t", F.lit(ANY), F.lit(0))), none))
     named = F.flatten(F.transform(F.filter("first", lambda e: type_of(e) == "name"), _tokens))
     rows = rows.withColumn("words", F.array_distinct(F.filter(named, _is_word)))
-    words = F.concat(F.lit("(?:"), F.array_join("words", "|"), F.lit(")"))
-    again = F.concat(F.lit(rf"{ANY}|(?<!\p{{L}})"), words, F.lit("(?:[ -]"), words, F.lit(r")*(?!\p{L})"))
+    word = F.concat(F.lit(r"(?:"), _any_of(F.col("words")), F.lit(r")(?!\p{L})"))
+    again = F.concat(F.lit(rf"{ANY}|(?<!\p{{L}})"), word, F.lit("(?:[ -]"), word, F.lit(")*+"))
     rows = rows.withColumn("pattern", F.when(F.size("words") > 0, again).otherwise(F.lit(ANY)))
     rows = rows.withColumn("found", F.when(F.size("words") > 0, F.regexp_extract_all("t", "pattern", F.lit(0))).otherwise(F.col("first"))).drop("first", "words")
     rows = rows.withColumn("found", F.transform("found", lambda e: F.struct(e.alias("entity"), type_of(e).alias("kind"))))

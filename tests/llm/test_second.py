@@ -110,6 +110,62 @@ def test_whole_names(spark):
     assert out[4] == f"Dr {m[1]} {m[2]} alone" and out[5] == texts[5]
 
 
+HUGE = 100_000
+
+
+def letters(n, k=4):
+    """Different small-letter words of k letters."""
+    return "".join(chr(97 + n // 26**j % 26) for j in range(k))
+
+
+LONG = {
+    "words": "Mr " + "Smith " * HUGE,
+    "particles": "Mr " + "van der Berg-" * (HUGE // 2) + "Berg",
+    "initials": "Mr " + "J. " * HUGE + "Smith",
+    "titles": "Mr Dr " * (HUGE // 2) + "Smith",
+    "apostrophes": "Ms " + "O'" * HUGE + "Neil",
+    "labels": "x@" + "a." * HUGE + "com",
+    "no top": "x@" + "a." * HUGE,
+    "again": "Mr Smith Smithson " + "Smith " * HUGE + "Smithsonian",
+    "different": " ".join(f"Mr {letters(i).title()} x" for i in range(HUGE // 10)),
+    "dots": "a." * HUGE + "@",
+    "colons": "1:" * HUGE + " 1.2." * HUGE,
+    "numbers": "12-34-" * HUGE,
+}
+
+
+def test_no_text_ends_the_engine(spark):
+    """Loops over groups keep no frame for each turn, and time follows the length of the text."""
+    names = sorted(LONG)
+    df = spark.createDataFrame(enumerate(LONG[k] for k in names), "doc_id long, text string").repartition(len(names), "doc_id")
+    began = time.perf_counter()
+    got = {names[r.doc_id]: r for r in pii.replace(df, key="k").collect()}
+    assert time.perf_counter() - began < 240 and len(got) == len(LONG)
+    for name in ("words", "particles", "again", "titles", "apostrophes", "initials"):
+        assert not re.search(r"\b(Smith|Berg|Neil|Smithson)\b", got[name].text) and got[name].n_name >= 1
+    different = got["different"]
+    assert different.n_name == HUGE // 10 and not set(re.findall(r"Mr (\w+)", different.text)) & set(re.findall(r"Mr (\w+)", LONG["different"]))
+    assert got["labels"].n_email == 1 and got["labels"].text.endswith(".com") and not got["labels"].text.startswith("x@a.a.a.a.a.a.a.a.")
+
+
+def test_domains_end_as_before(spark):
+    """The longest domain whose last label has two letters, as by trying all lengths."""
+    rng = random.Random(2)
+    tails = [".".join(rng.choice(["a", "com", "x1", "10", "org", "b-c", "d", "-", ""]) for _ in range(rng.randrange(1, 7))) + rng.choice(["", ".", " ", ","]) for _ in range(600)]
+    df = spark.createDataFrame([(i, "u@" + t) for i, t in enumerate(tails)], "i long, t string")
+    whole = re.compile(r"u@(?:[^\W_][\w-]{0,62}\.|-[\w-]{0,62}\.)+[a-z]{2,24}")
+    for r in df.select("i", "t", F.regexp_extract("t", pii.PATTERNS["email"], 0).alias("found")).collect():
+        want = whole.match(r.t)
+        assert r.found == (want[0] if want else ""), r.t
+
+
+def test_words_as_branches(spark):
+    words = ["Al", "Al'Amin", "Alan", "Alana", "Bo", "Berg", "Bergen", "Ёлкин", "Ёлка", "Z"]
+    df = spark.createDataFrame([(words, "Al'Amin Alan Alana Bergen Ёлкин Ёлка Bo Zed Z Al")], "w array<string>, t string")
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), pii._any_of(F.col("w")), F.lit(r")(?!\p{L})"))
+    assert df.select(F.regexp_extract_all("t", pattern, F.lit(0))).first()[0] == "Al'Amin Alan Alana Bergen Ёлкин Ёлка Bo Z Al".split()
+
+
 def luhn(digits):
     return sum(sum(divmod(int(d) * (2 if i % 2 else 1), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
