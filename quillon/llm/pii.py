@@ -44,7 +44,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import BROADCAST_ROWS, bitmap, let, saved, with_maybe
+from quillon.llm.common import BROADCAST_ROWS, bitmap, let, matched, saved, with_maybe
 
 KEY_SETTING = "spark.quillon.surrogate.key"
 #: Attempts after which a surrogate grows.
@@ -383,13 +383,15 @@ def replace(docs: DataFrame, key: str | None = None, bits: int | None = None) ->
     rows = rows.withColumn("found", F.when(F.size("words") > 0, F.regexp_extract_all("t", "pattern", F.lit(0))).otherwise(F.col("first"))).drop("first", "words")
     rows = rows.withColumn("found", F.transform("found", lambda e: F.struct(e.alias("entity"), type_of(e).alias("kind"))))
     mentions = rows.select("doc_id", F.xxhash64("t").alias("mark"), F.explode(F.flatten(F.transform("found", lambda e: keys(e["entity"], e["kind"])))).alias("e")).select("doc_id", "mark", "e.*")
-    later = saved(attempts(mentions.select("kind", "canon", "gender").distinct(), key))
+    counts = saved(mentions.groupBy("kind", "canon", "gender").agg(F.count(F.lit(1)).alias("n")))
+    later = saved(attempts(counts.select("kind", "canon", "gender"), key))
 
     no_later = F.lit(None).cast("map<string,struct<attempt:int,gender:string>>")
     if later.isEmpty():
         ready = rows.withColumn("later", no_later)
     else:
-        held = mentions.drop("gender").distinct().join(later, ["kind", "canon"])
+        known = saved(later.join(counts.groupBy("kind", "canon").agg(F.sum("n").alias("n")), ["kind", "canon"]))
+        held = matched(saved(mentions.drop("gender").distinct()), known, ["kind", "canon"], counts.agg(F.sum("n")).first()[0])
         entry = F.struct(F.concat_ws(":", "kind", "canon").alias("k"), F.struct("attempt", "gender").alias("v"))
         held = saved(held.groupBy("doc_id", "mark").agg(F.map_from_entries(F.collect_set(entry)).alias("later")))
         rows = rows.withColumn("mark", F.xxhash64("t"))
