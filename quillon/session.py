@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import tempfile
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 
@@ -30,6 +31,15 @@ def start(app: str = "quillon", master: str | None = None, options: Mapping[str,
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only a local master may go without: it gets a temporary one."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set; the driver and executors need a shared folder")
+    return tempfile.mkdtemp(prefix="quillon-")
+
+
 class Registry:
     """Functions registered by name for one session; only what was registered is removed."""
 
