@@ -18,6 +18,9 @@ that would make its padding more than PADDING times its text, and WIDE a line, d
 A cell is at most GAP blanks away from the one before it. Row spans are carried down over
 the first SPANNED columns.
 
+`visibility` is inherited, and shows again where something inside sets it so; a dialog shows
+if it is open; after <plaintext> the rest of the page is text.
+
 Defined results: a null page gives null text, a page without visible text an empty one;
 markup that is broken off is read as far as it goes; a quote that is never closed ends with
 its tag; a page of any length is read whole, in one pass; repeated rows repeat; an empty
@@ -42,9 +45,9 @@ UNSEEN = set("head script style template noscript title iframe noembed noframes
 UNSEEN_IN_SVG = set("defs symbol clippath mask marker pattern metadata desc lineargradient radialgradient filter".split())
 UNSEEN_IN_MATH = set("annotation annotation-xml mphantom".split())
 DRAWN, FOLD = {"text", "foreignobject"}, {"summary"}
-BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup html legend li main menu nav ol option p pre section summary table ul h1 h2 h3 h4 h5 h6 caption xmp".split())
-SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote pre table dl figure xmp".split())
-ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre section summary table ul xmp".split())
+BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup html legend li main menu nav ol option p pre section summary table ul h1 h2 h3 h4 h5 h6 caption xmp plaintext".split())
+SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote pre table dl figure xmp plaintext".split())
+ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre section summary table ul xmp plaintext".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 IN_HEAD = set("base link meta title style script template noscript".split())
 SECTIONS = set("thead tbody tfoot".split())
@@ -76,7 +79,9 @@ TAG = re.compile(
 )
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)\b", re.I)
+HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|content-visibility\s*:\s*hidden)\b", re.I)
+#: Unlike those, this is inherited by what is inside, which may set it otherwise.
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)\b", re.I)
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -207,15 +212,19 @@ class Renderer:
         self.tables: list[Table] = []
         self.lists: list[list] = []
         self.unseen = self.pre = self.math = self.deep = 0
+        self.visible = True
         self.folded: list[tuple[int, set[str]]] = []  # depth of what is hidden, and what shows in it
 
     def opened(self, name: str, attrs: dict[str, str]) -> dict:
         """State that closed() needs."""
         state = {"name": name}
         inside = self.folded[-1][1] if self.folded else ()
+        if told := VISIBILITY.findall(attrs.get("style", "")):
+            state["visible"] = self.visible
+            self.visible = told[-1].lower() in ("visible", "initial")
         if name == "math":
             self.math += 1
-        if name in UNSEEN or (inside is DRAWN and name in UNSEEN_IN_SVG) or (self.math and name in UNSEEN_IN_MATH) or "hidden" in attrs or HIDING.search(attrs.get("style", "")):
+        if name in UNSEEN or (inside is DRAWN and name in UNSEEN_IN_SVG) or (self.math and name in UNSEEN_IN_MATH) or "hidden" in attrs or (name == "dialog" and "open" not in attrs) or HIDING.search(attrs.get("style", "")):
             self.unseen += 1
             state["unseen"] = True
         elif name == "details" and "open" not in attrs:  # folded: only its summary shows
@@ -278,7 +287,7 @@ class Renderer:
             elif name in ("blockquote", "dd"):
                 flow.indents.append("  ")
                 state["indent"] = flow
-            elif name in ("pre", "xmp"):
+            elif name in ("pre", "xmp", "plaintext"):
                 self.pre += 1
                 state["pre"] = True
         return state
@@ -286,6 +295,7 @@ class Renderer:
     def closed(self, state: dict) -> None:
         name = state["name"]
         self.math -= name == "math"
+        self.visible = state.get("visible", self.visible)
         if "unseen" in state:
             self.unseen -= 1
             if "folded" in state:
@@ -332,7 +342,7 @@ class Renderer:
             self.unseen += 1
 
     def text(self, s: str) -> None:
-        if not self.unseen:
+        if not self.unseen and self.visible:
             (self.flows[-1].verbatim if self.pre else self.flows[-1].text)(s)
 
 
@@ -342,42 +352,42 @@ class Builder:
     def __init__(self):
         self.show = Renderer()
         self.open: list[tuple[str, dict]] = []
-        self.count: dict[str, int] = {}
+        self.at: dict[str, list[int]] = {}  # the depths of the open elements of each name
         self.body = False
 
     def push(self, name: str, attrs: dict[str, str]) -> None:
+        self.at.setdefault(name, []).append(len(self.open))
         self.open.append((name, self.show.opened(name, attrs)))
-        self.count[name] = self.count.get(name, 0) + 1
 
     def pop(self) -> None:
         name, state = self.open.pop()
-        self.count[name] -= 1
+        self.at[name].pop()
         self.show.closed(state)
 
     def end_open(self, names: set[str], stop: set[str]) -> bool:
         """Close up to the innermost of `names`, if it is above every one of `stop`."""
-        if not any(self.count.get(n) for n in names):
+        k = self.innermost(names)
+        if k < 0 or k < self.innermost(stop):
             return False
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in names:
-                while len(self.open) > k:
-                    self.pop()
-                return True
-            if self.open[k][0] in stop:
-                return False
-        return False
+        while len(self.open) > k:
+            self.pop()
+        return True
+
+    def innermost(self, names: set[str]) -> int:
+        """The depth of the innermost open element of these names, -1 without one; it takes no walk up the stack."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
 
     def start(self, name: str, raw: str) -> None:
         attrs = attributes(raw) if raw and not raw.isspace() else {}
         if name in ("html", "head", "body"):
-            if name == "body" and self.count.get("head"):
+            if name == "body" and self.at.get("head"):
                 self.end_open({"head"}, set())
-            if not self.count.get(name) and not self.body:
+            if not self.at.get(name) and not self.body:
                 self.push(name, attrs)
             self.body |= name == "body"
             return
-        if self.count.get("head") and name not in IN_HEAD:  # the head ends without being told
-            if not self.count.get("template"):
+        if self.at.get("head") and name not in IN_HEAD:  # the head ends without being told
+            if not self.at.get("template"):
                 self.end_open({"head"}, set())
         if name in ENDS:
             self.end_open(*ENDS[name])
@@ -386,14 +396,14 @@ class Builder:
         if name in HEADINGS and self.open and self.open[-1][0] in HEADINGS:
             self.pop()
         if name in ("td", "th", "tr", "caption") or name in SECTIONS:
-            if not self.count.get("table"):
+            if not self.at.get("table"):
                 return  # parts of a table outside of one are passed over
             self.end_to_table(name)
             if name in ("td", "th") and not self.inside("tr"):
                 self.start("tr", "")
             if name == "tr" and not any(self.inside(s) for s in SECTIONS):
                 self.push("tbody", {})
-        if name == "a" and self.count.get("a"):
+        if name == "a" and self.at.get("a"):
             self.end_open({"a"}, SCOPE)
         self.push(name, attrs)
         if name in VOID:
@@ -407,19 +417,15 @@ class Builder:
 
     def inside(self, name: str) -> bool:
         """Whether the innermost part of the present table is of that name, or within it."""
-        for own, _ in reversed(self.open):
-            if own == name:
-                return True
-            if own == "table":
-                return False
-        return False
+        k = self.innermost({name})
+        return k >= 0 and k >= self.innermost({"table"})
 
     def end(self, name: str) -> None:
         if name in ("html", "body") or name in VOID - {"br"}:
             return
         if name == "br":
             self.start("br", "")
-        elif name == "p" and not self.count.get("p"):
+        elif name == "p" and not self.at.get("p"):
             self.start("p", "")
             self.end("p")
         elif name in HEADINGS:
@@ -428,17 +434,13 @@ class Builder:
             self.end_open({name}, SCOPE - {name} if name not in ("table", "tr") and name not in SECTIONS else {"table", "template"} - {name})
 
     def text(self, s: str) -> None:
-        if self.count.get("head") and not self.show_in_head() and not s.isspace():
+        if self.at.get("head") and not self.show_in_head() and not s.isspace():
             self.end_open({"head"}, set())
         self.show.text(s)
 
     def foreign(self) -> bool:
         """Whether the innermost open element is of a drawing or formula, where tags may close themselves."""
-        if self.count.get("svg") or self.count.get("math"):
-            for own, _ in reversed(self.open):
-                if own in ("svg", "math", "foreignobject"):
-                    return own != "foreignobject"
-        return False
+        return self.innermost({"svg", "math"}) > self.innermost({"foreignobject"})
 
     def show_in_head(self) -> bool:
         return self.open[-1][0] != "head"
@@ -472,6 +474,9 @@ class Builder:
                 self.end(name)
                 continue
             self.start(name, m["attrs"])
+            if name == "plaintext":  # nothing ends it
+                self.show.text(page[at:])
+                break
             if m["attrs"].endswith("/") and self.foreign():
                 if self.open[-1][0] == name:
                     self.pop()

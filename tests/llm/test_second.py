@@ -592,6 +592,35 @@ def test_output_follows_the_page(name):
     assert sizes[1] < 5 * sizes[0] + 1000 and took[1] < 12 * took[0] + 0.5
 
 
+STACKS = {"end tags in a cell": ("<i><table><tr><td>", "<b>", "</i>"), "drawings": ("<svg>", "<g>", "<g/>"), "cells": ("<table><tr><td>", "<b>", "<td>"), "paragraphs": ("<p>", "<button>", "<p>"), "links": ("<a>", "<object>", "<a>")}
+
+
+@pytest.mark.parametrize("name", STACKS)
+def test_questions_to_the_stack_take_constant_time(name):
+    """A megabyte of elements that never close, asked about by as many tags: four times the page takes about four times as long."""
+    head, opened, asked = STACKS[name]
+    took = []
+    for size in (250_000, 1_000_000):
+        n = size // len(opened + asked)
+        began = time.perf_counter()
+        html_text.visible_text(head + opened * n + asked * n + "x")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 9 * took[0] + 0.5 and took[1] < 12
+
+
+HIDDEN = [
+    ('<div style="visibility:hidden">h<b style="visibility:visible">shown</b>i</div>z', "shown\nz"), ('<p style="visibility: collapse">a<p>b', "b"), ('<div style="visibility:hidden"><div style="display:none;visibility:visible">x</div>y</div>', ""),
+    ('<ul style="visibility:hidden"><li>a<li style="visibility:visible">b</ul>', "- b"), ("<dialog>closed</dialog>a<dialog open>b</dialog>", "a\nb"), ("a<plaintext><b>&amp;</plaintext>\n  c", "a\n\n<b>&amp;</plaintext>\n  c"),
+    ('<table><tr><td style="visibility:hidden">a<td>b</table>c', None),
+]
+
+
+@pytest.mark.parametrize("page,want", HIDDEN)
+def test_visibility(page, want):
+    got = html_text.visible_text(page)
+    assert got == want if want is not None else ("a" not in got and "b" in got and got.endswith("c"))
+
+
 def test_extreme_pages():
     assert html_text.visible_text("<div>" * 50000 + "x") == "x"
     assert html_text.visible_text("<a b='" * 20000).strip() == ""
