@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon import sources as S
-from quillon.operators import temporal
+from quillon.functions import tables
+from quillon.operators import grouping, temporal
+from quillon.plans import queries as core
 from quillon.session import shared_folder
+from quillon.sources import blobs
 from quillon.streaming import state
 
 
@@ -62,7 +65,55 @@ def x_expiring_totals(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, d, state.expiring_totals, IDLE_S)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (x_asof_join, x_asof_purchase, x_interval_join, x_sessions, x_expiring_totals)}
+def x_vector_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors written as blobs and read by the registered source; those beyond the first hundred ids."""
+    folder = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    blobs.write(S.vectors(spark, d), folder, 200)
+    return blobs.read(spark, folder).where("vec_id >= 100").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+
+
+def x_change_points(spark: SparkSession, d: str) -> DataFrame:
+    """Where a user's value is more than 150 away from the one before, by a table function."""
+    tables.register(spark)
+    view = f"events_{uuid.uuid4().hex}"
+    S.table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "value").createOrReplaceTempView(view)
+    out = spark.sql(f"SELECT * FROM {tables.CHANGE_POINTS}(TABLE({view}), 'user_id', 'at', 'value', 150.0D)")
+    spark.catalog.dropTempView(view)
+    return out.select("user_id", F.col("at.event_id").alias("event_id"), "value", "change", "position")
+
+
+def x_error_cube(spark: SparkSession, d: str) -> DataFrame:
+    """Quantization errors by label and bucket, each alone, and in all; bucket 3 has no name."""
+    rows = core._checked(spark, d).select("label", F.nullif(F.col("vec_id") % 7, F.lit(3)).alias("bucket"), "max_error")
+    keys = ["label", "bucket"]
+    partial = {"n": F.count(F.lit(1)), "max_error": F.max("max_error")}
+    return grouping.grouping_sets(rows, keys, grouping.cube(keys), partial, {"n": F.sum("n"), "max_error": F.max("max_error")})
+
+
+def x_price_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Each order's rank by price among all, with no window over all."""
+    return grouping.with_rank(S.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice").drop("o_totalprice")
+
+
+def x_price_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.quantiles(S.table(spark, d, "lineitem").select("l_extendedprice"), "l_extendedprice", SHARES)
+
+
+def x_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty events of each type."""
+    return grouping.stratified(S.table(spark, d, "events").select("event_id", "event_type"), "event_type", "event_id", 50, seed=3)
+
+
+def x_weighted_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Forty orders of each priority, likelier the dearer they are."""
+    orders = S.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return grouping.stratified(orders, "o_orderpriority", "o_orderkey", 40, seed=4, weight=F.col("o_totalprice")).drop("o_totalprice")
+
+
+#: Parts of the rows that the quantiles are taken at.
+SHARES = (0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (x_asof_join, x_asof_purchase, x_interval_join, x_sessions, x_expiring_totals, x_vector_blobs, x_change_points, x_error_cube, x_price_rank, x_price_quantiles, x_sample, x_weighted_sample)}
 
 
 
@@ -85,4 +136,18 @@ ORACLES: dict[str, str] = {
         WHERE e.event_type = 'error' AND p.event_type = 'purchase'""",
     "x_sessions": _islands_sql(SESSION_S),
     "x_expiring_totals": _islands_sql(IDLE_S),
+    "x_vector_blobs": "SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS i, unnest(embedding) AS v FROM embeddings WHERE vec_id >= 100",
+    "x_change_points": """
+        SELECT user_id, event_id, value, value - before AS change, position FROM
+            (SELECT *, lag(value) OVER own AS before, row_number() OVER own AS position FROM events WINDOW own AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE abs(value - before) > 150""",
+    "x_error_cube": f"""
+        SELECT label, bucket, GROUPING_ID(label, bucket) AS grouping_id, count(*) AS n, max(max_error) AS max_error FROM (SELECT label, nullif(vec_id % 7, 3) AS bucket, max_error FROM ({core._ERR})) GROUP BY CUBE (label, bucket)""",
+    "x_price_rank": "SELECT o_orderkey, rank() OVER own AS value_rank, dense_rank() OVER own AS dense_rank, cume_dist() OVER own AS cume_dist FROM orders WINDOW own AS (ORDER BY o_totalprice)",
+    "x_price_quantiles": f"""
+        WITH placed AS (SELECT l_extendedprice AS value, row_number() OVER (ORDER BY l_extendedprice) AS k, count(*) OVER () AS n FROM lineitem)
+        SELECT share, value FROM placed JOIN (SELECT unnest([{", ".join(f"{s}::DOUBLE" for s in SHARES)}]) AS share) ON k = greatest(1, ceil(share * n))""",
+    "x_sample": "SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('3:' || event_id), event_id) <= 50",
+    "x_weighted_sample": """
+        SELECT o_orderkey, o_orderpriority FROM (SELECT *, (CAST('0x' || substr(md5('4:' || o_orderkey), 1, 12) AS BIGINT) + 0.5::DOUBLE) / (1::BIGINT << 48)::DOUBLE AS u FROM orders WHERE o_totalprice > 0)
+        QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY -ln(u) / o_totalprice, o_orderkey) <= 40""",
 }

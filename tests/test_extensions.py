@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import plans
-from quillon.operators import temporal
+from quillon.functions import tables
+from quillon.operators import grouping, temporal
 from quillon.plans import extensions
+from quillon.sources import blobs
 from quillon.streaming import state
 from tests.oracle import assert_same
 
@@ -112,3 +114,82 @@ def test_streams_in_any_order_with_a_restart(spark, tmp_path, make):
 def test_segments_merge():
     assert state.merged([(5, 5, 1, 2), (1, 3, 2, 4), (9, 9, 1, 1)], 3) == [(1, 5, 3, 6), (9, 9, 1, 1)]
     assert state.merged([(1, 9, 3, 3), (4, 4, 1, 1), (13, 13, 1, 1)], 3) == [(1, 9, 4, 4), (13, 13, 1, 1)]
+
+
+# --- a registered source
+
+
+def test_blobs_skip_files(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id").alias("vec_id"), F.array(*[(F.col("id") * k).cast("float") for k in range(3)]).alias("embedding"))
+    n = blobs.write(rows, str(tmp_path / "v"), 50)
+    df = blobs.read(spark, f"file://{tmp_path}/v")
+    assert n >= 20 and df.rdd.getNumPartitions() == n and sorted(map(tuple, df.collect())) == sorted(map(tuple, rows.collect()))
+    for condition, most in (("vec_id = 77", 1), ("vec_id > 950 AND vec_id < 990", 3), ("vec_id IN (3, 999)", 2), ("vec_id <= 10 OR vec_id >= 990", n), ("vec_id >= 2000", 1)):
+        some = df.where(condition)
+        assert some.rdd.getNumPartitions() <= most and {r.vec_id for r in some.collect()} == {r.vec_id for r in rows.where(condition).collect()}
+    with pytest.raises(ValueError):
+        blobs.local("s3://bucket/x")
+
+
+# --- a table function
+
+
+def test_change_points_of_other_types(spark):
+    rows = [("a", 1, 5), ("a", 3, None), ("a", 2, 6), ("a", 4, 9), ("b", 1, 0), (None, 1, 1), (None, 2, 50), ("b", 2, -9)]
+    spark.createDataFrame(rows, "k string, t int, v int").createOrReplaceTempView("changing")
+    tables.register(spark)
+    call = lambda names: spark.sql(f"SELECT * FROM {tables.CHANGE_POINTS}(TABLE(changing), {names}, 2.0D)")
+    got = call("'k', 't', 'v'")
+    assert got.dtypes[:2] == [("k", "string"), ("t", "int")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a", 4, 9.0, 3.0, 4), ("b", 2, -9.0, -9.0, 2), (None, 2, 50.0, 49.0, 2)], key=repr)
+    with pytest.raises(Exception, match="no such column: q"):
+        call("'k', 't', 'q'").collect()
+
+
+# --- grouping sets, ranks, samples
+
+
+def test_grouping_sets_tell_null_keys_from_totals(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, None, 7), ("x", 1, 2), ("x", 1, 3)], "a string, b int, v int")
+    for sets, sql in ((grouping.cube(["a", "b"]), "CUBE(a, b)"), (grouping.rollup(["a", "b"]), "ROLLUP(a, b)"), ([["b"], []], "a, b GROUPING SETS ((b), ())")):
+        got = grouping.grouping_sets(df, ["a", "b"], sets, {"s": F.sum("v"), "n": F.count("*")}, {"s": F.sum("s"), "n": F.sum("n")})
+        df.createOrReplaceTempView("grouped")
+        want = spark.sql(f"SELECT a, b, grouping_id(a, b) AS grouping_id, sum(v) AS s, count(*) AS n FROM grouped GROUP BY {sql}")
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert grouping.grouping_sets(df.limit(0), ["a"], [["a"], []], {"n": F.count("*")}, {"n": F.sum("n")}).count() == 0
+
+
+@pytest.mark.parametrize("pieces,hot", [(3, 5), (500, 10_000)])
+def test_ranks_of_all_rows(spark, monkeypatch, pieces, hot):
+    monkeypatch.setattr(grouping, "BROADCAST_ROWS", 10**6)
+    rng = random.Random(5)
+    rows = [(i, rng.choice([1.5, 1.5, None, rng.randrange(40) / 4])) for i in range(400)]  # a third share a value
+    df = spark.createDataFrame(rows, "value_id int, v double")
+    got = grouping.with_rank(df, "v", pieces, hot)
+    values = [v for _, v in rows if v is not None]
+    want = [(i, v, *((sum(x < v for x in values) + 1, len({x for x in values if x < v}) + 1, sum(x <= v for x in values) / len(values)) if v is not None else (None,) * 3)) for i, v in rows]
+    assert sorted(map(tuple, got.collect())) == sorted(want, key=lambda r: r[0])
+    assert grouping.with_rank(df.limit(0), "v").count() == 0
+    shares = (0.0, 0.3, 0.5, 1.0)
+    cut = {r.share: r.value for r in grouping.quantiles(df, "v", shares, pieces).collect()}
+    assert cut == {s: next(x for x in sorted(values) if sum(y <= x for y in values) >= s * len(values)) for s in shares}
+
+
+def test_rank_has_no_window_over_all_rows(spark, sf):
+    text = plans.plan_text(extensions.x_price_rank(spark, sf))
+    assert "SinglePartition" not in text
+
+
+def test_sample_rates(spark):
+    """Exact sizes; over many seeds every row is as likely as its weight says."""
+    df = spark.range(60).select("id", (F.col("id") % 2).alias("half"), F.when(F.col("id") < 30, 1.0).when(F.col("id") < 58, 3.0).otherwise(0.0).alias("w"))
+    light = plain = 0
+    for seed in range(30):
+        taken = grouping.stratified(df, "half", "id", 5, seed).collect()
+        assert sorted(r.half for r in taken) == [0] * 5 + [1] * 5
+        plain += sum(r.id < 30 for r in taken)
+        heavy = grouping.stratified(df, "half", "id", 5, seed, F.col("w")).collect()
+        assert len(heavy) == 10 and all(r.id < 58 for r in heavy)
+        light += sum(r.id < 30 for r in heavy)
+    assert 110 < plain < 190 and 45 < light < 120  # of 300: half, and about a quarter
+    assert grouping.stratified(df, "half", "id", 100).count() == 60
