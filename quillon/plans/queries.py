@@ -74,7 +74,9 @@ def error_by_label(spark: SparkSession, d: str) -> DataFrame:
 
 
 def array_render(spark: SparkSession, d: str) -> DataFrame:
-    return S.self_check(spark).select("case_id", Q.render(F.col("input")).alias("text"))
+    """The fixed input as text, and that of each nation's keys."""
+    keys = S.table(spark, d, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("case_id"), Q.tensor(F.col("n_nationkey"), F.col("n_regionkey")).alias("input"))
+    return S.self_check(spark).select("case_id", "input").unionByName(keys).select("case_id", Q.render(F.col("input")).alias("text"))
 
 
 def status_report(spark: SparkSession, d: str) -> DataFrame:
@@ -82,9 +84,11 @@ def status_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def self_check(spark: SparkSession, d: str) -> DataFrame:
-    """The fixed 1x4 vector times a 4x4 identity against its expectation."""
+    """The fixed 1x4 vector times a 4x4 identity against its expectation, and so the first four values of each vector."""
     eye = [[float(i == j) for j in range(4)] for i in range(4)]
-    y = O.matmul(S.self_check(spark), eye, "input")
+    four = F.slice("embedding", 1, 4)
+    vectors = S.vectors(spark, d).select((F.col("vec_id") + 1).alias("case_id"), four.alias("input"), four.alias("expected"))
+    y = O.matmul(S.self_check(spark).unionByName(vectors), eye, "input")
     return O.tolerance_check(y, "y", "expected").select("case_id", "y", "max_error", "pass")
 
 
@@ -117,23 +121,31 @@ EDGES = [
 
 
 def edge_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Both NaN policies; an output that is too short or has an unknown element fails, one that is too long passes."""
-    df = S.cases(spark, [(i, a, b) for i, (a, b) in enumerate(EDGES)])
+    """The fixed cases, and each vector bent by one of seven ways or none. Both NaN policies; an output that is too short or has an unknown element fails, one that is too long passes."""
+    x, kind = F.col("embedding"), F.col("vec_id") % 8
+    with_first = lambda v: F.concat(F.array(v.cast("float")), F.slice(x, 2, 64))
+    bent = (F.slice(x, 1, 63), F.concat(x, F.slice(x, 1, 1)), with_first(F.lit(float("nan"))), with_first(F.lit(float("-inf"))), with_first(F.lit(None)), with_first(x[0] + 1), F.lit(None).cast("array<float>"))
+    output = F.when(kind == 7, x)
+    for k, v in enumerate(bent):
+        output = output.when(kind == k, v)
+    vectors = S.vectors(spark, d).select((F.col("vec_id") + len(EDGES)).alias("case_id"), output.alias("input"), x.alias("expected"))
+    df = S.cases(spark, [(i, a, b) for i, (a, b) in enumerate(EDGES)]).unionByName(vectors)
     errs = Q.errors(F.col("input"), F.col("expected"))
     passes = lambda policy: Q.within(Q.max_error(errs, policy))
     return df.select("case_id", passes("fail").alias("pass_strict"), passes("ignore").alias("pass_ignoring_nan"), Q.max_error(errs).isNull().alias("unknown"), Q.max_abs(F.col("input")).isNull().alias("abs_unknown"))
 
 
 def failures(spark: SparkSession, d: str) -> DataFrame:
-    """Errors that become rows: a check that fails, no such provider, no such model, a wrong type, and none."""
-    wrong = S.cases(spark, [(0, [2.0], [1.0])])
+    """Errors that become rows, over the vectors and events: a check that fails, no such provider, no such model, a wrong type, and none."""
+    vectors = S.vectors(spark, d).select("vec_id", F.col("embedding").alias("expected"), F.col("embedding").alias("input"))
+    wrong = vectors.withColumn("input", F.transform("expected", lambda v: v * 0 + 1)).withColumn("expected", F.transform("expected", lambda v: v * 0))
     checked = lambda df: O.tolerance_check(df, "input", "expected", strict=True)
     makes = {
-        "fine": lambda: checked(S.self_check(spark)),
+        "fine": lambda: checked(vectors),
         "strict": lambda: checked(wrong),
-        "provider": lambda: O.provider_filter(S.providers(spark), "ep_name", "npu", required=True),
+        "provider": lambda: O.provider_filter(S.table(spark, d, "events"), "event_type", "npu", required=True),
         "model": lambda: S.blob(spark, f"{d}/no_such_model.onnx"),
-        "type": lambda: checked(O.typed(wrong.select("case_id", F.lit("x").alias("input"), "expected"), "case_id long, input array<float>, expected array<float>")),
+        "type": lambda: checked(O.typed(vectors.withColumn("input", F.col("vec_id").cast("string")), "vec_id long, expected array<float>, input array<float>")),
     }
     kind = F.regexp_extract("error", r"^(\w+)", 1)
     told = F.regexp_extract("error", r"Validation failed\. Max error = [0-9.]+|no provider named \w+|PATH_NOT_FOUND|INVALID_COLUMN_OR_FIELD_DATA_TYPE", 0)
@@ -145,10 +157,11 @@ def failures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def environment(spark: SparkSession, d: str) -> DataFrame:
-    """The providers, the engine's version and a setting, by name."""
-    row = O.provider_filter(S.providers(spark), "ep_name", "spark", required=True)
+    """For each region that asks for a provider of the catalogue: its row, the engine's version and a setting, by name."""
+    asked = S.table(spark, d, "region").select("r_regionkey", F.when(F.col("r_regionkey") % 2 == 0, "spark").otherwise("npu").alias("ep_name"))
+    row = asked.join(F.broadcast(O.provider_filter(S.providers(spark), "ep_name", "spark", required=True)), "ep_name")
     version = F.lit(S.runtime(spark).first()["engine_version"])
-    return row.select("ep_name", (F.col("slots") > 0).alias("has_slots"), F.rlike(version, F.lit(r"^\d+\.\d+")).alias("has_version"), F.lit(S.setting(spark, "quillon.no.such", "none")).alias("setting"))
+    return row.select("r_regionkey", "ep_name", (F.col("slots") > 0).alias("has_slots"), F.rlike(version, F.lit(r"^\d+\.\d+")).alias("has_version"), F.lit(S.setting(spark, "quillon.no.such", "none")).alias("setting"))
 
 
 def blob_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +208,7 @@ def rendered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signature(spark: SparkSession, d: str) -> DataFrame:
-    return S.signature(S.vectors(spark, d)).select("position", "name")
+    return S.signature(S.vectors(spark, d))
 
 
 def output_pick(spark: SparkSession, d: str) -> DataFrame:
@@ -240,9 +253,13 @@ ORACLES: dict[str, str] = {
     "tolerance_check": f"SELECT vec_id, max_error, NOT (max_error > {Q.TOLERANCE}) AS pass FROM ({_ERR})",
     "max_abs_fold": "SELECT vec_id, list_max(list_transform(embedding, lambda x: abs(x))) AS m FROM embeddings",
     "error_by_label": f"SELECT label, max(max_error) AS max_error FROM ({_ERR}) GROUP BY label",
-    "array_render": "SELECT CAST(0 AS BIGINT) AS case_id, CAST([1.0::FLOAT, 2.0::FLOAT, 3.0::FLOAT, 4.0::FLOAT] AS VARCHAR) AS text",
+    "array_render": """
+        SELECT CAST(0 AS BIGINT) AS case_id, CAST([1.0::FLOAT, 2.0::FLOAT, 3.0::FLOAT, 4.0::FLOAT] AS VARCHAR) AS text
+        UNION ALL SELECT CAST(n_nationkey + 1 AS BIGINT), CAST([n_nationkey::FLOAT, n_regionkey::FLOAT] AS VARCHAR) FROM nation""",
     "status_report": f"SELECT count(*) AS n, count(*) FILTER (WHERE NOT (max_error > {Q.TOLERANCE})) AS n_pass, coalesce(max(max_error), 0) AS max_error, CASE WHEN count(*) = count(*) FILTER (WHERE NOT (max_error > {Q.TOLERANCE})) THEN 'PASS' ELSE 'FAILED' END AS status FROM ({_ERR})",
-    "self_check": "SELECT CAST(0 AS BIGINT) AS case_id, [1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, 4.0::DOUBLE] AS y, 0.0::DOUBLE AS max_error, true AS pass",
+    "self_check": """
+        SELECT CAST(0 AS BIGINT) AS case_id, [1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, 4.0::DOUBLE] AS y, 0.0::DOUBLE AS max_error, true AS pass
+        UNION ALL SELECT vec_id + 1, CAST(embedding[1:4] AS DOUBLE[]), 0.0::DOUBLE, true FROM embeddings""",
     "batch_inference": f"SELECT vec_id, i, v AS y FROM ({_ELEMENTS})",
     "elementwise_error": f"SELECT vec_id, i, abs(dq - CAST(v AS DOUBLE)) AS error FROM ({_DQ})",
     "edge_cases": f"""
@@ -251,18 +268,22 @@ ORACLES: dict[str, str] = {
                coalesce(len(output) < len(expected) OR len(list_filter(errs, lambda e: e IS NULL)) > 0, true) AS unknown,
                coalesce(len(list_filter(output, lambda v: v IS NULL)) > 0, true) AS abs_unknown
         FROM (SELECT *, list_transform(range(1, len(expected) + 1), lambda i: abs(output[i]::DOUBLE - expected[i]::DOUBLE)) AS errs
-              FROM (VALUES {", ".join(f"({i}::BIGINT, {_array(a)}, {_array(b)})" for i, (a, b) in enumerate(EDGES))}) AS t(case_id, output, expected))""",
-    "failures": """SELECT * FROM (VALUES ('fine', 'PASS', 1::BIGINT, '', ''), ('strict', 'FAILED', 0, 'engine', 'Validation failed. Max error = 1.0'),
+              FROM (SELECT * FROM (VALUES {", ".join(f"({i}::BIGINT, {_array(a)}, {_array(b)})" for i, (a, b) in enumerate(EDGES))}) AS t(case_id, output, expected)
+                    UNION ALL SELECT vec_id + {len(EDGES)}, CASE vec_id % 8 WHEN 0 THEN embedding[1:63] WHEN 1 THEN list_append(embedding, embedding[1]) WHEN 2 THEN list_prepend('nan'::FLOAT, embedding[2:])
+                        WHEN 3 THEN list_prepend('-inf'::FLOAT, embedding[2:]) WHEN 4 THEN list_prepend(NULL::FLOAT, embedding[2:]) WHEN 5 THEN list_prepend(embedding[1] + 1::FLOAT, embedding[2:]) WHEN 7 THEN embedding END, embedding FROM embeddings))""",
+    "failures": """SELECT * FROM (VALUES ('fine', 'PASS', (SELECT count(*) FROM embeddings), '', ''), ('strict', 'FAILED', 0, 'engine', 'Validation failed. Max error = 1.0'),
         ('provider', 'FAILED', 0, 'LookupError', 'no provider named npu'), ('model', 'FAILED', 0, 'engine', 'PATH_NOT_FOUND'),
         ('type', 'FAILED', 0, 'engine', 'INVALID_COLUMN_OR_FIELD_DATA_TYPE')) AS t("case", status, n, raised, told)""",
-    "environment": "SELECT 'spark' AS ep_name, true AS has_slots, true AS has_version, 'none' AS setting",
+    "environment": "SELECT r_regionkey, 'spark' AS ep_name, true AS has_slots, true AS has_version, 'none' AS setting FROM region WHERE r_regionkey % 2 = 0",
     "blob_scan": "SELECT true AS whole, 'PAR1' AS magic",
     "registered_function": "SELECT n_nationkey, n_nationkey * 0.5::DOUBLE + 1 AS y FROM nation",
     "texts": "SELECT r_regionkey, 'Max error = ' || CAST(r_regionkey / 4.0::DOUBLE AS VARCHAR) || '; null' AS message, 'Region ' || r_regionkey || chr(10) || '  ' || r_name || chr(10) || chr(10) || 'end' AS report FROM region",
     "lenient_pick": "SELECT vec_id, embedding[65] AS beyond, embedding[64] AS last_value FROM embeddings",
     "durations": "SELECT event_id, (event_id * 1000) / 1000000.0::DOUBLE AS ms FROM events",
     "rendered": "SELECT n_nationkey, 'lib/' || n_name AS path, printf('%.3f', n_nationkey / 8.0::DOUBLE) AS text, 'spark' AS backend, CASE WHEN n_nationkey > 20 THEN 'dynamic' WHEN n_nationkey > 10 THEN 'dark' ELSE 'light' END AS choice FROM nation",
-    "signature": "SELECT * FROM (VALUES (0, 'vec_id'), (1, 'embedding'), (2, 'label')) AS t(position, name)",
+    "signature": """
+        SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS name,
+               replace(replace(replace(lower(column_type), 'float[]', 'array<float>'), 'integer', 'int'), 'varchar', 'string') AS type FROM (DESCRIBE embeddings)""",
     "output_pick": "SELECT CAST(vec_id AS FLOAT) AS a, CAST(label AS FLOAT) AS b FROM embeddings",
     "flagship": "SELECT vec_id, 0.0::DOUBLE AS max_error, true AS pass FROM embeddings",
 }
