@@ -17,8 +17,8 @@ from quillon import functions as Q
 
 LOG = logging.getLogger("quillon")
 
-#: Weights of up to so many cells travel inside the plan; larger ones are broadcast once to Python workers.
-INLINE_CELLS = 65536
+#: Weights of up to so many cells travel inside the plan; larger ones, up to LOCAL_CELLS of 8 bytes, are broadcast once to Python workers.
+INLINE_CELLS, LOCAL_CELLS = 65536, 1 << 22
 #: Weight tables of up to so many cells (12 bytes each) are broadcast; the copies a larger one is dealt in.
 BROADCAST_CELLS, SALTS = 1 << 20, 16
 
@@ -35,9 +35,13 @@ def matmul(vectors: DataFrame, weights: Sequence[Sequence[float]], value: str =
     """vector x weights as an array column, in place: no shuffle.
 
     A vector whose length is not the number of weight rows gives NULL, a NULL element NULL sums.
-    Sums are in index order, but for weights above INLINE_CELLS, which numpy multiplies.
+    Sums are in index order, whichever form the size of the weights calls for, so results are the
+    same to the bit. Weights beyond LOCAL_CELLS are an error: as tables they can be multiplied by
+    matmul_relational or by quillon.operators.blocks.
     """
     rows, cols = len(weights), len(weights[0])
+    if rows * cols > LOCAL_CELLS:
+        raise ValueError(f"{rows} x {cols} weights are too many to send along; give them as a table")
     if rows * cols > INLINE_CELLS:
         return vectors.withColumn(out, _batched(vectors, weights)(F.col(value)))
     turned = json.dumps([[float(weights[i][j]) for i in range(rows)] for j in range(cols)])
@@ -58,7 +62,10 @@ def _batched(vectors: DataFrame, weights: Sequence[Sequence[float]]) -> Callable
         if fits.any():
             x = np.array([[np.nan if e is None else e for e in v] for v in values[fits]], dtype=np.float64)
             missing = np.array([any(e is None for e in v) for v in values[fits]])
-            for at, row, unknown in zip(np.flatnonzero(fits), x @ w, missing, strict=True):
+            y = np.zeros((len(x), w.shape[1]))
+            for i in range(len(w)):  # in index order, as the fold in place
+                y += x[:, i, None] * w[i]
+            for at, row, unknown in zip(np.flatnonzero(fits), y, missing, strict=True):
                 result[at] = [None] * w.shape[1] if unknown else row
         return pd.Series(result)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon import sources as S
 from quillon.functions import tables
+from quillon.operators import blocks as blocks_of
 from quillon.operators import grouping, temporal
 from quillon.plans import queries as core
 from quillon.session import shared_folder
@@ -110,10 +111,17 @@ def x_weighted_sample(spark: SparkSession, d: str) -> DataFrame:
     return grouping.stratified(orders, "o_orderpriority", "o_orderkey", 40, seed=4, weight=F.col("o_totalprice")).drop("o_totalprice")
 
 
+def x_gram_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The quantized vectors' transpose times themselves, by blocks; whole numbers, so sums are exact in any order."""
+    rows = core._qdq(spark, d).select("vec_id", "q")
+    m = blocks_of.from_vectors(rows, F.col("vec_id"), F.col("q"), core.WIDTH)
+    return blocks_of.cells(blocks_of.product(blocks_of.transposed(m), m))
+
+
 #: Parts of the rows that the quantiles are taken at.
 SHARES = (0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (x_asof_join, x_asof_purchase, x_interval_join, x_sessions, x_expiring_totals, x_vector_blobs, x_change_points, x_error_cube, x_price_rank, x_price_quantiles, x_sample, x_weighted_sample)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (x_asof_join, x_asof_purchase, x_interval_join, x_sessions, x_expiring_totals, x_vector_blobs, x_change_points, x_error_cube, x_price_rank, x_price_quantiles, x_sample, x_weighted_sample, x_gram_blocks)}
 
 
 
@@ -150,4 +158,7 @@ ORACLES: dict[str, str] = {
     "x_weighted_sample": """
         SELECT o_orderkey, o_orderpriority FROM (SELECT *, (CAST('0x' || substr(md5('4:' || o_orderkey), 1, 12) AS BIGINT) + 0.5::DOUBLE) / (1::BIGINT << 48)::DOUBLE AS u FROM orders WHERE o_totalprice > 0)
         QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY -ln(u) / o_totalprice, o_orderkey) <= 40""",
+    "x_gram_blocks": f"""
+        WITH e AS (SELECT vec_id, i, CAST(q AS DOUBLE) AS q FROM ({core._Q}))
+        SELECT CAST(a.i AS BIGINT) AS i, CAST(b.i AS BIGINT) AS j, sum(a.q * b.q) AS value FROM e a JOIN e b USING (vec_id) GROUP BY ALL""",
 }

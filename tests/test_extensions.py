@@ -3,14 +3,16 @@
 import random
 from statistics import median
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillon import operators as O
 from quillon import plans
 from quillon.functions import tables
-from quillon.operators import grouping, temporal
+from quillon.operators import blocks, grouping, temporal
 from quillon.plans import extensions
-from quillon.sources import blobs
+from quillon.sources import blobs as vector_blobs
 from quillon.streaming import state
 from tests.oracle import assert_same
 
@@ -121,14 +123,14 @@ def test_segments_merge():
 
 def test_blobs_skip_files(spark, tmp_path):
     rows = spark.range(1000).select(F.col("id").alias("vec_id"), F.array(*[(F.col("id") * k).cast("float") for k in range(3)]).alias("embedding"))
-    n = blobs.write(rows, str(tmp_path / "v"), 50)
-    df = blobs.read(spark, f"file://{tmp_path}/v")
+    n = vector_blobs.write(rows, str(tmp_path / "v"), 50)
+    df = vector_blobs.read(spark, f"file://{tmp_path}/v")
     assert n >= 20 and df.rdd.getNumPartitions() == n and sorted(map(tuple, df.collect())) == sorted(map(tuple, rows.collect()))
     for condition, most in (("vec_id = 77", 1), ("vec_id > 950 AND vec_id < 990", 3), ("vec_id IN (3, 999)", 2), ("vec_id <= 10 OR vec_id >= 990", n), ("vec_id >= 2000", 1)):
         some = df.where(condition)
         assert some.rdd.getNumPartitions() <= most and {r.vec_id for r in some.collect()} == {r.vec_id for r in rows.where(condition).collect()}
     with pytest.raises(ValueError):
-        blobs.local("s3://bucket/x")
+        vector_blobs.local("s3://bucket/x")
 
 
 # --- a table function
@@ -193,3 +195,31 @@ def test_sample_rates(spark):
         light += sum(r.id < 30 for r in heavy)
     assert 110 < plain < 190 and 45 < light < 120  # of 300: half, and about a quarter
     assert grouping.stratified(df, "half", "id", 100).count() == 60
+
+
+# --- products by blocks
+
+
+@pytest.mark.parametrize("size,parts,held", [(4, 2, 1), (7, 16, 64)])
+def test_block_products(spark, size, parts, held):
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(-9, 10, (23, 10)), rng.integers(-9, 10, (10, 17))
+    table = lambda m: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "i long, v array<int>")
+    blocked = lambda m: blocks.from_vectors(table(m), F.col("i"), F.col("v"), m.shape[1], size)
+    for made, want in ((blocks.product(blocked(a), blocked(b), parts, held), a @ b), (blocks.product(blocks.transposed(blocked(a)), blocked(a), parts, held), a.T @ a)):
+        got = {(r.i, r.j): r.value for r in blocks.cells(made, size).collect()}
+        assert all(got[i, j] == want[i, j] for i in range(want.shape[0]) for j in range(want.shape[1]))
+        assert not any(v for (i, j), v in got.items() if i >= want.shape[0] or j >= want.shape[1])
+
+
+def test_matmul_sums_in_one_order(spark, monkeypatch):
+    """Weights in the plan and in batches give the same bits; too many are refused."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(50, 12)))] + [(50, [None] + [1.0] * 11), (51, [1.0]), (52, None)], "vec_id long, embedding array<double>")
+    w = rng.normal(size=(12, 9)).tolist()
+    here = sorted(map(tuple, O.matmul(df, w).collect()), key=repr)
+    monkeypatch.setattr(O, "INLINE_CELLS", 1)
+    assert sorted(map(tuple, O.matmul(df, w).collect()), key=repr) == here
+    monkeypatch.setattr(O, "LOCAL_CELLS", 100)
+    with pytest.raises(ValueError):
+        O.matmul(df, w)
