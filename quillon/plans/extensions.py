@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon import sources as S
 from quillon.functions import tables
 from quillon.operators import blocks as blocks_of
-from quillon.operators import grouping, temporal
+from quillon.operators import grouping, sketches, temporal
 from quillon.plans import queries as core
 from quillon.session import shared_folder
 from quillon.sources import blobs
@@ -118,10 +118,20 @@ def x_gram_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks_of.cells(blocks_of.product(blocks_of.transposed(m), m))
 
 
+def x_daily_uniques(spark: SparkSession, d: str) -> DataFrame:
+    """Users of the seven days up to each, from daily sketches: rows, exact users, and whether the estimate is within four standard errors of them."""
+    events = S.table(spark, d, "events").select(F.to_date("ts").alias("day"), "user_id")
+    told = sketches.estimate(sketches.trailing(sketches.daily(events, F.col("day"), F.col("user_id")), 7))
+    week = events.distinct().select(F.explode(F.sequence("day", F.date_add("day", 6))).alias("day"), "user_id")
+    exact = week.groupBy("day").agg(F.countDistinct("user_id").alias("users"))
+    close = F.abs(F.col("estimate") - F.col("users")) <= 4 * sketches.standard_error() * F.col("users") + 1
+    return told.join(exact, "day").select("day", "n", "users", close.alias("within"))
+
+
 #: Parts of the rows that the quantiles are taken at.
 SHARES = (0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (x_asof_join, x_asof_purchase, x_interval_join, x_sessions, x_expiring_totals, x_vector_blobs, x_change_points, x_error_cube, x_price_rank, x_price_quantiles, x_sample, x_weighted_sample, x_gram_blocks)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (x_asof_join, x_asof_purchase, x_interval_join, x_sessions, x_expiring_totals, x_vector_blobs, x_change_points, x_error_cube, x_price_rank, x_price_quantiles, x_sample, x_weighted_sample, x_gram_blocks, x_daily_uniques)}
 
 
 
@@ -161,4 +171,7 @@ ORACLES: dict[str, str] = {
     "x_gram_blocks": f"""
         WITH e AS (SELECT vec_id, i, CAST(q AS DOUBLE) AS q FROM ({core._Q}))
         SELECT CAST(a.i AS BIGINT) AS i, CAST(b.i AS BIGINT) AS j, sum(a.q * b.q) AS value FROM e a JOIN e b USING (vec_id) GROUP BY ALL""",
+    "x_daily_uniques": """
+        WITH own AS (SELECT CAST(ts AS DATE) AS day, user_id FROM events)
+        SELECT a.day, count(*) AS n, count(DISTINCT user_id) AS users, true AS within FROM (SELECT DISTINCT day FROM own) a JOIN own b ON b.day BETWEEN a.day - 6 AND a.day GROUP BY a.day""",
 }

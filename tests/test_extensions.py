@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon import operators as O
 from quillon import plans
 from quillon.functions import tables
-from quillon.operators import blocks, grouping, temporal
+from quillon.operators import blocks, grouping, sketches, temporal
 from quillon.plans import extensions
 from quillon.sources import blobs as vector_blobs
 from quillon.streaming import state
@@ -223,3 +223,16 @@ def test_matmul_sums_in_one_order(spark, monkeypatch):
     monkeypatch.setattr(O, "LOCAL_CELLS", 100)
     with pytest.raises(ValueError):
         O.matmul(df, w)
+
+
+def test_sketches_merge_in_any_order(spark, tmp_path):
+    df = spark.range(60_000).select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 9).cast("int")).alias("d"), (F.col("id") % 7001).alias("u"))
+    sketches.daily(df, F.col("d"), F.col("u")).write.parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    whole = sketches.estimate(sketches.merged(stored)).first()
+    again = sketches.estimate(sketches.merged(stored.orderBy(F.desc("day")).repartition(5))).first()
+    assert whole.estimate == again.estimate and whole.n == 60_000 and abs(whole.estimate - 7001) < 4 * sketches.standard_error() * 7001
+    direct = df.agg(F.hll_sketch_estimate(F.hll_sketch_agg("u", sketches.SLOTS))).first()[0]
+    assert abs(whole.estimate - direct) <= 0.01 * direct
+    week = {str(r.day): r.n for r in sketches.trailing(stored, 3).collect()}
+    assert len(week) == 9 and week["2024-01-01"] == 6667 and week["2024-01-09"] == 3 * 6666
