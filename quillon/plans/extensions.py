@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon import sources as S
 from quillon.functions import tables
 from quillon.operators import blocks as blocks_of
-from quillon.operators import grouping, sketches, temporal
+from quillon.operators import calibration, grouping, sketches, temporal
 from quillon.plans import queries as core
 from quillon.session import shared_folder
 from quillon.sources import blobs
@@ -128,10 +128,20 @@ def x_daily_uniques(spark: SparkSession, d: str) -> DataFrame:
     return told.join(exact, "day").select("day", "n", "users", close.alias("within"))
 
 
+def x_calibrated_qdq(spark: SparkSession, d: str) -> DataFrame:
+    """For each channel, whether calibration to 4 bits errs no more than the whole range does, by what both give for every value."""
+    vectors, lo, hi = S.vectors(spark, d), -8, 7
+    found = temporal.kept(calibration.calibrate(vectors, lo, hi))
+    values = vectors.select("vec_id", F.posexplode("embedding").alias("channel", "x"))
+    back = calibration.calibrated_qdq(vectors, found, lo, hi)
+    errors = values.join(back, ["vec_id", "channel"]).groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pow(F.col("x").cast("double") - F.col("dq"), 2)).alias("e"))
+    return errors.join(F.broadcast(found), "channel").select("channel", "n", (F.col("e") <= F.col("plain_error") * (1 + 1e-9)).alias("no_worse"), (F.abs(F.col("e") - F.col("error")) <= 1e-9 * F.col("e")).alias("as_told"))
+
+
 #: Parts of the rows that the quantiles are taken at.
 SHARES = (0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (x_asof_join, x_asof_purchase, x_interval_join, x_sessions, x_expiring_totals, x_vector_blobs, x_change_points, x_error_cube, x_price_rank, x_price_quantiles, x_sample, x_weighted_sample, x_gram_blocks, x_daily_uniques)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (x_asof_join, x_asof_purchase, x_interval_join, x_sessions, x_expiring_totals, x_vector_blobs, x_change_points, x_error_cube, x_price_rank, x_price_quantiles, x_sample, x_weighted_sample, x_gram_blocks, x_daily_uniques, x_calibrated_qdq)}
 
 
 
@@ -174,4 +184,5 @@ ORACLES: dict[str, str] = {
     "x_daily_uniques": """
         WITH own AS (SELECT CAST(ts AS DATE) AS day, user_id FROM events)
         SELECT a.day, count(*) AS n, count(DISTINCT user_id) AS users, true AS within FROM (SELECT DISTINCT day FROM own) a JOIN own b ON b.day BETWEEN a.day - 6 AND a.day GROUP BY a.day""",
+    "x_calibrated_qdq": "SELECT channel, count(*) AS n, true AS no_worse, true AS as_told FROM (SELECT CAST(unnest(range(64)) AS INTEGER) AS channel FROM embeddings) GROUP BY channel",
 }

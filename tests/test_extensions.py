@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon import operators as O
 from quillon import plans
 from quillon.functions import tables
-from quillon.operators import blocks, grouping, sketches, temporal
+from quillon.operators import blocks, calibration, grouping, sketches, temporal
 from quillon.plans import extensions
 from quillon.sources import blobs as vector_blobs
 from quillon.streaming import state
@@ -236,3 +236,27 @@ def test_sketches_merge_in_any_order(spark, tmp_path):
     assert abs(whole.estimate - direct) <= 0.01 * direct
     week = {str(r.day): r.n for r in sketches.trailing(stored, 3).collect()}
     assert len(week) == 9 and week["2024-01-01"] == 6667 and week["2024-01-09"] == 3 * 6666
+
+
+def test_calibration(spark):
+    """Outliers are clipped where that lowers the squared error; plain code gives the same errors."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(800, 4)).astype(np.float32)
+    x[0, 0], x[:, 2], x[:, 3] = 9.0, 0.25, np.abs(x[:, 3])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, [float("nan"), None, float("inf"), 0.5])], "vec_id int, embedding array<float>")
+    found = {r.channel: r for r in calibration.calibrate(df, -8, 7).collect()}
+    assert set(found) == {0, 1, 2, 3} and found[0].share < 0.9 and found[0].error < 0.9 * found[0].plain_error
+
+    def error(c, share):
+        v = x[:, c].astype(float)
+        v = np.append(v, 0.5) if c == 3 else v
+        low, high = min(v.min() * share, 0), max(v.max() * share, 0)
+        scale = (high - low) / 15
+        zero = np.rint(-8 - low / scale)
+        return (((np.clip(np.rint(v / scale) + zero, -8, 7) - zero) * scale - v) ** 2).sum()
+
+    for c, r in found.items():
+        assert r.error <= r.plain_error and abs(r.error - error(c, r.share)) < 1e-6 and abs(r.plain_error - error(c, 1.0)) < 1e-6
+        assert r.error <= 1.05 * min(error(c, s) for s in calibration.SHARES) + 1e-9
+    back = calibration.calibrated_qdq(df, spark.createDataFrame(list(found.values())), -8, 7).where("vec_id = 900").collect()
+    assert len(back) == 4 and all(r.dq is None or abs(r.dq) < 10 for r in back)
