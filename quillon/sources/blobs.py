@@ -125,7 +125,7 @@ class Vectors(DataSource):
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors of a folder; filters on vec_id decide which blobs are opened."""
+    """Vectors of a folder; filters on vec_id decide which blobs are opened, for which PUSHDOWN is turned on in the session."""
     spark.dataSource.register(Vectors)
     spark.conf.set(PUSHDOWN, "true")
     return spark.read.format(FORMAT).load(folder)

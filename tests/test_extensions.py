@@ -6,6 +6,7 @@ from statistics import median
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillon import operators as O
 from quillon import plans
@@ -94,10 +95,10 @@ def test_streams_in_any_order_with_a_restart(spark, tmp_path, make):
     """Batches of events out of order, a late one, and a second run that goes on from the checkpoint."""
     rng = random.Random(9)
     own, schema = state.stateful_session(spark, 2), "user int, ts timestamp, cents long"
-    seconds = lambda rows: own.createDataFrame(rows, "user int, s long, cents long").select("user", F.timestamp_seconds("s").alias("ts"), "cents").coalesce(1)
+    seconds = lambda rows: spark.createDataFrame(rows, "user int, s long, cents long").select("user", F.timestamp_seconds("s").alias("ts"), "cents").coalesce(1)
     rows = [(rng.randrange(6), rng.randrange(3000), rng.randrange(100)) for _ in range(300)]
     feed = lambda rows: seconds(rows).write.mode("append").parquet(f"{tmp_path}/in")
-    start = lambda: state.run(make(state.stream_of(own, f"{tmp_path}/in", own.createDataFrame([], schema).schema), "user", "ts", 60, 500, "cents"), f"{tmp_path}/out", f"{tmp_path}/check")
+    start = lambda: state.run(make(state.stream_of(own, f"{tmp_path}/in", StructType.fromDDL(schema)), "user", "ts", 60, 500, "cents"), f"{tmp_path}/out", f"{tmp_path}/check")
     parts = [[r for r in rows if k * 400 <= r[1] < (k + 1) * 400] for k in range(8)]
     for p in parts[:4]:
         rng.shuffle(p)
