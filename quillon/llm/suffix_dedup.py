@@ -59,6 +59,8 @@ SHALLOW = 32
 SPLIT = 32768
 #: Bytes of input for which there is a bucket at least.
 BUCKET_BYTES = 1 << 26
+#: Bytes of a bitmap that a row brings to the driver.
+PIECE = 1 << 17
 WIDE = 104  # regions reach at most MIN bytes from the anchor, padded to whole words
 _PLACE = np.uint64((1 << 24) - 1)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -208,6 +210,11 @@ def _columns(blobs: list[bytes], kinds: str) -> list[np.ndarray]:
     return [whole[i] if k == "u" else whole[i].view(np.int64) for i, k in enumerate(kinds)]
 
 
+def _rows_of_bits(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    """Which bitmap, from which byte on, and the bytes."""
+    return pa.table({"which": pa.array([r[0] for r in rows], pa.int32()), "base": pa.array([r[1] for r in rows], pa.int64()), "bits": pa.array([r[2] for r in rows], pa.binary())})
+
+
 def _marker(bits: int, split: int):
     def run(table: pa.Table) -> pa.Table:
         gram, region = _columns(table["blob"].to_pylist(), "uu")
@@ -218,25 +225,44 @@ def _marker(bits: int, split: int):
         at = np.flatnonzero(new)
         runs, kinds = np.diff(np.append(at, len(gram))), np.add.reduceat(other.astype(np.int64), at)
         out = []
-        for less, on in zip(FEWER, (runs > 1, kinds > 1, kinds > split), strict=True):
+        for which, (less, on) in enumerate(zip(FEWER, (runs > 1, kinds > 1, kinds > split), strict=True)):
             slot = (gram[at] >> np.uint64(64 - bits + less)).astype(np.int64)
             base = int(slot[0]) & ~7
             flags = np.zeros((int(slot[-1]) - base) // 8 * 8 + 8, bool)
             flags[slot[on] - base] = True
-            out.append((base // 8, np.packbits(flags, bitorder="little").tobytes()))
-        return pa.table({"which": pa.array(range(len(out)), pa.int32()), "base": pa.array([b for b, _ in out], pa.int64()), "bits": pa.array([x for _, x in out], pa.binary())})
+            own, byte = np.packbits(flags, bitorder="little").tobytes(), base // 8
+            while own:  # rows end where pieces do
+                n = PIECE - byte % PIECE
+                out.append((which, byte, own[:n]))
+                own, byte = own[n:], byte + n
+        return _rows_of_bits(out)
 
     return run
 
 
+def _whole_piece(table: pa.Table) -> pa.Table:
+    """The bits of all buckets in one piece of a bitmap."""
+    base = table["base"].to_numpy()
+    first = int(base.min())
+    out = np.zeros(PIECE - first % PIECE, np.uint8)
+    for a, bits in zip((base - first).tolist(), table["bits"], strict=True):
+        own = np.frombuffer(bits.as_buffer(), np.uint8)
+        out[a : a + len(own)] |= own
+    used = np.flatnonzero(out)
+    return _rows_of_bits([(table["which"][0].as_py(), first, out[: used[-1] + 1].tobytes())] if len(used) else [])
+
+
 def marked_grams(rows: DataFrame, buckets: int, bits: int, split: int) -> list[np.ndarray]:
     """Three bitmaps over the grams' leading bits: several runs, several regions, more than `split` regions.
 
-    Their size is fixed by `bits`; each bucket gives its own stretch of them.
+    Their size is fixed by `bits`. Each bucket gives its own stretch of them; the executors
+    join these to pieces, so the driver gets a row a piece, however many buckets there are.
     """
-    found = rows.mapInArrow(_pairs(buckets), "bucket long, blob binary").groupBy("bucket").applyInArrow(_marker(bits, split), "which int, base long, bits binary")
+    layout = "which int, base long, bits binary"
+    found = rows.mapInArrow(_pairs(buckets), "bucket long, blob binary").groupBy("bucket").applyInArrow(_marker(bits, split), layout)
+    whole = found.groupBy("which", F.floor(F.col("base") / PIECE)).applyInArrow(_whole_piece, layout)
     out = [np.zeros((1 << bits - less) // 8, np.uint8) for less in FEWER]
-    for r in found.collect():
+    for r in whole.collect():
         piece = np.frombuffer(r["bits"], np.uint8)
         out[r["which"]][r["base"] : r["base"] + len(piece)] |= piece
     return out

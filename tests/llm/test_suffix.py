@@ -52,8 +52,12 @@ def local(docs, bits=16, split=256, buckets=8, batch=50):
         for r in sd._pairs(buckets)(iter([b])):
             for x in r.to_pylist():
                 tables[x["bucket"]].append(x)
+    pieces = defaultdict(list)
     for own in tables.values():
         for r in sd._marker(bits, split)(pa.Table.from_pylist(own)).to_pylist():
+            pieces[r["which"], r["base"] // sd.PIECE].append(r)
+    for own in pieces.values():
+        for r in sd._whole_piece(pa.Table.from_pylist(own)).to_pylist():
             piece = np.frombuffer(r["bits"], np.uint8)
             marks[r["which"]][r["base"] : r["base"] + len(piece)] |= piece
 
@@ -118,6 +122,13 @@ def test_long_documents(monkeypatch):
     assert local(docs) == brute(docs)
 
 
+@pytest.mark.parametrize("piece", [1, 48, 4096])
+def test_bitmaps_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(sd, "PIECE", piece)
+    docs = corpus(21)
+    assert local(docs, split=5) == brute(docs)
+
+
 def test_many_regions_of_a_gram():
     """More regions of one gram than were ever compared in pairs, which agree to all depths on both sides."""
     rng = random.Random(4)
