@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A table of at most so many narrow rows may be broadcast.
 BROADCAST_ROWS = 50_000
+#: A table of longer rows may be broadcast up to so many bytes of them.
+BROADCAST_BYTES = 64 << 20
 #: A key of more rows than this, or than one in HOT_KEYS of all, is hot; so there are at most HOT_KEYS of them.
 HOT_ROWS, HOT_KEYS = 1000, 10_000
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,19 +76,32 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def matched(rows: DataFrame, table: DataFrame, key: str | list[str], total: int, how: str = "inner") -> DataFrame:
+def matched(rows: DataFrame, table: DataFrame, key: str | list[str], total: int, how: str = "inner", size: Column | None = None) -> DataFrame:
     """rows joined with the saved table(key, n, ...) on the key, how: inner or left; n goes.
 
     n is how many of the `total` rows have the key. Hot keys are few by that, so they are
     broadcast and their rows stay where they are; only rows of other keys are shuffled.
     rows are read twice, so they should be saved.
+
+    size: bytes of a row of the table, where they have no bound. What would be broadcast then
+    has its bytes summed, and beyond BROADCAST_BYTES is shuffled: a hot key's row is repeated
+    for each HOT_ROWS of its rows, which are dealt out evenly over those.
     """
-    if total <= BROADCAST_ROWS:
+    light = lambda t: size is None or (t.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+    if total <= BROADCAST_ROWS and light(table):
         return rows.join(F.broadcast(table), key, how).drop("n")
+    keys = [key] if isinstance(key, str) else key
     is_hot = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
-    hot = F.broadcast(table.where(is_hot))
-    others = rows.join(hot.select(key), key, "left_anti").join(table.where(~is_hot), key, how)
-    return rows.join(hot, key).unionByName(others).drop("n")
+    hot = table.where(is_hot)
+    names = F.broadcast(hot.select(*keys, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("_parts")))
+    others = rows.join(names, key, "left_anti").join(table.where(~is_hot), key, how)
+    if light(hot):
+        own = rows.join(F.broadcast(hot), key)
+    else:
+        each = hot.withColumn("_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / HOT_ROWS).cast("int") - 1)))
+        dealt = rows.join(names, key).withColumn("_part", F.pmod(F.monotonically_increasing_id(), "_parts").cast("int")).drop("_parts")
+        own = dealt.join(each, [*keys, "_part"]).drop("_part")
+    return own.unionByName(others).drop("n")
 
 
 #: Least and most bits of a bitmap, as powers of 2: the largest has 16 MB.

@@ -60,6 +60,7 @@ MORE = (
 )
 RULES = BASE + MORE
 SPAN = "struct<start:int,rule:int,end:int>"
+SPAN_BYTES = 32
 
 
 LEDGER = f"blob binary, rule string, spans array<{SPAN}>"
@@ -171,7 +172,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     hits = hits.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), place[F.col("rule")].alias("rule"), s["end"].alias("end"))).alias("spans"))
     found = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     found = saved(found.join(each, "blob"), total)
-    out = matched(paths, found, "blob", total, "left")
+    out = matched(paths, found, "blob", total, "left", F.size("spans") * SPAN_BYTES)
     return out.select("doc_id", "blob", F.coalesce("spans", none).alias("spans")), entries
 
 
