@@ -75,6 +75,66 @@ def test_media_round_trip(odd):
         assert r.media_bytes > len(pad) and r.feature.startswith("codec=raw;")
 
 
+def boxes(data):
+    """Kind and body of boxes that fill the bytes to the last one, by the layout of the format alone."""
+    out, at = [], 0
+    while at < len(data):
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8].decode()
+        head = 8
+        if size == 1:
+            size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+        assert head <= size <= len(data) - at, (kind, size)
+        out.append((kind, data[at + head : at + size]))
+        at += size
+    return out
+
+
+def inside(data, *path):
+    """The body of the one box of each kind on the way down."""
+    for kind in path:
+        (data,) = [body for k, body in boxes(data) if k == kind]
+    return data
+
+
+def numbers(body, width=4):
+    return [int.from_bytes(body[k : k + width], "big") for k in range(0, len(body), width)]
+
+
+def read_independently(data):
+    """Payload and feature of a stored text, read without the operator's reader."""
+    assert [k for k, _ in boxes(data)] == ["ftyp", "moov", "mdat"]
+    media_ = ("moov", "trak", "mdia")
+    table = lambda kind: inside(data, *media_, "minf", "stbl", kind)
+    head = inside(data, *media_, "mdhd")
+    scale, duration = numbers(head[20:24])[0], numbers(head[24:32], 8)[0]  # version 1
+    assert head[0] == 1 and table("stsd")[4:8] == bytes([0, 0, 0, 1])
+    codec = boxes(table("stsd")[8:])[0][0]
+    size, n = numbers(table("stsz")[4:12])
+    runs = numbers(table("stts")[8:])
+    assert sum(runs[::2]) == n and sum(a * b for a, b in zip(runs[::2], runs[1::2])) == duration
+    places = numbers(table("stco")[8:])
+    chunk_runs = numbers(table("stsc")[8:])
+    per_chunk = {}
+    for first, count, entry in zip(*(chunk_runs[k::3] for k in range(3))):
+        assert entry == 1
+        per_chunk |= {c: count for c in range(first, len(places) + 1)}
+    at = [place + k * size for c, place in enumerate(places, 1) for k in range(per_chunk[c])]
+    assert len(at) == n
+    keys = [at[k - 1] for k in numbers(table("stss")[8:])]
+    feature = f"codec={codec.strip()};seconds={duration / scale:.6f};samples={n};keyframes={','.join(f'{k}-{k + size}' for k in keys)}"
+    return b"".join(data[a : a + size] for a in at), feature
+
+
+def test_media_by_an_independent_reader(spark):
+    texts = ["", "a", "x" * 192, "é" * 97, "word " * 2500, "long " * 100_000]
+    for r in media.stored_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        raw = texts[r.doc_id].encode()
+        pad = raw + b" " * ((-len(raw)) % 192 or (0 if raw else 192))
+        data = media.store(pad)
+        assert (r.media_bytes, r.media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
+        assert read_independently(data) == (pad, r.feature)
+
+
 def test_media_index(spark):
     pay = random.Random(1).randbytes(192 * 133)
     data = media.store(pay)

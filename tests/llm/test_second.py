@@ -254,6 +254,81 @@ def test_generated_entities(spark):
     assert not other & {r.text for r in got.values() if r.n_entities}  # a key of its own for each call
 
 
+PARTICLES = {"latin": ["van", "van der", "de la", "bin"], "cyrillic": []}
+LETTERS = {"latin": "abcdeéöñsłt", "cyrillic": "абвгдеийкл"}
+TITLED = {("m", "latin"): ["Mr", "Herr", "Señor"], ("f", "latin"): ["Mrs", "Frau", "Mme"], ("", "latin"): ["Dr", "Prof"], ("m", "cyrillic"): ["Господин", "Г-н"], ("f", "cyrillic"): ["Госпожа", "Г-жа"], ("", "cyrillic"): ["Dr"]}
+
+
+def test_generated_names(spark):
+    """Names of both scripts with titles, initials, particles, hyphens and marks: words around them stay, each word has one surrogate everywhere, of its script and gender."""
+    rng = random.Random(23)
+    pool = {}
+    for script, letters_ in LETTERS.items():
+        words = {"".join(rng.choice(letters_) for _ in range(rng.randrange(4, 9))).title() for _ in range(70)}
+        pool[script] = sorted(words) + (["O'Neill", "McKay", "D'Acosta", "Œuvrard"] if script == "latin" else [])
+    docs, genders, titled, expected = [], defaultdict(set), set(), []
+    for i in range(250):
+        parts, own, marks = [], set(), []
+        for _ in range(rng.randrange(1, 9)):
+            script = rng.choice(["latin", "latin", "cyrillic"])
+            kind = rng.random()
+            if kind < 0.5:
+                g = rng.choice(["m", "f", ""])
+                tokens = [rng.choice(pool[script])]
+                if rng.random() < 0.4:
+                    tokens.append(" " + rng.choice("АБВ" if script == "cyrillic" else "JKÉ") + ". ")
+                elif PARTICLES[script] and rng.random() < 0.4:
+                    tokens.append(" " + rng.choice(PARTICLES[script]) + " ")
+                else:
+                    tokens.append(rng.choice([" ", "-"]))
+                tokens.append(rng.choice(pool[script]))
+                if rng.random() < 0.2:
+                    tokens = tokens[:1]
+                if g:
+                    genders[tokens[0]].add(g)
+                own |= {tokens[0], tokens[-1]}
+                parts.append(rng.choice(TITLED[g, script]) + rng.choice([" ", ". "]) + "".join(tokens))
+                marks.append("name")
+            elif kind < 0.75 and own:
+                parts.append(" ".join(rng.choice(sorted(own)) for _ in range(rng.randrange(1, 3))))
+                marks.append("again")
+            else:
+                free = [w for w in pool[script] if w not in own]
+                parts.append(rng.choice(["they met", "и вот", rng.choice(free)]))
+                marks.append("word")
+        titled |= own
+        marks = ["again" if m == "word" and p in own else m for m, p in zip(marks, parts)]  # a title that comes later counts too
+        docs.append((i, " | ".join(parts)))
+        expected.append(marks)
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(docs, "doc_id long, text string"), key="test").collect()}
+    made, split = {}, re.compile(r"(\.? |-)")
+    every = {w for own in pool.values() for w in own}
+    for (i, text), marks in zip(docs, expected):
+        new = got[i].text.split(" | ")
+        assert got[i].n_name == got[i].n_entities == sum(m != "word" for m in marks), (text, got[i].text)
+        for old, out, mark in zip(text.split(" | "), new, marks, strict=True):
+            if mark == "word":
+                assert out == old
+                continue
+            a, b = split.split(old), split.split(out)
+            assert len(a) == len(b), (old, out)
+            for x, y in zip(a, b):
+                if x in every:
+                    assert made.setdefault(x, y) == y and y not in every
+                    assert re.fullmatch("[А-Я][а-я]+" if re.match("[А-Я]", x) else "[A-Z][a-z]+", y), (x, y)
+                elif x in set("JKÉАБВ"):
+                    assert len(y) == 1 and y.isupper() and (x in "АБВ") == (y >= "А")
+                else:
+                    assert x == y  # titles, particles, what stands between
+    assert set(made) == titled and len(set(made.values())) == len(made) > 100
+    for w, new in made.items():
+        end = {"m": ("n", "н"), "f": ("na", "на")}
+        told = genders[w]
+        assert len(told) != 1 or new.endswith(end[min(told)]), (w, new)
+        assert len(told) == 1 or not new.endswith(end["m"]), (w, new)
+    assert {len(genders[w]) for w in made} == {0, 1, 2}
+
+
 def test_streams_are_hmacs(spark):
     for key in ("k", "x" * 200):
         row = spark.range(1).select(pii._stream(key, F.lit("email"), F.lit("a@b.c"), F.lit(3)).alias("s")).first()
@@ -487,6 +562,11 @@ def test_hot_keys_join_alike(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
     assert sorted(map(str, common.matched(rows, table, "k", 3000, "left").collect())) == want
     assert common.matched(rows, table, "k", 3000).count() == rows.where("k <> 7").count()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)  # the hot key's row is too long as well
+    long_ = common.matched(rows, table, "k", 3000, "left", F.lit(8))
+    assert sorted(map(str, long_.collect())) == want and long_.columns == ["k", "id", "m"]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10_000)
+    assert sorted(map(str, common.matched(rows, table, "k", 3000, "left", F.lit(8)).collect())) == want
 
 
 @pytest.mark.parametrize("radius", [0, 1, 3, 4, 7])
