@@ -93,12 +93,13 @@ def matched(rows: DataFrame, table: DataFrame, key: str | list[str], total: int,
     keys = [key] if isinstance(key, str) else key
     is_hot = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
     hot = table.where(is_hot)
-    names = F.broadcast(hot.select(*keys, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("_parts")))
-    others = rows.join(names, key, "left_anti").join(table.where(~is_hot), key, how)
+    others = rows.join(F.broadcast(hot).select(key), key, "left_anti").join(table.where(~is_hot), key, how)
     if light(hot):
         own = rows.join(F.broadcast(hot), key)
     else:
-        each = hot.withColumn("_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / HOT_ROWS).cast("int") - 1)))
+        parts = F.ceil(F.col("n") / HOT_ROWS).cast("int")
+        names = F.broadcast(hot.select(*keys, parts.alias("_parts")))
+        each = hot.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
         dealt = rows.join(names, key).withColumn("_part", F.pmod(F.monotonically_increasing_id(), "_parts").cast("int")).drop("_parts")
         own = dealt.join(each, [*keys, "_part"]).drop("_part")
     return own.unionByName(others).drop("n")
