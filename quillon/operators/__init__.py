@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,33 @@ def provider_filter(df: DataFrame, column: str, name: str, required: bool = Fals
     return out
 
 
+def choose_provider(catalogue: DataFrame, name: str, options: Mapping[str, str] | None = None) -> dict[str, object]:
+    """The catalogue's row of this name with the options given to it, as a dict. An unknown provider, or an option that it does not take, is an error."""
+    row = provider_filter(catalogue, "ep_name", name, required=True).first()
+    given = dict(options or {})
+    if unknown := sorted(set(given) - set(row["options"])):
+        raise LookupError(f"provider {name} takes no option {', '.join(unknown)}")
+    return row.asDict() | {"options": given}
+
+
+def run_on(provider: Mapping[str, object], vectors: DataFrame, weights: Sequence[Sequence[float]], quantization: tuple[float, int, int, int] = (1 / 128, 3, -128, 127), value: str = "embedding", out: str = "y") -> DataFrame:
+    """vector x weights by what choose_provider gave; both providers sum in index order, so they agree to the bit.
+
+    `spark` multiplies in expressions where the weights fit a plan, `arrow` always in Python workers,
+    `batch_rows` vectors at once. With quantize_io = 1 the input is quantized and brought back first,
+    by (scale, zero_point, lo, hi); 0, the default, leaves it as it is.
+    """
+    options, rows = provider["options"], str(provider["options"].get("batch_rows", "0"))
+    if options.get("quantize_io", "0") not in ("0", "1") or not rows.isdecimal():
+        raise ValueError(f"quantize_io is 0 or 1, batch_rows a number: {options}")
+    held = vectors.withColumn("_x", F.col(value))
+    if options.get("quantize_io") == "1":
+        held = held.withColumn("_x", F.transform("_x", lambda v: Q.dequantize(Q.quantize(v, *quantization), *quantization[:2])))
+    if provider["ep_name"] == "arrow":
+        return held.withColumn(out, _batched(vectors, weights, int(rows))(F.col("_x"))).drop("_x")
+    return matmul(held, weights, "_x", out).drop("_x")
+
+
 def matmul(vectors: DataFrame, weights: Sequence[Sequence[float]], value: str = "embedding", out: str = "y") -> DataFrame:
     """vector x weights as an array column, in place: no shuffle.
 
@@ -51,8 +78,8 @@ def matmul(vectors: DataFrame, weights: Sequence[Sequence[float]], value: str =
     return vectors.withColumn(out, F.when(F.size(value) == rows, product))
 
 
-def _batched(vectors: DataFrame, weights: Sequence[Sequence[float]]) -> Callable:
-    """A function of a vector column that multiplies by broadcast weights, a batch of vectors at once."""
+def _batched(vectors: DataFrame, weights: Sequence[Sequence[float]], batch_rows: int = 0) -> Callable:
+    """A function of a vector column that multiplies by broadcast weights, a batch of vectors at once: an Arrow batch, or batch_rows of it."""
     shared = vectors.sparkSession.sparkContext.broadcast(np.asarray(weights, dtype=np.float64))
 
     def product(values: pd.Series) -> pd.Series:
@@ -63,8 +90,10 @@ def _batched(vectors: DataFrame, weights: Sequence[Sequence[float]]) -> Callable
             x = np.array([[np.nan if e is None else e for e in v] for v in values[fits]], dtype=np.float64)
             missing = np.array([any(e is None for e in v) for v in values[fits]])
             y = np.zeros((len(x), w.shape[1]))
-            for i in range(len(w)):  # in index order, as the fold in place
-                y += x[:, i, None] * w[i]
+            for k in range(0, len(x), batch_rows or len(x)):
+                part = slice(k, k + (batch_rows or len(x)))
+                for i in range(len(w)):  # in index order, as the fold in place
+                    y[part] += x[part, i, None] * w[i]
             for at, row, unknown in zip(np.flatnonzero(fits), y, missing, strict=True):
                 result[at] = [None] * w.shape[1] if unknown else row
         return pd.Series(result)
@@ -156,6 +185,39 @@ def batch_inference(df: DataFrame, make_predict: Callable, value: str = "embeddi
     return df.withColumn(out, udf(F.col(value)))
 
 
+#: Bytes of a model that are sent to the workers; a larger one is an error.
+MODEL_BYTES = 1 << 28
+
+
+def save_model(weights: DataFrame, path: str) -> None:
+    """weights(i, j, w) as a model: one Parquet file in the folder `path`. Their size is checked when they are loaded."""
+    weights.select(F.col("i").cast("int"), F.col("j").cast("int"), F.col("w").cast("float")).coalesce(1).write.parquet(path)
+
+
+def load_model(model: DataFrame, most: int = MODEL_BYTES) -> Callable:
+    """What batch_inference asks for, of a model in one blob, as sources.blob gives it.
+
+    The blob's length is looked at before its content; beyond `most` bytes, or with other than one
+    blob, it is an error. Its bytes are broadcast, and each worker makes its weights of them once.
+    """
+    found = model.select("path", "length").limit(2).collect()
+    if len(found) != 1 or found[0]["length"] > most:
+        raise ValueError(f"a model is one blob of up to {most} bytes; found {[r['length'] for r in found]}")
+    shared = model.sparkSession.sparkContext.broadcast(bytes(model.select("content").first()["content"]))
+
+    def make() -> Callable:
+        import io
+
+        import pyarrow.parquet as pq
+
+        cells = pq.read_table(io.BytesIO(shared.value)).to_pandas()
+        w = np.zeros((cells["i"].max() + 1, cells["j"].max() + 1), dtype=np.float32)
+        w[cells["i"], cells["j"]] = cells["w"]
+        return lambda x: x @ w
+
+    return make
+
+
 def pick_output(df: DataFrame, position: int) -> DataFrame:
     """The column at a position; IndexError if there is none."""
     return df.select(F.col(f"`{df.columns[position]}`"))

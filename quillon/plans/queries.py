@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon import functions as Q
 from quillon import operators as O
 from quillon import sources as S
-from quillon.session import Registry
+from quillon.session import Registry, shared_folder
 
 SCALE, ZERO_POINT, LO, HI = 1 / 128, 3, -128, 127
 WIDTH = 64
@@ -92,21 +93,23 @@ def self_check(spark: SparkSession, d: str) -> DataFrame:
     return O.tolerance_check(y, "y", "expected").select("case_id", "y", "max_error", "pass")
 
 
-def _same(width: int):
-    def make():
-        import numpy as np
-
-        eye = np.eye(width, dtype=np.float32)
-        return lambda x: x @ eye
-
-    return make
-
-
 def batch_inference(spark: SparkSession, d: str) -> DataFrame:
-    y = O.batch_inference(S.vectors(spark, d), _same(WIDTH), width=WIDTH)
+    """A model saved from the table's first vectors, quantized, and read as a blob, applied to all vectors, brought back from theirs; float32 sums of these are exact."""
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    first = _qdq(spark, d).where(F.col("vec_id") < WIDTH)
+    O.save_model(first.select(F.posexplode("q").alias("i", "w"), F.col("vec_id").alias("j")), path)
+    model = O.load_model(S.blob(spark, f"{path}/*.parquet"))
+    y = O.batch_inference(_qdq(spark, d).withColumn("dq", F.col("dq").cast("array<float>")), model, "dq", width=WIDTH)
     return y.select("vec_id", F.posexplode("y").alias("i", "y"))
 
 
+def provider_run(spark: SparkSession, d: str) -> DataFrame:
+    """The dense product by the provider that is asked for, with its options."""
+    provider = O.choose_provider(S.providers(spark), "arrow", {"quantize_io": "1", "batch_rows": "512"})
+    y = O.run_on(provider, S.vectors(spark, d), dense_weights(), (SCALE, ZERO_POINT, LO, HI))
+    return y.select("vec_id", F.posexplode("y").alias("j", "y"))
+
+
 def elementwise_error(spark: SparkSession, d: str) -> DataFrame:
     e = _qdq(spark, d).withColumn("e", Q.errors(F.col("dq"), F.col("embedding")))
     return e.select("vec_id", F.posexplode("e").alias("i", "error"))
@@ -226,7 +229,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (tensor_scan, row_pick, provider_filter, matmul_identity, matmul_dense, qdq_roundtrip, qdq_max_error, tolerance_check, max_abs_fold, error_by_label, array_render, status_report, self_check, batch_inference, elementwise_error, edge_cases, lenient_pick, durations, rendered, signature, output_pick, failures, environment, blob_scan, registered_function, texts, flagship)
+    for f in (tensor_scan, row_pick, provider_filter, matmul_identity, matmul_dense, qdq_roundtrip, qdq_max_error, tolerance_check, max_abs_fold, error_by_label, array_render, status_report, self_check, batch_inference, provider_run, elementwise_error, edge_cases, lenient_pick, durations, rendered, signature, output_pick, failures, environment, blob_scan, registered_function, texts, flagship)
 }
 
 _ELEMENTS = "SELECT vec_id, label, CAST(unnest(range(64)) AS INTEGER) AS i, unnest(embedding) AS v FROM embeddings"
@@ -260,7 +263,8 @@ ORACLES: dict[str, str] = {
     "self_check": """
         SELECT CAST(0 AS BIGINT) AS case_id, [1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, 4.0::DOUBLE] AS y, 0.0::DOUBLE AS max_error, true AS pass
         UNION ALL SELECT vec_id + 1, CAST(embedding[1:4] AS DOUBLE[]), 0.0::DOUBLE, true FROM embeddings""",
-    "batch_inference": f"SELECT vec_id, i, v AS y FROM ({_ELEMENTS})",
+    "batch_inference": f"SELECT a.vec_id, CAST(m.vec_id AS INTEGER) AS i, CAST(sum(a.dq * m.q) AS FLOAT) AS y FROM ({_DQ}) a JOIN ({_Q}) m USING (i) WHERE m.vec_id < {WIDTH} GROUP BY ALL",
+    "provider_run": f"SELECT vec_id, CAST(j AS INTEGER) AS j, sum(dq * (((i * 7 + j * 3) % 11 - 5) / 8.0::DOUBLE)) AS y FROM ({_DQ}) CROSS JOIN range(64) AS c(j) GROUP BY vec_id, j",
     "elementwise_error": f"SELECT vec_id, i, abs(dq - CAST(v AS DOUBLE)) AS error FROM ({_DQ})",
     "edge_cases": f"""
         SELECT case_id, coalesce(len(output) >= len(expected) AND len(list_filter(errs, lambda e: e IS NULL OR isnan(e) OR e > {Q.TOLERANCE})) = 0, false) AS pass_strict,

@@ -41,9 +41,10 @@ def self_check(spark: SparkSession) -> DataFrame:
 
 
 def providers(spark: SparkSession) -> DataFrame:
-    """The catalogue of what can execute a plan here."""
+    """The catalogue of what can execute a plan here, and the options that each takes: expressions in the engine, or Python workers fed by Arrow."""
     sc = spark.sparkContext
-    return spark.createDataFrame([("spark", sc.master, sc.defaultParallelism)], "ep_name string, device string, slots int")
+    rows = [("spark", sc.master, sc.defaultParallelism, ["quantize_io"]), ("arrow", sc.master, sc.defaultParallelism, ["quantize_io", "batch_rows"])]
+    return spark.createDataFrame(rows, "ep_name string, device string, slots int, options array<string>")
 
 
 def runtime(spark: SparkSession) -> DataFrame:

@@ -24,7 +24,7 @@ def test_query_matches_sql(spark, sf, name):
     assert_same(core.QUERIES[name](spark, sf), sf, core.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - {"batch_inference"}))
+@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - {"batch_inference", "provider_run"}))
 def test_queries_stay_native(spark, sf, name):
     plans.require_native(core.QUERIES[name](spark, sf))
 
@@ -216,3 +216,52 @@ def test_start_sets_environment_and_options():
     import pyspark
 
     assert out == ["/opt/lib", "7", "UTC", pyspark.__version__, "None"]
+
+
+def test_model_is_loaded_from_a_blob(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    w = rng.integers(-8, 9, (6, 3)) / 4
+    cells = spark.createDataFrame([(i, j, float(w[i][j])) for i in range(6) for j in range(3)], "i int, j int, w double")
+    O.save_model(cells, str(tmp_path / "m"))
+    blob = S.blob(spark, f"{tmp_path}/m/*.parquet")
+    x = rng.integers(-8, 9, (40, 6)) / 2
+    df = S.cases(spark, [(i, v.tolist(), None) for i, v in enumerate(x)]).repartition(3)
+    got = {r.case_id: r.y for r in O.batch_inference(df, O.load_model(blob), "input", width=6, batch_size=7).collect()}
+    assert all(got[i] == (x[i] @ w).tolist() for i in range(40))
+    with pytest.raises(ValueError, match="up to 10 bytes"):
+        O.load_model(blob, most=10)
+    with pytest.raises(ValueError, match="one blob"):
+        O.load_model(blob.union(blob))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        O.load_model(S.blob(spark, str(tmp_path / "none")))
+
+
+def test_providers_and_options(spark, sf):
+    w, v = core.dense_weights(), S.vectors(spark, sf)
+    catalogue, runs = S.providers(spark), {}
+    for name, options in (("spark", {}), ("arrow", {"batch_rows": "7"}), ("spark", {"quantize_io": "1"}), ("arrow", {"quantize_io": "1"}), ("arrow", {"quantize_io": "0"})):
+        chosen = O.choose_provider(catalogue, name, options)
+        assert chosen["ep_name"] == name and chosen["options"] == options and chosen["slots"] > 0
+        df = O.run_on(chosen, v, w)
+        assert df.columns == v.columns + ["y"] and bool(plans.python_nodes(df)) == (name == "arrow")
+        runs.setdefault(options.get("quantize_io", "0"), []).append({r.vec_id: r.y for r in df.select("vec_id", "y").collect()})
+    assert all(a == same[0] for same in runs.values() for a in same) and runs["0"][0] != runs["1"][0]
+    with pytest.raises(LookupError, match="no provider named npu"):
+        O.choose_provider(catalogue, "npu")
+    with pytest.raises(LookupError, match="takes no option batch_rows, x"):
+        O.choose_provider(catalogue, "spark", {"x": "1", "batch_rows": "2"})
+    with pytest.raises(ValueError, match="quantize_io"):
+        O.run_on(O.choose_provider(catalogue, "spark", {"quantize_io": "yes"}), v, w)
+
+
+def test_error_log(spark, caplog):
+    """What the log holds after a failure: a level, the message, the error with its trace."""
+    wrong = S.cases(spark, [(0, [2.0], [1.0])])
+    with caplog.at_level("INFO", "quillon"):
+        O.guarded_report(lambda: O.tolerance_check(wrong, "input", "expected", strict=True), spark)
+        teardown(("cache", lambda: 1 / 0))
+        O.log_rows(wrong.select("case_id"))
+    check, step, row = [r for r in caplog.records if r.name == "quillon"]
+    assert (check.levelname, check.getMessage()) == ("ERROR", "check failed") and "Validation failed" in str(check.exc_info[1])
+    assert (step.levelname, step.getMessage(), step.exc_info[0]) == ("ERROR", "teardown step cache", ZeroDivisionError)
+    assert (row.levelname, row.getMessage()) == ("INFO", "{'case_id': 0}")
