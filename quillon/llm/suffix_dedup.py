@@ -10,9 +10,10 @@ windows with one anchor form a run; all of its bytes are its region.
 
 Pass 1 deals runs by gram and finds grams with several runs. They are marked in bitmaps of
 a fixed size. Pass 2 deals the runs of marked grams into buckets. Runs with equal regions
-fall to the first of them, already in the map task; two are taken to be equal if the 64-bit
-hashes of their grams and those of their whole regions are. Where the regions of a gram
-differ, the suffixes from the anchors on are sorted: multikey quicksort over 8-byte
+fall to the first of them, already in the map task: those with the same 64-bit hashes of
+gram and region, whose bytes are then compared. Only where all regions of a gram have one
+hash are no bytes sent, so that runs of different tasks are equal by these 128 bits.
+Where the regions of a gram differ, the suffixes from the anchors on are sorted: multikey quicksort over 8-byte
 characters, in which every open group is parted into smaller, equal and larger ones at
 once, to a shallow depth, and blind tries for the groups that still agree; the reversed
 prefixes before the anchors likewise. Common prefixes of sorted neighbours cut both orders
@@ -20,7 +21,8 @@ into intervals of rows that agree to a depth. Windows with b bytes before the an
 equal exactly if they share an interval of depth MIN - b to the right and one of depth b
 to the left, so one look at each b tells the first row of every window, however many
 regions a gram has; no pairs are made. A gram of more than SPLIT regions would be too much
-for a bucket: its windows are dealt one by one, by two hashes of their own, 128 bits.
+for a bucket, so its windows are dealt one by one, by a hash of their own, and sorted in
+their buckets the same way: equal ones are neighbours that agree in MIN bytes.
 
 A full bitmap costs speed, not results: with more repeated grams than bits, pass 2 deals
 all runs, with their regions, rather than those that may be repeats.
@@ -35,7 +37,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +57,8 @@ BITS, BUCKETS = (20, 28), 8
 FEWER = (0, 2, 5)
 #: Bytes compared by quicksort before tries take over.
 SHALLOW = 32
-#: Regions of a gram beyond which its windows are dealt one by one.
-SPLIT = 32768
+#: Regions of a gram beyond which its windows are dealt one by one; windows that are sorted at once.
+SPLIT, SLICE = 32768, 1 << 20
 #: Bytes of input for which there is a bucket at least.
 BUCKET_BYTES = 1 << 26
 #: Bytes of a bitmap that a row brings to the driver.
@@ -296,8 +298,11 @@ def _spans(key: np.ndarray, mark: np.ndarray, place: np.ndarray, size) -> tuple[
     return key, mark, place, place + size
 
 
-def _firsts(gram: np.ndarray, region: np.ndarray, *where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by the hashes and then where: key, mark, place; which rows are first of their hashes; which repeat an earlier place."""
+def _firsts(gram: np.ndarray, region: np.ndarray, *where: np.ndarray, text: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by the hashes and then where: key, mark, place; which rows are first of their bytes; which repeat an earlier place.
+
+    Rows of the same hashes as the first, but with another text, count as first ones too.
+    """
     order = np.lexsort((*reversed(where), region, gram))
     lead = np.zeros(len(order), bool)
     lead[:1] = True
@@ -305,26 +310,34 @@ def _firsts(gram: np.ndarray, region: np.ndarray, *where: np.ndarray) -> tuple[n
         lead[1:] |= x[order][1:] != x[order][:-1]
     at = np.flatnonzero(lead)
     head = np.repeat(order[at], np.diff(np.append(at, len(order))))
+    later = np.flatnonzero(~lead)
+    lead[later] = [text(i) != text(j) for i, j in zip(order[later].tolist(), head[later].tolist(), strict=True)]
     again = np.zeros(len(order), bool)
     for x in where:
         again |= x[order] != x[head]
-    return order, lead, again
+    return order, lead, again & ~lead
 
 
 def _windows(c: Chunk, part: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each window of some runs by itself, under its own hashes."""
+    """Each window of some runs by itself: gram, hash, key, mark, place, where it starts in the chunk."""
     count = c.count[part]
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     part = np.repeat(part, count)
-    whole = [c.data[a : a + MIN] for a in (c.first[part] + step).tolist()]
-    hashes = (np.array([xxhash.xxh64_intdigest(w, seed) for w in whole], dtype=np.uint64) for seed in (1, 2))
-    return *hashes, c.key[part], c.mark[part], c.place[part] + step
+    start = c.first[part] + step
+    hashes = np.fromiter((xxhash.xxh64_intdigest(c.data[a : a + MIN]) for a in start.tolist()), np.uint64, len(start))
+    return c.gram[part], hashes, c.key[part], c.mark[part], c.place[part] + step, start
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["bucket", "kind", "blob", "bytes"])
 
 
 def _dealer(buckets: int, shared):
     """Rows (bucket, kind, blob, bytes): kind 0 repeats for certain, 1 runs, 2 single windows.
 
-    Of runs with equal regions in a batch, only the first goes on.
+    Of runs with equal regions in a batch, only the first goes on, and of equal windows.
     """
 
     def run(batches):
@@ -337,16 +350,27 @@ def _dealer(buckets: int, shared):
                 p = on[~split]
                 runs.append((c.gram[p], c.region[p], c.key[p], c.mark[p], c.place[p], c.count[p], c.offset[p], c.first[p], np.full(len(p), k)))
                 if split.any():
-                    windows.append(_windows(c, on[split]))
+                    windows.append((k, _windows(c, on[split])))
             if windows:
-                hashes = [np.concatenate(x) for x in zip(*windows, strict=True)]
-                order, lead, repeat = _firsts(*hashes)
+                chunk = np.repeat([k for k, _ in windows], [len(w[0]) for _, w in windows])
+                gram, hashes, key, mark, place, start = (np.concatenate(x) for x in zip(*(w for _, w in windows), strict=True))
+                text = lambda i: own[chunk[i]].data[start[i] : start[i] + MIN]
+                order, lead, repeat = _firsts(gram, hashes, key, mark, place, text=text)
                 o = order[repeat]
-                gone.append(_spans(*(x[o] for x in hashes[2:]), MIN))
+                gone.append(_spans(key[o], mark[o], place[o], MIN))
                 keep = order[lead]
-                rows += [(b, 2, packed(blob), None) for b, blob in _blobs(bucket_of(hashes[0][keep], buckets), [x[keep] for x in hashes])]
+                keep = keep[np.argsort(hashes[keep], kind="stable")]
+                held = a = 0
+                for b, blob in _blobs(bucket_of(hashes[keep], buckets), [x[keep] for x in (hashes, key, mark, place)]):
+                    stop = a + len(blob) // 32
+                    rows.append((b, 2, packed(blob), packed(b"".join(map(text, keep[a:stop].tolist())))))
+                    a, held = stop, held + len(rows[-1][2]) + len(rows[-1][3])
+                    if held > TOGETHER:
+                        yield _dealt(rows)
+                        rows, held = [], 0
             gram, region, key, mark, place, count, offset, first, chunk = (np.concatenate(x) for x in zip(*runs, strict=True))
-            order, lead, repeat = _firsts(gram, region, key, mark, place)
+            reach = first + count + MIN - 1
+            order, lead, repeat = _firsts(gram, region, key, mark, place, text=lambda i: own[chunk[i]].data[first[i] : reach[i]])
             o = order[repeat]
             gone.append(_spans(key[o], mark[o], place[o], count[o] + MIN - 1))
             keep = order[lead]
@@ -363,9 +387,7 @@ def _dealer(buckets: int, shared):
             spans = merged(*(np.concatenate(x) for x in zip(*gone, strict=True)))
             if len(spans[0]):
                 rows.append(((int(spans[0][0]) * 31 + turn) % buckets, 0, packed(b"".join(x.tobytes() for x in spans)), None))
-            types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["bucket", "kind", "blob", "bytes"])
+            yield _dealt(rows)
 
     return run
 
@@ -519,6 +541,27 @@ def repeated_windows(group: np.ndarray, regions: list[bytes], offset: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def equal_windows(hashes: np.ndarray, text: bytes, slice_: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first row) of windows that an earlier row also has; row i has MIN bytes of the text. Rows of one hash are sorted together."""
+    whole = np.frombuffer(text, np.uint8).reshape(-1, MIN)
+    by = np.argsort(hashes, kind="stable")
+    fresh = np.flatnonzero(np.append(True, hashes[by][1:] != hashes[by][:-1]))
+    out, a = [(by[:0], by[:0])], 0
+    while a < len(by):
+        b = np.searchsorted(fresh, a + slice_)
+        stop = int(fresh[b]) if b < len(fresh) else len(by)
+        own = by[a:stop]
+        rows = np.zeros((len(own), WIDE), np.uint8)
+        rows[:, :MIN] = whole[own]
+        order = deep_shallow(rows, np.cumsum(np.append(True, hashes[own][1:] != hashes[own][:-1])))
+        new = neighbour_lcp(rows, order) < MIN
+        at = np.flatnonzero(new)
+        first = np.repeat(order[at], np.diff(np.append(at, len(order))))
+        out.append((own[order[~new]], own[first[~new]]))
+        a = stop
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _judge(table: pa.Table) -> pa.Table:
     """Repeats in a bucket: key, mark and the interval as start << 32 | end."""
     kind = table["kind"].to_numpy()
@@ -527,16 +570,27 @@ def _judge(table: pa.Table) -> pa.Table:
     def columns(which: int, kinds: str) -> list[np.ndarray]:
         return _columns([unpacked(blobs[int(i)].as_py()) for i in np.flatnonzero(kind == which)], kinds)
 
+    def texts(which: int) -> bytes:
+        return b"".join(unpacked(extra[int(i)].as_py()) for i in np.flatnonzero(kind == which))
+
     gone = [tuple(columns(0, "iiii"))]
-    hashes = columns(2, "uuiii")
-    if len(hashes[0]):
-        order, _, repeat = _firsts(*hashes)
-        o = order[repeat]
-        gone.append(_spans(*(x[o] for x in hashes[2:]), MIN))
+    hashes, *where = columns(2, "uiii")
+    if len(hashes):
+        order = np.lexsort(where[::-1])  # by place: the first of equal ones stays
+        placed = np.frombuffer(texts(2), np.uint8).reshape(-1, MIN)[order].tobytes()
+        row, head = equal_windows(hashes[order], placed)
+        row, head = order[row], order[head]
+        on = np.zeros(len(row), bool)
+        for x in where:
+            on |= x[row] != x[head]
+        gone.append(_spans(*(x[row[on]] for x in where), MIN))
     gram, region, key, mark, place, about = columns(1, "uuiiii")
     if len(gram):
         count, offset, needs = about >> 32, about >> 16 & 0xFFFF, about & 1
-        order, lead, repeat = _firsts(gram, region, key, mark, place)
+        size = np.where(needs == 1, count + MIN - 1, 0)
+        end, data = np.cumsum(size), texts(1)
+        begin = end - size
+        order, lead, repeat = _firsts(gram, region, key, mark, place, text=lambda i: data[begin[i] : end[i]])
         o = order[repeat]
         gone.append(_spans(key[o], mark[o], place[o], count[o] + MIN - 1))
         first = order[lead]
@@ -547,11 +601,8 @@ def _judge(table: pa.Table) -> pa.Table:
         same[1:-1] = g[1:] == g[:-1]
         first = first[same[:-1] | same[1:]]
         if len(first):
-            size = np.where(needs == 1, count + MIN - 1, 0)
-            end = np.cumsum(size)
-            data = b"".join(unpacked(extra[int(i)].as_py()) for i in np.flatnonzero(kind == 1))
             group = np.cumsum(np.append(True, gram[first][1:] != gram[first][:-1]))
-            regions = [data[e - n : e] for e, n in zip(end[first].tolist(), size[first].tolist(), strict=True)]
+            regions = [data[a:e] for a, e in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
             row, a, b = repeated_windows(group, regions, offset[first], count[first])
             o = first[row]
             gone.append(_spans(key[o], mark[o], place[o] + a, b - a + MIN))

@@ -129,6 +129,38 @@ def test_bitmaps_in_pieces(monkeypatch, piece):
     assert local(docs, split=5) == brute(docs)
 
 
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    """With eight hashes for all windows of crowded grams the result is the same, since their bytes decide."""
+    docs, plain = corpus(3), sd._windows
+
+    def weak(c, part):
+        gram, hashes, *rest = plain(c, part)
+        return gram, hashes & np.uint64(7), *rest
+
+    monkeypatch.setattr(sd, "_windows", weak)
+    assert local(docs, split=2) == brute(docs)
+
+
+@pytest.mark.parametrize("slice_", [1, 7, 1 << 20])
+def test_equal_windows(slice_):
+    rng = np.random.default_rng(8)
+    kinds = [bytes([65 + k // 3]) * (10 * (k % 3) + 40) + bytes([97 + k]) * 1 + b"z" * (59 - 10 * (k % 3)) for k in range(12)]
+    pick = rng.integers(0, len(kinds), 300)
+    hashes = (pick % 4).astype(np.uint64)
+    row, head = sd.equal_windows(hashes, b"".join(kinds[k] for k in pick), slice_)
+    firsts = {}
+    want = {(i, firsts[k]) for i, k in enumerate(pick.tolist()) if firsts.setdefault(k, i) != i}
+    assert set(zip(row.tolist(), head.tolist(), strict=True)) == want
+    assert not len(sd.equal_windows(hashes[:0], b"", slice_)[0])
+
+
+def test_regions_of_one_hash_are_told_apart():
+    texts = [b"a", b"b", b"a", b"b", b"a"]
+    one = np.zeros(5, np.uint64)
+    order, lead, again = sd._firsts(one, one, np.arange(5), text=texts.__getitem__)
+    assert order.tolist() == [0, 1, 2, 3, 4] and lead.tolist() == [True, True, False, True, False] and again.tolist() == [False, False, True, False, True]
+
+
 def test_many_regions_of_a_gram():
     """More regions of one gram than were ever compared in pairs, which agree to all depths on both sides."""
     rng = random.Random(4)
