@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,8 @@ def _streamed(spark: SparkSession, d: str, make: Callable[..., DataFrame], gap_s
     own = state.stateful_session(spark)
     events = S.table(own, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("long").alias("cents"))
     width = state.slices(own, events, f"{root}/in", "ts", SLICES, gap_s)
-    state.run(make(state.stream_of(own, f"{root}/in", events.schema), "user_id", "ts", gap_s, width, "cents"), f"{root}/out", f"{root}/checkpoint")
+    files = state.files_a_batch(own, f"{root}/in", events.schema, SLICES + 1)
+    state.run(make(state.stream_of(own, f"{root}/in", events.schema, files), "user_id", "ts", gap_s, width, "cents"), f"{root}/out", f"{root}/checkpoint")
     plain = lambda c: F.to_utc_timestamp(c, "UTC").cast("timestamp_ntz").alias(c)
     out = own.read.schema("user_id long, since timestamp, until timestamp, n long, cents long").parquet(f"{root}/out")
     return out.select("user_id", plain("since"), plain("until"), "n", "cents")
@@ -63,7 +65,8 @@ def x_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def x_expiring_totals(spark: SparkSession, d: str) -> DataFrame:
     """Each user's running totals, which expire when the user is idle for a day and a half, by timers on keyed state."""
-    return _streamed(spark, d, state.expiring_totals, IDLE_S)
+    buckets = state.buckets_for(S.table(spark, d, "events"), "user_id")
+    return _streamed(spark, d, partial(state.expiring_totals, buckets=buckets), IDLE_S)
 
 
 def x_vector_blobs(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def slices(spark: SparkSession, events: DataFrame, folder: str, time: str, count
     return width
 
 
+def files_a_batch(spark: SparkSession, folder: str, schema: StructType, batches: int) -> int:
+    """How many files of `folder` a batch takes for about so many batches: large slices come in many files, and each batch costs every partition of state a commit."""
+    return max(1, -(-len(spark.read.schema(schema).parquet(folder).inputFiles()) // batches))
+
+
 def stream_of(spark: SparkSession, folder: str, schema: StructType, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
@@ -42,75 +48,119 @@ def sessions(stream: DataFrame, key: str, time: str, gap_s: int, delay_s: int, c
     return out.select(key, F.col("session_window.start").alias("since"), (F.col("session_window.end") - F.expr(f"INTERVAL {gap_s} SECONDS")).alias("until"), "n", "cents")
 
 
-def merged(segments: list[tuple[int, int, int, int]], gap: int) -> list[tuple[int, int, int, int]]:
-    """Segments (first, last, n, cents) joined where one begins at most gap after another's last."""
-    out: list[tuple[int, int, int, int]] = []
-    for a, z, n, c in sorted(segments):
+Segment = tuple[int, int, int, int | None]
+
+
+def merged(segments: list[Segment], gap: int) -> list[Segment]:
+    """Segments (first, last, n, cents) joined where one begins at most gap after another's last. Cents that are None add nothing."""
+    out: list[Segment] = []
+    for a, z, n, c in sorted(segments, key=itemgetter(0)):
         if out and a - out[-1][1] <= gap:
             p = out.pop()
-            a, z, n, c = p[0], max(p[1], z), p[2] + n, p[3] + c
+            a, z, n, c = p[0], max(p[1], z), p[2] + n, p[3] if c is None else c if p[3] is None else p[3] + c
         out.append((a, z, n, c))
     return out
 
 
-def expiring_totals(stream: DataFrame, key: str, time: str, gap_s: int, delay_s: int, cents: str) -> DataFrame:
+#: Keys that share a bucket of state, about; and the fewest buckets, so that partitions of state get about as many each.
+KEYS_A_BUCKET, LEAST_BUCKETS = 250, 128
+
+
+def buckets_for(rows: DataFrame, key: str) -> int:
+    """Buckets for the keys of `rows`; they grow with the keys, so that what a bucket holds does not."""
+    return max(LEAST_BUCKETS, rows.agg(F.approx_count_distinct(key)).first()[0] // KEYS_A_BUCKET)
+
+
+def expiring_totals(stream: DataFrame, key: str, time: str, gap_s: int, delay_s: int, cents: str, buckets: int = 1024) -> DataFrame:
     """key, since, until, n, cents of each total of a key, when it has expired: no event of the key for more than gap_s.
 
-    The state of a key is its open totals, narrow and as many as fit between watermark and gap; each
-    has a timer at its last time and the gap. Events in any order within the delay join totals that
-    they lie between, and their timers move; a timer hands the total out and forgets it.
+    A key's open totals are narrow and as many as fit between watermark and gap. State is kept for
+    buckets of keys, so that a batch reads and writes it once a bucket, not once a key: every call for
+    state or timers is a round trip between Python and the engine. A bucket has one timer, at the
+    first moment that one of its totals expires. Events in any order within the delay join totals that
+    they lie between, and the timer moves; it hands out the totals that are over and forgets them.
+    A stream that is started again needs the same number of buckets.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    gap = gap_s * MICROS
+    gap, kind = gap_s * MICROS, stream.schema[key].dataType.simpleString()
 
     class Totals(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.open = handle.getListState("open", "a long, z long, n long, c long")
-
-        def _put(self, segments: list[tuple[int, int, int, int]]) -> None:
-            if segments:
-                self.open.put([tuple(s) for s in segments])
+            self.open = handle.getValueState("open", f"key array<{kind}>, void array<boolean>, a array<bigint>, z array<bigint>, n array<bigint>, c array<bigint>")
+
+        def _held(self) -> dict[tuple, list[Segment]]:
+            held: dict[tuple, list[Segment]] = {}
+            for k, void, *segment in zip(*(self.open.get() or ()), strict=True):
+                held.setdefault((k, void), []).append(tuple(segment))
+            return held
+
+        def _hold(self, held: dict[tuple, list[Segment]], timer: int | None) -> None:
+            """Stores what is open and moves the timer, which stood at `timer`, to the first that expires."""
+            rows = [(*k, *s) for k, segments in held.items() for s in segments]
+            if rows:
+                self.open.update(tuple(map(list, zip(*rows, strict=True))))
             else:
                 self.open.clear()
+            first = _first_expiry(held, gap)
+            if first != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                if first is not None:
+                    self.handle.registerTimer(first)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator:
-            before = [tuple(s) for s in self.open.get()]
-            given = (batch[batch["c"].notna()] for batch in rows)  # a filter on the stream would take rows from the watermark's sight
-            new = [(t, t, 1, int(c)) for batch in given for t, c in zip(batch["t"].tolist(), batch["c"].tolist(), strict=True)]
-            after = merged(before + new, gap)
-            for moment in {_expiry(s, gap) for s in before} - {_expiry(s, gap) for s in after}:
-                self.handle.deleteTimer(moment)
-            for moment in {_expiry(s, gap) for s in after} - {_expiry(s, gap) for s in before}:
-                self.handle.registerTimer(moment)
-            self._put(after)
+            held = self._held()
+            timer = _first_expiry(held, gap)
+            for batch in rows:
+                fresh: dict[tuple, list[Segment]] = {}
+                for k, void, t, c, empty in zip(*(batch[name].tolist() for name in ("key", "void", "t", "c", "empty")), strict=True):
+                    fresh.setdefault((k, void), []).append((t, t, 1, None if empty else c))
+                for k, segments in fresh.items():
+                    held[k] = merged(held.get(k, []) + segments, gap)
+            self._hold(held, timer)
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
             import pandas as pd
 
-            now, segments = expiredTimerInfo.getExpiryTimeInMs(), [tuple(s) for s in self.open.get()]
-            done = [s for s in segments if _expiry(s, gap) <= now]
-            self._put([s for s in segments if _expiry(s, gap) > now])
+            moment, held = expiredTimerInfo.getExpiryTimeInMs(), self._held()
+            now = max(moment, timerValues.getCurrentWatermarkInMs())
+            done = [(None if void else k, *s) for (k, void), segments in held.items() for s in segments if _expiry(s, gap) <= now]
+            left = {k: [s for s in segments if _expiry(s, gap) > now] for k, segments in held.items()}
+            self._hold({k: segments for k, segments in left.items() if segments}, None)  # the engine deletes a timer that went off
             if done:
-                yield pd.DataFrame([(key[0], *s) for s in done], columns=["key", "a", "z", "n", "c"])
+                yield pd.DataFrame(done, columns=["key", "a", "z", "n", "c"], dtype=object)
 
         def close(self) -> None:
             pass
 
-    kind = stream.schema[key].dataType.simpleString()
-    rows = stream.withWatermark(time, f"{delay_s} seconds").select(F.col(key).alias("key"), F.unix_micros(time).alias("t"), F.col(cents).cast("long").alias("c"), time)
-    out = rows.groupBy("key").transformWithStateInPandas(Totals(), f"key {kind}, a long, z long, n long, c long", "append", "EventTime")
+    own = F.col(key)
+    # a null would turn the whole numbers beside it into floats on their way to Python, so that nulls are told by columns of their own
+    rows = stream.withWatermark(time, f"{delay_s} seconds").select(
+        F.pmod(F.xxhash64(own), F.lit(buckets)).cast("int").alias("bucket"),
+        F.coalesce(own, F.lit("0").try_cast(kind)).alias("key"),
+        own.isNull().alias("void"),
+        F.unix_micros(time).alias("t"),
+        F.coalesce(F.col(cents).cast("long"), F.lit(0)).alias("c"),
+        F.col(cents).isNull().alias("empty"),
+        time,
+    )
+    out = rows.groupBy("bucket").transformWithStateInPandas(Totals(), f"key {kind}, a long, z long, n long, c long", "append", "EventTime")
     return out.select(F.col("key").alias(key), F.timestamp_micros("a").alias("since"), F.timestamp_micros("z").alias("until"), "n", F.col("c").alias("cents"))
 
 
-def _expiry(segment: tuple[int, int, int, int], gap: int) -> int:
+def _expiry(segment: Segment, gap: int) -> int:
     """The first millisecond after the last time that the segment takes an event."""
     return (segment[1] + gap) // 1000 + 1
 
 
-#: What operators with list state and timers need; most partitions of state, each of which has its own files in every batch.
+def _first_expiry(held: dict[tuple, list[Segment]], gap: int) -> int | None:
+    return min((_expiry(s, gap) for segments in held.values() for s in segments), default=None)
+
+
+#: What operators with state and timers need; most partitions of state, each of which has its own files in every batch.
 STORE, STATE_PARTITIONS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", 32
 
 

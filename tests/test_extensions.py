@@ -114,6 +114,53 @@ def test_streams_in_any_order_with_a_restart(spark, tmp_path, make):
     assert sorted(tuple(r) for r in got) == brute_islands(rows, 60)
 
 
+def test_batches_do_not_grow_with_files(spark, tmp_path, monkeypatch):
+    """A large table's slices come in many files; there are as many batches as for a small one, and the same totals."""
+    monkeypatch.setattr(extensions, "shared_folder", lambda _: str(tmp_path))
+    rng = random.Random(11)
+    rows = [(i, rng.randrange(40), rng.randrange(30 * 86400), rng.randrange(9) / 4) for i in range(4000)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, s long, value double").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).drop("s")
+    events.repartition(8).write.parquet(f"{tmp_path}/events.parquet")
+    for query, gap in ((extensions.x_sessions, extensions.SESSION_S), (extensions.x_expiring_totals, extensions.IDLE_S)):
+        before = set(tmp_path.glob("events-*"))
+        got = query(spark, str(tmp_path)).select("user_id", F.unix_seconds(F.col("since").cast("timestamp")), F.unix_seconds(F.col("until").cast("timestamp")), "n", "cents").collect()
+        assert sorted(tuple(r) for r in got) == brute_islands([(u, t, round(v * 100)) for _, u, t, v in rows], gap)
+        (root,) = set(tmp_path.glob("events-*")) - before
+        assert len(list((root / "in").glob("*.parquet"))) > 3 * extensions.SLICES
+        assert len(list((root / "checkpoint/commits").glob("[0-9]*"))) <= extensions.SLICES + 3
+
+
+def test_totals_share_buckets_of_state(spark, tmp_path):
+    """Many keys, null and large ones too, in few buckets of state; events without a value count, and a total of them alone is null."""
+    rng = random.Random(12)
+    own, schema = state.stateful_session(spark, 2), "user long, ts timestamp, cents long"
+    keys = [None, *(2**60 + k for k in range(199))]
+    rows = [(k, rng.randrange(1, 1000), rng.choice([None, 2**58 + rng.randrange(9)])) for k in keys for _ in range(8)]
+
+    def feed(rows):
+        made = spark.createDataFrame(rows, "user long, s long, cents long").select("user", F.timestamp_seconds("s").alias("ts"), "cents")
+        made.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def start():
+        out = state.expiring_totals(state.stream_of(own, f"{tmp_path}/in", StructType.fromDDL(schema)), "user", "ts", 60, 500, "cents", buckets=7)
+        state.run(out, f"{tmp_path}/out", f"{tmp_path}/check")
+
+    for k in range(2):
+        feed([r for r in rows if r[1] // 500 == k])
+    start()
+    held = own.read.format("statestore").option("stateVarName", "open").load(f"{tmp_path}/check")
+    assert 0 < held.count() <= 7
+    feed([(None, 9000, None)])
+    start()
+    want = []
+    for key in keys:
+        for _, a, z, n, _ in brute_islands([(0, t, 0) for k, t, _ in rows if k == key], 60):
+            cents = [c for k, t, c in rows if k == key and a <= t <= z and c is not None]
+            want.append((key, a, z, n, sum(cents) if cents else None))
+    got = own.read.parquet(f"{tmp_path}/out").select("user", F.unix_seconds("since"), F.unix_seconds("until"), "n", "cents").collect()
+    assert any(w[4] is None for w in want) and sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_segments_merge():
     assert state.merged([(5, 5, 1, 2), (1, 3, 2, 4), (9, 9, 1, 1)], 3) == [(1, 5, 3, 6), (9, 9, 1, 1)]
     assert state.merged([(1, 9, 3, 3), (4, 4, 1, 1), (13, 13, 1, 1)], 3) == [(1, 9, 4, 4), (13, 13, 1, 1)]
